@@ -1,0 +1 @@
+"""No operator of this library works on a stream: every job reads a finished log."""
