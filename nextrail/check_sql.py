@@ -296,7 +296,7 @@ def scored_lines() -> str:
          concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS cand_id,
          row_number() OVER (PARTITION BY l_orderkey
            ORDER BY concat_ws('-', l_linenumber, l_partkey, l_suppkey)) = 1 AS is_target,
-         l_extendedprice / 10000 AS dot, 1 - 10 * l_discount AS cosine
+         sqrt(l_extendedprice) / 100 AS dot, 1 - 10 * l_discount AS cosine
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 

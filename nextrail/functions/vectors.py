@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
 
@@ -44,8 +51,12 @@ def half_squared_distance(left: Column, right: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one (H4)."""
-    length = F.greatest(norm(vector), F.lit(NORM_EPS))
-    return F.transform(as_double(vector), lambda value: value / length)
+
+    def scaled(v: Column) -> Column:
+        length = F.greatest(norm(v), F.lit(NORM_EPS))
+        return let(length, lambda n: F.transform(v, lambda value: value / n))
+
+    return let(as_double(vector), scaled)
 
 
 def is_zero(vector: Column) -> Column:

@@ -25,14 +25,18 @@ def enrich_events(
     *,
     validate: bool = True,
     heavy: Sequence | None = None,
+    heavy_items: Sequence | None = None,
 ) -> DataFrame:
-    """The events with ``item_text`` and ``user_text``; every event stays."""
+    """The events with ``item_text`` and ``user_text``; every event stays.
+
+    ``heavy`` and ``heavy_items`` are the heavy users and items of the log, if they are known.
+    """
     items = items.select("item_id", "item_text")
     users = users.select("user_id", "user_text")
     if validate:
         assert_unique(items, ["item_id"])
         assert_unique(users, ["user_id"])
-    with_items = join_lookup(events, items, "item_id")
+    with_items = join_lookup(events, items, "item_id", heavy=heavy_items)
     return join_lookup(with_items, users, "user_id", heavy=heavy)
 
 
@@ -46,17 +50,22 @@ def flag_items(items: DataFrame, events: DataFrame, *, validate: bool = True) ->
     )
 
 
-def place_activities(events: DataFrame, *, heavy: Sequence | None = None) -> DataFrame:
-    """One row per event: ``part`` ('history' for train rows, else 'target') and its place ``pos`` there.
+def place_activities(
+    events: DataFrame, *, keep: Sequence[str] = (), heavy: Sequence | None = None
+) -> DataFrame:
+    """One row per event: ``part`` ('history' for train rows, else 'target'), its place ``pos`` there, and the
+    lengths ``n_history`` and ``n_target`` of both parts.
 
     Histories are kept as rows, so their length has no bound. Events are sorted field by field, NULL
-    first, ids as text; events without a split are in neither part.
+    first, ids as text; events without a split are in neither part. ``item_text`` may be missing: it
+    follows from the id. ``keep`` names further columns to carry along.
     """
-    chosen = events.where(F.col("is_train").isNotNull()).select("user_id", *ACTIVITY, "is_train")
+    fields = [c for c in ACTIVITY if c in events.columns]
+    chosen = events.where(F.col("is_train").isNotNull())
     placed = running_totals(
-        chosen,
+        chosen.select("user_id", *fields, "is_train", *keep),
         "user_id",
-        list(ACTIVITY),
+        fields,
         {"history": F.col("is_train").cast("int"), "target": (~F.col("is_train")).cast("int")},
         heavy=heavy,
     )
@@ -65,7 +74,10 @@ def place_activities(events: DataFrame, *, heavy: Sequence | None = None) -> Dat
         "user_id",
         F.when(in_train, F.lit("history")).otherwise(F.lit("target")).alias("part"),
         F.when(in_train, F.col("history_before")).otherwise(F.col("target_before")).alias("pos"),
-        *ACTIVITY,
+        F.col("history_total").alias("n_history"),
+        F.col("target_total").alias("n_target"),
+        *fields,
+        *keep,
     )
 
 

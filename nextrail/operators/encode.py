@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nextrail.config import EncoderConfig
-from nextrail.functions.vectors import as_double, is_zero, unit
-from nextrail.operators.skew import join_lookup
+from nextrail.functions.vectors import as_double, is_zero, let, unit
+from nextrail.operators.skew import heavy_keys, join_lookup
 
 ModelFn = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
@@ -75,24 +75,28 @@ def pool(vectors: Column, mode: str) -> Column:
 
     ``first`` takes the first vector whether masked or not.
     """
-    zeros = F.transform(as_double(vectors[0]), lambda _: F.lit(0.0))
     if mode == "first":
         return as_double(vectors[0])
+
+    def combined(counted: Column) -> Column:
+        if mode == "last":
+            return as_double(F.element_at(counted, -1))
+        if mode == "max":
+            return _fold(counted, lambda a, b: F.greatest(a, b))
+        total = _fold(counted, lambda a, b: a + b)
+        return let(F.size(counted), lambda n: F.transform(total, lambda value: value / n))
+
+    zeros = F.transform(as_double(vectors[0]), lambda _: F.lit(0.0))
     counted = F.filter(vectors, lambda v: ~is_zero(v))
-    if mode == "last":
-        chosen = as_double(F.element_at(counted, -1))
-    elif mode == "max":
-        chosen = F.aggregate(
-            F.slice(counted, 2, F.size(counted)),
-            as_double(counted[0]),
-            lambda top, v: F.zip_with(top, as_double(v), lambda a, b: F.greatest(a, b)),
-        )
-    else:
-        total = F.aggregate(
-            counted, zeros, lambda acc, v: F.zip_with(acc, as_double(v), lambda a, b: a + b)
-        )
-        chosen = F.transform(total, lambda value: value / F.size(counted))
-    return F.when(F.size(counted) > 0, chosen).otherwise(zeros)
+    return let(counted, lambda some: F.when(F.size(some) > 0, combined(some)).otherwise(zeros))
+
+
+def _fold(vectors: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The vectors merged place by place, from the first on."""
+    rest = F.slice(vectors, 2, F.size(vectors))
+    return F.aggregate(
+        rest, as_double(vectors[0]), lambda acc, v: F.zip_with(acc, as_double(v), merge)
+    )
 
 
 def encode_histories(
@@ -103,6 +107,7 @@ def encode_histories(
     model_fn: ModelFn | None = None,
     batch_size: int = 256,
     dim: int | None = None,
+    heavy_items: Sequence | None = None,
 ) -> DataFrame:
     """``query_id, embedding`` for rows ``query_id, pos, item_id``.
 
@@ -110,10 +115,7 @@ def encode_histories(
     Queries without a known item have no row. The pooled vector skips the trained attention layers of a
     sequence model; plug one in as ``model_fn``, called with arrays of (batch, max_seq_length, dim).
     """
-    tail = known_tail(
-        histories.select("query_id", "pos", "item_id"), vectors, config.max_seq_length
-    )
-    rows = join_lookup(tail, vectors.select("item_id", "embedding"), "item_id", "inner")
+    rows = _tail_vectors(histories, vectors, config.max_seq_length, heavy_items)
     # At most max_seq_length vectors per query, in order: the result does not depend on partitions.
     listed = rows.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "embedding")))["embedding"].alias("vectors")
@@ -128,6 +130,18 @@ def encode_histories(
     return listed.select("query_id", embedding.alias("embedding"))
 
 
+def _tail_vectors(
+    histories: DataFrame, vectors: DataFrame, length: int, heavy_items: Sequence | None
+) -> DataFrame:
+    # An item that is light among all rows is light among the last ones: one check serves both joins.
+    if heavy_items is None:
+        heavy_items = heavy_keys(histories, "item_id")
+    histories = histories.select("query_id", "pos", "item_id")
+    tail = known_tail(histories, vectors, length, heavy_items=heavy_items)
+    embeddings = vectors.select("item_id", "embedding")
+    return join_lookup(tail, embeddings, "item_id", "inner", heavy=heavy_items)
+
+
 def _predicted(
     vectors: Column, length: int, dim: int, model_fn: ModelFn, batch_size: int
 ) -> Column:
@@ -158,10 +172,7 @@ def prefix_means(
     One window with an average per dimension: rows are not multiplied, and a group has at most
     ``max_seq_length`` rows.
     """
-    tail = known_tail(
-        histories.select("query_id", "pos", "item_id"), vectors, config.max_seq_length
-    )
-    rows = join_lookup(tail, vectors.select("item_id", "embedding"), "item_id", "inner")
+    rows = _tail_vectors(histories, vectors, config.max_seq_length, None)
     rows = rows.withColumn("embedding", as_double(F.col("embedding")))
     rows = rows.where(~is_zero(F.col("embedding")))
     so_far = (

@@ -11,12 +11,11 @@ from nextrail.functions.vectors import as_double, unit
 from nextrail.operators.encode import ModelFn, encode_histories, known_tail, pool
 from nextrail.operators.lookup import lookup_one
 from nextrail.operators.search import search, with_item_text
+from nextrail.operators.skew import heavy_keys, join_lookup
 from nextrail.sources.tables import stage
 
-TARGETS_AFTER = 1 << 40
 
-
-def recommend_histories(
+def nearest_to_histories(
     histories: DataFrame,
     items: DataFrame,
     *,
@@ -28,26 +27,30 @@ def recommend_histories(
     model_fn: ModelFn | None = None,
     dim: int | None = None,
 ) -> DataFrame:
-    """Items for rows ``query_id, pos, item_id``, without those of the history (O1).
+    """``query_id, item_id, score, rank`` for rows ``query_id, pos, item_id``, without the history's items (O1).
 
-    ``exclude_scope``: ``all`` leaves out the whole history, ``tail`` only the items the vector was made
-    from, so that older ones may come again. ``items``: item_id, item_text, embedding.
+    ``histories`` is read several times; pass a staged or written table. ``exclude_scope``: ``all`` leaves out the whole history, ``tail`` only the items the vector was made
+    from, so that older ones may come again. ``items``: item_id, embedding.
     """
     if exclude_scope not in ("all", "tail"):
         raise ValueError("exclude_scope must be 'all' or 'tail'")
-    encoded = encode_histories(histories, items, encoder, model_fn=model_fn, dim=dim)
+    heavy = heavy_keys(histories, "item_id")
+    encoded = encode_histories(
+        histories, items, encoder, model_fn=model_fn, dim=dim, heavy_items=heavy
+    )
+    seen = histories.select("query_id", "pos", "item_id")
     if exclude_scope == "tail":
-        seen = known_tail(
-            histories.select("query_id", "pos", "item_id"), items, encoder.max_seq_length
-        )
-    else:
-        seen = histories
+        seen = known_tail(seen, items, encoder.max_seq_length, heavy_items=heavy)
     seen = seen.select("query_id", "item_id")
     if exclude is not None:
         seen = seen.unionByName(exclude.select("query_id", "item_id"))
     # Search reads its queries twice, to size the blocks and to fill them.
-    found = search(stage(encoded), items, exclude=seen, top_k=top_k, metric=metric)
-    return with_item_text(found, items)
+    return search(stage(encoded), items, exclude=seen, top_k=top_k, metric=metric)
+
+
+def recommend_histories(histories: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The same with ``item_text``; options as in ``nearest_to_histories``."""
+    return with_item_text(nearest_to_histories(histories, items, **options), items)
 
 
 def recommend_queries(
@@ -85,7 +88,9 @@ def recommend_queries(
         F.posexplode("item_ids").alias("pos", "item_id"),
     )
     resolved = named.where(~F.col("has_inputs")).select("query_id", "pos", "item_id")
-    encoded = encode_histories(resolved, items, encoder).withColumnRenamed("embedding", "of_items")
+    heavy = heavy_keys(resolved, "item_id")
+    encoded = encode_histories(resolved, items, encoder, heavy_items=heavy)
+    encoded = encoded.withColumnRenamed("embedding", "of_items")
     inputs = last_elements(F.col("input_embeds"), encoder.max_seq_length)
     of_inputs = F.when(F.size(inputs) > 0, pool(inputs, encoder.pooling))
     of_inputs = unit(of_inputs) if encoder.normalize else of_inputs
@@ -94,7 +99,8 @@ def recommend_queries(
     )
     vectors = stage(vectors.where("embedding IS NOT NULL"))
 
-    tail = known_tail(resolved, items, encoder.max_seq_length).select("query_id", "item_id")
+    tail = known_tail(resolved, items, encoder.max_seq_length, heavy_items=heavy)
+    tail = tail.select("query_id", "item_id")
     barred = asked.select("query_id", F.explode("exclude_item_ids").alias("item_id"))
     barred = barred.unionByName(tail).unionByName(
         named.where("has_inputs").select("query_id", "item_id")
@@ -148,14 +154,16 @@ def recommend_users(
 ) -> DataFrame:
     """Items for users from history and target together, only the encoded items left out.
 
-    ``placed``: user_id, part, pos, item_id; ``users`` limits the job to the ``user_id`` it holds.
+    ``placed``: user_id, part, pos, n_history, item_id; ``users`` limits the job to the ``user_id`` it holds.
     """
     if users is not None:
-        placed = placed.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pos = F.when(F.col("part") == "target", F.col("pos") + TARGETS_AFTER).otherwise(F.col("pos"))
-    histories = placed.select(F.col("user_id").alias("query_id"), pos.alias("pos"), "item_id")
+        placed = join_lookup(placed, users.select("user_id").distinct(), "user_id", "inner")
+    after = F.when(F.col("part") == "target", F.col("n_history")).otherwise(0)
+    histories = placed.select(
+        F.col("user_id").alias("query_id"), (F.col("pos") + after).alias("pos"), "item_id"
+    )
     return recommend_histories(
-        histories,
+        stage(histories),
         items,
         top_k=top_k,
         metric=metric,

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from nextrail.config import METRICS, NPROBE, TOP_K
 from nextrail.functions.vectors import COSINE_EPS, as_double
-from nextrail.operators.skew import join_lookup
+from nextrail.operators.skew import default_parts, join_lookup
+from nextrail.sources.tables import stage
 
 ITEM_BLOCK = 65_536
 QUERY_BLOCK = 8_192
@@ -117,10 +118,27 @@ def _block(id_col: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int")
 
 
-def _blocks_per_cluster(rows: DataFrame, block_rows: int, name: str) -> DataFrame:
-    """Number of blocks per cluster; one row per cluster, about sqrt(n) rows at most."""
+def _block_counts(
+    probes: DataFrame, items: DataFrame, item_block: int, query_block: int
+) -> DataFrame:
+    """Number of item and query blocks per cluster; one row per cluster, about sqrt(n) rows at most.
+
+    Blocks are as large as allowed, since every item goes to every query block and the other way round,
+    but a small search is still cut into about as many as there are tasks.
+    """
     size = F.count(F.lit(1))
-    return rows.groupBy("cluster_id").agg(F.ceil(size / block_rows).cast("int").alias(name))
+    item_counts = items.groupBy("cluster_id").agg(size.alias("n_items"))
+    query_counts = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
+    item_blocks = F.ceil(F.col("n_items") / item_block)
+    spread = F.least(
+        F.ceil(F.col("n_queries") / _STRIPE), F.ceil(default_parts(items) / item_blocks)
+    )
+    query_blocks = F.greatest(F.ceil(F.col("n_queries") / query_block), spread)
+    return item_counts.join(query_counts, "cluster_id").select(
+        "cluster_id",
+        item_blocks.cast("int").alias("item_blocks"),
+        query_blocks.cast("int").alias("query_blocks"),
+    )
 
 
 def ranked_top_k(scored: DataFrame, top_k: int) -> DataFrame:
@@ -144,11 +162,7 @@ def _block_search(
     """``probes``: query_id, embedding, cluster_id; ``items``: item_id, embedding, cluster_id."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    sizes = F.broadcast(
-        _blocks_per_cluster(items, item_block, "item_blocks").join(
-            _blocks_per_cluster(probes, query_block, "query_blocks"), "cluster_id"
-        )
-    )
+    sizes = F.broadcast(_block_counts(probes, items, item_block, query_block))
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -303,8 +317,12 @@ def search_clusters(
 
 
 def with_item_text(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """Candidates in the result form ``query_id, item_id, item_text, score, rank``."""
+    """Candidates in the result form ``query_id, item_id, item_text, score, rank``.
+
+    One item may be recommended to most queries, so its rows are counted first; the candidates are staged
+    for that, or the search would run twice.
+    """
     texts = items.select("item_id", "item_text")
-    return join_lookup(candidates, texts, "item_id").select(
+    return join_lookup(stage(candidates), texts, "item_id").select(
         "query_id", "item_id", "item_text", "score", "rank"
     )

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nextrail.config import TOP_K, EncoderConfig
+from nextrail.config import TOP_K
 from nextrail.operators.activity import place_activities
-from nextrail.operators.encode import ModelFn
 from nextrail.operators.metrics import mean_metrics, retrieval_metrics
-from nextrail.operators.recommend import recommend_histories
-
-
-def held_out_users(events: DataFrame) -> DataFrame:
-    """``user_id, stage``: val or test, for users with held-out events."""
-    stage = F.when(F.bool_or("is_val"), "val").when(F.bool_or("is_test"), "test")
-    stages = events.groupBy("user_id").agg(stage.alias("stage"))
-    return stages.where("stage IS NOT NULL")
+from nextrail.operators.recommend import nearest_to_histories
+from nextrail.sources.tables import stage
 
 
 def histories_of(placed: DataFrame) -> DataFrame:
@@ -29,35 +24,29 @@ def evaluate(
     events: DataFrame,
     items: DataFrame,
     *,
-    placed: DataFrame | None = None,
     top_k: int = TOP_K,
-    metric: str = "cosine",
-    encoder: EncoderConfig = EncoderConfig(),
-    model_fn: ModelFn | None = None,
-    dim: int | None = None,
+    heavy: Sequence | None = None,
+    **options,
 ) -> DataFrame:
-    """Per held-out user its stage and seven metrics.
+    """Per user with held-out events its stage (val or test) and seven metrics.
 
-    ``events``: the split log with texts; ``items``: item_id, item_text, embedding. The whole history is
-    excluded; targets are the distinct held-out items with a positive label.
+    ``events``: the split log; ``items``: item_id, embedding; ``heavy``: heavy users of the log, if known;
+    further options go to ``nearest_to_histories``. The whole history is excluded; targets are the
+    distinct held-out items with a positive label.
     """
-    placed = place_activities(events) if placed is None else placed
-    users = held_out_users(events)
-    mine = placed.join(users.select("user_id"), "user_id", "left_semi")
-    recs = recommend_histories(
-        histories_of(mine),
-        items,
-        top_k=top_k,
-        metric=metric,
-        encoder=encoder,
-        model_fn=model_fn,
-        dim=dim,
+    slim = events.drop("item_text", "user_text")
+    placed = place_activities(slim, keep=["is_val"], heavy=heavy)
+    # Ids and places only; everything below reads this table.
+    mine = stage(
+        placed.where("n_target > 0").select("user_id", "part", "pos", "item_id", "label", "is_val")
     )
-    targets = mine.where("part = 'target' AND label").select(
-        F.col("user_id").alias("query_id"), "item_id"
+    held_out = mine.where("part = 'target'").withColumnRenamed("user_id", "query_id")
+    found = nearest_to_histories(histories_of(mine), items, top_k=top_k, **options)
+    scores = retrieval_metrics(found, held_out.where("label"), top_k)
+    stages = held_out.groupBy("query_id").agg(
+        F.when(F.bool_or("is_val"), "val").otherwise("test").alias("stage")
     )
-    scores = retrieval_metrics(recs, targets, top_k)
-    return scores.join(users.withColumnRenamed("user_id", "query_id"), "query_id")
+    return scores.join(stages, "query_id")
 
 
 def evaluate_mean(events: DataFrame, items: DataFrame, **options) -> DataFrame:

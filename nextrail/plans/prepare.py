@@ -47,7 +47,13 @@ def prepare(
 
     def build_events() -> DataFrame:
         flagged = train_test_split(events, config=split, heavy=heavy_users())
-        return enrich_events(flagged, items, users, heavy=heavy_users())
+        return enrich_events(
+            flagged,
+            items,
+            users,
+            heavy=heavy_users(),
+            heavy_items=heavy_keys(events, "item_id"),
+        )
 
     params = asdict(split)
     log = materialize(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from nextrail.config import LossConfig, SequenceConfig
@@ -23,12 +25,13 @@ def training_examples(
     epoch: int = 0,
     *,
     with_texts: bool = True,
+    heavy: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The batched examples of one epoch, and the vocabulary.
 
     The indexed histories serve four joins and are staged once.
     """
-    heavy = heavy_keys(events, "user_id")
+    heavy = heavy_keys(events, "user_id") if heavy is None else heavy
     vocab = stage(vocabulary(items))
     histories = stage(index_histories(events, vocab, heavy=heavy))
     examples = build_examples(
@@ -46,9 +49,10 @@ def epoch_losses(
     *,
     normalize: bool = False,
     model: SequenceModel = running_mean,
+    heavy: Sequence | None = None,
 ) -> DataFrame:
     """One row per batch of the epoch. ``items``: item_id, item_text, embedding."""
     batched, vocab = training_examples(
-        events, items.select("item_id", "item_text"), config, epoch, with_texts=False
+        events, items.select("item_id", "item_text"), config, epoch, with_texts=False, heavy=heavy
     )
     return in_batch_losses(batched, vocab, items, losses, normalize=normalize, model=model)

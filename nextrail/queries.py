@@ -16,9 +16,9 @@ from nextrail.functions import vectors as vec
 from nextrail.operators import activity, encode, lookup, losses, metrics, recommend, search
 from nextrail.operators import sequences as seq
 from nextrail.operators.in_batch import COLUMNS, in_batch_losses
-from nextrail.operators.skew import running_totals
+from nextrail.operators.skew import heavy_keys, running_totals
 from nextrail.operators.split import split_summary, train_test_split
-from nextrail.plans.evaluate import evaluate, evaluate_mean, histories_of
+from nextrail.plans.evaluate import evaluate, histories_of
 from nextrail.plans.training import training_examples
 from nextrail.sources import warehouse as wh
 from nextrail.sources.tables import stage, table_counts
@@ -37,22 +37,40 @@ def rounded(column: Column | str, name: str) -> Column:
     return (F.round(value.cast("double"), 6) + F.lit(0.0)).alias(name)
 
 
-def split_log(spark: SparkSession, d: str, log: str) -> DataFrame:
-    return train_test_split(LOGS[log](spark, d))
+def heavy_users(spark: SparkSession, d: str, log: str) -> list:
+    return heavy_keys(LOGS[log](spark, d), "user_id")
 
 
-def enriched_log(spark: SparkSession, d: str, log: str) -> DataFrame:
+def split_log(spark: SparkSession, d: str, log: str, heavy: list | None = None) -> DataFrame:
+    return train_test_split(LOGS[log](spark, d), heavy=heavy)
+
+
+def enriched_log(spark: SparkSession, d: str, log: str, heavy: list | None = None) -> DataFrame:
+    raw = LOGS[log](spark, d)
+    heavy = heavy_keys(raw, "user_id") if heavy is None else heavy
     return activity.enrich_events(
-        split_log(spark, d, log), ITEMS[log](spark, d), USERS[log](spark, d), validate=False
+        train_test_split(raw, heavy=heavy),
+        ITEMS[log](spark, d),
+        USERS[log](spark, d),
+        validate=False,
+        heavy=heavy,
+        heavy_items=heavy_keys(raw, "item_id"),
     )
 
 
 def placed_log(spark: SparkSession, d: str, log: str) -> DataFrame:
-    return activity.place_activities(enriched_log(spark, d, log))
+    heavy = heavy_users(spark, d, log)
+    return activity.place_activities(split_log(spark, d, log, heavy), heavy=heavy)
+
+
+def nested_users(spark: SparkSession, d: str, log: str) -> DataFrame:
+    heavy = heavy_users(spark, d, log)
+    events = stage(enriched_log(spark, d, log, heavy))
+    return activity.nest_users(USERS[log](spark, d), events, validate=False, heavy=heavy)
 
 
 def histories(spark: SparkSession, d: str, log: str) -> DataFrame:
-    return histories_of(placed_log(spark, d, log))
+    return stage(histories_of(placed_log(spark, d, log)))
 
 
 def by_dimension(df: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
@@ -103,8 +121,7 @@ def items_seen_in_train(spark: SparkSession, d: str) -> DataFrame:
 
 def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
     """The nested user table, its lists laid out again."""
-    users = activity.nest_users(USERS[log](spark, d), enriched_log(spark, d, log))
-    users = stage(users)
+    users = stage(nested_users(spark, d, log))
     fields = ("item_id", "item_text", "event_name", "event_value", "label")
     parts = [
         activity.unnest_users(users, part, *fields).withColumn("part", F.lit(part))
@@ -115,7 +132,7 @@ def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 def users_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Every customer with the length of its lists and its flags; NULL without orders."""
-    users = activity.nest_users(wh.customer_users(spark, d), enriched_log(spark, d, "orders"))
+    users = nested_users(spark, d, "orders")
     flags = ("is_train", "is_val", "is_test", "is_predict")
     return users.groupBy("user_id").agg(
         *[
@@ -140,7 +157,9 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame]:
     """Histories over the items that have a vector, and their vocabulary."""
     vocab = stage(seq.vocabulary(VECTORS[log](spark, d).select("item_id", "item_text")))
-    return stage(seq.index_histories(split_log(spark, d, log), vocab)), vocab
+    heavy = heavy_users(spark, d, log)
+    events = split_log(spark, d, log, heavy)
+    return stage(seq.index_histories(events, vocab, heavy=heavy)), vocab
 
 
 def history_trimmed(spark: SparkSession, d: str, log: str) -> DataFrame:
@@ -186,7 +205,9 @@ def sample_negatives(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 def batched_examples(spark: SparkSession, d: str, log: str, with_texts: bool = False):
     items = VECTORS[log](spark, d).select("item_id", "item_text")
-    return training_examples(split_log(spark, d, log), items, SAMPLING[log], with_texts=with_texts)
+    heavy = heavy_users(spark, d, log)
+    events = split_log(spark, d, log, heavy)
+    return training_examples(events, items, SAMPLING[log], with_texts=with_texts, heavy=heavy)
 
 
 def example_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -357,10 +378,8 @@ def embed_text_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item2vec(spark: SparkSession, d: str) -> DataFrame:
-    users = activity.nest_users(
-        wh.event_users(spark, d), enriched_log(spark, d, "events"), validate=False
-    )
-    sequences = users.select(F.col("history.item_id").alias("item_ids")).where("size(item_ids) > 0")
+    sequences = nested_users(spark, d, "events")
+    sequences = sequences.select(F.col("history.item_id").alias("item_ids")).where("size(item_ids) > 0")
     learnt = encode.learn_item_vectors(sequences, dim=16)
     return learnt.select("item_id", F.size("embedding").alias("dim"))
 
@@ -369,14 +388,14 @@ def item2vec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recommend_history(spark: SparkSession, d: str, log: str) -> DataFrame:
-    found = recommend.recommend_histories(
-        histories(spark, d, log), VECTORS[log](spark, d), metric="dot"
-    )
+    items = stage(VECTORS[log](spark, d))
+    found = recommend.recommend_histories(histories(spark, d, log), items, metric="dot")
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
 def recommend_user(spark: SparkSession, d: str, log: str) -> DataFrame:
-    found = recommend.recommend_users(placed_log(spark, d, log), VECTORS[log](spark, d), top_k=5)
+    items = stage(VECTORS[log](spark, d))
+    found = recommend.recommend_users(placed_log(spark, d, log), items, top_k=5)
     return candidates(found)
 
 
@@ -436,31 +455,41 @@ def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
+def scored_users(spark: SparkSession, d: str, log: str, mode: str = "mean") -> DataFrame:
+    heavy = heavy_users(spark, d, log)
+    return evaluate(
+        split_log(spark, d, log, heavy),
+        stage(VECTORS[log](spark, d)),
+        metric="dot",
+        encoder=EncoderConfig(pooling=mode),
+        heavy=heavy,
+    )
+
+
 def user_metrics(spark: SparkSession, d: str, log: str) -> DataFrame:
-    scores = evaluate(enriched_log(spark, d, log), VECTORS[log](spark, d), metric="dot")
-    return scores.select("query_id", "stage", *[rounded(m, m) for m in metrics.METRICS])
+    return scored_users(spark, d, log).select(
+        "query_id", "stage", *[rounded(m, m) for m in metrics.METRICS]
+    )
 
 
 def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
-    means = evaluate_mean(enriched_log(spark, d, "events"), wh.event_item_vectors(spark, d), metric="dot")
+    means = metrics.mean_metrics(scored_users(spark, d, "events"), "stage")
     return means.select("stage", "n_queries", *[rounded(m, m) for m in metrics.METRICS])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Top 20 unseen items for every validation user, with the user's NDCG."""
-    scores = evaluate(enriched_log(spark, d, "events"), wh.event_item_vectors(spark, d), metric="dot")
+    scores = scored_users(spark, d, "events")
     ndcg = "retrieval_normalized_dcg"
     return scores.where("stage = 'val'").select(F.col("query_id").alias("user_id"), rounded(ndcg, ndcg))
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
     """Validation NDCG by pooling mode."""
-    events = stage(enriched_log(spark, d, "events"))
-    items = wh.event_item_vectors(spark, d)
     runs = None
     for mode in ("mean", "max", "first", "last"):
-        scores = evaluate_mean(events, items, metric="dot", encoder=EncoderConfig(pooling=mode))
-        run = scores.where("stage = 'val'").withColumn("run_id", F.lit(mode))
+        scores = scored_users(spark, d, "events", mode).where("stage = 'val'")
+        run = metrics.mean_metrics(scores, "stage").withColumn("run_id", F.lit(mode))
         runs = run if runs is None else runs.unionByName(run)
     return runs
 
@@ -478,7 +507,7 @@ def scored_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = wh.table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("query_id"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("cand_id"),
-        (F.col("l_extendedprice") / 10000).alias("dot"),
+        (F.sqrt("l_extendedprice") / 100).alias("dot"),
         (1 - 10 * F.col("l_discount")).alias("cosine"),
     )
     slots = running_totals(lines, "query_id", ["cand_id"], {"slot": F.lit(1)})

@@ -1,7 +1,8 @@
-"""Run queries and their SQL side by side: ``python tests/compare.py [folder] [query ...]``."""
+"""Run queries and their SQL side by side: ``python tests/compare.py [--heavy ROWS] [query ...]``."""
 
 from __future__ import annotations
 
+import argparse
 import os
 import sys
 import time
@@ -58,11 +59,19 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 
 def main() -> None:
     from nextrail.check_sql import CHECK_SQL
+    from nextrail.operators import skew
     from nextrail.queries import QUERIES
 
-    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
-    spark, db = session(), database(folder)
+    parser = argparse.ArgumentParser()
+    parser.add_argument("--folder", default="/root/testdata/sf0.01")
+    parser.add_argument("--heavy", type=int, help="rows from which a key counts as heavy")
+    parser.add_argument("--partitions", type=int, default=8)
+    parser.add_argument("names", nargs="*")
+    args = parser.parse_args()
+    if args.heavy is not None:
+        skew.MIN_HEAVY_ROWS = args.heavy
+    folder, names = args.folder, args.names or list(QUERIES)
+    spark, db = session(partitions=args.partitions), database(folder)
     bad = 0
     for name in names:
         start = time.time()
