@@ -431,7 +431,7 @@ ORDER BY value DESC, run_id DESC LIMIT 1"""
 
 REQUESTS = """requests AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS request_id,
-         list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_suppkey) AS ids
+         list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS ids
   FROM lineitem GROUP BY l_orderkey),
 asked AS (SELECT request_id, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM requests)"""
 
@@ -670,7 +670,7 @@ JOIN mixed m ON m.query_id = f.query_id WHERE rank <= coalesce(m.top_k, 4)""",
         REQUESTS,
         """inputs AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS query_id,
-         list(embedding ORDER BY l_linenumber, l_partkey, CAST(l_suppkey AS VARCHAR)) AS inputs
+         list(embedding ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS inputs
   FROM lineitem JOIN all_vectors ON item_id = CAST(l_suppkey AS VARCHAR) GROUP BY l_orderkey),
 mixed AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS query_id, CAST(o_custkey AS VARCHAR) AS customer,

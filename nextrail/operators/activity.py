@@ -12,6 +12,8 @@ from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.schemas import ACTIVITY, FLAGS
 from nextrail.sources.tables import assert_unique
 
+PARTS = ("history", "target")
+
 
 def any_true(flag: str) -> Column:
     """True if the flag is true anywhere in the group; NULL counts as false (D3)."""
@@ -92,7 +94,8 @@ def nest_users(
     """The users with ``history`` and ``target`` as structs of aligned lists, and their flags.
 
     A list holds at most ``chunk_rows`` entries; a longer history goes on in further rows of the user,
-    numbered by ``chunk``. Users without events have NULL lists and flags.
+    numbered by ``chunk``, whose entries start at ``first_pos``. Users without events have NULL lists and
+    flags.
     """
     if validate:
         assert_unique(users, ["user_id"])
@@ -104,40 +107,46 @@ def nest_users(
     lists = placed.groupBy("user_id", "chunk").agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("part") == part, entry))).alias(part)
-            for part in ("history", "target")
+            for part in PARTS
         ]
     )
-    flags = events.groupBy("user_id").agg(*[any_true(flag).alias(flag) for flag in FLAGS])
-    # A user all of whose events lack a split has flags and empty lists.
-    both = flags.join(lists, "user_id", "left")
-    none = F.array().cast(lists.schema["history"].dataType)
-    nested = both.select(
-        "user_id",
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        *[
-            F.struct(
-                *[F.coalesce(part, none).getField(field).alias(field) for field in ACTIVITY]
-            ).alias(part)
-            for part in ("history", "target")
-        ],
+    flags = events.groupBy("user_id").agg(
+        F.count("is_train").alias("n_placed"), *[any_true(flag).alias(flag) for flag in FLAGS]
+    )
+    flagged = users.join(flags, "user_id", "left")
+
+    # Only users with lists meet them, a long history's many rows by a broadcast of its user.
+    some = join_lookup(lists, flagged.where("n_placed > 0"), "user_id", "inner", heavy=heavy)
+    structs = [
+        F.struct(*[F.col(part).getField(field).alias(field) for field in ACTIVITY]).alias(part)
+        for part in PARTS
+    ]
+    first = (F.col("chunk").cast("bigint") * chunk_rows).alias("first_pos")
+    some = some.select(*users.columns, "chunk", first, *structs, *FLAGS)
+
+    # Events without a split give flags and empty lists, no events give NULL.
+    types = {part: some.schema[part].dataType for part in PARTS}
+    has_events = F.col("n_placed").isNotNull()
+    empty = {
+        part: F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in types[part]])
+        for part in PARTS
+    }
+    none = flagged.where("n_placed IS NULL OR n_placed = 0").select(
+        *users.columns,
+        F.when(has_events, F.lit(0)).alias("chunk"),
+        F.when(has_events, F.lit(0).cast("bigint")).alias("first_pos"),
+        *[F.when(has_events, empty[part]).alias(part) for part in PARTS],
         *FLAGS,
     )
-    return users.join(nested, "user_id", "left")
+    return some.unionByName(none)
 
 
 def unnest_users(users: DataFrame, part: str, *fields: str) -> DataFrame:
     """The rows of one list of the nested user table, with their place in the whole list."""
-    lists = users.select("user_id", "chunk", *[F.col(f"{part}.{f}").alias(f) for f in fields])
-    lists = lists.where(F.size(fields[0]) > 0)
-    # Every chunk but a user's last is full, so the largest list of the user gives the chunk size.
-    sizes = lists.groupBy("user_id").agg(F.max(F.size(fields[0])).alias("chunk_rows"))
-    entries = lists.join(sizes, "user_id").select(
-        "user_id",
-        (F.col("chunk") * F.col("chunk_rows")).alias("first"),
-        F.posexplode(F.arrays_zip(*[F.col(f) for f in fields])).alias("i", "entry"),
-    )
+    zipped = F.arrays_zip(*[F.col(f"{part}.{f}").alias(f) for f in fields])
+    entries = users.select("user_id", "first_pos", F.posexplode(zipped).alias("i", "entry"))
     return entries.select(
         "user_id",
-        (F.col("first") + F.col("i")).cast("bigint").alias("pos"),
+        (F.col("first_pos") + F.col("i")).alias("pos"),
         *[F.col(f"entry.{f}").alias(f) for f in fields],
     )

@@ -195,11 +195,16 @@ def learn_item_vectors(
     seed: int = 0,
     iterations: int = 1,
     partitions: int = 1,
+    max_items: int = 2_000_000,
 ) -> DataFrame:
     """Item vectors learnt from item sequences with Spark ML's Word2Vec.
 
-    It takes the place of a training loop; the vectors serve ``encode_histories`` and search.
+    It takes the place of a training loop; the vectors serve ``encode_histories`` and search. Spark ML holds
+    the vectors of all items on the driver, so the number of items is checked against ``max_items``.
     """
+    n_items = sequences.select(F.explode(items_col).alias("item")).distinct().count()
+    if n_items > max_items:
+        raise ValueError(f"{n_items} items do not fit the driver; the bound is {max_items}")
     model = Word2Vec(
         inputCol=items_col,
         outputCol="_v",

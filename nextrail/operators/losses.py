@@ -79,18 +79,26 @@ def valid_negatives(
         negative = ~F.col("is_target")
     rows = rows.withColumn("is_negative", negative)
     if config.num_hard_negatives > 0:
-        rows = _hardest(rows, config.num_hard_negatives)
+        rows = _hardest(rows, config.num_hard_negatives, heavy)
     return rows
 
 
-def _hardest(rows: DataFrame, count: int) -> DataFrame:
-    """Keeps ``is_negative`` on the ``count`` highest negatives of each query."""
+def _hardest(rows: DataFrame, count: int, heavy: Sequence) -> DataFrame:
+    """Keeps ``is_negative`` on the ``count`` highest negatives of each query, whose ``cand_id`` differ.
+
+    The group limit finds each query's last one before the shuffle; its place then decides for all rows.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("logit"), "cand_id")
-    negatives = rows.where("is_negative").withColumn("_nth", F.row_number().over(order))
-    hard = negatives.where(F.col("_nth") <= count).drop("_nth")
-    others = rows.where(~F.col("is_negative"))
-    soft = negatives.where(F.col("_nth") > count).drop("_nth").withColumn("is_negative", F.lit(False))
-    return hard.unionByName(soft).unionByName(others)
+    negatives = rows.where("is_negative").select("query_id", "logit", "cand_id")
+    hard = negatives.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count)
+    last = hard.groupBy("query_id").agg(
+        F.max_by(F.struct("logit", "cand_id"), "nth").alias("last")
+    )
+    placed = join_lookup(rows, last, "query_id", "left", heavy=heavy)
+    above = F.col("logit") > F.col("last.logit")
+    level = (F.col("logit") == F.col("last.logit")) & (F.col("cand_id") <= F.col("last.cand_id"))
+    kept = F.col("is_negative") & F.coalesce(above | level, F.lit(False))
+    return placed.withColumn("is_negative", kept).drop("last")
 
 
 def query_losses(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nextrail.config import TOP_K, EncoderConfig
-from nextrail.functions.text import last_elements
 from nextrail.functions.vectors import as_double, unit
 from nextrail.operators.encode import ModelFn, encode_histories, known_tail, pool
 from nextrail.operators.lookup import lookup_one
@@ -53,64 +54,87 @@ def recommend_histories(histories: DataFrame, items: DataFrame, **options) -> Da
     return with_item_text(nearest_to_histories(histories, items, **options), items)
 
 
+def unpack_requests(requests: DataFrame) -> dict[str, DataFrame]:
+    """Requests with list columns as the tables that ``recommend_queries`` takes.
+
+    Columns: ``query_id`` and any of ``embedding``, ``item_ids``, ``input_embeds``, ``exclude_item_ids``,
+    ``top_k``.
+    """
+    kept = [c for c in ("query_id", "embedding", "top_k") if c in requests.columns]
+    tables = {"queries": requests.select(*kept)}
+    if "item_ids" in requests.columns:
+        tables["item_rows"] = requests.select(
+            "query_id", F.posexplode("item_ids").alias("pos", "item_id")
+        )
+    if "input_embeds" in requests.columns:
+        tables["input_rows"] = requests.select(
+            "query_id", F.posexplode("input_embeds").alias("pos", "embedding")
+        )
+    if "exclude_item_ids" in requests.columns:
+        tables["exclude"] = requests.select(
+            "query_id", F.explode("exclude_item_ids").alias("item_id")
+        )
+    return tables
+
+
 def recommend_queries(
     queries: DataFrame,
     items: DataFrame,
     *,
+    item_rows: DataFrame | None = None,
+    input_rows: DataFrame | None = None,
+    exclude: DataFrame | None = None,
     top_k: int = TOP_K,
     metric: str = "cosine",
     encoder: EncoderConfig = EncoderConfig(),
 ) -> DataFrame:
     """Items for a table of requests (O2).
 
-    Columns: ``query_id`` and any of ``embedding``, ``item_ids``, ``input_embeds``, ``exclude_item_ids``,
-    ``top_k``. A given vector goes before given input vectors, these before item ids. Requests from which
-    no vector follows have no rows. Excluded are the ids named and the item ids, cut to the last known
-    ones unless input vectors were given.
+    ``queries``: query_id and optionally ``embedding`` and ``top_k``; ``item_rows``: query_id, pos, item_id;
+    ``input_rows``: query_id, pos, embedding; ``exclude``: query_id, item_id. A given vector goes before
+    input vectors, these before item ids. Requests from which no vector follows have no rows. Left out are
+    the excluded items and the request's own, cut to the last known ones unless input vectors were given.
     """
-    types = {
-        "embedding": "array<double>",
-        "item_ids": "array<string>",
-        "input_embeds": "array<array<double>>",
-        "exclude_item_ids": "array<string>",
-        "top_k": "int",
-    }
-    asked = queries.select(
-        "query_id",
-        *[
-            (F.col(name) if name in queries.columns else F.lit(None)).cast(kind).alias(name)
-            for name, kind in types.items()
-        ],
-    )
-    named = asked.select(
-        "query_id",
-        F.col("input_embeds").isNotNull().alias("has_inputs"),
-        F.posexplode("item_ids").alias("pos", "item_id"),
-    )
-    resolved = named.where(~F.col("has_inputs")).select("query_id", "pos", "item_id")
-    heavy = heavy_keys(resolved, "item_id")
-    encoded = encode_histories(resolved, items, encoder, heavy_items=heavy)
-    encoded = encoded.withColumnRenamed("embedding", "of_items")
-    inputs = last_elements(F.col("input_embeds"), encoder.max_seq_length)
-    of_inputs = F.when(F.size(inputs) > 0, pool(inputs, encoder.pooling))
-    of_inputs = unit(of_inputs) if encoder.normalize else of_inputs
-    vectors = asked.join(encoded, "query_id", "left").select(
-        "query_id", F.coalesce("embedding", of_inputs, "of_items").alias("embedding")
-    )
+    own = F.col("embedding") if "embedding" in queries.columns else F.lit(None)
+    vectors = queries.select("query_id", own.cast("array<double>").alias("own"))
+    barred = [exclude.select("query_id", "item_id")] if exclude is not None else []
+    given = [F.col("own")]
+
+    if input_rows is not None:
+        latest = Window.partitionBy("query_id").orderBy(F.desc("pos"))
+        last = input_rows.withColumn("_back", F.row_number().over(latest))
+        last = last.where(F.col("_back") <= encoder.max_seq_length)
+        lists = last.groupBy("query_id").agg(
+            F.sort_array(F.collect_list(F.struct("pos", "embedding")))["embedding"].alias("vectors")
+        )
+        pooled = pool(F.col("vectors"), encoder.pooling)
+        pooled = unit(pooled) if encoder.normalize else pooled
+        vectors = vectors.join(lists.select("query_id", pooled.alias("of_inputs")), "query_id", "left")
+        given.append(F.col("of_inputs"))
+    if item_rows is not None:
+        resolved = item_rows.select("query_id", "pos", "item_id")
+        if input_rows is not None:
+            with_inputs = input_rows.select("query_id").distinct().withColumn("has_inputs", F.lit(True))
+            marked = stage(join_lookup(resolved, with_inputs, "query_id"))
+            resolved = marked.where("has_inputs IS NULL").drop("has_inputs")
+            barred.append(marked.where("has_inputs").select("query_id", "item_id"))
+        heavy = heavy_keys(resolved, "item_id")
+        encoded = encode_histories(resolved, items, encoder, heavy_items=heavy)
+        encoded = encoded.withColumnRenamed("embedding", "of_items")
+        vectors = vectors.join(encoded, "query_id", "left")
+        given.append(F.col("of_items"))
+        tail = known_tail(resolved, items, encoder.max_seq_length, heavy_items=heavy)
+        barred.append(tail.select("query_id", "item_id"))
+
+    vectors = vectors.select("query_id", F.coalesce(*given).alias("embedding"))
     vectors = stage(vectors.where("embedding IS NOT NULL"))
-
-    tail = known_tail(resolved, items, encoder.max_seq_length, heavy_items=heavy)
-    tail = tail.select("query_id", "item_id")
-    barred = asked.select("query_id", F.explode("exclude_item_ids").alias("item_id"))
-    barred = barred.unionByName(tail).unionByName(
-        named.where("has_inputs").select("query_id", "item_id")
-    )
+    hidden = reduce(DataFrame.unionByName, barred) if barred else None
     largest = top_k
     if "top_k" in queries.columns:
-        largest = max(top_k, asked.agg(F.max("top_k")).first()[0] or 0)
-    found = search(vectors, items, exclude=barred, top_k=largest, metric=metric)
+        largest = max(top_k, queries.agg(F.max("top_k")).first()[0] or 0)
+    found = search(vectors, items, exclude=hidden, top_k=largest, metric=metric)
     if "top_k" in queries.columns:
-        limits = asked.select("query_id", F.coalesce("top_k", F.lit(top_k)).alias("limit"))
+        limits = queries.select("query_id", F.coalesce("top_k", F.lit(top_k)).alias("limit"))
         found = found.join(limits, "query_id").where("rank <= limit").drop("limit")
     return with_item_text(found, items)
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,9 @@ from nextrail.sources.tables import stage
 
 ITEM_BLOCK = 65_536
 QUERY_BLOCK = 8_192
-_STRIPE = 256
+# Least number of queries in a block, and scores held at a time.
+_MIN_QUERIES = 256
+_MATRIX_CELLS = 4_000_000
 # Scores that agree to this many digits are ties, ordered by item id.
 TIE_DIGITS = 9
 
@@ -84,24 +87,25 @@ def _score_block(metric: str, top_k: int):
         items = _matrix(right["embedding"], dim)
         vectors = _matrix(queries["embedding"], dim)
 
+        # Excluded pairs as places in the score matrix, in order of their row.
         barred = left.filter(pa.array(~is_query))
-        row_of = {q: i for i, q in enumerate(query_ids)}
-        column_of = {c: i for i, c in enumerate(item_ids)}
-        hidden: dict[int, list[int]] = {}
-        for q, c in zip(barred["query_id"].to_pylist(), barred["item_id"].to_pylist()):
-            if q in row_of and c in column_of:
-                hidden.setdefault(row_of[q], []).append(column_of[c])
+        row = pc.index_in(barred["query_id"], value_set=queries["query_id"])
+        column = pc.index_in(barred["item_id"], value_set=right["item_id"])
+        here = pc.and_(row.is_valid(), column.is_valid())
+        row, column = row.filter(here).to_numpy(), column.filter(here).to_numpy()
+        order = np.argsort(row, kind="stable")
+        row, column = row[order], column[order]
 
         out_query, out_item, out_score = [], [], []
-        for start in range(0, len(vectors), _STRIPE):
-            scores = similarity(vectors[start : start + _STRIPE], items, metric)
-            for row in range(len(scores)):
-                if start + row in hidden:
-                    scores[row, hidden[start + row]] = -np.inf
-            for row, columns in best_of_block(scores, top_k):
-                out_query.append(np.full(len(columns), query_ids[start + row], dtype=object))
+        stripe = max(1, _MATRIX_CELLS // len(items))
+        for start in range(0, len(vectors), stripe):
+            scores = similarity(vectors[start : start + stripe], items, metric)
+            low, high = np.searchsorted(row, [start, start + stripe])
+            scores[row[low:high] - start, column[low:high]] = -np.inf
+            for i, columns in best_of_block(scores, top_k):
+                out_query.append(np.full(len(columns), query_ids[start + i], dtype=object))
                 out_item.append(item_ids[columns])
-                out_score.append(scores[row, columns])
+                out_score.append(scores[i, columns])
         return pa.table(
             [
                 pa.array(np.concatenate(out_query), pa.string()),
@@ -131,7 +135,7 @@ def _block_counts(
     query_counts = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
     item_blocks = F.ceil(F.col("n_items") / item_block)
     spread = F.least(
-        F.ceil(F.col("n_queries") / _STRIPE), F.ceil(default_parts(items) / item_blocks)
+        F.ceil(F.col("n_queries") / _MIN_QUERIES), F.ceil(default_parts(items) / item_blocks)
     )
     query_blocks = F.greatest(F.ceil(F.col("n_queries") / query_block), spread)
     return item_counts.join(query_counts, "cluster_id").select(

@@ -16,6 +16,7 @@ from nextrail.functions.sampling import choose, choose_repeating, draw, shuffled
 from nextrail.functions.text import safe_ratio
 from nextrail.operators.skew import heavy_keys, in_key_order, join_lookup, running_totals
 from nextrail.schemas import ACTIVITY
+from nextrail.sources.tables import stage
 
 ROLES = ("history", "pos", "neg")
 
@@ -30,7 +31,11 @@ def vocabulary(items: DataFrame) -> DataFrame:
 
 
 def index_histories(
-    events: DataFrame, vocab: DataFrame, *, heavy: Sequence | None = None
+    events: DataFrame,
+    vocab: DataFrame,
+    *,
+    heavy: Sequence | None = None,
+    heavy_items: Sequence | None = None,
 ) -> DataFrame:
     """Train events of known items by place in their user's history, cut after the last positive.
 
@@ -39,7 +44,9 @@ def index_histories(
     """
     order = [c for c in ACTIVITY if c != "item_text"]
     train = events.where("is_train").select("user_id", *order)
-    known = join_lookup(train, vocab.select("item_id", "item_idx"), "item_id", "inner")
+    known = join_lookup(
+        train, vocab.select("item_id", "item_idx"), "item_id", "inner", heavy=heavy_items
+    )
     known = known.withColumn("label", F.coalesce("label", F.lit(False)))
     placed = running_totals(
         known, "user_id", order, {"step": F.lit(1), "hit": F.col("label").cast("int")}, heavy=heavy
@@ -59,10 +66,10 @@ def copies_of(histories: DataFrame, max_seq_length: int) -> DataFrame:
     """Each user as often as its history holds ``max_seq_length`` places, rounded up."""
     lengths = histories.groupBy("user_id").agg(F.count(F.lit(1)).alias("length"))
     last = F.expr(f"cast((length - 1) div {max_seq_length} as bigint)")
-    # Two steps, so that no single array grows with the history.
-    blocks = lengths.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"((length - 1) div {max_seq_length}) div 4096")))
-    )
+    # Blocks of copies are spread first: the longest history is no single task's work, and no single array.
+    n_blocks = F.expr(f"((length - 1) div {max_seq_length}) div 4096")
+    blocks = lengths.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks)))
+    blocks = blocks.repartition("user_id", "block")
     return blocks.select(
         "user_id",
         "length",
@@ -209,7 +216,8 @@ def build_examples(
         "user_id", "copy", "slot", *[f"{role}_item_idx" for role in ROLES]
     )
     if with_texts:
-        slots = _attach_texts(slots, vocab)
+        # Staged, because the join looks at the items first.
+        slots = _attach_texts(stage(slots), vocab)
 
     columns = [f"{role}_item_idx" for role in ROLES]
     columns += [f"{role}_item_text" for role in ROLES] if with_texts else []

@@ -26,14 +26,16 @@ def training_examples(
     *,
     with_texts: bool = True,
     heavy: Sequence | None = None,
+    heavy_items: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The batched examples of one epoch, and the vocabulary.
 
-    The indexed histories serve four joins and are staged once.
+    The indexed histories serve four joins and are staged once. ``heavy`` and ``heavy_items`` are the heavy
+    users and items of the log, if they are known.
     """
     heavy = heavy_keys(events, "user_id") if heavy is None else heavy
     vocab = stage(vocabulary(items))
-    histories = stage(index_histories(events, vocab, heavy=heavy))
+    histories = stage(index_histories(events, vocab, heavy=heavy, heavy_items=heavy_items))
     examples = build_examples(
         histories, vocab, vocab.count(), config, epoch, with_texts=with_texts, heavy=heavy
     )
@@ -50,9 +52,16 @@ def epoch_losses(
     normalize: bool = False,
     model: SequenceModel = running_mean,
     heavy: Sequence | None = None,
+    heavy_items: Sequence | None = None,
 ) -> DataFrame:
     """One row per batch of the epoch. ``items``: item_id, item_text, embedding."""
     batched, vocab = training_examples(
-        events, items.select("item_id", "item_text"), config, epoch, with_texts=False, heavy=heavy
+        events,
+        items.select("item_id", "item_text"),
+        config,
+        epoch,
+        with_texts=False,
+        heavy=heavy,
+        heavy_items=heavy_items,
     )
     return in_batch_losses(batched, vocab, items, losses, normalize=normalize, model=model)

@@ -16,7 +16,7 @@ from nextrail.functions import vectors as vec
 from nextrail.operators import activity, encode, lookup, losses, metrics, recommend, search
 from nextrail.operators import sequences as seq
 from nextrail.operators.in_batch import COLUMNS, in_batch_losses
-from nextrail.operators.skew import heavy_keys, running_totals
+from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.operators.split import split_summary, train_test_split
 from nextrail.plans.evaluate import evaluate, histories_of
 from nextrail.plans.training import training_examples
@@ -41,6 +41,10 @@ def heavy_users(spark: SparkSession, d: str, log: str) -> list:
     return heavy_keys(LOGS[log](spark, d), "user_id")
 
 
+def heavy_items(spark: SparkSession, d: str, log: str) -> list:
+    return heavy_keys(LOGS[log](spark, d), "item_id")
+
+
 def split_log(spark: SparkSession, d: str, log: str, heavy: list | None = None) -> DataFrame:
     return train_test_split(LOGS[log](spark, d), heavy=heavy)
 
@@ -54,7 +58,7 @@ def enriched_log(spark: SparkSession, d: str, log: str, heavy: list | None = Non
         USERS[log](spark, d),
         validate=False,
         heavy=heavy,
-        heavy_items=heavy_keys(raw, "item_id"),
+        heavy_items=heavy_items(spark, d, log),
     )
 
 
@@ -159,7 +163,8 @@ def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame
     vocab = stage(seq.vocabulary(VECTORS[log](spark, d).select("item_id", "item_text")))
     heavy = heavy_users(spark, d, log)
     events = split_log(spark, d, log, heavy)
-    return stage(seq.index_histories(events, vocab, heavy=heavy)), vocab
+    popular = heavy_items(spark, d, log)
+    return stage(seq.index_histories(events, vocab, heavy=heavy, heavy_items=popular)), vocab
 
 
 def history_trimmed(spark: SparkSession, d: str, log: str) -> DataFrame:
@@ -207,7 +212,14 @@ def batched_examples(spark: SparkSession, d: str, log: str, with_texts: bool = F
     items = VECTORS[log](spark, d).select("item_id", "item_text")
     heavy = heavy_users(spark, d, log)
     events = split_log(spark, d, log, heavy)
-    return training_examples(events, items, SAMPLING[log], with_texts=with_texts, heavy=heavy)
+    return training_examples(
+        events,
+        items,
+        SAMPLING[log],
+        with_texts=with_texts,
+        heavy=heavy,
+        heavy_items=heavy_items(spark, d, log),
+    )
 
 
 def example_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -256,12 +268,16 @@ def training_losses(
 
 
 def order_requests(spark: SparkSession, d: str) -> DataFrame:
-    """One request per order for the parts of its lines, at most a few."""
-    lines = wh.table(spark, d, "lineitem")
-    line = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("item_id"), "l_suppkey")
-    return lines.groupBy(F.col("l_orderkey").cast("string").alias("request_id")).agg(
-        F.sort_array(F.collect_list(line))["item_id"].alias("ids")
+    """One request per order for the parts of its lines, one row per line."""
+    lines = wh.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("request_id"),
+        "l_linenumber",
+        F.col("l_partkey").cast("string").alias("item_id"),
+        F.col("l_suppkey").cast("string").alias("supplier"),
     )
+    order = ["l_linenumber", "item_id", "supplier"]
+    placed = running_totals(lines, "request_id", order, {"line": F.lit(1)})
+    return placed.select("request_id", F.col("line_before").alias("pos"), "item_id", "supplier")
 
 
 def lookup_ordered(spark: SparkSession, d: str) -> DataFrame:
@@ -314,9 +330,8 @@ def prefix_mean(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each history item with the next one of its user."""
-    known = histories(spark, d, "events").join(
-        wh.event_item_vectors(spark, d).select("item_id", "embedding"), "item_id"
-    )
+    items = wh.event_item_vectors(spark, d).select("item_id", "embedding")
+    known = join_lookup(histories(spark, d, "events"), items, "item_id", "inner")
     following = known.select(
         F.col("query_id"), (F.col("pos") - 1).alias("pos"), F.col("embedding").alias("other")
     )
@@ -405,45 +420,36 @@ def recommend_item(spark: SparkSession, d: str) -> DataFrame:
     return candidates(recommend.recommend_items(requests, wh.part_item_vectors(spark, d), top_k=5))
 
 
-def mixed_requests(spark: SparkSession, d: str) -> DataFrame:
+def recommend_query(spark: SparkSession, d: str) -> DataFrame:
     """One request per order: the parts of its lines; pending orders bring the vectors of their suppliers'
     numbers, urgent ones a vector of their own; the customer's number is excluded."""
     vectors = wh.item_vectors(spark, d)
     orders = wh.table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("query_id"),
-        F.col("o_custkey").cast("string").alias("customer"),
+        F.col("o_custkey").cast("string").alias("item_id"),
         "o_orderstatus",
         "o_orderpriority",
     )
-    asked = order_requests(spark, d).select(F.col("request_id").alias("query_id"), F.col("ids").alias("item_ids"))
-    lines = wh.table(spark, d, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("query_id"),
-        "l_linenumber",
-        "l_partkey",
-        F.col("l_suppkey").cast("string").alias("item_id"),
-    )
-    entry = F.struct("l_linenumber", "l_partkey", "item_id", "embedding")
-    inputs = lines.join(vectors, "item_id").groupBy("query_id").agg(
-        F.sort_array(F.collect_list(entry))["embedding"].alias("inputs")
+    lines = stage(order_requests(spark, d).withColumnRenamed("request_id", "query_id"))
+    pending = orders.where("o_orderstatus = 'P'").select("query_id")
+    supplied = join_lookup(
+        lines.select("query_id", "pos", F.col("supplier").alias("item_id")), vectors, "item_id", "inner"
     )
-    own = vectors.select(F.col("item_id").alias("customer"), F.col("embedding").alias("own"))
-    joined = orders.join(asked, "query_id", "left").join(inputs, "query_id", "left").join(own, "customer", "left")
-    return joined.select(
+    supplied = join_lookup(supplied, pending, "query_id", "inner")
+    queries = join_lookup(orders, vectors, "item_id").select(
         "query_id",
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.col("own")).alias("embedding"),
-        "item_ids",
-        F.when(F.col("o_orderstatus") == "P", F.col("inputs")).alias("input_embeds"),
-        F.array("customer").alias("exclude_item_ids"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.col("embedding")).alias("embedding"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit(2)).alias("top_k"),
     )
-
-
-def recommend_query(spark: SparkSession, d: str) -> DataFrame:
-    requests = stage(mixed_requests(spark, d))
-    encoder = EncoderConfig(max_seq_length=3)
     return candidates(
         recommend.recommend_queries(
-            requests, wh.part_item_vectors(spark, d), top_k=4, encoder=encoder
+            queries,
+            wh.part_item_vectors(spark, d),
+            item_rows=lines,
+            input_rows=stage(supplied),
+            exclude=orders,
+            top_k=4,
+            encoder=EncoderConfig(max_seq_length=3),
         )
     )
 
@@ -515,7 +521,7 @@ def scored_lines(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("query_id"), F.col("o_custkey").alias("batch_id")
     )
     slots = slots.withColumnRenamed("slot_before", "slot").drop("slot_total")
-    return losses.mark_target(slots.join(orders, "query_id"))
+    return losses.mark_target(join_lookup(slots, orders, "query_id", "inner"))
 
 
 def scored_losses(spark: SparkSession, d: str, config: LossConfig = LossConfig()) -> DataFrame:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from nextrail.config import IndexConfig
 from nextrail.functions.vectors import assert_dimension
-from nextrail.operators.search import cluster_items
-from nextrail.sources.tables import require_columns
+from nextrail.operators.search import ITEM_BLOCK, cluster_items
+from nextrail.sources.tables import require_columns, stage
 
 PARTS = ("items", "centroids", "columns")
-_FILES_PER_CLUSTER = 8
 
 
 @dataclass(frozen=True)
@@ -43,10 +42,16 @@ def write_store(
     clustered = clustered.unionByName(
         table.where(~has_vector).withColumn("cluster_id", F.lit(None).cast("int"))
     )
-    spread = F.pmod(F.xxhash64(config.id_col), F.lit(_FILES_PER_CLUSTER))
-    clustered.repartition("cluster_id", spread).write.mode("overwrite").partitionBy(
-        "cluster_id"
-    ).parquet(f"{path}/items")
+    clustered = stage(clustered)
+    # Large clusters are written by as many tasks as they fill files.
+    files = clustered.groupBy("cluster_id").agg(
+        F.ceil(F.count(F.lit(1)) / ITEM_BLOCK).alias("_files")
+    )
+    files = F.broadcast(files.withColumnRenamed("cluster_id", "_of"))
+    spread = clustered.join(files, F.col("cluster_id").eqNullSafe(F.col("_of")))
+    spread = spread.withColumn("_file", F.pmod(F.xxhash64(config.id_col), "_files"))
+    spread = spread.repartition("cluster_id", "_file").drop("_of", "_files", "_file")
+    spread.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/items")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
     spark = items.sparkSession
     columns = spark.range(1).select(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nextrail.functions.text import json_text
+from nextrail.operators.skew import join_lookup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,8 +30,10 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_log(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity"
+    )
+    joined = join_lookup(lines, orders, "o_orderkey", "inner")
     return joined.select(
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("l_partkey").cast("string").alias("item_id"),
