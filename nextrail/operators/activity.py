@@ -59,15 +59,15 @@ def place_activities(
     lengths ``n_history`` and ``n_target`` of both parts.
 
     Histories are kept as rows, so their length has no bound. Events are sorted field by field, NULL
-    first, ids as text; events without a split are in neither part. ``item_text`` may be missing: it
-    follows from the id. ``keep`` names further columns to carry along.
+    first, ids as text; events without a split are in neither part. ``item_text`` may be missing; it
+    follows from the id and so does not order anything. ``keep`` names further columns to carry along.
     """
     fields = [c for c in ACTIVITY if c in events.columns]
     chosen = events.where(F.col("is_train").isNotNull())
     placed = running_totals(
         chosen.select("user_id", *fields, "is_train", *keep),
         "user_id",
-        fields,
+        [c for c in fields if c != "item_text"],
         {"history": F.col("is_train").cast("int"), "target": (~F.col("is_train")).cast("int")},
         heavy=heavy,
     )

@@ -9,7 +9,7 @@ queries probe, is cut into as many blocks as it needs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,27 +122,17 @@ def _block(id_col: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int")
 
 
-def _block_counts(
-    probes: DataFrame, items: DataFrame, item_block: int, query_block: int
-) -> DataFrame:
-    """Number of item and query blocks per cluster; one row per cluster, about sqrt(n) rows at most.
+def _item_blocks(n_items: Column, block: int) -> Column:
+    return F.ceil(n_items / block).cast("int")
+
 
-    Blocks are as large as allowed, since every item goes to every query block and the other way round,
-    but a small search is still cut into about as many as there are tasks.
+def _query_blocks(n_queries: Column, item_blocks: Column, block: int, parts: int) -> Column:
+    """Blocks are as large as allowed, since every item goes to every query block and the other way round.
+
+    A small search is still cut into some blocks per task, so that all tasks have work.
     """
-    size = F.count(F.lit(1))
-    item_counts = items.groupBy("cluster_id").agg(size.alias("n_items"))
-    query_counts = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
-    item_blocks = F.ceil(F.col("n_items") / item_block)
-    spread = F.least(
-        F.ceil(F.col("n_queries") / _MIN_QUERIES), F.ceil(default_parts(items) / item_blocks)
-    )
-    query_blocks = F.greatest(F.ceil(F.col("n_queries") / query_block), spread)
-    return item_counts.join(query_counts, "cluster_id").select(
-        "cluster_id",
-        item_blocks.cast("int").alias("item_blocks"),
-        query_blocks.cast("int").alias("query_blocks"),
-    )
+    spread = F.least(F.ceil(n_queries / _MIN_QUERIES), F.ceil(4 * parts / item_blocks))
+    return F.greatest(F.ceil(n_queries / block), spread).cast("int")
 
 
 def ranked_top_k(scored: DataFrame, top_k: int) -> DataFrame:
@@ -158,20 +148,19 @@ def _block_search(
     probes: DataFrame,
     items: DataFrame,
     exclude: DataFrame | None,
+    sized: Callable[[DataFrame], DataFrame],
     top_k: int,
     metric: str,
-    item_block: int,
-    query_block: int,
 ) -> DataFrame:
-    """``probes``: query_id, embedding, cluster_id; ``items``: item_id, embedding, cluster_id."""
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    sizes = F.broadcast(_block_counts(probes, items, item_block, query_block))
+    """``probes``: query_id, embedding, cluster_id; ``items``: item_id, embedding, cluster_id.
+
+    ``sized`` adds the ``item_blocks`` and ``query_blocks`` of the cluster and drops clusters without either.
+    """
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left = probes.join(sizes, "cluster_id").select(
+    left = sized(probes).select(
         "cluster_id",
         _block("query_id", "query_blocks").alias("query_block"),
         every("item_blocks").alias("item_block"),
@@ -180,7 +169,7 @@ def _block_search(
         as_double(F.col("embedding")).alias("embedding"),
     )
     if exclude is not None:
-        barred = exclude.join(sizes, "cluster_id").select(
+        barred = sized(exclude).select(
             "cluster_id",
             _block("query_id", "query_blocks").alias("query_block"),
             _block("item_id", "item_blocks").alias("item_block"),
@@ -189,7 +178,7 @@ def _block_search(
             F.lit(None).cast("array<double>").alias("embedding"),
         )
         left = left.unionByName(barred)
-    right = items.join(sizes, "cluster_id").select(
+    right = sized(items).select(
         "cluster_id",
         every("query_blocks").alias("query_block"),
         _block("item_id", "item_blocks").alias("item_block"),
@@ -219,14 +208,35 @@ def search(
     top_k: int = TOP_K,
     metric: str = "cosine",
     item_block: int = ITEM_BLOCK,
-    query_block: int | None = None,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact top-k: ``query_id, item_id, score, rank`` (K1; K2 is ``metric='dot'``).
 
+    Both sides are counted first; pass staged or written tables if they are costly.
+
     ``exclude`` holds pairs ``query_id, item_id`` that are taken out before ranking, so a query gets
     ``top_k`` rows whenever that many items are left. Filtering twice the needed number afterwards (F3)
     would give the same rows.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    blocks = (
+        items.agg(F.count(F.lit(1)).alias("n_items"))
+        .withColumn("n_queries", F.lit(queries.count()))
+        .withColumn("item_blocks", _item_blocks(F.col("n_items"), item_block))
+        .withColumn(
+            "query_blocks",
+            _query_blocks(
+                F.col("n_queries"), F.col("item_blocks"), query_block, default_parts(items)
+            ),
+        )
+        .first()
+    )
+
+    def sized(rows: DataFrame) -> DataFrame:
+        names = ("item_blocks", "query_blocks")
+        return rows.withColumns({name: F.lit(max(blocks[name] or 1, 1)) for name in names})
+
     one = F.lit(0).alias("cluster_id")
     barred = None
     if exclude is not None:
@@ -235,10 +245,9 @@ def search(
         queries.select("query_id", "embedding", one),
         items.select("item_id", "embedding", one),
         barred,
+        sized,
         top_k,
         metric,
-        item_block,
-        query_block or QUERY_BLOCK,
     )
 
 
@@ -298,25 +307,41 @@ def search_clusters(
     nprobe: int = NPROBE,
     metric: str = "cosine",
     item_block: int = ITEM_BLOCK,
-    query_block: int | None = None,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Top-k among the items of the ``nprobe`` nearest clusters, scored exactly (K5).
 
     With ``nprobe`` equal to the number of clusters it is the exact search.
     """
-    probes = probe_clusters(queries, centroids, nprobe)
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    probes = stage(probe_clusters(queries, centroids, nprobe))
+    size = F.count(F.lit(1))
+    n_items = items.groupBy("cluster_id").agg(size.alias("n_items"))
+    n_queries = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
+    item_blocks = _item_blocks(F.col("n_items"), item_block)
+    # One row per cluster, about the square root of the number of items.
+    sizes = stage(
+        n_items.join(n_queries, "cluster_id")
+        .withColumn("item_blocks", item_blocks)
+        .select(
+            "cluster_id",
+            "item_blocks",
+            _query_blocks(
+                F.col("n_queries"), F.col("item_blocks"), query_block, default_parts(items)
+            ).alias("query_blocks"),
+        )
+    )
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(sizes), "cluster_id")
+
     barred = None
     if exclude is not None:
         where = items.select("item_id", "cluster_id")
         barred = join_lookup(_distinct_exclusions(exclude), where, "item_id", "inner")
     return _block_search(
-        probes,
-        items.select("item_id", "embedding", "cluster_id"),
-        barred,
-        top_k,
-        metric,
-        item_block,
-        query_block or QUERY_BLOCK,
+        probes, items.select("item_id", "embedding", "cluster_id"), barred, sized, top_k, metric
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nextrail.config import SplitConfig
 from nextrail.operators.skew import among, heavy_keys, join_lookup, running_totals
+from nextrail.sources.tables import stage
 
 
 def train_cuts(
@@ -90,7 +91,8 @@ def train_test_split(
     A user's rows of equal time fall on one side. A NULL time gives NULL flags.
     """
     heavy = heavy_keys(events, group_col) if heavy is None else heavy
-    cuts = train_cuts(events, group_col, order_col, config.train_prop, heavy=heavy)
+    # One row per user, read for the histogram and for the join.
+    cuts = stage(train_cuts(events, group_col, order_col, config.train_prop, heavy=heavy))
     cuts = most_active(cuts, config.val_prop).select(group_col, "cut", "is_active")
     flagged = join_lookup(events, cuts, group_col, heavy=heavy, null_safe=True)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,7 @@ from nextrail.operators.encode import ModelFn, embed_text
 from nextrail.operators.skew import heavy_keys
 from nextrail.operators.split import train_test_split
 from nextrail.sources.raw import load_events, load_items, load_users
-from nextrail.sources.tables import materialize, read_split
+from nextrail.sources.tables import materialize, read_split, stage
 
 
 @dataclass(frozen=True)
@@ -37,22 +38,24 @@ def prepare(
     Tables found there are read, not built again, unless they were built with other parameters.
     """
     spark = events.sparkSession
-    heavy: list | None = None
 
+    @cache
+    def raw() -> DataFrame:
+        # The log is read several times, and often comes from text files or a join.
+        return stage(events)
+
+    @cache
     def heavy_users() -> list:
-        nonlocal heavy
-        if heavy is None:
-            heavy = heavy_keys(events, "user_id")
-        return heavy
+        return heavy_keys(raw(), "user_id")
 
     def build_events() -> DataFrame:
-        flagged = train_test_split(events, config=split, heavy=heavy_users())
+        flagged = train_test_split(raw(), config=split, heavy=heavy_users())
         return enrich_events(
             flagged,
             items,
             users,
             heavy=heavy_users(),
-            heavy_items=heavy_keys(events, "item_id"),
+            heavy_items=heavy_keys(raw(), "item_id"),
         )
 
     params = asdict(split)
@@ -62,14 +65,16 @@ def prepare(
     item_table = materialize(
         spark,
         f"{folder}/items.parquet",
-        lambda: flag_items(items, log),
+        lambda: flag_items(items, log, validate=False),
         params=params,
         overwrite=overwrite,
     )
     user_table = materialize(
         spark,
         f"{folder}/users.parquet",
-        lambda: nest_users(users, log, chunk_rows=chunk_rows, heavy=heavy_users()),
+        lambda: nest_users(
+            users, log, chunk_rows=chunk_rows, validate=False, heavy=heavy_users()
+        ),
         params={**params, "chunk_rows": chunk_rows},
         overwrite=overwrite,
     )

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,44 +37,42 @@ def rounded(column: Column | str, name: str) -> Column:
     return (F.round(value.cast("double"), 6) + F.lit(0.0)).alias(name)
 
 
-def heavy_users(spark: SparkSession, d: str, log: str) -> list:
-    return heavy_keys(LOGS[log](spark, d), "user_id")
+class Log:
+    """An interaction log, read or joined once, with its heavy users and items."""
 
+    def __init__(self, spark: SparkSession, d: str, name: str) -> None:
+        raw = LOGS[name](spark, d)
+        self.raw = stage(raw) if name == "orders" else raw
+        self.items, self.users = ITEMS[name](spark, d), USERS[name](spark, d)
+        self.vectors = VECTORS[name](spark, d)
+        self.heavy = heavy_keys(self.raw, "user_id")
 
-def heavy_items(spark: SparkSession, d: str, log: str) -> list:
-    return heavy_keys(LOGS[log](spark, d), "item_id")
+    @cached_property
+    def heavy_items(self) -> list:
+        return heavy_keys(self.raw, "item_id")
 
+    def split(self) -> DataFrame:
+        return train_test_split(self.raw, heavy=self.heavy)
 
-def split_log(spark: SparkSession, d: str, log: str, heavy: list | None = None) -> DataFrame:
-    return train_test_split(LOGS[log](spark, d), heavy=heavy)
-
-
-def enriched_log(spark: SparkSession, d: str, log: str, heavy: list | None = None) -> DataFrame:
-    raw = LOGS[log](spark, d)
-    heavy = heavy_keys(raw, "user_id") if heavy is None else heavy
-    return activity.enrich_events(
-        train_test_split(raw, heavy=heavy),
-        ITEMS[log](spark, d),
-        USERS[log](spark, d),
-        validate=False,
-        heavy=heavy,
-        heavy_items=heavy_items(spark, d, log),
-    )
-
-
-def placed_log(spark: SparkSession, d: str, log: str) -> DataFrame:
-    heavy = heavy_users(spark, d, log)
-    return activity.place_activities(split_log(spark, d, log, heavy), heavy=heavy)
-
+    def enriched(self) -> DataFrame:
+        return activity.enrich_events(
+            self.split(),
+            self.items,
+            self.users,
+            validate=False,
+            heavy=self.heavy,
+            heavy_items=self.heavy_items,
+        )
 
-def nested_users(spark: SparkSession, d: str, log: str) -> DataFrame:
-    heavy = heavy_users(spark, d, log)
-    events = stage(enriched_log(spark, d, log, heavy))
-    return activity.nest_users(USERS[log](spark, d), events, validate=False, heavy=heavy)
+    def placed(self) -> DataFrame:
+        return activity.place_activities(self.split(), heavy=self.heavy)
 
+    def nested(self) -> DataFrame:
+        events = stage(self.enriched())
+        return activity.nest_users(self.users, events, validate=False, heavy=self.heavy)
 
-def histories(spark: SparkSession, d: str, log: str) -> DataFrame:
-    return stage(histories_of(placed_log(spark, d, log)))
+    def histories(self) -> DataFrame:
+        return stage(histories_of(self.placed()))
 
 
 def by_dimension(df: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
@@ -91,18 +89,18 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def split_flags(spark: SparkSession, d: str, log: str) -> DataFrame:
-    return split_log(spark, d, log).select(
+    return Log(spark, d, log).split().select(
         "user_id", "item_id", "event_value", "event_name",
         "is_train", "is_val", "is_test", "is_predict",
     )
 
 
 def split_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return split_summary(split_log(spark, d, "orders"))
+    return split_summary(Log(spark, d, "orders").split())
 
 
 def val_events(spark: SparkSession, d: str) -> DataFrame:
-    return split_log(spark, d, "orders").where("is_val").select("user_id", "item_id", "event_value")
+    return Log(spark, d, "orders").split().where("is_val").select("user_id", "item_id", "event_value")
 
 
 def item_text_json(spark: SparkSession, d: str) -> DataFrame:
@@ -114,18 +112,18 @@ def user_text_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_enriched(spark: SparkSession, d: str) -> DataFrame:
-    return enriched_log(spark, d, "orders").select(
+    return Log(spark, d, "orders").enriched().select(
         "user_id", "item_id", "event_value", "event_name", "label", "item_text", "user_text"
     )
 
 
 def items_seen_in_train(spark: SparkSession, d: str) -> DataFrame:
-    return activity.flag_items(wh.part_items(spark, d), split_log(spark, d, "orders"))
+    return activity.flag_items(wh.part_items(spark, d), Log(spark, d, "orders").split())
 
 
 def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
     """The nested user table, its lists laid out again."""
-    users = stage(nested_users(spark, d, log))
+    users = stage(Log(spark, d, log).nested())
     fields = ("item_id", "item_text", "event_name", "event_value", "label")
     parts = [
         activity.unnest_users(users, part, *fields).withColumn("part", F.lit(part))
@@ -136,7 +134,7 @@ def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 def users_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Every customer with the length of its lists and its flags; NULL without orders."""
-    users = nested_users(spark, d, "orders")
+    users = Log(spark, d, "orders").nested()
     flags = ("is_train", "is_val", "is_test", "is_predict")
     return users.groupBy("user_id").agg(
         *[
@@ -158,13 +156,14 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return seq.vocabulary(wh.part_items(spark, d)).select("item_id", "item_idx")
 
 
-def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame]:
-    """Histories over the items that have a vector, and their vocabulary."""
-    vocab = stage(seq.vocabulary(VECTORS[log](spark, d).select("item_id", "item_text")))
-    heavy = heavy_users(spark, d, log)
-    events = split_log(spark, d, log, heavy)
-    popular = heavy_items(spark, d, log)
-    return stage(seq.index_histories(events, vocab, heavy=heavy, heavy_items=popular)), vocab
+def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame, list]:
+    """Histories over the items that have a vector, their vocabulary, and the heavy users."""
+    source = Log(spark, d, log)
+    vocab = stage(seq.vocabulary(source.vectors.select("item_id", "item_text")))
+    past = seq.index_histories(
+        source.split(), vocab, heavy=source.heavy, heavy_items=source.heavy_items
+    )
+    return stage(past), vocab, source.heavy
 
 
 def history_trimmed(spark: SparkSession, d: str, log: str) -> DataFrame:
@@ -177,7 +176,7 @@ def history_copies(spark: SparkSession, d: str) -> DataFrame:
 
 def history_tail(spark: SparkSession, d: str) -> DataFrame:
     items = wh.part_item_vectors(spark, d)
-    return encode.known_tail(histories(spark, d, "orders"), items, 8)
+    return encode.known_tail(Log(spark, d, "orders").histories(), items, 8)
 
 
 SAMPLING = {
@@ -203,22 +202,20 @@ def sample_positives(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 def sample_negatives(spark: SparkSession, d: str, log: str) -> DataFrame:
     config = SAMPLING[log]
-    past, vocab = indexed(spark, d, log)
+    past, vocab, heavy = indexed(spark, d, log)
     samples = seq.sample_positions(seq.copies_of(past, config.max_seq_length), config)
-    return seq.sample_negatives(samples, past, vocab.count(), config)
+    return seq.sample_negatives(samples, past, vocab.count(), config, heavy=heavy)
 
 
 def batched_examples(spark: SparkSession, d: str, log: str, with_texts: bool = False):
-    items = VECTORS[log](spark, d).select("item_id", "item_text")
-    heavy = heavy_users(spark, d, log)
-    events = split_log(spark, d, log, heavy)
+    source = Log(spark, d, log)
     return training_examples(
-        events,
-        items,
+        source.split(),
+        source.vectors.select("item_id", "item_text"),
         SAMPLING[log],
         with_texts=with_texts,
-        heavy=heavy,
-        heavy_items=heavy_items(spark, d, log),
+        heavy=source.heavy,
+        heavy_items=source.heavy_items,
     )
 
 
@@ -298,7 +295,7 @@ def lookup_one(spark: SparkSession, d: str) -> DataFrame:
 
 def new_targets(spark: SparkSession, d: str) -> DataFrame:
     """Held-out (user, item) rows whose item is not in the user's history."""
-    events = split_log(spark, d, "orders").select("user_id", "item_id", "is_train")
+    events = Log(spark, d, "orders").split().select("user_id", "item_id", "is_train")
     held_out = events.where(~F.col("is_train")).drop("is_train")
     return lookup.without_ids(held_out, events.where("is_train"), ["user_id", "item_id"])
 
@@ -310,28 +307,28 @@ def pooled(spark: SparkSession, d: str, mode: str, normalize: bool = False) -> D
     config = EncoderConfig(pooling=mode, normalize=normalize)
     items = wh.event_item_vectors(spark, d)
     return by_dimension(
-        encode.encode_histories(histories(spark, d, "events"), items, config), "query_id"
+        encode.encode_histories(Log(spark, d, "events").histories(), items, config), "query_id"
     )
 
 
 def pooled_or_zero(spark: SparkSession, d: str) -> DataFrame:
     config = EncoderConfig(max_seq_length=4)
     items = wh.part_item_vectors(spark, d)
-    encoded = encode.encode_histories(histories(spark, d, "orders"), items, config)
+    encoded = encode.encode_histories(Log(spark, d, "orders").histories(), items, config)
     queries = wh.customer_users(spark, d).select(F.col("user_id").alias("query_id"))
     return by_dimension(encode.embed_or_zero(queries, encoded, DIM), "query_id")
 
 
 def prefix_mean(spark: SparkSession, d: str) -> DataFrame:
     items = wh.event_item_vectors(spark, d)
-    means = encode.prefix_means(histories(spark, d, "events"), items, DIM)
+    means = encode.prefix_means(Log(spark, d, "events").histories(), items, DIM)
     return by_dimension(means, "query_id", "pos")
 
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each history item with the next one of its user."""
     items = wh.event_item_vectors(spark, d).select("item_id", "embedding")
-    known = join_lookup(histories(spark, d, "events"), items, "item_id", "inner")
+    known = join_lookup(Log(spark, d, "events").histories(), items, "item_id", "inner")
     following = known.select(
         F.col("query_id"), (F.col("pos") - 1).alias("pos"), F.col("embedding").alias("other")
     )
@@ -358,10 +355,10 @@ def knn_exact(spark: SparkSession, d: str, metric: str) -> DataFrame:
 
 def knn_excluding_seen(spark: SparkSession, d: str) -> DataFrame:
     """Parts for each customer's mean vector, none it ever ordered."""
-    past = histories(spark, d, "orders")
-    items = wh.part_item_vectors(spark, d)
-    encoded = stage(encode.encode_histories(past, items))
-    seen = wh.order_log(spark, d).select(F.col("user_id").alias("query_id"), "item_id")
+    source = Log(spark, d, "orders")
+    items = stage(source.vectors)
+    encoded = stage(encode.encode_histories(source.histories(), items))
+    seen = source.raw.select(F.col("user_id").alias("query_id"), "item_id")
     return candidates(search.search(encoded, items, exclude=seen, metric="dot"))
 
 
@@ -393,7 +390,7 @@ def embed_text_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item2vec(spark: SparkSession, d: str) -> DataFrame:
-    sequences = nested_users(spark, d, "events")
+    sequences = Log(spark, d, "events").nested()
     sequences = sequences.select(F.col("history.item_id").alias("item_ids")).where("size(item_ids) > 0")
     learnt = encode.learn_item_vectors(sequences, dim=16)
     return learnt.select("item_id", F.size("embedding").alias("dim"))
@@ -403,14 +400,15 @@ def item2vec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recommend_history(spark: SparkSession, d: str, log: str) -> DataFrame:
-    items = stage(VECTORS[log](spark, d))
-    found = recommend.recommend_histories(histories(spark, d, log), items, metric="dot")
+    source = Log(spark, d, log)
+    items = stage(source.vectors)
+    found = recommend.recommend_histories(source.histories(), items, metric="dot")
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
 def recommend_user(spark: SparkSession, d: str, log: str) -> DataFrame:
-    items = stage(VECTORS[log](spark, d))
-    found = recommend.recommend_users(placed_log(spark, d, log), items, top_k=5)
+    source = Log(spark, d, log)
+    found = recommend.recommend_users(source.placed(), stage(source.vectors), top_k=5)
     return candidates(found)
 
 
@@ -462,13 +460,13 @@ def search_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_users(spark: SparkSession, d: str, log: str, mode: str = "mean") -> DataFrame:
-    heavy = heavy_users(spark, d, log)
+    source = Log(spark, d, log)
     return evaluate(
-        split_log(spark, d, log, heavy),
-        stage(VECTORS[log](spark, d)),
+        source.split(),
+        stage(source.vectors),
         metric="dot",
         encoder=EncoderConfig(pooling=mode),
-        heavy=heavy,
+        heavy=source.heavy,
     )
 
 
