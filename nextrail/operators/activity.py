@@ -23,7 +23,7 @@ def any_true(flag: str) -> Column:
 def enrich_events(
     events: DataFrame,
     items: DataFrame,
-    users: DataFrame,
+    users: DataFrame | None = None,
     *,
     validate: bool = True,
     heavy: Sequence | None = None,
@@ -31,15 +31,17 @@ def enrich_events(
 ) -> DataFrame:
     """The events with ``item_text`` and ``user_text``; every event stays.
 
-    ``heavy`` and ``heavy_items`` are the heavy users and items of the log, if they are known.
+    ``users`` may be left out if the split has brought their text already. ``heavy`` and ``heavy_items`` are the heavy users and items of the log, if they are known.
     """
-    items = items.select("item_id", "item_text")
-    users = users.select("user_id", "user_text")
     if validate:
         assert_unique(items, ["item_id"])
-        assert_unique(users, ["user_id"])
+    items = items.select("item_id", "item_text")
     with_items = join_lookup(events, items, "item_id", heavy=heavy_items)
-    return join_lookup(with_items, users, "user_id", heavy=heavy)
+    if users is None:
+        return with_items
+    if validate:
+        assert_unique(users, ["user_id"])
+    return join_lookup(with_items, users.select("user_id", "user_text"), "user_id", heavy=heavy)
 
 
 def flag_items(items: DataFrame, events: DataFrame, *, validate: bool = True) -> DataFrame:

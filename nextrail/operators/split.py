@@ -84,16 +84,22 @@ def train_test_split(
     order_col: str = "datetime",
     config: SplitConfig = SplitConfig(),
     *,
+    profiles: DataFrame | None = None,
     heavy: Sequence | None = None,
 ) -> DataFrame:
     """The events with ``is_train``, ``is_val``, ``is_test`` and ``is_predict``.
 
-    A user's rows of equal time fall on one side. A NULL time gives NULL flags.
+    A user's rows of equal time fall on one side. A NULL time gives NULL flags. ``profiles``, one row per
+    user, adds its columns by the same join, so the log is not shuffled once more for them.
     """
     heavy = heavy_keys(events, group_col) if heavy is None else heavy
     # One row per user, read for the histogram and for the join.
     cuts = stage(train_cuts(events, group_col, order_col, config.train_prop, heavy=heavy))
     cuts = most_active(cuts, config.val_prop).select(group_col, "cut", "is_active")
+    added = []
+    if profiles is not None:
+        added = [c for c in profiles.columns if c != group_col]
+        cuts = cuts.join(profiles, group_col, "left")
     flagged = join_lookup(events, cuts, group_col, heavy=heavy, null_safe=True)
 
     is_train = F.when(
@@ -107,6 +113,7 @@ def train_test_split(
         (~F.col("is_train") & active).alias("is_val"),
         (~F.col("is_train") & ~active).alias("is_test"),
         F.lit(True).alias("is_predict"),
+        *added,
     )
 
 

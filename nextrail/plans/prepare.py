@@ -13,7 +13,7 @@ from nextrail.operators.encode import ModelFn, embed_text
 from nextrail.operators.skew import heavy_keys
 from nextrail.operators.split import train_test_split
 from nextrail.sources.raw import load_events, load_items, load_users
-from nextrail.sources.tables import materialize, read_split, stage
+from nextrail.sources.tables import assert_unique, materialize, read_split, stage
 
 
 @dataclass(frozen=True)
@@ -49,14 +49,11 @@ def prepare(
         return heavy_keys(raw(), "user_id")
 
     def build_events() -> DataFrame:
-        flagged = train_test_split(raw(), config=split, heavy=heavy_users())
-        return enrich_events(
-            flagged,
-            items,
-            users,
-            heavy=heavy_users(),
-            heavy_items=heavy_keys(raw(), "item_id"),
+        profiles = assert_unique(users.select("user_id", "user_text"), ["user_id"])
+        flagged = train_test_split(
+            raw(), config=split, profiles=profiles, heavy=heavy_users()
         )
+        return enrich_events(flagged, items, heavy_items=heavy_keys(raw(), "item_id"))
 
     params = asdict(split)
     log = materialize(

@@ -51,17 +51,12 @@ class Log:
     def heavy_items(self) -> list:
         return heavy_keys(self.raw, "item_id")
 
-    def split(self) -> DataFrame:
-        return train_test_split(self.raw, heavy=self.heavy)
+    def split(self, profiles: DataFrame | None = None) -> DataFrame:
+        return train_test_split(self.raw, profiles=profiles, heavy=self.heavy)
 
     def enriched(self) -> DataFrame:
         return activity.enrich_events(
-            self.split(),
-            self.items,
-            self.users,
-            validate=False,
-            heavy=self.heavy,
-            heavy_items=self.heavy_items,
+            self.split(self.users), self.items, validate=False, heavy_items=self.heavy_items
         )
 
     def placed(self) -> DataFrame:

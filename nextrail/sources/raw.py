@@ -16,7 +16,8 @@ def _read(spark: SparkSession, path: str, schema: str, encoding: str) -> DataFra
 
 def load_items(spark: SparkSession, path: str) -> DataFrame:
     raw = _read(spark, path, schemas.RAW_ITEMS, "ISO-8859-1")
-    genres = split_literal(F.coalesce("genres", F.lit("")), "|").alias("genres")
+    # An empty field is NULL, and stays so in the JSON text.
+    genres = split_literal(F.col("genres"), "|").alias("genres")
     return raw.select(
         F.col("movie_id").alias("item_id"),
         json_text(F.col("title"), genres).alias("item_text"),
