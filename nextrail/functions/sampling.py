@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nextrail.functions.vectors import let
+
 
 def draw(*parts: Column) -> Column:
     """An even 60-bit number from the text of the parts."""
@@ -20,8 +22,13 @@ def choose(count: Column, size: Column, *key: Column) -> Column:
     nothing = F.array().cast("array<bigint>")
 
     def add(chosen: Column, top: Column) -> Column:
-        pick = F.pmod(draw(*key, top), top + 1)
-        return F.array_append(chosen, F.when(F.array_contains(chosen, pick), top).otherwise(pick))
+        drawn = F.pmod(draw(*key, top), top + 1)
+        return let(
+            drawn,
+            lambda pick: F.array_append(
+                chosen, F.when(F.array_contains(chosen, pick), top).otherwise(pick)
+            ),
+        )
 
     tops = F.sequence((count - size).cast("bigint"), (count - 1).cast("bigint"))
     return F.when(size > 0, F.aggregate(tops, nothing, add)).otherwise(nothing)

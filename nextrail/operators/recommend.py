@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextrail.config import TOP_K, EncoderConfig
+from nextrail.config import NPROBE, TOP_K, EncoderConfig
 from nextrail.functions.vectors import as_double, unit
 from nextrail.operators.encode import ModelFn, encode_histories, known_tail, pool
 from nextrail.operators.lookup import lookup_one
-from nextrail.operators.search import search, with_item_text
+from nextrail.operators.search import nearest, with_item_text
 from nextrail.operators.skew import heavy_keys, join_lookup
 from nextrail.sources.tables import stage
 
@@ -27,11 +27,14 @@ def nearest_to_histories(
     exclude_scope: str = "all",
     model_fn: ModelFn | None = None,
     dim: int | None = None,
+    centroids: DataFrame | None = None,
+    nprobe: int = NPROBE,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` for rows ``query_id, pos, item_id``, without the history's items (O1).
 
     ``histories`` is read several times; pass a staged or written table. ``exclude_scope``: ``all`` leaves out the whole history, ``tail`` only the items the vector was made
-    from, so that older ones may come again. ``items``: item_id, embedding.
+    from, so that older ones may come again. ``items``: item_id, embedding; with ``centroids`` also
+    cluster_id, and the ``nprobe`` nearest clusters are searched.
     """
     if exclude_scope not in ("all", "tail"):
         raise ValueError("exclude_scope must be 'all' or 'tail'")
@@ -46,7 +49,15 @@ def nearest_to_histories(
     if exclude is not None:
         seen = seen.unionByName(exclude.select("query_id", "item_id"))
     # Search reads its queries twice, to size the blocks and to fill them.
-    return search(stage(encoded), items, exclude=seen, top_k=top_k, metric=metric)
+    return nearest(
+        stage(encoded),
+        items,
+        exclude=seen,
+        top_k=top_k,
+        metric=metric,
+        centroids=centroids,
+        nprobe=nprobe,
+    )
 
 
 def recommend_histories(histories: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -87,8 +98,9 @@ def recommend_queries(
     top_k: int = TOP_K,
     metric: str = "cosine",
     encoder: EncoderConfig = EncoderConfig(),
+    **index,
 ) -> DataFrame:
-    """Items for a table of requests (O2).
+    """Items for a table of requests (O2); ``index`` may give ``centroids`` and ``nprobe``.
 
     ``queries``: query_id and optionally ``embedding`` and ``top_k``; ``item_rows``: query_id, pos, item_id;
     ``input_rows``: query_id, pos, embedding; ``exclude``: query_id, item_id. A given vector goes before
@@ -132,7 +144,7 @@ def recommend_queries(
     largest = top_k
     if "top_k" in queries.columns:
         largest = max(top_k, queries.agg(F.max("top_k")).first()[0] or 0)
-    found = search(vectors, items, exclude=hidden, top_k=largest, metric=metric)
+    found = nearest(vectors, items, exclude=hidden, top_k=largest, metric=metric, **index)
     if "top_k" in queries.columns:
         limits = queries.select("query_id", F.coalesce("top_k", F.lit(top_k)).alias("limit"))
         found = found.join(limits, "query_id").where("rank <= limit").drop("limit")
@@ -147,6 +159,7 @@ def recommend_items(
     top_k: int = TOP_K,
     metric: str = "cosine",
     encoder: EncoderConfig = EncoderConfig(),
+    **index,
 ) -> DataFrame:
     """Items like the requested one, itself left out (O3). Requests: ``query_id, item_id``."""
     found = lookup_one(requests, items.select("item_id", "embedding")).where("is_found")
@@ -156,12 +169,13 @@ def recommend_items(
     barred = requests.select("query_id", "item_id")
     if exclude is not None:
         barred = barred.unionByName(exclude.select("query_id", "item_id"))
-    near = search(
+    near = nearest(
         found.select("query_id", vector.alias("embedding")),
         items,
         exclude=barred,
         top_k=top_k,
         metric=metric,
+        **index,
     )
     return with_item_text(near, items)
 
@@ -175,6 +189,7 @@ def recommend_users(
     top_k: int = TOP_K,
     metric: str = "cosine",
     encoder: EncoderConfig = EncoderConfig(),
+    **index,
 ) -> DataFrame:
     """Items for users from history and target together, only the encoded items left out.
 
@@ -194,6 +209,7 @@ def recommend_users(
         encoder=encoder,
         exclude=exclude,
         exclude_scope="tail",
+        **index,
     )
 
 
@@ -204,7 +220,8 @@ def search_vectors(
     exclude: DataFrame | None = None,
     top_k: int = TOP_K,
     metric: str = "cosine",
+    **index,
 ) -> DataFrame:
     """Candidates for given vectors ``query_id, embedding``."""
-    found = search(queries, items, exclude=exclude, top_k=top_k, metric=metric)
+    found = nearest(queries, items, exclude=exclude, top_k=top_k, metric=metric, **index)
     return with_item_text(found, items)

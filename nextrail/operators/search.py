@@ -215,8 +215,8 @@ def search(
     Both sides are counted first; pass staged or written tables if they are costly.
 
     ``exclude`` holds pairs ``query_id, item_id`` that are taken out before ranking, so a query gets
-    ``top_k`` rows whenever that many items are left. Filtering twice the needed number afterwards (F3)
-    would give the same rows.
+    ``top_k`` rows whenever that many items are left. Filtering the nearest ``2 * (top_k + excluded)``
+    afterwards (F3) gives the same rows, since at least ``top_k`` of them are not excluded.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -345,6 +345,20 @@ def search_clusters(
     )
 
 
+def nearest(
+    queries: DataFrame,
+    items: DataFrame,
+    *,
+    centroids: DataFrame | None = None,
+    nprobe: int = NPROBE,
+    **options,
+) -> DataFrame:
+    """Search by clusters if ``centroids`` are given (``items`` then has ``cluster_id``), else exactly."""
+    if centroids is None:
+        return search(queries, items, **options)
+    return search_clusters(queries, items, centroids, nprobe=nprobe, **options)
+
+
 def with_item_text(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Candidates in the result form ``query_id, item_id, item_text, score, rank``.
 

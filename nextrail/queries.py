@@ -366,6 +366,41 @@ def knn_clusters(spark: SparkSession, d: str, nprobe: int | None) -> DataFrame:
     return candidates(found)
 
 
+def knn_probe_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors clustered by their label, the three nearest of the labels' mean vectors probed."""
+    items = wh.table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("item_id"),
+        vec.as_double(F.col("embedding")).alias("embedding"),
+        F.col("label").alias("cluster_id"),
+    )
+    means = items.groupBy("cluster_id").agg(
+        F.array(*[F.avg(F.col("embedding")[i]) for i in range(DIM)]).alias("centroid")
+    )
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    return candidates(
+        search.search_clusters(queries, items, means, top_k=10, nprobe=3, metric="dot")
+    )
+
+
+def knn_inner_product(spark: SparkSession, d: str) -> DataFrame:
+    """Raw inner products of each user's mean vector with the items it has not seen."""
+    source = Log(spark, d, "events")
+    past = source.histories()
+    items = stage(source.vectors)
+    encoded = stage(encode.encode_histories(past, items))
+    return candidates(search.search(encoded, items, exclude=past, metric="dot", top_k=10))
+
+
+def recommend_probing(spark: SparkSession, d: str) -> DataFrame:
+    """Items for customers through the clustered index, all of its clusters probed."""
+    source = Log(spark, d, "orders")
+    clustered, centroids = search.cluster_items(stage(source.vectors))
+    found = recommend.nearest_to_histories(
+        source.histories(), stage(clustered), centroids=centroids, nprobe=centroids.count(), top_k=10
+    )
+    return candidates(found)
+
+
 def index_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Rows per cluster of the index of all vectors, and the planned number of clusters."""
     _, items = all_vectors(spark, d)
@@ -587,6 +622,9 @@ QUERIES: dict[str, Query] = {
     "knn_excluding_seen": knn_excluding_seen,
     "knn_full_probe": partial(knn_clusters, nprobe=None),
     "knn_probe8": partial(knn_clusters, nprobe=8),
+    "knn_probe_labels": knn_probe_labels,
+    "knn_inner_product": knn_inner_product,
+    "recommend_probing": recommend_probing,
     "index_sizes": index_sizes,
     "embed_text_default": embed_text_default,
     "item2vec": item2vec,
