@@ -185,10 +185,13 @@ def _block_search(
         "item_id",
         as_double(F.col("embedding")).alias("embedding"),
     )
+    # The work per byte is high: a stated number of partitions keeps the engine from merging small ones.
     key = ["cluster_id", "query_block", "item_block"]
+    parts = default_parts(items)
     scored = (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
+        left.repartition(parts, *key)
+        .groupBy(*key)
+        .cogroup(right.repartition(parts, *key).groupBy(*key))
         .applyInArrow(
             _score_block(metric, top_k), "query_id string, item_id string, score double"
         )
