@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from nextrail.llm.common import small_batches, text_of, utf8
 
 #: Pieces whose encoding a Python worker remembers; about 300 bytes each.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 #: The supported layout of a tokenizer file.
 WORD_END = "</w>"
+#: Lengths to try where no longer token has the ending.
+_SHORT = (2, 1)
 
 
 def byte_symbols() -> list[str]:
@@ -122,37 +124,46 @@ class WordBpe:
         known = self._borders[left << 32 | right] = not self._crossed(left, right, float("inf"))
         return known
 
-    def _last_token(self, word: bytes, end: int, path: list[int], tokens: dict, sizes: dict) -> int:
-        """The token in which the encoding of ``word[:end]`` ends, given the states of all shorter prefixes."""
-        for size in sizes.get(word[max(0, end - 3) : end], (2, 1)):
-            token = tokens.get(word[end - size : end]) if size <= end else None
-            if token is None:
-                continue
-            if size == end:
-                return token
-            left = path[end - size]
-            fits = self._borders.get(left << 32 | token)
-            if fits or fits is None and self._neighbours(left, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def _encode_sorted(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Distinct sorted words to ids: a depth-first walk through their trie, ``path`` being the way to the node."""
+        """Distinct sorted words to ids: a depth-first walk through their trie, ``path`` being the way to the node.
+
+        ``path[end]`` is the token in which the encoding of ``word[:end]`` ends: the one vocabulary entry that the
+        prefix ends with and that can follow what the shorter prefix before it ends in.
+        """
         path, before, out = [-1], b"", {}
-        size_of, id4 = self._size, self._id4
+        size_of, id4, borders, fits = self._size, self._id4, self._borders, self._neighbours
+        inner, inner_sizes, last, last_sizes = self._inner, self._inner_sizes, self._last, self._last_sizes
         for word in words:
-            shared, most = 0, min(len(before), len(word), len(path) - 1)
+            length = len(word)
+            shared, most = 0, min(len(before), length - 1, len(path) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for end in range(shared + 1, len(word)):
-                path.append(self._last_token(word, end, path, self._inner, self._inner_sizes))
-            at = len(word)
-            token = self._last_token(word, at, path, self._last, self._last_sizes)
-            ids = [id4[token]]
-            while at := at - size_of[token]:
-                token = path[at]
+            tokens, sizes = inner, inner_sizes
+            for end in range(len(path), length + 1):
+                if end == length:  # the last symbol carries the word end
+                    tokens, sizes = last, last_sizes
+                for size in sizes.get(word[end - 3 if end > 3 else 0 : end], _SHORT):
+                    if size > end or (token := tokens.get(word[end - size : end])) is None:
+                        continue
+                    if size == end:
+                        break
+                    left = path[end - size]
+                    known = borders.get(left << 32 | token)
+                    if known or known is None and fits(left, token):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                path.append(token)
+            # The word's last state is that of its end, not of a prefix; longer words don't go on from it.
+            at, ids = length, []
+            token = path.pop()
+            while True:
                 ids.append(id4[token])
+                at -= size_of[token]
+                if not at:
+                    break
+                token = path[at]
             ids.reverse()
             out[word] = b"".join(ids)
             before = word
@@ -174,15 +185,19 @@ class WordBpe:
                 out += [part.encode()] if part.isalpha() else [w.encode() for w in self._pattern.findall(part)]
         return out
 
+    def _lower(self, text: bytes) -> bytes:
+        if not text.isascii():
+            return text
+        lower = text.lower()
+        return text if any(name in lower for name in self._rare) else lower
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         memo = self._memo
         if len(memo) > MEMO_PIECES:
             memo.clear()
         # Lower case first where that can't change anything else, so that fewer pieces differ.
-        cut = [
-            (t.lower() if t.isascii() and not any(s in t.lower() for s in self._rare) else t).split() for t in texts
-        ]
+        cut = [self._lower(t).split() for t in texts]
         new = {p: self._words(p) for p in set().union(*cut) if p not in memo}
         ids = self._encode_sorted(sorted({w for ws in new.values() for w in ws if not isinstance(w, int)}))
         for piece, words in new.items():
@@ -217,37 +232,41 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text, as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty and has no ids. Every row gives one row, repeated and null ids too; other columns
-    are left out. One pass, no shuffle; memory holds a batch and the bounded memory of pieces.
+    With ``decoded`` also the column ``decoded``: what those ids decode to, worked out in the same pass. A null text
+    counts as empty and has no ids. Every row gives one row, repeated and null ids too; other columns are left out.
+    No shuffle; memory holds a batch and the bounded memory of pieces.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(spec.value)
         for batch in small_batches(batches, "text"):
-            ids = pa.array(coder.encode(utf8(batch, "text")), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            ids = coder.encode(utf8(batch, "text"))
+            columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(coder.decode, ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = text_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, decoded``: the text that the ids stand for. Null ids count as none."""
+    """``doc_id, decoded``: the text that the ``ids`` of each row stand for. Null ids count as none."""
     spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(spec.value)
         for batch in small_batches(batches, "ids"):
-            texts = [coder.decode(x) for x in utf8(batch, "ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+            texts = pa.array(map(coder.decode, utf8(batch, "ids")), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer single text is worked on alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: What ``[\x20\x09-\x0D]`` matches, the white space of all word and line rules here.
 SPACES = " \t\n\x0b\f\r"
