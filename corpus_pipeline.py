@@ -1,3 +1,62 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: toxicity, quality rules, line dedup, near-dedup, packing.
 
-QUERIES: dict = {}
+Each stage takes (spark, docs, folder of the tables) and works on all that the one before kept. All but the last return
+the columns of ``documents``; rows with nulls, empty texts and repeated rows pass as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nextrail.llm import lines, packing, quality, simhash, toxicity
+from nextrail.llm.common import table
+from nextrail.llm.queries import COMMON_LINE_DOCS, SEQUENCE, TOXIC, WORD_BPE
+from nextrail.sources.tables import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.classify(docs, model, "text", docs.columns).where(F.col("_score") < TOXIC).drop("_score")
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    found = lines.drop_common_lines(docs, COMMON_LINE_DOCS, 1)
+    found = found.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long"))
+    return found.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return simhash.keep_one(docs, shingle=3, max_bits=2)
+
+
+def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(docs, WORD_BPE, SEQUENCE), SEQUENCE)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_poor),
+    ("line_dedup", drop_common_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("best_fit_packing", pack),
+]
+
+#: No SQL can train and apply the first stage's models; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages over the whole table, each written to the shared folder and read again."""
+    docs = table(spark, folder, "documents")
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, folder)
+        docs = docs if i == len(STAGES) - 1 else stage(docs)
+    return docs
+
+
+QUERIES = {"pipeline": run}
