@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is written in expressions and schemas, whatever it is."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text alone, so that other columns can have any name."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextrail.llm.bpe import read_spec, word_bpe
-from nextrail.llm.common import small_batches, text_of, utf8
+from nextrail.llm.common import quoted, small_batches, text_of, utf8
 from nextrail.sources.tables import stage
 
 #: Pieces that one task packs together.
@@ -107,7 +107,7 @@ def pack(pieces: DataFrame, size: int, group_rows: int = GROUP_ROWS) -> DataFram
         group = group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins, pa.int64()))
         return group.append_column("offset", pa.array(offsets, pa.int64())).drop_columns(["_uid", "_group"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_uid")
+    out = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept.schema if f.name != "_uid")
     return (
         kept.withColumn("_group", F.pmod(F.xxhash64("_uid"), F.lit(groups)))
         .groupBy("_group")

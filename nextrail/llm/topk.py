@@ -99,7 +99,7 @@ def top_k(
     if len({sizes["least"], sizes["most"], wrong[1], wrong[2]} - {None}) > 1:
         raise ValueError("vectors differ in length")
     blocks = max(1, -(-sizes["n"] // block_rows))
-    dims = sizes["most"] or 0
+    dims = sizes["most"] or wrong[2] or 0
     none = F.lit(None).cast("long")
     items = kept.select(
         F.pmod(F.xxhash64("_uid"), F.lit(blocks)).alias("block"), none.alias("query_id"), "vec_id", "vector"
@@ -148,9 +148,9 @@ def top_k(
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     CAST(list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextrail.llm.common import crc_third, small_batches, utf8
+from nextrail.llm.common import crc_third, quoted, small_batches, utf8
 from nextrail.sources.tables import stage
 
 #: Labelled rows of each class to learn from, at most (more are thinned out by a hash of the id): the labels that
@@ -144,6 +144,8 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def merged(held: list[np.ndarray]) -> list[np.ndarray]:
         every = np.concatenate(held)
+        if not len(every):
+            return [every]
         order = np.argsort(every["key"], kind="stable")
         every = every[order]
         first = np.flatnonzero(np.r_[True, every["key"][1:] != every["key"][:-1]])
@@ -332,7 +334,7 @@ def classify(docs: DataFrame, tables: Tables, text_col: str, columns: list[str])
             scores = [model.score(model.ratio(text, 0)) for text in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, "score"])
 
-    kept = docs.select(*(docs[c].alias(n) for c, n in zip(columns, names, strict=True)), docs[text_col].cast("string").alias("text"))
+    kept = docs.select(*(docs[quoted(c)].alias(n) for c, n in zip(columns, names, strict=True)), docs[text_col].cast("string").alias("text"))
     out = "".join(f"{n} {kept.schema[n].dataType.simpleString()}, " for n in names)
     return kept.mapInArrow(run, f"{out}score double").toDF(*columns, "_score")
 
