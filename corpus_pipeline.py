@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nextrail.llm import lines, packing, quality, simhash, toxicity
-from nextrail.llm.common import table
+from nextrail.llm.common import quoted, table
 from nextrail.llm.queries import COMMON_LINE_DOCS, SEQUENCE, TOXIC, WORD_BPE
 from nextrail.sources.tables import stage
 
@@ -27,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_common_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     found = lines.drop_common_lines(docs, COMMON_LINE_DOCS, 1)
     found = found.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long"))
-    return found.select(*docs.columns)
+    return found.select(*map(quoted, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
