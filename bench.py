@@ -44,7 +44,7 @@ JOBS = {
     "recommend_history": q.QUERIES["recommend_history_orders"],
     "user_metrics": q.QUERIES["user_metrics_orders"],
     "sample_negatives": q.QUERIES["sample_negatives_orders"],
-    "epoch_losses": q.QUERIES["training_losses_orders"],
+    "padded_batches": q.QUERIES["padded_batches"],
     "scored_losses": q.QUERIES["scored_losses"],
     "prefix_mean": q.QUERIES["prefix_mean"],
 }

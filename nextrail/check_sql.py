@@ -64,6 +64,18 @@ ITEMS = {
 VECTORS = """vectors AS (
   SELECT i.item_id, i.item_text, CAST(e.embedding AS DOUBLE[]) AS embedding
   FROM items i JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = i.item_id)"""
+
+
+def text_vector(text: str, dim: int) -> str:
+    """Unit-length counts of the text's words by md5, as 32-bit floats like the vectors of a model."""
+    words = f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '[^ \\t\\n\\r\\f\\v]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dim})"
+    counts = f"list_transform(range(0, {dim}), lambda d: CAST(len(list_filter({words}, lambda p: p = d)) AS DOUBLE))"
+    return f"list_transform([{counts}], lambda c: list_transform(c, lambda x: CAST(x / greatest(sqrt(list_dot_product(c, c)), 1) AS FLOAT)))[1]"
+
+
+PART_VECTORS = f"""vectors AS (
+  SELECT item_id, item_text, CAST({text_vector('item_text', DIM)} AS DOUBLE[]) AS embedding FROM parts)"""
+VECTORS_OF = {"events": VECTORS, "orders": PART_VECTORS}
 ALL_VECTORS = """all_vectors AS (
   SELECT CAST(vec_id AS VARCHAR) AS item_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"""
 
@@ -88,7 +100,7 @@ histories AS (SELECT user_id AS query_id, pos, item_id FROM placed WHERE part =
 
 
 def base(log: str) -> tuple[str, ...]:
-    return (LOG[log], PARTS, ITEMS[log], SPLIT, PLACED, VECTORS)
+    return (LOG[log], PARTS, ITEMS[log], SPLIT, PLACED, VECTORS_OF[log])
 
 
 # --- sequences ---
@@ -248,48 +260,6 @@ def loss_columns(count: str) -> str:
     return ", ".join(sums + means)
 
 
-def training_losses(
-    log: str, masked: bool = True, hard: int = 0, scale: float = 1.0, margin: float = 0.5
-) -> str:
-    return query(
-        f"""SELECT batch_id, batch_size, seq_len, batch_size * seq_len AS numel,
-  attention_non_zero, {rnd('attention_non_zero / (batch_size * seq_len + 1e-9)', 'attention_density')},
-  positive_non_zero, {rnd('positive_non_zero / (attention_non_zero + 1e-9)', 'positive_density')},
-  {rnd('neg_density', 'neg_density')}, s.* EXCLUDE (batch_id), {loss_columns('n_queries')}
-FROM sums JOIN shape USING (batch_id) JOIN moments s USING (batch_id)""",
-        *sampled(log),
-        f"""spread AS (
-  SELECT f.*, unnest(v.embedding) AS x, generate_subscripts(v.embedding, 1) AS dim
-  FROM filled f JOIN vocab v ON v.item_idx = f.history_item_idx),
-means AS (
-  SELECT batch_id, user_id, copy, slot, pos_item_idx, dim,
-         avg(x) OVER (PARTITION BY user_id, copy, dim ORDER BY slot ROWS UNBOUNDED PRECEDING) AS x
-  FROM spread),
-asked AS (
-  SELECT batch_id, concat_ws('|', user_id, copy, slot) AS query_id, pos_item_idx, list(x ORDER BY dim) AS q
-  FROM means GROUP BY ALL HAVING pos_item_idx <> 0),
-products AS (
-  SELECT a.batch_id, a.query_id, a.pos_item_idx, v.item_idx, {dot('a.q', 'v.embedding')} AS dot,
-         {cosine('a.q', 'v.embedding')} AS cosine
-  FROM asked a CROSS JOIN vocab v),
-scored AS (
-  SELECT batch_id, query_id, '' AS cand_id, TRUE AS is_target, dot, cosine
-  FROM products WHERE item_idx = pos_item_idx
-  UNION ALL
-  SELECT p.batch_id, p.query_id, concat_ws('|', f.user_id, f.copy, f.slot), FALSE, p.dot, p.cosine
-  FROM products p JOIN filled f ON f.batch_id = p.batch_id AND f.neg_item_idx = p.item_idx)""",
-        ranked_losses(masked, hard, scale, margin),
-        f"""moments AS (SELECT batch_id, {stats('dot')} FROM rated GROUP BY batch_id),
-shape AS (
-  SELECT b.batch_id, count(*) AS batch_size, max(b.filled) AS seq_len,
-         sum(b.filled)::BIGINT AS attention_non_zero, sum(coalesce(h.hits, 0))::BIGINT AS positive_non_zero
-  FROM batches b
-  LEFT JOIN (SELECT user_id, copy, count(*) FILTER (WHERE pos_item_idx <> 0) AS hits FROM filled GROUP BY ALL) h
-    USING (user_id, copy)
-  GROUP BY b.batch_id)""",
-    )
-
-
 def scored_lines() -> str:
     return """scored AS (
   SELECT o_custkey AS batch_id, CAST(l_orderkey AS VARCHAR) AS query_id,
@@ -527,10 +497,8 @@ FROM customers c LEFT JOIN (
         SPLIT,
     ),
     "table_sizes": query(
-        "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM vectors",
+        "SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_columns FROM parts",
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
     ),
     "vocabulary": query(
         f"SELECT item_id, row_number() OVER (ORDER BY {draw('item_id')}, item_id) AS item_idx FROM parts", PARTS
@@ -575,35 +543,26 @@ FROM (
     SELECT user_id, copy, count(*) FILTER (WHERE pos_item_idx <> 0) AS hits FROM filled GROUP BY ALL) USING (user_id, copy)
   GROUP BY b.batch_id)""",
     ),
-    "training_losses_events": training_losses("events"),
-    "training_losses_orders": training_losses("orders"),
-    "training_losses_hard": training_losses("events", **HARD),
-    "training_losses_unmasked": training_losses("events", masked=False),
     "lookup_ordered": query(
-        "SELECT request_id, pos, item_id, item_text FROM asked JOIN vectors USING (item_id)",
+        "SELECT request_id, pos, item_id, item_text FROM asked JOIN parts USING (item_id)",
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
         REQUESTS,
     ),
     "lookup_store": query(
-        "SELECT DISTINCT request_id, item_id, item_text FROM asked JOIN vectors USING (item_id)",
+        "SELECT DISTINCT request_id, item_id, item_text FROM asked JOIN parts USING (item_id)",
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
         REQUESTS,
     ),
     "lookup_one": query(
         """SELECT l.user_id AS request_id, l.item_id, v.item_text, v.item_id IS NOT NULL AS is_found
-FROM log l LEFT JOIN vectors v ON v.item_id = l.item_id""",
+FROM log l LEFT JOIN parts v ON v.item_id = l.item_id""",
         LOG["orders"],
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
     ),
     "new_targets": query(
-        """SELECT user_id, item_id FROM flagged t WHERE NOT is_train AND NOT EXISTS (
-  SELECT 1 FROM flagged h WHERE h.is_train AND h.user_id = t.user_id AND h.item_id = t.item_id)""",
+        """SELECT user_id, item_id FROM (
+  SELECT user_id, item_id, is_train, bool_or(is_train) OVER (PARTITION BY user_id, item_id) AS known FROM flagged)
+WHERE NOT is_train AND NOT known""",
         LOG["orders"],
         SPLIT,
     ),
@@ -685,6 +644,15 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 10""",
     ),
     "index_sizes": """SELECT count(*) AS n_items, CAST(pow(2, floor(log2(count(*)) / 2)) AS BIGINT) AS n_clusters,
   CAST(pow(2, floor(log2(count(*)) / 2)) AS BIGINT) AS planned FROM embeddings""",
+    "embed_text_default": query(
+        f"SELECT doc_id, place AS dim, {rnd('CAST(n / sqrt(squares) AS FLOAT)', 'value')} FROM counts JOIN norms USING (doc_id)",
+        """words AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\r\\f\\v]+')) AS word FROM documents),
+counts AS (
+  SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 256 AS place, CAST(count(*) AS DOUBLE) AS n
+  FROM words GROUP BY ALL),
+norms AS (SELECT doc_id, sum(n * n) AS squares FROM counts GROUP BY doc_id)""",
+    ),
     "recommend_history_events": recommend_history("events"),
     "recommend_history_orders": recommend_history("orders"),
     "recommend_user_events": recommend_user("events"),
@@ -692,8 +660,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 10""",
     "recommend_item": query(
         CANDIDATES,
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
+        PART_VECTORS,
         "asked AS (SELECT item_id AS query_id, item_id, embedding FROM vectors)",
         found("cosine", 5, "asked", "vectors", "asked"),
     ),
@@ -701,8 +668,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 10""",
         f"""SELECT f.query_id, f.item_id, {rnd('score', 'score')}, rank FROM found f
 JOIN mixed m ON m.query_id = f.query_id WHERE rank <= coalesce(m.top_k, 4)""",
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
+        PART_VECTORS,
         ALL_VECTORS,
         REQUESTS,
         """inputs AS (
@@ -739,8 +705,7 @@ barred AS (
     "search_vectors": query(
         WITH_TEXT,
         PARTS,
-        ITEMS["orders"],
-        VECTORS,
+        PART_VECTORS,
         ALL_VECTORS,
         SELF,
         found("l2", 3, "self", "vectors"),
@@ -764,6 +729,7 @@ FROM scores WHERE stage = 'val'""",
     "scored_losses": scored_losses(),
     "scored_losses_hard": scored_losses(**HARD),
     "scored_losses_unmasked": scored_losses(masked=False),
+    "scored_losses_scaled": scored_losses(scale=500.0),
     "hard_negatives": query(
         f"SELECT batch_id, query_id, cand_id, {rnd('cosine', 'logit')} FROM rated WHERE n_cosine",
         scored_lines(),

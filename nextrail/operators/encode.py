@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from nextrail.config import EncoderConfig
 from nextrail.functions.vectors import as_double, is_zero, let, unit
 from nextrail.operators.skew import heavy_keys, join_lookup
 
+_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+
 ModelFn = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
@@ -30,25 +33,41 @@ def embed_text(
 ) -> DataFrame:
     """A vector per text.
 
-    ``model_fn`` loads a model once per Python worker and returns its batch prediction. Without one, the
-    vector is the unit-length weighted word count of the text, hashed to ``num_features`` places: a
-    stand-in with the same contract, not a language model.
+    ``model_fn`` loads a model once per Python worker and returns its batch prediction. By default it is
+    ``hashed_words``, a stand-in with the same contract, not a language model. A NULL text counts as empty.
     """
-    if model_fn is not None:
-        embed = predict_batch_udf(
-            model_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-        )
-        return df.withColumn(out_col, embed(F.col(text_col)))
-    filled = df.withColumn("_text", F.coalesce(text_col, F.lit("")))
-    stages = [
-        Tokenizer(inputCol="_text", outputCol="_words"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=num_features),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit"),
-    ]
-    weighted = Pipeline(stages=stages).fit(filled).transform(filled)
-    vector = vector_to_array("_unit", "float32").alias(out_col)
-    return weighted.select(*[c for c in df.columns if c != out_col], vector)
+    embed = predict_batch_udf(
+        model_fn or hashed_words(num_features),
+        return_type=T.ArrayType(T.FloatType()),
+        batch_size=batch_size,
+    )
+    return df.withColumn(out_col, embed(F.coalesce(text_col, F.lit(""))))
+
+
+def hashed_words(num_features: int, remembered: int = 200_000) -> ModelFn:
+    """Unit-length word counts, each lower-cased word counted at the place that its md5 gives; zeros without words."""
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        places: dict[str, int] = {}
+
+        def place(word: str) -> int:
+            if word not in places:
+                if len(places) >= remembered:
+                    places.clear()
+                places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % num_features
+            return places[word]
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            counts = np.zeros((len(texts), num_features))
+            for row, text in enumerate(texts):
+                words = _SPACE.split(str(text).lower())
+                np.add.at(counts[row], [place(word) for word in words if word], 1)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            return (counts / np.maximum(norms, 1)).astype(np.float32)
+
+        return predict
+
+    return load
 
 
 def known_tail(

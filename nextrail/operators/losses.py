@@ -16,7 +16,7 @@ from nextrail.config import LossConfig
 from nextrail.functions.text import safe_ratio
 from nextrail.operators.skew import heavy_keys, join_lookup
 
-# Loss name and the kind of logit it is computed on.
+# The names that results must have, with the kind of logit it is computed on.
 LOSSES = {
     "AlignmentLoss": "cosine",
     "AlignmentContrastiveLoss": "cosine",
@@ -61,18 +61,17 @@ def valid_negatives(
     *,
     heavy: Sequence | None = None,
 ) -> DataFrame:
-    """The rows with ``logit``, their query's ``target_logit`` and ``top_logit``, and ``is_negative`` (L2, L3).
+    """The rows with ``logit``, their query's ``target_logit``, and ``is_negative`` (L2, L3).
 
     With masking on, a candidate that scores at least as high as the target is no negative. Hard negatives
     are the highest of the valid ones, ties by ``cand_id``.
     """
     heavy = heavy_keys(scored, "query_id") if heavy is None else heavy
     rows = scored.withColumn("logit", F.col(logit).cast("double"))
-    tops = rows.groupBy("query_id").agg(
-        F.max(F.when(F.col("is_target"), F.col("logit"))).alias("target_logit"),
-        F.max("logit").alias("top_logit"),
+    targets = rows.groupBy("query_id").agg(
+        F.max(F.when(F.col("is_target"), F.col("logit"))).alias("target_logit")
     )
-    rows = join_lookup(rows, tops, "query_id", "inner", heavy=heavy)
+    rows = join_lookup(rows, targets, "query_id", "inner", heavy=heavy)
     if config.mask_false_negatives:
         negative = F.col("logit") < F.col("target_logit")
     else:
@@ -109,6 +108,7 @@ def query_losses(
     heavy: Sequence | None = None,
 ) -> DataFrame:
     """All seven losses per query on one kind of logit."""
+    heavy = heavy_keys(scored, "query_id") if heavy is None else heavy
     rows = valid_negatives(scored, config, logit, heavy=heavy)
     x, t, negative = F.col("logit"), F.col("target_logit"), F.col("is_negative")
     n_negatives = F.count_if(negative)
@@ -116,14 +116,19 @@ def query_losses(
     def over_negatives(value: Column) -> Column:
         return safe_ratio(F.coalesce(F.sum(F.when(negative, value)), F.lit(0.0)), n_negatives)
 
-    # Any shift not below the largest exponent serves; the largest logit bounds it when scale >= 0.
-    shift = F.greatest(config.scale * F.col("top_logit"), config.scale * t)
-    weight = F.when(negative | F.col("is_target"), F.exp(config.scale * x - shift))
+    # The shift is the largest exponent that is summed; with masking on that is the target's.
+    exponent = F.when(negative | F.col("is_target"), config.scale * x)
+    if config.mask_false_negatives and config.scale >= 0:
+        shift = config.scale * t
+    else:
+        largest = rows.groupBy("query_id").agg(F.max(exponent).alias("shift"))
+        rows = join_lookup(rows, largest, "query_id", "inner", heavy=heavy)
+        shift = F.col("shift")
     beyond = x - t * (1 - config.margin)
     per_query = rows.groupBy("batch_id", "query_id").agg(
         F.max(1 - t).alias("AlignmentLoss"),
         over_negatives(relu(x - 1 + config.margin)).alias("ContrastiveLoss"),
-        (F.log(F.sum(weight)) + F.max(shift) - config.scale * F.max(t)).alias("InfoNCELoss"),
+        (F.log(F.sum(F.exp(exponent - shift))) + F.max(shift) - config.scale * F.max(t)).alias("InfoNCELoss"),
         (F.max(softplus(-t)) + over_negatives(softplus(x))).alias("NCELoss"),
         over_negatives(relu(beyond)).alias("PairwiseHingeLoss"),
         over_negatives(softplus(beyond)).alias("PairwiseLogisticLoss"),

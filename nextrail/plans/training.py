@@ -1,4 +1,4 @@
-"""One epoch of training batches and their losses."""
+"""One epoch of training batches."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from nextrail.config import LossConfig, SequenceConfig
-from nextrail.operators.in_batch import SequenceModel, in_batch_losses, running_mean
+from nextrail.config import SequenceConfig
 from nextrail.operators.sequences import (
     assign_batches,
     build_examples,
@@ -40,28 +39,3 @@ def training_examples(
         histories, vocab, vocab.count(), config, epoch, with_texts=with_texts, heavy=heavy
     )
     return assign_batches(stage(examples), config, epoch), vocab
-
-
-def epoch_losses(
-    events: DataFrame,
-    items: DataFrame,
-    config: SequenceConfig = SequenceConfig(),
-    losses: LossConfig = LossConfig(),
-    epoch: int = 0,
-    *,
-    normalize: bool = False,
-    model: SequenceModel = running_mean,
-    heavy: Sequence | None = None,
-    heavy_items: Sequence | None = None,
-) -> DataFrame:
-    """One row per batch of the epoch. ``items``: item_id, item_text, embedding."""
-    batched, vocab = training_examples(
-        events,
-        items.select("item_id", "item_text"),
-        config,
-        epoch,
-        with_texts=False,
-        heavy=heavy,
-        heavy_items=heavy_items,
-    )
-    return in_batch_losses(batched, vocab, items, losses, normalize=normalize, model=model)

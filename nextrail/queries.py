@@ -15,7 +15,6 @@ from nextrail.config import EncoderConfig, LossConfig, SequenceConfig
 from nextrail.functions import vectors as vec
 from nextrail.operators import activity, encode, lookup, losses, metrics, recommend, search
 from nextrail.operators import sequences as seq
-from nextrail.operators.in_batch import COLUMNS, in_batch_losses
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.operators.split import split_summary, train_test_split
 from nextrail.plans.evaluate import evaluate, histories_of
@@ -29,6 +28,8 @@ LOGS = {"events": wh.event_log, "orders": wh.order_log}
 ITEMS = {"events": wh.event_items, "orders": wh.part_items}
 USERS = {"events": wh.event_users, "orders": wh.customer_users}
 VECTORS = {"events": wh.event_item_vectors, "orders": wh.part_item_vectors}
+#: The items that sequences are made of: what the event log's items have a vector for, and every part.
+CATALOGUES = {"events": wh.event_item_vectors, "orders": wh.part_items}
 
 
 def rounded(column: Column | str, name: str) -> Column:
@@ -141,7 +142,7 @@ def users_flagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table_counts(wh.part_item_vectors(spark, d))
+    return table_counts(wh.part_items(spark, d))
 
 
 # --- sequences ---
@@ -152,9 +153,9 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame, list]:
-    """Histories over the items that have a vector, their vocabulary, and the heavy users."""
+    """Histories over the log's catalogue, its vocabulary, and the heavy users."""
     source = Log(spark, d, log)
-    vocab = stage(seq.vocabulary(source.vectors.select("item_id", "item_text")))
+    vocab = stage(seq.vocabulary(CATALOGUES[log](spark, d).select("item_id", "item_text")))
     past = seq.index_histories(
         source.split(), vocab, heavy=source.heavy, heavy_items=source.heavy_items
     )
@@ -170,7 +171,7 @@ def history_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_tail(spark: SparkSession, d: str) -> DataFrame:
-    items = wh.part_item_vectors(spark, d)
+    items = wh.part_items(spark, d)
     return encode.known_tail(Log(spark, d, "orders").histories(), items, 8)
 
 
@@ -206,7 +207,7 @@ def batched_examples(spark: SparkSession, d: str, log: str, with_texts: bool = F
     source = Log(spark, d, log)
     return training_examples(
         source.split(),
-        source.vectors.select("item_id", "item_text"),
+        CATALOGUES[log](spark, d).select("item_id", "item_text"),
         SAMPLING[log],
         with_texts=with_texts,
         heavy=source.heavy,
@@ -245,17 +246,6 @@ def batch_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def training_losses(
-    spark: SparkSession, d: str, log: str, config: LossConfig = LossConfig()
-) -> DataFrame:
-    batched, vocab = batched_examples(spark, d, log)
-    scores = in_batch_losses(batched, vocab, VECTORS[log](spark, d), config)
-    counts = ("batch_size", "seq_len", "numel", "attention_non_zero", "positive_non_zero")
-    return scores.select(
-        "batch_id", *counts, *[rounded(c, c) for c in COLUMNS if c not in counts]
-    )
-
-
 # --- lookups ---
 
 
@@ -273,26 +263,30 @@ def order_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_ordered(spark: SparkSession, d: str) -> DataFrame:
-    found = lookup.lookup_ordered(order_requests(spark, d), wh.part_item_vectors(spark, d))
+    found = lookup.lookup_ordered(order_requests(spark, d), wh.part_items(spark, d))
     return found.select("request_id", "pos", "item_id", "item_text")
 
 
 def lookup_store(spark: SparkSession, d: str) -> DataFrame:
-    found = lookup.lookup_store(order_requests(spark, d), wh.part_item_vectors(spark, d))
+    found = lookup.lookup_store(order_requests(spark, d), wh.part_items(spark, d))
     return found.select("request_id", "item_id", "item_text")
 
 
 def lookup_one(spark: SparkSession, d: str) -> DataFrame:
     asked = wh.order_log(spark, d).select(F.col("user_id").alias("request_id"), "item_id")
-    found = lookup.lookup_one(asked, wh.part_item_vectors(spark, d))
+    found = lookup.lookup_one(asked, wh.part_items(spark, d))
     return found.select("request_id", "item_id", "item_text", "is_found")
 
 
 def new_targets(spark: SparkSession, d: str) -> DataFrame:
     """Held-out (user, item) rows whose item is not in the user's history."""
     events = Log(spark, d, "orders").split().select("user_id", "item_id", "is_train")
-    held_out = events.where(~F.col("is_train")).drop("is_train")
-    return lookup.without_ids(held_out, events.where("is_train"), ["user_id", "item_id"])
+    # One pass: the held-out rows of a pair are counted, and given back if none of the pair's rows is in the history.
+    pairs = events.dropna(subset=["user_id", "item_id"]).groupBy("user_id", "item_id").agg(
+        F.bool_or("is_train").alias("known"), F.count_if(~F.col("is_train")).cast("int").alias("times")
+    )
+    fresh = pairs.where(~F.col("known"))
+    return fresh.select("user_id", "item_id", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_")).drop("_")
 
 
 # --- vectors ---
@@ -414,9 +408,9 @@ def index_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_text_default(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of the documents' vectors that aren't zero."""
     documents = wh.table(spark, d, "documents").select("doc_id", "text")
-    vectors = encode.embed_text(documents, "text")
-    return vectors.select("doc_id", rounded(vec.norm(F.col("embedding")), "norm"))
+    return by_dimension(encode.embed_text(documents, "text"), "doc_id").where("value <> 0")
 
 
 def item2vec(spark: SparkSession, d: str) -> DataFrame:
@@ -443,9 +437,10 @@ def recommend_user(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 
 def recommend_item(spark: SparkSession, d: str) -> DataFrame:
-    """Similar items for every part; those without a vector have none."""
+    """Similar items for every part."""
     requests = wh.part_items(spark, d).select(F.col("item_id").alias("query_id"), "item_id")
-    return candidates(recommend.recommend_items(requests, wh.part_item_vectors(spark, d), top_k=5))
+    items = stage(wh.part_item_vectors(spark, d))
+    return candidates(recommend.recommend_items(requests, items, top_k=5))
 
 
 def recommend_query(spark: SparkSession, d: str) -> DataFrame:
@@ -600,10 +595,6 @@ QUERIES: dict[str, Query] = {
     "example_texts": example_texts,
     "padded_batches": padded_batches,
     "batch_stats": batch_stats,
-    "training_losses_events": partial(training_losses, log="events"),
-    "training_losses_orders": partial(training_losses, log="orders"),
-    "training_losses_hard": partial(training_losses, log="events", config=HARD),
-    "training_losses_unmasked": partial(training_losses, log="events", config=UNMASKED),
     "lookup_ordered": lookup_ordered,
     "lookup_store": lookup_store,
     "lookup_one": lookup_one,
@@ -643,6 +634,7 @@ QUERIES: dict[str, Query] = {
     "scored_losses": scored_losses,
     "scored_losses_hard": partial(scored_losses, config=HARD),
     "scored_losses_unmasked": partial(scored_losses, config=UNMASKED),
+    "scored_losses_scaled": partial(scored_losses, config=LossConfig(scale=500.0)),
     "hard_negatives": hard_negatives,
     "logit_stats": logit_stats,
 }

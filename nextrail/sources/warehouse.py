@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nextrail.functions.text import json_text
+from nextrail.operators.encode import embed_text
 from nextrail.operators.skew import join_lookup
 
 
@@ -83,5 +84,5 @@ def event_item_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def part_item_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the parts that have one."""
-    return part_items(spark, folder).join(item_vectors(spark, folder), "item_id")
+    """Vectors of all parts, from their texts."""
+    return embed_text(part_items(spark, folder), num_features=64)

@@ -73,6 +73,6 @@ def test_split_reads_only_its_columns_and_sorts_no_wide_rows(spark):
 
 
 def test_no_join_without_keys(spark):
-    for name in ("recommend_history_events", "training_losses_events", "user_metrics_events", "scored_losses"):
+    for name in ("recommend_history_events", "user_metrics_events", "scored_losses"):
         plan = plan_of(contract.queries()[name](spark, FOLDER))
         assert "NestedLoop" not in plan and "Cartesian" not in plan

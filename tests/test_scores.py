@@ -7,7 +7,6 @@ import pandas as pd
 import pytest
 from nextrail.config import LossConfig
 from nextrail.operators import losses
-from nextrail.operators.in_batch import _score_batch, in_batch_losses, row_losses, running_mean
 from nextrail.operators.metrics import METRICS, best_run, mean_metrics, retrieval_metrics
 
 
@@ -132,42 +131,13 @@ def test_target_choice(spark):
             losses.mark_target(df, config, column)
 
 
-def test_in_batch_pairs(spark):
-    """Two sequences of one batch against the pairs written out."""
-    rng = np.random.default_rng(0)
-    matrix = {k: rng.normal(size=3) for k in range(1, 8)}
-    matrix[7] = None  # an item without a vector
-    examples = [([1, 2, 7], [3, 0, 4], [5, 6, 1]), ([4], [1], [2])]
-    batched = spark.createDataFrame(
-        [(0, *e) for e in examples],
-        "batch_id long, history_item_idx array<long>, pos_item_idx array<long>, neg_item_idx array<long>",
-    )
-    vocab = spark.createDataFrame([(f"i{k}", k) for k in matrix], "item_id string, item_idx long")
-    vectors = spark.createDataFrame(
-        [(f"i{k}", [float(x) for x in v]) for k, v in matrix.items() if v is not None],
-        "item_id string, embedding array<double>",
-    )
-    got = in_batch_losses(batched, vocab, vectors).first()
-    queries = [(matrix[1], 3), (matrix[4], 1)]  # the second position has no positive, the third no vector
-    rivals = [5, 6, 2]
-    logits = np.array([[q @ matrix[k] for k in [pos, *rivals]] for q, pos in queries])
-    norms = np.array([[np.linalg.norm(q) * np.linalg.norm(matrix[k]) for k in [pos, *rivals]] for q, pos in queries])
-    want = row_losses(logits, logits / norms, LossConfig())
-    for name, values in want.items():
-        assert got[name] == pytest.approx(values.sum())
-        assert got[f"{name}Mean"] == pytest.approx(values.sum() / 2)
-    assert (got["batch_size"], got["seq_len"], got["numel"]) == (2, 3, 6)
-    assert (got["attention_non_zero"], got["positive_non_zero"]) == (3, 2)
-    assert got["pos_mean"] == pytest.approx(logits[:, 0].mean())
-
-
-def test_running_mean():
-    vectors = np.array([[[1.0], [0.0], [3.0]]])
-    mask = (vectors != 0).any(axis=-1)
-    assert running_mean(vectors, mask)[0, :, 0].tolist() == [1.0, 1.0, 2.0]
-
-
-def test_empty_batch():
-    score = _score_batch(LossConfig(), False, running_mean)
-    empty = pd.DataFrame(columns=["batch_id", "history_item_idx", "pos_item_idx", "neg_item_idx"])
-    assert score((0,), empty, pd.DataFrame(columns=["of_batch", "item_idx", "embedding"])).empty
+def test_info_nce_does_not_depend_on_masked_candidates(spark):
+    rows = [(0, "q", "t", True, 10.0), (0, "q", "m", False, 1000.0), (0, "q", "n", False, 5.0)]
+    scored = spark.createDataFrame(rows, "batch_id int, query_id string, cand_id string, is_target boolean, dot double")
+    for config, want in (
+        (LossConfig(), 0.006715348),
+        (LossConfig(scale=100.0), 0.0),
+        (LossConfig(mask_false_negatives=False), 990.0),
+        (LossConfig(mask_false_negatives=False, scale=100.0), 99000.0),
+    ):
+        assert losses.query_losses(scored, config).first()["InfoNCELoss"] == pytest.approx(want)
