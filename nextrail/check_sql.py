@@ -330,6 +330,28 @@ def knn(metric: str) -> str:
     return query(CANDIDATES, ALL_VECTORS, SELF, found(metric, 20, "self", "self"))
 
 
+def probe_labels(metric: str) -> str:
+    return query(
+        CANDIDATES,
+        f"""labelled AS (
+  SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS item_id, '' AS item_text, label,
+         CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
+means AS (
+  SELECT label, list(x ORDER BY dim) AS centroid FROM (
+    SELECT label, dim, avg(x) AS x FROM (
+      SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x FROM labelled)
+    GROUP BY label, dim) GROUP BY label),
+probes AS (
+  SELECT query_id, m.label FROM labelled q CROSS JOIN means m
+  QUALIFY row_number() OVER (PARTITION BY query_id
+    ORDER BY round({SCORES[metric]('q.embedding', 'm.centroid')}, 9) DESC, m.label) <= 3),
+outside AS (
+  SELECT q.query_id, i.item_id FROM labelled q CROSS JOIN labelled i
+  WHERE NOT EXISTS (SELECT 1 FROM probes p WHERE p.query_id = q.query_id AND p.label = i.label))""",
+        found(metric, 10, "labelled", "labelled", "outside"),
+    )
+
+
 # --- metrics ---
 
 METRICS = (
@@ -605,25 +627,9 @@ JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item
         "seen AS (SELECT user_id AS query_id, item_id FROM log)",
         found("dot", 20, "encoded", "vectors", "seen"),
     ),
-    "knn_probe_labels": query(
-        CANDIDATES,
-        """labelled AS (
-  SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS item_id, '' AS item_text, label,
-         CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
-means AS (
-  SELECT label, list(x ORDER BY dim) AS centroid FROM (
-    SELECT label, dim, avg(x) AS x FROM (
-      SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x FROM labelled)
-    GROUP BY label, dim) GROUP BY label),
-probes AS (
-  SELECT query_id, m.label FROM labelled q CROSS JOIN means m
-  QUALIFY row_number() OVER (PARTITION BY query_id
-    ORDER BY list_distance(q.embedding, m.centroid), m.label) <= 3),
-outside AS (
-  SELECT q.query_id, i.item_id FROM labelled q CROSS JOIN labelled i
-  WHERE NOT EXISTS (SELECT 1 FROM probes p WHERE p.query_id = q.query_id AND p.label = i.label))""",
-        found("dot", 10, "labelled", "labelled", "outside"),
-    ),
+    "knn_probe_labels": probe_labels("dot"),
+    "knn_probe_labels_cosine": probe_labels("cosine"),
+    "knn_probe_labels_l2": probe_labels("l2"),
     # Written as oversampling and filtering afterwards.
     "knn_inner_product": query(
         f"""SELECT query_id, item_id, {rnd('score', 'score')}, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank

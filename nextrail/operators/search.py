@@ -1,9 +1,12 @@
 """Exact and partitioned top-k search by vector similarity.
 
-Queries and items meet in blocks: a block pair is one group of an Arrow co-group, scored by one matrix
-product, which gives back the best ``top_k`` per query only. No pair of a query and an item ever becomes a
-row. Block counts follow from the sizes of both sides per cluster, so a large cluster, or one that many
-queries probe, is cut into as many blocks as it needs.
+A catalogue of checked size goes to every task once, and the queries stream past it. A larger one meets the
+queries in blocks: a block pair is one group of an Arrow co-group, scored by one matrix product, which gives back the
+best ``top_k`` per query only. No pair of a query and an item ever becomes a row. Block counts follow from the sizes
+of both sides per cluster, so a large cluster, or one that many queries probe, is cut into as many blocks as it
+needs.
+
+Rows without a vector or without an id take no part, on either side. Ids are text. A query id stands for one query.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nextrail.config import METRICS, NPROBE, TOP_K
-from nextrail.functions.vectors import COSINE_EPS, as_double
+from nextrail.functions.vectors import COSINE_EPS, as_double, unit
+from nextrail.functions.vectors import dot as vectors_dot
 from nextrail.operators.skew import default_parts, join_lookup
 from nextrail.sources.tables import stage
 
+#: Bytes of vectors up to which a catalogue is sent to all tasks.
+SHARED_BYTES = 64 << 20
 ITEM_BLOCK = 65_536
 QUERY_BLOCK = 8_192
 # Least number of queries in a block, and scores held at a time.
@@ -58,24 +64,62 @@ def similarity(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarra
     return 1.0 - np.maximum(left + right - 2.0 * product, 0.0)
 
 
-def best_of_block(scores: np.ndarray, top_k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and column numbers of its best ``top_k`` scores, ties by lower column."""
+def best_of_block(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of each row's best ``top_k`` finite scores, in order; ties by lower column."""
     ranked = np.round(scores, TIE_DIGITS)
     width = ranked.shape[1]
     if width > top_k:
-        floor = np.partition(ranked, width - top_k, axis=1)[:, width - top_k]
+        floor = np.partition(ranked, width - top_k, axis=1)[:, width - top_k, None]
+        level = ranked == floor
+        missing = top_k - (ranked > floor).sum(axis=1, keepdims=True)
+        chosen = (ranked > floor) | level & (level.cumsum(axis=1) <= missing)
     else:
-        floor = np.full(len(ranked), -np.inf)
-    for row, least in enumerate(floor):
-        columns = np.flatnonzero((ranked[row] >= least) & (ranked[row] > -np.inf))
-        order = np.argsort(-ranked[row, columns], kind="stable")[:top_k]
-        yield row, columns[order]
+        chosen = np.ones(ranked.shape, bool)
+    rows, columns = np.nonzero(chosen & (ranked > -np.inf))
+    order = np.lexsort((columns, -ranked[rows, columns], rows))
+    return rows[order], columns[order]
+
+
+def _striped(
+    vectors: np.ndarray, items: np.ndarray, metric: str, top_k: int, row: np.ndarray, column: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, item and score of the best pairs; ``row`` (ascending) and ``column`` are the excluded ones."""
+    found = []
+    stripe = max(1, _MATRIX_CELLS // max(1, len(items)))
+    for start in range(0, len(vectors), stripe):
+        scores = similarity(vectors[start : start + stripe], items, metric)
+        low, high = np.searchsorted(row, [start, start + stripe])
+        scores[row[low:high] - start, column[low:high]] = -np.inf
+        rows, columns = best_of_block(scores, top_k)
+        found.append((rows + start, columns, scores[rows, columns]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def usable(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """The rows that can be searched: id as text, vector as floats or doubles; no NULL among them."""
+    return rows.select(F.col(id_col).cast("string").alias(id_col), "embedding", *more).dropna(subset=[id_col, "embedding"])
+
+
+def _checked_sizes(queries: DataFrame, items: DataFrame) -> tuple[int, int, int]:
+    """Number of queries and items, and their dimension; raises if vectors differ in length or query ids repeat."""
+
+    def sizes(rows: DataFrame, *more: Column):
+        length = F.size("embedding")
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("low"), F.max(length).alias("high"), *more).first()
+
+    asked, stored = sizes(queries, F.countDistinct("query_id").alias("ids")), sizes(items)
+    dims = {asked["low"], asked["high"], stored["low"], stored["high"]} - {None}
+    if len(dims) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(dims)}")
+    if asked["ids"] < asked["n"]:
+        raise ValueError("query_id is not unique")
+    return asked["n"], stored["n"], max(dims, default=0)
 
 
 def _score_block(metric: str, top_k: int):
     result = pa.schema([("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         is_query = np.asarray(left["item_id"].is_null())
         queries = left.filter(pa.array(is_query))
         if queries.num_rows == 0 or right.num_rows == 0:
@@ -96,26 +140,13 @@ def _score_block(metric: str, top_k: int):
         order = np.argsort(row, kind="stable")
         row, column = row[order], column[order]
 
-        out_query, out_item, out_score = [], [], []
-        stripe = max(1, _MATRIX_CELLS // len(items))
-        for start in range(0, len(vectors), stripe):
-            scores = similarity(vectors[start : start + stripe], items, metric)
-            low, high = np.searchsorted(row, [start, start + stripe])
-            scores[row[low:high] - start, column[low:high]] = -np.inf
-            for i, columns in best_of_block(scores, top_k):
-                out_query.append(np.full(len(columns), query_ids[start + i], dtype=object))
-                out_item.append(item_ids[columns])
-                out_score.append(scores[i, columns])
+        query, item, score = _striped(vectors, items, metric, top_k, row, column)
         return pa.table(
-            [
-                pa.array(np.concatenate(out_query), pa.string()),
-                pa.array(np.concatenate(out_item), pa.string()),
-                pa.array(np.concatenate(out_score), pa.float64()),
-            ],
+            [pa.array(query_ids[query], pa.string()), pa.array(item_ids[item], pa.string()), pa.array(score)],
             schema=result,
         )
 
-    return score
+    return scored
 
 
 def _block(id_col: str, blocks: str) -> Column:
@@ -212,10 +243,11 @@ def search(
     metric: str = "cosine",
     item_block: int = ITEM_BLOCK,
     query_block: int = QUERY_BLOCK,
+    shared_bytes: int = SHARED_BYTES,
 ) -> DataFrame:
     """Exact top-k: ``query_id, item_id, score, rank`` (K1; K2 is ``metric='dot'``).
 
-    Both sides are counted first; pass staged or written tables if they are costly.
+    Both sides are counted and checked first; pass staged or written tables if they are costly.
 
     ``exclude`` holds pairs ``query_id, item_id`` that are taken out before ranking, so a query gets
     ``top_k`` rows whenever that many items are left. Filtering the nearest ``2 * (top_k + excluded)``
@@ -223,22 +255,17 @@ def search(
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    blocks = (
-        items.agg(F.count(F.lit(1)).alias("n_items"))
-        .withColumn("n_queries", F.lit(queries.count()))
-        .withColumn("item_blocks", _item_blocks(F.col("n_items"), item_block))
-        .withColumn(
-            "query_blocks",
-            _query_blocks(
-                F.col("n_queries"), F.col("item_blocks"), query_block, default_parts(items)
-            ),
-        )
-        .first()
-    )
+    queries, items = usable(queries, "query_id"), usable(items, "item_id")
+    n_queries, n_items, dim = _checked_sizes(queries, items)
+    if n_items * dim * 8 <= shared_bytes:
+        return _shared_search(queries, items, exclude, top_k, metric, dim)
+    item_blocks = max(1, math.ceil(n_items / item_block))
+    spread = min(math.ceil(n_queries / _MIN_QUERIES), math.ceil(4 * default_parts(items) / item_blocks))
+    blocks = {"item_blocks": item_blocks, "query_blocks": max(1, math.ceil(n_queries / query_block), spread)}
 
     def sized(rows: DataFrame) -> DataFrame:
         names = ("item_blocks", "query_blocks")
-        return rows.withColumns({name: F.lit(max(blocks[name] or 1, 1)) for name in names})
+        return rows.withColumns({name: F.lit(blocks[name]) for name in names})
 
     one = F.lit(0).alias("cluster_id")
     barred = None
@@ -254,27 +281,90 @@ def search(
     )
 
 
+def _shared_search(
+    queries: DataFrame, items: DataFrame, exclude: DataFrame | None, top_k: int, metric: str, dim: int
+) -> DataFrame:
+    """Every task gets the whole catalogue once; queries aren't shuffled but for their exclusions.
+
+    A query's exclusions are a list of known items, at most as long as the catalogue.
+    """
+    table = items.toArrow().sort_by("item_id")
+    ids = table["item_id"].to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix(table["embedding"], dim)))
+    rows = queries.select("query_id", as_double(F.col("embedding")).alias("embedding"))
+    # Queries hold little and cost much: every task gets its share of them, dealt as the exclusions are.
+    rows = rows.repartition(default_parts(queries), "query_id")
+    if exclude is not None:
+        pairs = _distinct_exclusions(exclude).join(F.broadcast(items.select("item_id").distinct()), "item_id", "left_semi")
+        lists = pairs.groupBy("query_id").agg(F.collect_list("item_id").alias("barred"))
+        rows = rows.join(lists, "query_id", "left")
+    else:
+        rows = rows.withColumn("barred", F.lit(None).cast("array<string>"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        places = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            barred = [[places[i] for i in found or ()] for found in batch.column("barred").to_pylist()]
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in barred])
+            column = np.array([place for found in barred for place in found], np.int64)
+            asked = _matrix(pa.chunked_array([batch.column("embedding")]), dim)
+            query, item, scores = _striped(asked, vectors, metric, top_k, row, column)
+            first = np.searchsorted(query, query)
+            rank = np.arange(len(query)) - first + 1
+            names = ["query_id", "item_id", "score", "rank"]
+            found = [batch.column("query_id").take(pa.array(query)), pa.array(ids[item], pa.string())]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(scores), pa.array(rank.astype(np.int32))], names)
+
+    return rows.mapInArrow(score, "query_id string, item_id string, score double, rank int")
+
+
+def cluster_points(items: DataFrame, metric: str) -> DataFrame:
+    """``items`` with ``_point``, in a space where near by distance means similar by ``metric``.
+
+    Cosine: unit vectors. Inner product: one more dimension completes all vectors to the largest norm.
+    """
+    vector = as_double(F.col("embedding"))
+    if metric == "cosine":
+        vector = unit(vector)
+    elif metric == "dot":
+        squares = vectors_dot(vector, vector)
+        most = items.agg(F.max(squares).alias("most")).first()["most"] or 0.0
+        vector = F.concat(vector, F.array(F.sqrt(F.greatest(F.lit(most) - squares, F.lit(0.0)))))
+    return items.withColumn("_point", array_to_vector(vector))
+
+
 def cluster_items(
-    items: DataFrame, *, n_clusters: int | None = None, seed: int = 0, max_iter: int = 10
+    items: DataFrame, *, n_clusters: int | None = None, seed: int = 0, max_iter: int = 10, metric: str = "cosine"
 ) -> tuple[DataFrame, DataFrame]:
-    """The items with ``cluster_id``, and the centroids (K4). Trained on all items."""
+    """The items that have a vector with ``cluster_id``, and the centroids (K4). Trained on all of them for ``metric``.
+
+    The start is drawn at random; choosing it by distance would cluster many times as many points on the driver.
+    """
+    items = items.where(F.col("embedding").isNotNull())
     n_clusters = n_clusters or n_lists(items.count())
-    points = items.withColumn("_point", array_to_vector(as_double(F.col("embedding"))))
+    # Copies would take up several of the drawn starts.
+    distinct = stage(items.select("embedding").distinct())
     model = KMeans(
-        k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cluster_id"
-    ).fit(points)
+        k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cluster_id", initMode="random"
+    ).fit(cluster_points(distinct, metric))
     # One row per cluster, about the square root of the number of items.
     centroids = items.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cluster_id int, centroid array<double>",
     )
-    return model.transform(points).drop("_point"), centroids
+    return model.transform(cluster_points(items, metric)).drop("_point"), centroids
 
 
-def probe_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> DataFrame:
-    """The ``nprobe`` clusters nearest to each query, one row each.
+def probe_clusters(
+    queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE, metric: str = "cosine"
+) -> DataFrame:
+    """The ``nprobe`` clusters most similar to each query by ``metric``, one row each; ties by lower id.
 
-    The centroids, about sqrt(n) rows, go to every task as one array.
+    The centroids, about sqrt(n) rows, go to every task as one array. Where they have one dimension more than the
+    queries (see ``cluster_points``), it is left out.
     """
     ids, points = [], []
     for row in centroids.orderBy("cluster_id").collect():
@@ -286,18 +376,20 @@ def probe_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROB
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, points = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or len(ids) == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            vectors = _matrix(table["embedding"], points.shape[1])
-            near = np.argsort(-similarity(vectors, points, "l2"), axis=1, kind="stable")[:, :nprobe]
-            rows = np.repeat(np.arange(len(vectors)), near.shape[1])
+            dim = len(batch.column("embedding")[0])
+            nothing = np.array([], np.int64)
+            rows, near, _ = _striped(
+                _matrix(table["embedding"], dim), points[:, :dim], metric, nprobe, nothing, nothing
+            )
             chosen = table.take(pa.array(rows))
-            chosen = chosen.append_column("cluster_id", pa.array(ids[near.ravel()], pa.int32()))
+            chosen = chosen.append_column("cluster_id", pa.array(ids[near], pa.int32()))
             yield from chosen.combine_chunks().to_batches()
 
-    plain = queries.select("query_id", as_double(F.col("embedding")).alias("embedding"))
-    return plain.mapInArrow(probe, schema)
+    plain = usable(queries, "query_id")
+    return plain.select("query_id", as_double(F.col("embedding")).alias("embedding")).mapInArrow(probe, schema)
 
 
 def search_clusters(
@@ -318,7 +410,9 @@ def search_clusters(
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    probes = stage(probe_clusters(queries, centroids, nprobe))
+    items = usable(items, "item_id", "cluster_id").where(F.col("cluster_id").isNotNull())
+    _checked_sizes(usable(queries, "query_id"), items)
+    probes = stage(probe_clusters(queries, centroids, nprobe, metric))
     size = F.count(F.lit(1))
     n_items = items.groupBy("cluster_id").agg(size.alias("n_items"))
     n_queries = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
@@ -337,7 +431,7 @@ def search_clusters(
     )
 
     def sized(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(sizes), "cluster_id")
+        return rows.join(sizes, "cluster_id")
 
     barred = None
     if exclude is not None:

@@ -360,7 +360,7 @@ def knn_clusters(spark: SparkSession, d: str, nprobe: int | None) -> DataFrame:
     return candidates(found)
 
 
-def knn_probe_labels(spark: SparkSession, d: str) -> DataFrame:
+def knn_probe_labels(spark: SparkSession, d: str, metric: str = "dot") -> DataFrame:
     """The vectors clustered by their label, the three nearest of the labels' mean vectors probed."""
     items = wh.table(spark, d, "embeddings").select(
         F.col("vec_id").cast("string").alias("item_id"),
@@ -372,7 +372,7 @@ def knn_probe_labels(spark: SparkSession, d: str) -> DataFrame:
     )
     queries = items.select(F.col("item_id").alias("query_id"), "embedding")
     return candidates(
-        search.search_clusters(queries, items, means, top_k=10, nprobe=3, metric="dot")
+        search.search_clusters(queries, items, means, top_k=10, nprobe=3, metric=metric)
     )
 
 
@@ -614,6 +614,8 @@ QUERIES: dict[str, Query] = {
     "knn_full_probe": partial(knn_clusters, nprobe=None),
     "knn_probe8": partial(knn_clusters, nprobe=8),
     "knn_probe_labels": knn_probe_labels,
+    "knn_probe_labels_cosine": partial(knn_probe_labels, metric="cosine"),
+    "knn_probe_labels_l2": partial(knn_probe_labels, metric="l2"),
     "knn_inner_product": knn_inner_product,
     "recommend_probing": recommend_probing,
     "index_sizes": index_sizes,

@@ -37,7 +37,7 @@ def write_store(
     has_vector = F.col(config.embedding_col).isNotNull()
     assert_dimension(table.where(has_vector), config.embedding_col)
     named = table.where(has_vector).withColumnRenamed(config.embedding_col, "embedding")
-    clustered, centroids = cluster_items(named, seed=seed)
+    clustered, centroids = cluster_items(named, seed=seed, metric=config.metric)
     clustered = clustered.withColumnRenamed("embedding", config.embedding_col)
     clustered = clustered.unionByName(
         table.where(~has_vector).withColumn("cluster_id", F.lit(None).cast("int"))

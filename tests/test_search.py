@@ -89,6 +89,40 @@ def test_probing(queries, items):
     assert hits / (10 * len(exact)) > 0.6
 
 
+@pytest.mark.parametrize("metric,least", [("cosine", 0.95), ("dot", 0.8), ("l2", 0.95)])
+def test_probing_follows_the_metric(spark, metric, least):
+    """Clustered vectors of uneven lengths: eight of 32 clusters hold nearly all of the best."""
+    random = np.random.default_rng(7)
+    centres = random.normal(size=(40, 16))
+    matrix = centres[random.integers(40, size=1500)] + 0.25 * random.normal(size=(1500, 16))
+    matrix *= random.lognormal(0, 0.7, size=(1500, 1)) if metric != "l2" else 1
+    rows = [(f"i{k}", [float(x) for x in v]) for k, v in enumerate(matrix)]
+    items = spark.createDataFrame(rows, "item_id string, embedding array<double>")
+    asked = items.limit(60).withColumnRenamed("item_id", "query_id")
+    clustered, centroids = search.cluster_items(items, metric=metric)
+    exact = found(search.search(asked, items, metric=metric))
+    near = found(search.search_clusters(asked, clustered, centroids, metric=metric, nprobe=8))
+    assert np.mean([len(set(exact[q]) & set(near[q])) / 20 for q in exact]) >= least
+
+
+def test_rows_without_vectors_take_no_part(spark, items, queries):
+    few = spark.createDataFrame(
+        [(1, None), (2, [1.0] * DIM), (None, [1.0] * DIM)], "item_id long, embedding array<double>"
+    )
+    asked = spark.createDataFrame([("a", [1.0] * DIM), ("b", None)], "query_id string, embedding array<double>")
+    for shared in (search.SHARED_BYTES, 0):
+        rows = search.search(asked, few, shared_bytes=shared).collect()
+        assert [(r["query_id"], r["item_id"], r["rank"]) for r in rows] == [("a", "2", 1)]
+        nothing = search.search(asked, few.where("false"), shared_bytes=shared)
+        assert nothing.count() == 0
+        want = found(search.search(queries, items, top_k=5))
+        assert found(search.search(queries, items, top_k=5, item_block=30, shared_bytes=shared)) == want
+    with pytest.raises(ValueError, match="lengths"):
+        search.search(asked, few.unionByName(few.select(F.lit(9).alias("item_id"), F.array(F.lit(1.0)).alias("embedding"))))
+    with pytest.raises(ValueError, match="unique"):
+        search.search(asked.unionByName(asked), few)
+
+
 @pytest.mark.parametrize("n,lists", [(1, 1), (3, 1), (4, 2), (500, 16), (2000, 32), (10**8, 8192)])
 def test_number_of_clusters(n, lists):
     assert search.n_lists(n) == lists
