@@ -581,6 +581,24 @@ FROM log l LEFT JOIN parts v ON v.item_id = l.item_id""",
         LOG["orders"],
         PARTS,
     ),
+    "lookup_user": query(
+        """SELECT CAST(o_orderkey AS VARCHAR) AS request_id, CAST(o_custkey AS VARCHAR) AS user_id, c.user_text,
+  c.user_id IS NOT NULL AS is_found
+FROM orders LEFT JOIN customers c ON c.user_id = CAST(o_custkey AS VARCHAR)""",
+        CUSTOMERS,
+    ),
+    "prepared_stages": query(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS stage, f.user_id, f.item_id, event_value, item_text, user_text
+FROM flagged f LEFT JOIN parts p ON p.item_id = f.item_id LEFT JOIN customers c ON c.user_id = f.user_id
+WHERE is_{name}"""
+            for name in ("train", "val", "test", "predict")
+        ),
+        LOG["orders"],
+        PARTS,
+        CUSTOMERS,
+        SPLIT,
+    ),
     "new_targets": query(
         """SELECT user_id, item_id FROM (
   SELECT user_id, item_id, is_train, bool_or(is_train) OVER (PARTITION BY user_id, item_id) AS known FROM flagged)
@@ -620,6 +638,7 @@ JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item
     "knn_exact_cosine": knn("cosine"),
     "knn_exact_l2": knn("l2"),
     "knn_full_probe": knn("cosine"),
+    "knn_stored": knn("cosine"),
     "knn_excluding_seen": query(
         CANDIDATES,
         *base("orders"),

@@ -1,4 +1,4 @@
-"""Texts and histories to vectors."""
+"""Texts and histories to vectors."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,38 +201,3 @@ def prefix_means(
     means = F.array(*[F.avg(F.col("embedding")[i]).over(so_far) for i in range(dim)])
     out = rows.select("query_id", "pos", means.alias("embedding"))
     return out.withColumn("embedding", unit(F.col("embedding"))) if config.normalize else out
-
-
-def learn_item_vectors(
-    sequences: DataFrame,
-    *,
-    items_col: str = "item_ids",
-    dim: int = 64,
-    window: int = 5,
-    min_count: int = 1,
-    seed: int = 0,
-    iterations: int = 1,
-    partitions: int = 1,
-    max_items: int = 2_000_000,
-) -> DataFrame:
-    """Item vectors learnt from item sequences with Spark ML's Word2Vec.
-
-    It takes the place of a training loop; the vectors serve ``encode_histories`` and search. Spark ML holds
-    the vectors of all items on the driver, so the number of items is checked against ``max_items``.
-    """
-    n_items = sequences.select(F.explode(items_col).alias("item")).distinct().count()
-    if n_items > max_items:
-        raise ValueError(f"{n_items} items do not fit the driver; the bound is {max_items}")
-    model = Word2Vec(
-        inputCol=items_col,
-        outputCol="_v",
-        vectorSize=dim,
-        windowSize=window,
-        minCount=min_count,
-        seed=seed,
-        maxIter=iterations,
-        numPartitions=partitions,
-    ).fit(sequences)
-    return model.getVectors().select(
-        F.col("word").alias("item_id"), vector_to_array("vector", "float32").alias("embedding")
-    )

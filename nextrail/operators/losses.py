@@ -7,7 +7,8 @@ candidates are never gathered: its target logit comes back by a join, all else i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +17,69 @@ from nextrail.config import LossConfig
 from nextrail.functions.text import safe_ratio
 from nextrail.operators.skew import heavy_keys, join_lookup
 
-# The names that results must have, with the kind of logit it is computed on.
-LOSSES = {
-    "AlignmentLoss": "cosine",
-    "AlignmentContrastiveLoss": "cosine",
-    "ContrastiveLoss": "cosine",
-    "InfoNCELoss": "dot",
-    "NCELoss": "dot",
-    "PairwiseHingeLoss": "dot",
-    "PairwiseLogisticLoss": "dot",
+
+@dataclass(frozen=True)
+class Terms:
+    """What a loss is made of: columns of a candidate row, and the mean over the valid negatives of its query."""
+
+    logit: Column
+    target: Column
+    negative: Column
+    shift: Column
+    config: LossConfig
+
+    def over_negatives(self, value: Column) -> Column:
+        total = F.coalesce(F.sum(F.when(self.negative, value)), F.lit(0.0))
+        return safe_ratio(total, F.count_if(self.negative))
+
+    @property
+    def log_sum_exp(self) -> Column:
+        """Of target and valid negatives, scaled."""
+        return F.log(F.sum(F.exp(self.exponent - self.shift))) + F.max(self.shift)
+
+    @property
+    def exponent(self) -> Column:
+        counted = self.negative | F.col("is_target")
+        return F.when(counted, self.config.scale * self.logit)
+
+    @property
+    def beyond(self) -> Column:
+        return self.logit - self.target * (1 - self.config.margin)
+
+
+@dataclass(frozen=True)
+class Loss:
+    """``kind`` of logit it is computed on, and its value per query, an aggregate of the candidate rows."""
+
+    kind: str
+    value: Callable[[Terms], Column]
+
+
+def alignment(q: Terms) -> Column:
+    return F.max(1 - q.target)
+
+
+def contrastive(q: Terms) -> Column:
+    return q.over_negatives(relu(q.logit - 1 + q.config.margin))
+
+
+# The names that results must have.
+LOSSES: dict[str, Loss] = {
+    "AlignmentLoss": Loss("cosine", alignment),
+    "AlignmentContrastiveLoss": Loss("cosine", lambda q: alignment(q) + contrastive(q)),
+    "ContrastiveLoss": Loss("cosine", contrastive),
+    "InfoNCELoss": Loss("dot", lambda q: q.log_sum_exp - q.config.scale * F.max(q.target)),
+    "NCELoss": Loss("dot", lambda q: F.max(softplus(-q.target)) + q.over_negatives(softplus(q.logit))),
+    "PairwiseHingeLoss": Loss("dot", lambda q: q.over_negatives(relu(q.beyond))),
+    "PairwiseLogisticLoss": Loss("dot", lambda q: q.over_negatives(softplus(q.beyond))),
 }
 
 
+def register_loss(name: str, kind: str, value: Callable[[Terms], Column]) -> None:
+    """Adds a loss to all results that follow."""
+    LOSSES[name] = Loss(kind, value)
+
+
 def mark_target(candidates: DataFrame, config: LossConfig = LossConfig(), target_col: str | None = None) -> DataFrame:
     """``is_target`` from the candidate's ``slot`` (L1).
 
@@ -107,34 +159,19 @@ def query_losses(
     *,
     heavy: Sequence | None = None,
 ) -> DataFrame:
-    """All seven losses per query on one kind of logit."""
+    """All losses per query on one kind of logit."""
     heavy = heavy_keys(scored, "query_id") if heavy is None else heavy
     rows = valid_negatives(scored, config, logit, heavy=heavy)
     x, t, negative = F.col("logit"), F.col("target_logit"), F.col("is_negative")
-    n_negatives = F.count_if(negative)
-
-    def over_negatives(value: Column) -> Column:
-        return safe_ratio(F.coalesce(F.sum(F.when(negative, value)), F.lit(0.0)), n_negatives)
-
     # The shift is the largest exponent that is summed; with masking on that is the target's.
-    exponent = F.when(negative | F.col("is_target"), config.scale * x)
-    if config.mask_false_negatives and config.scale >= 0:
-        shift = config.scale * t
-    else:
+    shift = config.scale * t
+    if not config.mask_false_negatives or config.scale < 0:
+        exponent = Terms(x, t, negative, shift, config).exponent
         largest = rows.groupBy("query_id").agg(F.max(exponent).alias("shift"))
         rows = join_lookup(rows, largest, "query_id", "inner", heavy=heavy)
         shift = F.col("shift")
-    beyond = x - t * (1 - config.margin)
-    per_query = rows.groupBy("batch_id", "query_id").agg(
-        F.max(1 - t).alias("AlignmentLoss"),
-        over_negatives(relu(x - 1 + config.margin)).alias("ContrastiveLoss"),
-        (F.log(F.sum(F.exp(exponent - shift))) + F.max(shift) - config.scale * F.max(t)).alias("InfoNCELoss"),
-        (F.max(softplus(-t)) + over_negatives(softplus(x))).alias("NCELoss"),
-        over_negatives(relu(beyond)).alias("PairwiseHingeLoss"),
-        over_negatives(softplus(beyond)).alias("PairwiseLogisticLoss"),
-    )
-    both = F.col("AlignmentLoss") + F.col("ContrastiveLoss")
-    return per_query.withColumn("AlignmentContrastiveLoss", both)
+    terms = Terms(x, t, negative, shift, config)
+    return rows.groupBy("batch_id", "query_id").agg(*[loss.value(terms).alias(name) for name, loss in LOSSES.items()])
 
 
 def batch_losses(
@@ -151,7 +188,7 @@ def batch_losses(
     heavy = heavy_keys(scored, "query_id")
     result = None
     for column in sorted(set(logits.values())):
-        names = [name for name, kind in LOSSES.items() if logits[kind] == column]
+        names = [name for name, loss in LOSSES.items() if logits[loss.kind] == column]
         sums = query_losses(scored, config, column, heavy=heavy).groupBy("batch_id").agg(
             F.count(F.lit(1)).alias("n_queries"), *[F.sum(name).alias(name) for name in names]
         )

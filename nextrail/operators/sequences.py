@@ -257,8 +257,11 @@ def assign_batches(
 ) -> DataFrame:
     """``batch_id``: the examples in a drawn order, ``batch_size`` at a time."""
     key = draw(F.lit("batch"), F.lit(config.seed), F.lit(epoch), F.col("user_id"), F.col("copy"))
-    ordered = in_key_order(examples, key, "ordinal", ties=["user_id", "copy"])
-    return ordered.withColumn("batch_id", F.expr(f"ordinal div {config.batch_size}")).drop("ordinal")
+    # Only the keys are numbered, in as many ranges as keep each small; the lists and texts join them by key.
+    names = examples.select("user_id", "copy")
+    ordered = in_key_order(names, key, "ordinal", ties=["user_id", "copy"])
+    batch = F.expr(f"ordinal div {config.batch_size}").alias("batch_id")
+    return examples.join(ordered.select("user_id", "copy", batch), ["user_id", "copy"])
 
 
 def pad_batches(batched: DataFrame) -> DataFrame:

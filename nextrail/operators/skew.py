@@ -177,13 +177,15 @@ def _chunked(
 
 
 def in_key_order(
-    df: DataFrame, key: Column, name: str, *, ties: Sequence[str], buckets: int = 4096
+    df: DataFrame, key: Column, name: str, *, ties: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Ordinals 0.. over the whole table in the order of ``key``, an evenly spread 60-bit hash.
 
     Equal-width ranges of an even hash are balanced, so each range numbers its own rows and adds the
-    number of rows in lower ranges. Only the ``buckets`` range sizes meet in one task.
+    number of rows in lower ranges. Only the ``buckets`` range sizes meet in one task; by default there are so
+    many ranges that each holds about a million rows.
     """
+    buckets = buckets or max(64, df.count() // 1_000_000)
     marked = df.withColumn("_key", key).withColumn(
         "_bucket", F.expr(f"_key div {(1 << 60) // buckets}")
     )
@@ -194,7 +196,7 @@ def in_key_order(
     )
     inside = Window.partitionBy("_bucket").orderBy("_key", *ties)
     return (
-        marked.join(F.broadcast(offsets), "_bucket")
+        marked.join(offsets, "_bucket")
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_key", "_bucket", "_offset")
     )

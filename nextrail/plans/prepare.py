@@ -13,7 +13,7 @@ from nextrail.operators.encode import ModelFn, embed_text
 from nextrail.operators.skew import heavy_keys
 from nextrail.operators.split import train_test_split
 from nextrail.sources.raw import load_events, load_items, load_users
-from nextrail.sources.tables import assert_unique, materialize, read_split, stage
+from nextrail.sources.tables import assert_unique, content_id, materialize, read_split, stage
 
 
 @dataclass(frozen=True)
@@ -32,12 +32,15 @@ def prepare(
     split: SplitConfig = SplitConfig(),
     chunk_rows: int = CHUNK_ROWS,
     overwrite: bool = False,
+    version: str | None = None,
 ) -> Prepared:
     """Split the log, join the texts, and write ``events``, ``items`` and ``users`` under ``folder``.
 
-    Tables found there are read, not built again, unless they were built with other parameters.
+    Tables found there are read, not built again, unless they were built with other parameters or from other
+    rows. ``version`` names the inputs; without it their rows are counted and hashed, one pass each.
     """
     spark = events.sparkSession
+    inputs = version or ",".join(content_id(table) for table in (events, items, users))
 
     @cache
     def raw() -> DataFrame:
@@ -55,7 +58,7 @@ def prepare(
         )
         return enrich_events(flagged, items, heavy_items=heavy_keys(raw(), "item_id"))
 
-    params = asdict(split)
+    params = {**asdict(split), "inputs": inputs}
     log = materialize(
         spark, f"{folder}/events.parquet", build_events, params=params, overwrite=overwrite
     )

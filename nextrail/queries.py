@@ -6,21 +6,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nextrail.config import EncoderConfig, LossConfig, SequenceConfig
+from nextrail.config import EncoderConfig, IndexConfig, LossConfig, SequenceConfig
 from nextrail.functions import vectors as vec
 from nextrail.operators import activity, encode, lookup, losses, metrics, recommend, search
 from nextrail.operators import sequences as seq
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.operators.split import split_summary, train_test_split
 from nextrail.plans.evaluate import evaluate, histories_of
+from nextrail.plans.prepare import prepare
 from nextrail.plans.training import training_examples
 from nextrail.sources import warehouse as wh
-from nextrail.sources.tables import stage, table_counts
+from nextrail.sources.tables import own_folder, read_split, stage, table_counts
+from nextrail.sources.vector_store import open_store, write_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIM = 64
@@ -145,6 +147,19 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table_counts(wh.part_items(spark, d))
 
 
+def prepared_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The events of each stage, from the tables that ``prepare`` writes and ``read_split`` scans."""
+    folder = own_folder(spark, "prepared")
+    prepare(wh.order_log(spark, d), wh.part_items(spark, d), wh.customer_users(spark, d), folder)
+    parts = [
+        read_split(spark, f"{folder}/events.parquet", f"is_{name}").select(
+            F.lit(name).alias("stage"), "user_id", "item_id", "event_value", "item_text", "user_text"
+        )
+        for name in ("train", "val", "test", "predict")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- sequences ---
 
 
@@ -278,6 +293,15 @@ def lookup_one(spark: SparkSession, d: str) -> DataFrame:
     return found.select("request_id", "item_id", "item_text", "is_found")
 
 
+def lookup_user(spark: SparkSession, d: str) -> DataFrame:
+    """The customer of each order, by id."""
+    asked = wh.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_custkey").cast("string").alias("user_id")
+    )
+    found = lookup.lookup_one(asked, wh.customer_users(spark, d), id_col="user_id")
+    return found.select("request_id", "user_id", "user_text", "is_found")
+
+
 def new_targets(spark: SparkSession, d: str) -> DataFrame:
     """Held-out (user, item) rows whose item is not in the user's history."""
     events = Log(spark, d, "orders").split().select("user_id", "item_id", "is_train")
@@ -385,6 +409,18 @@ def knn_inner_product(spark: SparkSession, d: str) -> DataFrame:
     return candidates(search.search(encoded, items, exclude=past, metric="dot", top_k=10))
 
 
+def knn_stored(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors through an index that is written, opened again and probed in full."""
+    queries, items = all_vectors(spark, d)
+    path = own_folder(spark, "store")
+    write_store(items, path, IndexConfig(metric="cosine"))
+    store = open_store(spark, path)
+    found = search.search_clusters(
+        queries, store.items, store.centroids, nprobe=store.centroids.count(), metric=store.config.metric
+    )
+    return candidates(found)
+
+
 def recommend_probing(spark: SparkSession, d: str) -> DataFrame:
     """Items for customers through the clustered index, all of its clusters probed."""
     source = Log(spark, d, "orders")
@@ -413,13 +449,6 @@ def embed_text_default(spark: SparkSession, d: str) -> DataFrame:
     return by_dimension(encode.embed_text(documents, "text"), "doc_id").where("value <> 0")
 
 
-def item2vec(spark: SparkSession, d: str) -> DataFrame:
-    sequences = Log(spark, d, "events").nested()
-    sequences = sequences.select(F.col("history.item_id").alias("item_ids")).where("size(item_ids) > 0")
-    learnt = encode.learn_item_vectors(sequences, dim=16)
-    return learnt.select("item_id", F.size("embedding").alias("dim"))
-
-
 # --- recommendation and evaluation ---
 
 
@@ -580,6 +609,7 @@ QUERIES: dict[str, Query] = {
     "user_history_events": partial(user_history, log="events"),
     "user_history_orders": partial(user_history, log="orders"),
     "users_flagged": users_flagged,
+    "prepared_stages": prepared_stages,
     "table_sizes": table_sizes,
     "vocabulary": vocabulary,
     "history_trimmed_events": partial(history_trimmed, log="events"),
@@ -598,6 +628,7 @@ QUERIES: dict[str, Query] = {
     "lookup_ordered": lookup_ordered,
     "lookup_store": lookup_store,
     "lookup_one": lookup_one,
+    "lookup_user": lookup_user,
     "new_targets": new_targets,
     "pooled_mean": partial(pooled, mode="mean"),
     "pooled_mean_unit": partial(pooled, mode="mean", normalize=True),
@@ -612,6 +643,7 @@ QUERIES: dict[str, Query] = {
     "knn_exact_l2": partial(knn_exact, metric="l2"),
     "knn_excluding_seen": knn_excluding_seen,
     "knn_full_probe": partial(knn_clusters, nprobe=None),
+    "knn_stored": knn_stored,
     "knn_probe8": partial(knn_clusters, nprobe=8),
     "knn_probe_labels": knn_probe_labels,
     "knn_probe_labels_cosine": partial(knn_probe_labels, metric="cosine"),
@@ -620,7 +652,6 @@ QUERIES: dict[str, Query] = {
     "recommend_probing": recommend_probing,
     "index_sizes": index_sizes,
     "embed_text_default": embed_text_default,
-    "item2vec": item2vec,
     "recommend_history_events": partial(recommend_history, log="events"),
     "recommend_history_orders": partial(recommend_history, log="orders"),
     "recommend_user_events": partial(recommend_user, log="events"),

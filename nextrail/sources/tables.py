@@ -27,14 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder, which is removed with all in it when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there.
+    """``df`` written once to the shared folder and read from there, until the application ends.
 
     What follows survives lost executors without the work before it, reads only the columns it needs, and
     sees the same rows however often it reads them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = own_folder(spark, "stage") + "/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +58,13 @@ def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.limit(rows)
 
 
+def content_id(df: DataFrame) -> str:
+    """The number of rows and the sum of their hashes, whatever their order: one pass, two numbers."""
+    hashes = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)"))
+    rows, total = df.agg(F.count(F.lit(1)), hashes).first()
+    return f"{rows}:{total}"
+
+
 def _stamp_of(spark: SparkSession, path: str) -> str | None:
     try:
         found = spark.read.json(path, schema="params STRING").first()

@@ -3,10 +3,10 @@
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from nextrail.config import LossConfig
-from nextrail.operators import losses
+from nextrail.operators import losses, metrics
 from nextrail.operators.metrics import METRICS, best_run, mean_metrics, retrieval_metrics
 
 
@@ -47,7 +47,7 @@ def test_mean_and_best_run(spark):
     assert best_run(df).first()["run_id"] == "r2"
     scores = spark.createDataFrame([(s, *[v] * 7) for s, v in (("val", 0.0), ("val", 1.0), ("test", 0.25))],
                                    "stage string, " + ", ".join(f"{m} double" for m in METRICS))
-    got = {r["stage"]: (r["n_queries"], r[METRICS[0]]) for r in mean_metrics(scores, "stage").collect()}
+    got = {r["stage"]: (r["n_queries"], r[list(METRICS)[0]]) for r in mean_metrics(scores, "stage").collect()}
     assert got == {"val": (2, 0.5), "test": (1, 0.25)}
 
 
@@ -85,18 +85,16 @@ LOGITS[4, 0] = -9.0  # all negatives masked
 
 
 @pytest.mark.parametrize("config", CONFIGS)
-def test_losses_of_a_table_and_of_a_matrix(spark, heavy_rows, config):
+def test_losses_of_a_table(spark, heavy_rows, config):
     rows = [
         (q // 6, f"q{q}", f"c{c:02d}", c, float(x)) for q, line in enumerate(LOGITS) for c, x in enumerate(line)
     ]
     scored = spark.createDataFrame(rows, "batch_id long, query_id string, cand_id string, slot int, dot double")
     scored = losses.mark_target(scored, config)
     got = {r["query_id"]: r for r in losses.query_losses(scored, config).collect()}
-    matrix = row_losses(LOGITS, LOGITS, config)
     for q, line in enumerate(LOGITS):
         for name, value in plain_losses(line, config).items():
             assert got[f"q{q}"][name] == pytest.approx(value, abs=1e-9)
-            assert matrix[name][q] == pytest.approx(value, abs=1e-9)
     sums = losses.batch_losses(scored, config, logits={"dot": "dot", "cosine": "dot"}).collect()
     for row in sums:
         mine = [plain_losses(line, config) for q, line in enumerate(LOGITS) if q // 6 == row["batch_id"]]
@@ -105,9 +103,27 @@ def test_losses_of_a_table_and_of_a_matrix(spark, heavy_rows, config):
             assert row[f"{name}Mean"] == pytest.approx(sum(m[name] for m in mine) / 6, abs=1e-8)
 
 
-def test_all_negatives_masked_gives_no_loss():
-    got = row_losses(np.array([[0.1, 0.5, 0.9]]), np.array([[0.1, 0.5, 0.9]]), LossConfig())
-    assert got["InfoNCELoss"][0] == pytest.approx(0) and got["PairwiseHingeLoss"][0] == 0
+def test_all_negatives_masked_gives_no_loss(spark):
+    rows = [(0, "q", f"c{c}", c == 0, x) for c, x in enumerate([0.1, 0.5, 0.9])]
+    scored = spark.createDataFrame(rows, "batch_id long, query_id string, cand_id string, is_target boolean, dot double")
+    got = losses.query_losses(scored).first()
+    assert got["InfoNCELoss"] == pytest.approx(0) and got["PairwiseHingeLoss"] == 0
+
+
+def test_own_losses_and_metrics(spark, monkeypatch):
+    monkeypatch.setattr(losses, "LOSSES", dict(losses.LOSSES))
+    losses.register_loss("LargestNegative", "dot", lambda q: F.max(F.when(q.negative, q.logit)))
+    rows = [(0, "q", f"c{c}", c == 0, x, x) for c, x in enumerate([0.7, 0.5, 0.9])]
+    scored = spark.createDataFrame(
+        rows, "batch_id long, query_id string, cand_id string, is_target boolean, dot double, cosine double"
+    )
+    assert losses.batch_losses(scored).first()["LargestNegative"] == 0.5
+    monkeypatch.setattr(metrics, "METRICS", dict(metrics.METRICS))
+    metrics.register_metric("n_hits", lambda q: q.count.cast("double"))
+    recs = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query_id string, item_id string, rank int")
+    targets = spark.createDataFrame([("q", "b"), ("q", "c")], "query_id string, item_id string")
+    scores = metrics.retrieval_metrics(recs, targets, 2)
+    assert metrics.mean_metrics(scores).first()["n_hits"] == 1
 
 
 def test_equal_negative_is_masked(spark):

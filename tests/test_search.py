@@ -233,14 +233,6 @@ def test_default_text_vectors(spark):
     assert {r["item_id"]: r["embedding"] for r in plugged}["a"] == [8.0]
 
 
-def test_item_vectors_from_sequences(spark):
-    sequences = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],)] * 5, "item_ids array<string>")
-    rows = encode.learn_item_vectors(sequences, dim=4).collect()
-    assert {r["item_id"] for r in rows} == {"a", "b", "c"} and len(rows[0]["embedding"]) == 4
-    with pytest.raises(ValueError, match="bound"):
-        encode.learn_item_vectors(sequences, max_items=2)
-
-
 def test_lookups(spark, items, heavy_rows):
     asked = lookup.requested(
         spark.createDataFrame([("r", ["i002", "x", "i001", "i002"])], "request_id string, ids array<string>"), "ids"
