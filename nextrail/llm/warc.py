@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nextrail.sources.tables import shared_folder
+from nextrail.sources.tables import own_folder
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -275,7 +275,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The records of ``pages`` written to a new folder beside the session's checkpoints and read back."""
     spark = pages.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     write_archives(pages, folder, id_col, url_col, html_col)
     return read_archives(spark, folder)
