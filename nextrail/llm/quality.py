@@ -25,7 +25,7 @@ MAX_LOST = 50
 #: Percent of symbols, and of words that end in "!!", in a line from which on it fails.
 MAX_SYMBOLS, MAX_SHOUTED = 5, 30
 #: A line of prose ends so, before closing quotes and brackets; short lines without such an end fail.
-PROSE_END = "[.!?…:;,。！？]['\"”’»)\\]]*$"
+PROSE_END = "[.!?…:;,。！？]['\"”’»)\\]]*\\z"
 SHORT_LINE = 8
 #: Phrases (lower case) of menus and of boilerplate; a line with one fails if it is short, as prose may quote it.
 PHRASES = (
@@ -155,3 +155,52 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all columns as they are."""
     return docs.where(measures(docs[text_col])["kept"])
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``quality`` over the table ``documents``."""
+    space, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+    end = PROSE_END.replace("'", "''")
+    bare = f"regexp_replace(line, '^{space}+|{space}+$', '', 'g')"
+
+    def count(characters: str) -> str:
+        return f"len(regexp_extract_all(bare, '{characters}'))"
+
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{word}+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+  FROM texts
+), windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM parts)
+), repeated AS (
+  SELECT doc_id, unnest([i, i + 1, i + 2]) AS place
+  FROM (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM repeated GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, {bare} AS bare FROM (SELECT doc_id, unnest(lines) AS line FROM parts)
+), measured AS (
+  SELECT *, {count(space + '+')} + 1 AS n_words, {count('[#*$%&|<>]')} AS symbols, {count('[|»›>]')} AS separators,
+    {count('!!')} AS shouted
+  FROM lines
+), failed AS (
+  SELECT doc_id, count(*) AS n, sum(length(regexp_replace(bare, '{space}', '', 'g'))) AS chars FROM measured
+  WHERE symbols * 100 >= length(bare) * {MAX_SYMBOLS} AND symbols >= 2
+    OR separators >= 2 AND separators * 4 >= n_words
+    OR shouted >= 2 AND shouted * 100 >= n_words * {MAX_SHOUTED}
+    OR n_words <= {PHRASE_LINE} AND regexp_matches(lower(bare), '{'|'.join(PHRASES)}')
+    OR n_words <= {SHORT_LINE} AND NOT regexp_matches(bare, '{end}')
+  GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{space}', '', 'g')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(f.n, 0) AS n_failed_lines, coalesce(f.chars, 0)::BIGINT AS lost_chars
+  FROM parts LEFT JOIN repeats r USING (doc_id) LEFT JOIN failed f USING (doc_id)
+), judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM base
+)
+SELECT *, NOT base_failed AND lost_chars * 100 <= word_chars * {MAX_LOST} AS kept FROM judged
+"""

@@ -59,13 +59,14 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.round_trip(table(spark, folder, "pages")).select(
-        F.col("page_id").cast("long").alias("page_id"),
+    """A record that can't be read ends the query with what is wrong with it."""
+    read = warc.round_trip(table(spark, folder, "pages"))
+    return read.select(
+        F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("page_id")).cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
-        "error",
     )
 
 
@@ -91,4 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_top_k": topk.ORACLE, "op4_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": topk.ORACLE,
+    "op4_line_dedup": lines.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op9_quality_rules": quality.oracle(),
+}

@@ -279,3 +279,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     write_archives(pages, folder, id_col, url_col, html_col)
     return read_archives(spark, folder)
+
+
+ORACLE = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT *, strlen(html) AS size, min(page_id) OVER (PARTITION BY html) AS least FROM payloads)
+SELECT page_id, size AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN size >= {SMALLEST_REVISIT} AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= {SMALLEST_REVISIT} AND page_id <> least THEN least END AS refers_to
+FROM firsts
+"""
