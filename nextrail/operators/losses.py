@@ -7,7 +7,7 @@ candidates are never gathered: its target logit comes back by a join, all else i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nextrail.config import LossConfig
 from nextrail.functions.text import safe_ratio
-from nextrail.operators.skew import heavy_keys, join_lookup
+from nextrail.operators.skew import join_lookup
 
 
 @dataclass(frozen=True)
@@ -110,31 +110,28 @@ def valid_negatives(
     scored: DataFrame,
     config: LossConfig = LossConfig(),
     logit: str = "dot",
-    *,
-    heavy: Sequence | None = None,
 ) -> DataFrame:
     """The rows with ``logit``, their query's ``target_logit``, and ``is_negative`` (L2, L3).
 
     With masking on, a candidate that scores at least as high as the target is no negative. Hard negatives
     are the highest of the valid ones, ties by ``cand_id``.
     """
-    heavy = heavy_keys(scored, "query_id") if heavy is None else heavy
     rows = scored.withColumn("logit", F.col(logit).cast("double"))
     targets = rows.groupBy("query_id").agg(
         F.max(F.when(F.col("is_target"), F.col("logit"))).alias("target_logit")
     )
-    rows = join_lookup(rows, targets, "query_id", "inner", heavy=heavy)
+    rows = join_lookup(rows, targets, "query_id", "inner")
     if config.mask_false_negatives:
         negative = F.col("logit") < F.col("target_logit")
     else:
         negative = ~F.col("is_target")
     rows = rows.withColumn("is_negative", negative)
     if config.num_hard_negatives > 0:
-        rows = _hardest(rows, config.num_hard_negatives, heavy)
+        rows = _hardest(rows, config.num_hard_negatives)
     return rows
 
 
-def _hardest(rows: DataFrame, count: int, heavy: Sequence) -> DataFrame:
+def _hardest(rows: DataFrame, count: int) -> DataFrame:
     """Keeps ``is_negative`` on the ``count`` highest negatives of each query, whose ``cand_id`` differ.
 
     The group limit finds each query's last one before the shuffle; its place then decides for all rows.
@@ -145,7 +142,7 @@ def _hardest(rows: DataFrame, count: int, heavy: Sequence) -> DataFrame:
     last = hard.groupBy("query_id").agg(
         F.max_by(F.struct("logit", "cand_id"), "nth").alias("last")
     )
-    placed = join_lookup(rows, last, "query_id", "left", heavy=heavy)
+    placed = join_lookup(rows, last, "query_id", "left")
     above = F.col("logit") > F.col("last.logit")
     level = (F.col("logit") == F.col("last.logit")) & (F.col("cand_id") <= F.col("last.cand_id"))
     kept = F.col("is_negative") & F.coalesce(above | level, F.lit(False))
@@ -156,19 +153,16 @@ def query_losses(
     scored: DataFrame,
     config: LossConfig = LossConfig(),
     logit: str = "dot",
-    *,
-    heavy: Sequence | None = None,
 ) -> DataFrame:
     """All losses per query on one kind of logit."""
-    heavy = heavy_keys(scored, "query_id") if heavy is None else heavy
-    rows = valid_negatives(scored, config, logit, heavy=heavy)
+    rows = valid_negatives(scored, config, logit)
     x, t, negative = F.col("logit"), F.col("target_logit"), F.col("is_negative")
     # The shift is the largest exponent that is summed; with masking on that is the target's.
     shift = config.scale * t
     if not config.mask_false_negatives or config.scale < 0:
         exponent = Terms(x, t, negative, shift, config).exponent
         largest = rows.groupBy("query_id").agg(F.max(exponent).alias("shift"))
-        rows = join_lookup(rows, largest, "query_id", "inner", heavy=heavy)
+        rows = join_lookup(rows, largest, "query_id", "inner")
         shift = F.col("shift")
     terms = Terms(x, t, negative, shift, config)
     return rows.groupBy("batch_id", "query_id").agg(*[loss.value(terms).alias(name) for name, loss in LOSSES.items()])
@@ -185,11 +179,10 @@ def batch_losses(
     ``logits`` names the column of each kind of logit, ``dot`` and ``cosine`` by default.
     """
     logits = logits or {"dot": "dot", "cosine": "cosine"}
-    heavy = heavy_keys(scored, "query_id")
     result = None
     for column in sorted(set(logits.values())):
         names = [name for name, loss in LOSSES.items() if logits[loss.kind] == column]
-        sums = query_losses(scored, config, column, heavy=heavy).groupBy("batch_id").agg(
+        sums = query_losses(scored, config, column).groupBy("batch_id").agg(
             F.count(F.lit(1)).alias("n_queries"), *[F.sum(name).alias(name) for name in names]
         )
         result = sums if result is None else result.join(sums.drop("n_queries"), "batch_id")

@@ -12,7 +12,7 @@ from nextrail.functions.vectors import as_double, unit
 from nextrail.operators.encode import ModelFn, encode_histories, known_tail, pool
 from nextrail.operators.lookup import lookup_one
 from nextrail.operators.search import nearest, with_item_text
-from nextrail.operators.skew import heavy_keys, join_lookup
+from nextrail.operators.skew import join_lookup
 from nextrail.sources.tables import stage
 
 
@@ -38,13 +38,12 @@ def nearest_to_histories(
     """
     if exclude_scope not in ("all", "tail"):
         raise ValueError("exclude_scope must be 'all' or 'tail'")
-    heavy = heavy_keys(histories, "item_id")
     encoded = encode_histories(
-        histories, items, encoder, model_fn=model_fn, dim=dim, heavy_items=heavy
+        histories, items, encoder, model_fn=model_fn, dim=dim
     )
     seen = histories.select("query_id", "pos", "item_id")
     if exclude_scope == "tail":
-        seen = known_tail(seen, items, encoder.max_seq_length, heavy_items=heavy)
+        seen = known_tail(seen, items, encoder.max_seq_length)
     seen = seen.select("query_id", "item_id")
     if exclude is not None:
         seen = seen.unionByName(exclude.select("query_id", "item_id"))
@@ -130,12 +129,11 @@ def recommend_queries(
             marked = stage(join_lookup(resolved, with_inputs, "query_id"))
             resolved = marked.where("has_inputs IS NULL").drop("has_inputs")
             barred.append(marked.where("has_inputs").select("query_id", "item_id"))
-        heavy = heavy_keys(resolved, "item_id")
-        encoded = encode_histories(resolved, items, encoder, heavy_items=heavy)
+        encoded = encode_histories(resolved, items, encoder)
         encoded = encoded.withColumnRenamed("embedding", "of_items")
         vectors = vectors.join(encoded, "query_id", "left")
         given.append(F.col("of_items"))
-        tail = known_tail(resolved, items, encoder.max_seq_length, heavy_items=heavy)
+        tail = known_tail(resolved, items, encoder.max_seq_length)
         barred.append(tail.select("query_id", "item_id"))
 
     vectors = vectors.select("query_id", F.coalesce(*given).alias("embedding"))

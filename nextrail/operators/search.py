@@ -459,10 +459,9 @@ def nearest(
 def with_item_text(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Candidates in the result form ``query_id, item_id, item_text, score, rank``.
 
-    One item may be recommended to most queries, so its rows are counted first; the candidates are staged
-    for that, or the search would run twice.
+    One item may be recommended to most queries; adaptive execution splits its rows.
     """
     texts = items.select("item_id", "item_text")
-    return join_lookup(stage(candidates), texts, "item_id").select(
+    return join_lookup(candidates, texts, "item_id").select(
         "query_id", "item_id", "item_text", "score", "rank"
     )

@@ -52,10 +52,9 @@ def join_lookup(
 ) -> DataFrame:
     """Join with a table that has one row per key.
 
-    Rows of heavy keys are not shuffled: they meet a broadcast of those keys' rows, at most one per
-    heavy key. All other rows take the ordinary join, for which Spark picks the strategy.
+    Large partitions of a hot key are split by adaptive execution. Where heavy keys are known already, their
+    rows are not shuffled at all: they meet a broadcast of those keys' rows, at most one per heavy key.
     """
-    heavy = heavy_keys(left, key) if heavy is None else heavy
 
     def join(one: DataFrame, other: DataFrame) -> DataFrame:
         if not null_safe:

@@ -20,26 +20,16 @@ def histories_of(placed: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(
-    events: DataFrame,
-    items: DataFrame,
-    *,
-    top_k: int = TOP_K,
-    heavy: Sequence | None = None,
-    **options,
-) -> DataFrame:
-    """Per user with held-out events its stage (val or test) and seven metrics.
-
-    ``events``: the split log; ``items``: item_id, embedding; ``heavy``: heavy users of the log, if known;
-    further options go to ``nearest_to_histories``. The whole history is excluded; targets are the
-    distinct held-out items with a positive label.
-    """
-    slim = events.drop("item_text", "user_text")
-    placed = place_activities(slim, keep=["is_val"], heavy=heavy)
-    # Ids and places only; everything below reads this table.
-    mine = stage(
+def held_out_users(events: DataFrame, heavy: Sequence | None = None) -> DataFrame:
+    """Ids and places of all events of the users with held-out ones, written once; everything below reads this."""
+    placed = place_activities(events.drop("item_text", "user_text"), keep=["is_val"], heavy=heavy)
+    return stage(
         placed.where("n_target > 0").select("user_id", "part", "pos", "item_id", "label", "is_val")
     )
+
+
+def evaluate_users(mine: DataFrame, items: DataFrame, *, top_k: int = TOP_K, **options) -> DataFrame:
+    """Stage and metrics per user of ``held_out_users``; options go to ``nearest_to_histories``."""
     held_out = mine.where("part = 'target'").withColumnRenamed("user_id", "query_id")
     found = nearest_to_histories(histories_of(mine), items, top_k=top_k, **options)
     scores = retrieval_metrics(found, held_out.where("label"), top_k)
@@ -49,6 +39,17 @@ def evaluate(
     return scores.join(stages, "query_id")
 
 
+def evaluate(
+    events: DataFrame, items: DataFrame, *, heavy: Sequence | None = None, **options
+) -> DataFrame:
+    """Per user with held-out events its stage (val or test) and all metrics (M8).
+
+    ``events``: the split log; ``items``: item_id, embedding; ``heavy``: heavy users of the log, if known. The
+    whole history is excluded; targets are the distinct held-out items with a positive label.
+    """
+    return evaluate_users(held_out_users(events, heavy), items, **options)
+
+
 def evaluate_mean(events: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per stage: number of users and the mean of each metric."""
     return mean_metrics(evaluate(events, items, **options), "stage")

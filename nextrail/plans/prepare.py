@@ -56,7 +56,7 @@ def prepare(
         flagged = train_test_split(
             raw(), config=split, profiles=profiles, heavy=heavy_users()
         )
-        return enrich_events(flagged, items, heavy_items=heavy_keys(raw(), "item_id"))
+        return enrich_events(flagged, items)
 
     params = {**asdict(split), "inputs": inputs}
     log = materialize(

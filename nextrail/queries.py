@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial, reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from nextrail.operators import activity, encode, lookup, losses, metrics, recomm
 from nextrail.operators import sequences as seq
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.operators.split import split_summary, train_test_split
-from nextrail.plans.evaluate import evaluate, histories_of
+from nextrail.plans.evaluate import evaluate, evaluate_users, held_out_users, histories_of
 from nextrail.plans.prepare import prepare
 from nextrail.plans.training import training_examples
 from nextrail.sources import warehouse as wh
@@ -41,7 +41,7 @@ def rounded(column: Column | str, name: str) -> Column:
 
 
 class Log:
-    """An interaction log, read or joined once, with its heavy users and items."""
+    """An interaction log, read or joined once, with its heavy users."""
 
     def __init__(self, spark: SparkSession, d: str, name: str) -> None:
         raw = LOGS[name](spark, d)
@@ -50,16 +50,12 @@ class Log:
         self.vectors = VECTORS[name](spark, d)
         self.heavy = heavy_keys(self.raw, "user_id")
 
-    @cached_property
-    def heavy_items(self) -> list:
-        return heavy_keys(self.raw, "item_id")
-
     def split(self, profiles: DataFrame | None = None) -> DataFrame:
         return train_test_split(self.raw, profiles=profiles, heavy=self.heavy)
 
     def enriched(self) -> DataFrame:
         return activity.enrich_events(
-            self.split(self.users), self.items, validate=False, heavy_items=self.heavy_items
+            self.split(self.users), self.items, validate=False
         )
 
     def placed(self) -> DataFrame:
@@ -172,7 +168,7 @@ def indexed(spark: SparkSession, d: str, log: str) -> tuple[DataFrame, DataFrame
     source = Log(spark, d, log)
     vocab = stage(seq.vocabulary(CATALOGUES[log](spark, d).select("item_id", "item_text")))
     past = seq.index_histories(
-        source.split(), vocab, heavy=source.heavy, heavy_items=source.heavy_items
+        source.split(), vocab, heavy=source.heavy
     )
     return stage(past), vocab, source.heavy
 
@@ -226,7 +222,6 @@ def batched_examples(spark: SparkSession, d: str, log: str, with_texts: bool = F
         SAMPLING[log],
         with_texts=with_texts,
         heavy=source.heavy,
-        heavy_items=source.heavy_items,
     )
 
 
@@ -265,7 +260,7 @@ def batch_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_requests(spark: SparkSession, d: str) -> DataFrame:
-    """One request per order for the parts of its lines, one row per line."""
+    """One request per order for the parts of its lines, one row per line; an order has few of them."""
     lines = wh.table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("request_id"),
         "l_linenumber",
@@ -273,7 +268,7 @@ def order_requests(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("supplier"),
     )
     order = ["l_linenumber", "item_id", "supplier"]
-    placed = running_totals(lines, "request_id", order, {"line": F.lit(1)})
+    placed = running_totals(lines, "request_id", order, {"line": F.lit(1)}, heavy=[])
     return placed.select("request_id", F.col("line_before").alias("pos"), "item_id", "supplier")
 
 
@@ -513,13 +508,12 @@ def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
-def scored_users(spark: SparkSession, d: str, log: str, mode: str = "mean") -> DataFrame:
+def scored_users(spark: SparkSession, d: str, log: str) -> DataFrame:
     source = Log(spark, d, log)
     return evaluate(
         source.split(),
         stage(source.vectors),
         metric="dot",
-        encoder=EncoderConfig(pooling=mode),
         heavy=source.heavy,
     )
 
@@ -544,9 +538,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
     """Validation NDCG by pooling mode."""
+    source = Log(spark, d, "events")
+    mine, items = held_out_users(source.split(), source.heavy), stage(source.vectors)
     runs = None
     for mode in ("mean", "max", "first", "last"):
-        scores = scored_users(spark, d, "events", mode).where("stage = 'val'")
+        scores = evaluate_users(mine, items, metric="dot", encoder=EncoderConfig(pooling=mode)).where("stage = 'val'")
         run = metrics.mean_metrics(scores, "stage").withColumn("run_id", F.lit(mode))
         runs = run if runs is None else runs.unionByName(run)
     return runs
@@ -568,7 +564,7 @@ def scored_lines(spark: SparkSession, d: str) -> DataFrame:
         (F.sqrt("l_extendedprice") / 100).alias("dot"),
         (1 - 10 * F.col("l_discount")).alias("cosine"),
     )
-    slots = running_totals(lines, "query_id", ["cand_id"], {"slot": F.lit(1)})
+    slots = running_totals(lines, "query_id", ["cand_id"], {"slot": F.lit(1)}, heavy=[])
     orders = wh.table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("query_id"), F.col("o_custkey").alias("batch_id")
     )
