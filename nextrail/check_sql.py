@@ -508,6 +508,11 @@ FROM parts p LEFT JOIN (SELECT item_id, bool_or(is_train) AS is_train FROM flagg
     ),
     "user_history_events": history("events"),
     "user_history_orders": history("orders"),
+    "user_lists": query(
+        """SELECT user_id, part, pos, item_id, item_text, event_value, label FROM placed
+QUALIFY row_number() OVER (PARTITION BY user_id, part ORDER BY pos DESC) <= 8""",
+        *base("orders"),
+    ),
     "users_flagged": query(
         """SELECT c.user_id, n_history, n_target, is_train, is_val, is_test, is_predict
 FROM customers c LEFT JOIN (

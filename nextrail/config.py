@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Names and defaults of parameters that must stay as they are.
 METRICS = ("l2", "dot", "cosine")
 POOLING = ("mean", "max", "first", "last")
 TARGET_POSITIONS = ("first", "diagonal", None)
 
 TOP_K = 20
 NPROBE = 8
-CHUNK_ROWS = 10_000
 
 
 def _need(ok: bool, message: str) -> None:

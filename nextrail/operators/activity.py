@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextrail.config import CHUNK_ROWS
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.schemas import ACTIVITY, FLAGS
 from nextrail.sources.tables import assert_unique
@@ -85,70 +84,56 @@ def place_activities(
     )
 
 
-def nest_users(
+def lay_out_users(
     users: DataFrame,
     events: DataFrame,
     *,
-    chunk_rows: int = CHUNK_ROWS,
     validate: bool = True,
     heavy: Sequence | None = None,
 ) -> DataFrame:
-    """The users with ``history`` and ``target`` as structs of aligned lists, and their flags.
+    """The users with their activities, one row per event with its ``part`` and place ``pos``, and the user's flags.
 
-    A list holds at most ``chunk_rows`` entries; a longer history goes on in further rows of the user,
-    numbered by ``chunk``, whose entries start at ``first_pos``. Users without events have NULL lists and
-    flags.
+    A history of any length stays rows. Users without a placed event have one row with NULL part and place;
+    without any event their flags are NULL too.
     """
     if validate:
         assert_unique(users, ["user_id"])
     heavy = heavy_keys(events, "user_id") if heavy is None else heavy
-    placed = place_activities(events, heavy=heavy).withColumn(
-        "chunk", F.expr(f"cast(pos div {chunk_rows} as int)")
-    )
-    entry = F.struct("pos", *ACTIVITY)
-    lists = placed.groupBy("user_id", "chunk").agg(
-        *[
-            F.sort_array(F.collect_list(F.when(F.col("part") == part, entry))).alias(part)
-            for part in PARTS
-        ]
-    )
+    placed = place_activities(events, heavy=heavy).select("user_id", "part", "pos", *ACTIVITY)
     flags = events.groupBy("user_id").agg(
         F.count("is_train").alias("n_placed"), *[any_true(flag).alias(flag) for flag in FLAGS]
     )
     flagged = users.join(flags, "user_id", "left")
+    columns = [*users.columns, "part", "pos", *ACTIVITY, *FLAGS]
+    active = join_lookup(placed, flagged.where("n_placed > 0"), "user_id", "inner", heavy=heavy)
+    idle = flagged.where("n_placed IS NULL OR n_placed = 0")
+    return active.select(*columns).unionByName(idle.select(*users.columns, *FLAGS), allowMissingColumns=True)
+
 
-    # Only users with lists meet them, a long history's many rows by a broadcast of its user.
-    some = join_lookup(lists, flagged.where("n_placed > 0"), "user_id", "inner", heavy=heavy)
-    structs = [
-        F.struct(*[F.col(part).getField(field).alias(field) for field in ACTIVITY]).alias(part)
-        for part in PARTS
-    ]
-    first = (F.col("chunk").cast("bigint") * chunk_rows).alias("first_pos")
-    some = some.select(*users.columns, "chunk", first, *structs, *FLAGS)
-
-    # Events without a split give flags and empty lists, no events give NULL.
-    types = {part: some.schema[part].dataType for part in PARTS}
-    has_events = F.col("n_placed").isNotNull()
-    empty = {
-        part: F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in types[part]])
-        for part in PARTS
-    }
-    none = flagged.where("n_placed IS NULL OR n_placed = 0").select(
-        *users.columns,
-        F.when(has_events, F.lit(0)).alias("chunk"),
-        F.when(has_events, F.lit(0).cast("bigint")).alias("first_pos"),
-        *[F.when(has_events, empty[part]).alias(part) for part in PARTS],
-        *FLAGS,
+def latest_lists(laid_out: DataFrame, count: int) -> DataFrame:
+    """Per user and part the last ``count`` activities as a struct of aligned lists, in order.
+
+    ``first_pos`` is the place of the first one in the whole part. The group limit cuts each part before the shuffle.
+    """
+    latest = Window.partitionBy("user_id", "part").orderBy(F.desc("pos"))
+    rows = laid_out.where(F.col("part").isNotNull()).withColumn("_back", F.row_number().over(latest))
+    entries = F.sort_array(F.collect_list(F.struct("pos", *ACTIVITY)))
+    lists = rows.where(F.col("_back") <= count).groupBy("user_id", "part").agg(entries.alias("entries"))
+    return lists.select(
+        "user_id",
+        "part",
+        F.col("entries")[0]["pos"].alias("first_pos"),
+        F.struct(*[F.col("entries").getField(field).alias(field) for field in ACTIVITY]).alias("lists"),
     )
-    return some.unionByName(none)
 
 
-def unnest_users(users: DataFrame, part: str, *fields: str) -> DataFrame:
-    """The rows of one list of the nested user table, with their place in the whole list."""
-    zipped = F.arrays_zip(*[F.col(f"{part}.{f}").alias(f) for f in fields])
-    entries = users.select("user_id", "first_pos", F.posexplode(zipped).alias("i", "entry"))
+def list_rows(lists: DataFrame, *fields: str) -> DataFrame:
+    """The rows of such lists, with their places in the whole part."""
+    zipped = F.arrays_zip(*[F.col(f"lists.{f}").alias(f) for f in fields])
+    entries = lists.select("user_id", "part", "first_pos", F.posexplode(zipped).alias("i", "entry"))
     return entries.select(
         "user_id",
+        "part",
         (F.col("first_pos") + F.col("i")).alias("pos"),
         *[F.col(f"entry.{f}").alias(f) for f in fields],
     )

@@ -7,8 +7,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nextrail.config import CHUNK_ROWS, SplitConfig
-from nextrail.operators.activity import enrich_events, flag_items, nest_users
+from nextrail.config import SplitConfig
+from nextrail.operators.activity import enrich_events, flag_items, lay_out_users
 from nextrail.operators.encode import ModelFn, embed_text
 from nextrail.operators.skew import heavy_keys
 from nextrail.operators.split import train_test_split
@@ -30,12 +30,13 @@ def prepare(
     folder: str,
     *,
     split: SplitConfig = SplitConfig(),
-    chunk_rows: int = CHUNK_ROWS,
     overwrite: bool = False,
     version: str | None = None,
 ) -> Prepared:
     """Split the log, join the texts, and write ``events``, ``items`` and ``users`` under ``folder``.
 
+    ``users`` has a row per activity of a user, see ``lay_out_users``.
+
     Tables found there are read, not built again, unless they were built with other parameters or from other
     rows. ``version`` names the inputs; without it their rows are counted and hashed, one pass each.
     """
@@ -72,10 +73,8 @@ def prepare(
     user_table = materialize(
         spark,
         f"{folder}/users.parquet",
-        lambda: nest_users(
-            users, log, chunk_rows=chunk_rows, validate=False, heavy=heavy_users()
-        ),
-        params={**params, "chunk_rows": chunk_rows},
+        lambda: lay_out_users(users, log, validate=False, heavy=heavy_users()),
+        params=params,
         overwrite=overwrite,
     )
     return Prepared(log, item_table, user_table)

@@ -61,9 +61,9 @@ class Log:
     def placed(self) -> DataFrame:
         return activity.place_activities(self.split(), heavy=self.heavy)
 
-    def nested(self) -> DataFrame:
+    def laid_out(self) -> DataFrame:
         events = stage(self.enriched())
-        return activity.nest_users(self.users, events, validate=False, heavy=self.heavy)
+        return activity.lay_out_users(self.users, events, validate=False, heavy=self.heavy)
 
     def histories(self) -> DataFrame:
         return stage(histories_of(self.placed()))
@@ -116,27 +116,26 @@ def items_seen_in_train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
-    """The nested user table, its lists laid out again."""
-    users = stage(Log(spark, d, log).nested())
-    fields = ("item_id", "item_text", "event_name", "event_value", "label")
-    parts = [
-        activity.unnest_users(users, part, *fields).withColumn("part", F.lit(part))
-        for part in ("history", "target")
-    ]
-    return parts[0].unionByName(parts[1])
+    """The activities of all users in order."""
+    rows = Log(spark, d, log).laid_out().where("part IS NOT NULL")
+    return rows.select("user_id", "part", "pos", "item_id", "item_text", "event_name", "event_value", "label")
+
+
+def user_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The last eight activities of each part, as lists and laid out again."""
+    lists = activity.latest_lists(Log(spark, d, "orders").laid_out(), 8)
+    return activity.list_rows(lists, "item_id", "item_text", "event_value", "label")
 
 
 def users_flagged(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer with the length of its lists and its flags; NULL without orders."""
-    users = Log(spark, d, "orders").nested()
+    """Every customer with the number of its activities and its flags; NULL without orders."""
     flags = ("is_train", "is_val", "is_test", "is_predict")
-    return users.groupBy("user_id").agg(
-        *[
-            F.sum(F.when(F.col(part).isNotNull(), F.size(F.col(f"{part}.item_id")))).alias(f"n_{part}")
-            for part in ("history", "target")
-        ],
+    users = Log(spark, d, "orders").laid_out().groupBy("user_id").agg(
+        *[F.count_if(F.col("part") == part).alias(part) for part in ("history", "target")],
         *[F.bool_or(flag).alias(flag) for flag in flags],
     )
+    sizes = [F.when(F.col("is_train").isNotNull(), F.col(part)).alias(f"n_{part}") for part in ("history", "target")]
+    return users.select("user_id", *sizes, *flags)
 
 
 def table_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -604,6 +603,7 @@ QUERIES: dict[str, Query] = {
     "items_seen_in_train": items_seen_in_train,
     "user_history_events": partial(user_history, log="events"),
     "user_history_orders": partial(user_history, log="orders"),
+    "user_lists": user_lists,
     "users_flagged": users_flagged,
     "prepared_stages": prepared_stages,
     "table_sizes": table_sizes,

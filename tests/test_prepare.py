@@ -9,9 +9,10 @@ from nextrail.config import SplitConfig
 from nextrail.operators.activity import (
     enrich_events,
     flag_items,
-    nest_users,
+    latest_lists,
+    lay_out_users,
+    list_rows,
     place_activities,
-    unnest_users,
 )
 from nextrail.operators.split import split_summary, train_test_split
 from nextrail.plans.prepare import prepare_files, stage_views
@@ -114,23 +115,22 @@ def test_history_sorts_ids_as_text(spark, heavy_rows):
     assert got == ["10", "9", "1", "2"]
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 100])
-def test_nested_users(spark, heavy_rows, chunk_rows):
+def test_users_are_laid_out_by_row(spark, heavy_rows):
     events = log(spark, {"a": distinct_times(20), "b": [(None, "7")]})
     users = users_of(spark, "a", "b", "c")
     events = enrich_events(train_test_split(events), items_of(spark, *map(str, range(15))), users)
-    nested = nest_users(users, events, chunk_rows=chunk_rows).cache()
-    by_user = {r["user_id"]: r for r in nested.where("chunk IS NULL OR chunk = 0").collect()}
-    assert by_user["a"]["user_text"] == "text a"
-    assert by_user["b"]["is_train"] is False and by_user["b"]["history"]["item_id"] == []
-    assert by_user["c"]["history"] is None and by_user["c"]["is_train"] is None
-    assert nested.where("user_id = 'a'").count() == -(-16 // chunk_rows)
-    rows = unnest_users(nested, "history", "item_id", "item_text").orderBy("pos").collect()
-    assert [r["item_id"] for r in rows] == [str(i) for i in range(16)]
-    assert [r["pos"] for r in rows] == list(range(16))
-    assert rows[14]["item_text"] == "text 14" and rows[15]["item_text"] is None
-    target = unnest_users(nested, "target", "item_id").collect()
-    assert {r["item_id"] for r in target} == {"16", "17", "18", "19"}
+    rows = lay_out_users(users, events).cache()
+    of = {u: rows.where(F.col("user_id") == u).orderBy("part", "pos").collect() for u in "abc"}
+    assert [r["item_id"] for r in of["a"]] == [str(i) for i in range(20)]
+    assert [(r["part"], r["pos"]) for r in of["a"]] == [("history", i) for i in range(16)] + [("target", i) for i in range(4)]
+    assert {r["user_text"] for r in of["a"]} == {"text a"} and of["a"][15]["item_text"] is None
+    assert [(r["part"], r["is_train"]) for r in of["b"]] == [(None, False)]
+    assert [(r["part"], r["is_train"], r["user_text"]) for r in of["c"]] == [(None, None, "text c")]
+    lists = {(r["user_id"], r["part"]): r for r in latest_lists(rows, 5).collect()}
+    assert set(lists) == {("a", "history"), ("a", "target")}
+    assert lists["a", "history"]["lists"]["item_id"] == ["11", "12", "13", "14", "15"]
+    again = list_rows(latest_lists(rows, 5), "item_id").where("part = 'history'").orderBy("pos").collect()
+    assert [(r["pos"], r["item_id"]) for r in again] == [(i, str(i)) for i in range(11, 16)]
 
 
 def test_duplicate_keys_raise(spark):
@@ -175,16 +175,16 @@ def test_prepare_files(spark, raw_folder, tmp_path):
     assert tables.events.count() == 15
     assert tables.events.where("is_train").count() == 12
     assert {"item_text", "user_text", "is_predict"} <= set(tables.events.columns)
-    assert tables.items.count() == 3 and tables.users.count() == 2
+    assert tables.items.count() == 3 and tables.users.count() == 15
     views = stage_views(spark, out)
-    assert views["train"].count() == 2 and views["predict"].count() == 2
-    assert views["val"].count() + views["test"].count() == 2
+    people = {name: views[name].select("user_id").distinct().count() for name in ("train", "val", "test", "predict")}
+    assert people["train"] == people["predict"] == people["val"] + people["test"] == 2
     assert views["items"].select(F.size("embedding")).distinct().count() == 1
     assert preview(tables.events).count() == 5
 
     # Found again without the source; built anew if a parameter differs.
     again = prepare_files(spark, str(raw_folder), out)
-    assert again.users.count() == 2
+    assert again.users.count() == 15
     other = prepare_files(spark, str(raw_folder), out, split=SplitConfig(train_prop=0.5))
     assert other.events.where("is_train").count() == 8
 
