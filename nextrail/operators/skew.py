@@ -1,9 +1,9 @@
 """Joins and running totals that stay balanced when a few keys hold much of the data.
 
-A key counts as heavy if it is among the ``parts`` largest keys and has more than ``min_rows`` rows.
-Every other key holds at most one part's share of the rows or few enough for one task, so the ordinary
-shuffle on the key is balanced for it. There are at most ``parts`` heavy keys, which bounds the list the
-driver holds and every table of one row per heavy key that is broadcast.
+A key counts as heavy if it is among the ``most`` largest keys and has more than ``min_rows`` rows. Every
+other key holds less than one ``most``-th of the rows, or few enough for one task, so the ordinary shuffle on the key
+is balanced for it. ``most`` bounds the list the driver holds and every table of one row per heavy key that
+is broadcast; it is never below the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from nextrail.sources.tables import stage
 
 MIN_HEAVY_ROWS = 2_000_000
+MOST_HEAVY = 10_000
 _EXPAND = 4096
 
 
@@ -24,13 +25,13 @@ def default_parts(df: DataFrame) -> int:
 
 
 def heavy_keys(
-    df: DataFrame, key: str, *, parts: int | None = None, min_rows: int | None = None
+    df: DataFrame, key: str, *, most: int | None = None, min_rows: int | None = None
 ) -> list:
-    """The heavy values of ``key``, NULL included; one map-side combined count, at most ``parts`` rows back."""
-    parts = parts or default_parts(df)
+    """The heavy values of ``key``, NULL included; one map-side combined count, at most ``most`` rows back."""
+    most = most or max(MOST_HEAVY, default_parts(df))
     min_rows = MIN_HEAVY_ROWS if min_rows is None else min_rows
     sizes = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    largest = sizes.where(F.col("rows") > min_rows).orderBy(F.desc("rows"), "key").limit(parts)
+    largest = sizes.where(F.col("rows") > min_rows).orderBy(F.desc("rows"), "key").limit(most)
     return [row["key"] for row in largest.collect()]
 
 

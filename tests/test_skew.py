@@ -22,7 +22,7 @@ def rows_with_hot_key(n=600, seed=1):
 def test_heavy_keys_are_the_largest(spark):
     df = spark.createDataFrame(rows_with_hot_key(), "g string, t int, w int")
     assert skew.heavy_keys(df, "g", min_rows=100) == ["hot"]
-    assert skew.heavy_keys(df, "g", parts=1, min_rows=1) == ["hot"]
+    assert skew.heavy_keys(df, "g", most=1, min_rows=1) == ["hot"]
     assert skew.heavy_keys(df, "g", min_rows=10_000) == []
 
 
