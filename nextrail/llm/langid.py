@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from nextrail.llm.common import crc_third, small_batches, text_of, utf8
 
 #: Rows that the model is fitted on, at most, thinned out evenly per language, and languages at most.
-SAMPLE_ROWS, LANGUAGES = 6000, 400
+SAMPLE_ROWS, LANGUAGES = 4000, 400
 #: Rows of the embedding table, its width, and passes over the sample.
 ROWS, WIDTH, EPOCHS, RATE = 1 << 14, 16, 8, 0.5
 #: Share of held-back predictions that may be wrong among those not rejected.
@@ -70,29 +70,31 @@ class Model:
     temperature: float = 1.0
     limit: float = 0.0
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        used = np.flatnonzero(counts)
-        return counts[used] @ self.scores[used] / max(1, counts.sum())
+    def logits(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Class scores of a text, given how often which subwords occur."""
+        return counts @ self.scores[slots] / max(1, counts.sum())
 
     def predict(self, text: bytes) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether to reject it."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        z = self.logits(subwords(text)) / self.temperature
+        counts = subwords(text)
+        slots = np.flatnonzero(counts)
+        z = self.logits(slots, counts[slots]) / self.temperature
         p = np.exp(z - z.max())
         best = int(z.argmax())
         score = float(p[best] / p.sum())
         return self.languages[best], score, score < self.limit
 
 
-def train(counts: list[np.ndarray], labels: list[str], seed: int = 0) -> Model:
-    """A model of the texts' subword counts; every tenth text is held back for calibration if there are enough."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 0) -> Model:
+    """A model of the texts' subwords (slots, counts); every tenth text is held back for calibration if there are enough."""
     languages = sorted(set(labels))
     if len(languages) < 2:
         return Model(np.zeros((ROWS, len(languages))), languages)
     target = np.array([languages.index(x) for x in labels])
-    rows = [np.flatnonzero(c) for c in counts]
-    shares = [c[r] / max(1, c.sum()) for c, r in zip(counts, rows, strict=True)]
+    rows = [slots for slots, _ in texts]
+    shares = [counts / max(1, counts.sum()) for _, counts in texts]
     held = np.arange(len(rows)) % 10 == 9 if len(rows) >= 100 else np.zeros(len(rows), bool)
     weight = len(target) / (len(languages) * np.bincount(target, minlength=len(languages)))
     random = np.random.default_rng(seed)
@@ -114,7 +116,7 @@ def train(counts: list[np.ndarray], labels: list[str], seed: int = 0) -> Model:
             embedding[rows[i]] -= rate * scale * np.outer(shares[i], back)
     model = Model(embedding @ output, languages)
     check = np.flatnonzero(held) if held.any() else fitted
-    z = np.array([model.logits(counts[i]) for i in check])
+    z = np.array([model.logits(*texts[i]) for i in check])
     model.temperature = min(np.geomspace(0.02, 5, 60), key=lambda t: _loss(z / t, target[check]))
     p = _softmax(z / model.temperature)
     right = p.argmax(axis=1) == target[check]
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
                     batch.column("lang"),
                     batch.column("order"),
                     pa.array([u.astype(np.int32).tobytes() for u in used], pa.binary()),
-                    pa.array([c[u].astype(np.int64).tobytes() for c, u in zip(counts, used, strict=True)], pa.binary()),
+                    pa.array([c[u].astype(np.int32).tobytes() for c, u in zip(counts, used, strict=True)], pa.binary()),
                 ],
                 ["lang", "order", "slots", "counts"],
             )
@@ -168,11 +170,8 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
     sample = rows.where(drawn < share).select("text", "lang", F.xxhash64("doc_id", "text").alias("order"))
     sample = sample.mapInArrow(run, "lang string, order long, slots binary, counts binary").toArrow()
     got = sorted(zip(*(sample.column(c).to_pylist() for c in ("order", "lang", "slots", "counts")), strict=True))
-    counts = []
-    for _, _, slots, numbers in got:
-        counts.append(np.zeros(ROWS, np.int32))
-        counts[-1][np.frombuffer(slots, np.int32)] = np.frombuffer(numbers, np.int64)
-    return train(counts, [lang for _, lang, _, _ in got])
+    texts = [(np.frombuffer(slots, np.int32), np.frombuffer(counts, np.int32)) for _, _, slots, counts in got]
+    return train(texts, [lang for _, lang, _, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
