@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from nextrail.llm.common import small_batches, text_of, utf8
 
 #: Pieces whose encoding a Python worker remembers; about 300 bytes each.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 #: The supported layout of a tokenizer file.
 WORD_END = "</w>"
 #: Lengths to try where no longer token has the ending.
 _SHORT = (2, 1)
+#: The bytes that characters below U+0300 are written with.
+_PLAIN = bytes(range(0xCC))
 
 
 def byte_symbols() -> list[str]:
@@ -182,13 +184,19 @@ class WordBpe:
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                out += [part.encode()] if part.isalpha() else [w.encode() for w in self._pattern.findall(part)]
+                if part.isalpha():
+                    out.append(part.encode())
+                elif part[-1] in ".," and part[:-1].isalpha():
+                    out += [part[:-1].encode(), part[-1].encode()]
+                else:
+                    out += [w.encode() for w in self._pattern.findall(part)]
         return out
 
     def _lower(self, text: bytes) -> bytes:
-        if not text.isascii():
+        """The text in lower case if it has only characters below U+0300, which no normalisation changes or joins."""
+        if text.translate(None, _PLAIN):
             return text
-        lower = text.lower()
+        lower = text.lower() if text.isascii() else text.decode().lower().encode()
         return text if any(name in lower for name in self._rare) else lower
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
