@@ -331,6 +331,8 @@ def knn(metric: str) -> str:
 
 
 def probe_labels(metric: str) -> str:
+    unit = f"list_transform(q.embedding, lambda x: x / sqrt({dot('q.embedding', 'q.embedding')}))"
+    nearness = {"dot": dot, "l2": l2_score, "cosine": lambda q, c: l2_score(unit, c)}[metric]("q.embedding", "m.centroid")
     return query(
         CANDIDATES,
         f"""labelled AS (
@@ -344,7 +346,7 @@ means AS (
 probes AS (
   SELECT query_id, m.label FROM labelled q CROSS JOIN means m
   QUALIFY row_number() OVER (PARTITION BY query_id
-    ORDER BY round({SCORES[metric]('q.embedding', 'm.centroid')}, 9) DESC, m.label) <= 3),
+    ORDER BY round({nearness}, 9) DESC, m.label) <= 3),
 outside AS (
   SELECT q.query_id, i.item_id FROM labelled q CROSS JOIN labelled i
   WHERE NOT EXISTS (SELECT 1 FROM probes p WHERE p.query_id = q.query_id AND p.label = i.label))""",

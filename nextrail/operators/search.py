@@ -28,6 +28,8 @@ from nextrail.functions.vectors import dot as vectors_dot
 from nextrail.operators.skew import default_parts, join_lookup
 from nextrail.sources.tables import stage
 
+#: Clusters up to which the start of their training is chosen by distance.
+SPREAD_START = 1024
 #: Bytes of vectors up to which a catalogue is sent to all tasks.
 SHARED_BYTES = 64 << 20
 ITEM_BLOCK = 65_536
@@ -341,15 +343,18 @@ def cluster_items(
 ) -> tuple[DataFrame, DataFrame]:
     """The items that have a vector with ``cluster_id``, and the centroids (K4). Trained on all of them for ``metric``.
 
-    The start is drawn at random; choosing it by distance would cluster many times as many points on the driver.
+    The start is spread out for up to ``SPREAD_START`` clusters, and drawn at random beyond: spreading it clusters
+    some times as many points on the driver.
     """
     items = items.where(F.col("embedding").isNotNull())
     n_clusters = n_clusters or n_lists(items.count())
+    spread = n_clusters <= SPREAD_START
     # Copies would take up several of the drawn starts.
-    distinct = stage(items.select("embedding").distinct())
+    taught = items.select("embedding") if spread else stage(items.select("embedding").distinct())
     model = KMeans(
-        k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cluster_id", initMode="random"
-    ).fit(cluster_points(distinct, metric))
+        k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cluster_id",
+        initMode="k-means||" if spread else "random",
+    ).fit(cluster_points(taught, metric))
     # One row per cluster, about the square root of the number of items.
     centroids = items.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
@@ -361,7 +366,9 @@ def cluster_items(
 def probe_clusters(
     queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE, metric: str = "cosine"
 ) -> DataFrame:
-    """The ``nprobe`` clusters most similar to each query by ``metric``, one row each; ties by lower id.
+    """The ``nprobe`` clusters nearest to each query, one row each; ties by lower id.
+
+    For cosine that is by the distance of the unit query, as the clusters are of unit vectors; else by ``metric``.
 
     The centroids, about sqrt(n) rows, go to every task as one array. Where they have one dimension more than the
     queries (see ``cluster_points``), it is left out.
@@ -381,9 +388,11 @@ def probe_clusters(
             table = pa.Table.from_batches([batch])
             dim = len(batch.column("embedding")[0])
             nothing = np.array([], np.int64)
-            rows, near, _ = _striped(
-                _matrix(table["embedding"], dim), points[:, :dim], metric, nprobe, nothing, nothing
-            )
+            vectors = _matrix(table["embedding"], dim)
+            if metric == "cosine":
+                vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), COSINE_EPS)
+            nearness = "dot" if metric == "dot" else "l2"
+            rows, near, _ = _striped(vectors, points[:, :dim], nearness, nprobe, nothing, nothing)
             chosen = table.take(pa.array(rows))
             chosen = chosen.append_column("cluster_id", pa.array(ids[near], pa.int32()))
             yield from chosen.combine_chunks().to_batches()
