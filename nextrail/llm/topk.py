@@ -22,7 +22,7 @@ from nextrail.sources.tables import stage
 #: Candidates in a block.
 BLOCK_ROWS = 4096
 #: Depth of the first slice as a share of the lists; each next slice ends twice as deep.
-FIRST_SLICE = 1 / 32
+FIRST_SLICE = 1 / 8
 
 
 class SortedLists:
