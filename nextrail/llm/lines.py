@@ -61,7 +61,9 @@ def drop_common_lines(
     # Once per document first, so that a hot key's rows are spread before they are counted.
     common = lines.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     # Equal texts lose the same lines, so places are gathered per distinct text.
-    places = lines.join(common.select("key"), "key", "left_semi").select("_digest", "place").distinct()
+    # Written, so that the rows of a hot key can be split where they meet it.
+    common = stage(common.select("key"))
+    places = lines.join(common, "key", "left_semi").select("_digest", "place").distinct()
     places = places.groupBy("_digest").agg(F.collect_list("place").alias("_places"))
     joined = docs.withColumn("_digest", of_text).join(places, "_digest", "left").drop("_digest")
     rows = split_lines(F.col(text_col).cast("string"))
