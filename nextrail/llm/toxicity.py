@@ -38,7 +38,7 @@ LABELS_PER_CLASS = 30_000
 #: Slots of the tables of expressions and of contexts; 18 and 14 bytes each.
 EXPRESSION_BITS, CONTEXT_BITS = 21, 19
 #: Bytes of text that are turned into arrays at once, and distinct expressions that a task holds before it passes them on.
-STEP_BYTES, HELD = 2 << 20, 2_000_000
+STEP_BYTES, HELD = 1 << 20, 1_500_000
 #: Kneser-Ney discounts of the continuation counts and of a class's counts: what a class has once or twice tells nothing.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
 #: Share of the toxic class's own model in a toxic text.
@@ -154,14 +154,14 @@ def _counts(rows: DataFrame) -> DataFrame:
         return [out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("key", "i8"), ("n", "i8", 4)])
+        kind = np.dtype([("key", "i8"), ("n", "i4", 4)])
         held: list[np.ndarray] = []
 
         def passed_on(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(rows), 200_000):
                 part = rows[at : at + 200_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part["key"].copy()), *(pa.array(part["n"][:, i].copy()) for i in range(4))],
+                    [pa.array(part["key"].copy()), *(pa.array(part["n"][:, i].astype(np.int64)) for i in range(4))],
                     ["key", "c1", "c2", "c3", "c4"],
                 )
 
@@ -325,17 +325,21 @@ def classify(docs: DataFrame, tables: Tables, text_col: str, columns: list[str])
     """``columns`` of ``docs`` and ``_score``, the probability that the whole text is toxic; null counts as empty."""
     final = Tables(tables.seen[2:], tables.seen_tags, tables.context[2:], tables.context_tags, tables.curve)
     spread = docs.sparkSession.sparkContext.broadcast(final)
-    # Numbered while in Python, so that columns can have any name.
+    # Numbered while in Python, so that columns can have any name; the text is sent once.
     names = [f"c{i}" for i in range(len(columns))]
+    kept = docs.select(*(docs[quoted(c)].alias(n) for c, n in zip(columns, names, strict=True)), docs[text_col].cast("string").alias("text"))
+    out = "".join(f"{n} {kept.schema[n].dataType.simpleString()}, " for n in names)
+    text = "text"
+    if text_col in columns and dict(docs.dtypes)[text_col] == "string":
+        text = names[columns.index(text_col)]
+        kept = kept.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", STEP_BYTES):
+        for batch in small_batches(batches, text, STEP_BYTES):
             model = spread.value
-            scores = [model.score(model.ratio(text, 0)) for text in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, "score"])
+            scores = [model.score(model.ratio(t, 0)) for t in utf8(batch, text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], [*names, "score"])
 
-    kept = docs.select(*(docs[quoted(c)].alias(n) for c, n in zip(columns, names, strict=True)), docs[text_col].cast("string").alias("text"))
-    out = "".join(f"{n} {kept.schema[n].dataType.simpleString()}, " for n in names)
     return kept.mapInArrow(run, f"{out}score double").toDF(*columns, "_score")
 
 
