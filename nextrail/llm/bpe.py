@@ -212,6 +212,11 @@ class WordBpe:
             memo[piece] = b"".join([self._id4[w] if isinstance(w, int) else ids[w] for w in words])
         return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
 
+    def forget(self) -> None:
+        """Empties the memory of pieces, for the tasks that a worker runs next."""
+        self._memo.clear()
+        self._borders.clear()
+
     def decode(self, ids: bytes) -> str:
         """The tokens' names joined by spaces, which is how a file without a decoder is decoded."""
         numbers = memoryview(ids).cast("I")
@@ -260,6 +265,7 @@ def encode(
             if decoded:
                 columns.append(pa.array(map(coder.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        coder.forget()
 
     rows = text_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
