@@ -1,4 +1,4 @@
-"""A training-data pipeline over ``documents``: toxicity, quality rules, line dedup, near-dedup, packing.
+"""A training-data pipeline over ``documents``: toxicity, quality rules in two stages, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, folder of the tables) and works on all that the one before kept. All but the last return
 the columns of ``documents``; rows with nulls, empty texts and repeated rows pass as the operators' docstrings say.
@@ -24,6 +24,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def drop_failed_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    found = quality.remove_failures(docs)
+    found = found.withColumn("text", F.col("_cleaned")).withColumn("n_chars", F.length("_cleaned").cast("long"))
+    return found.select(*map(quoted, docs.columns))
+
+
 def drop_common_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     found = lines.drop_common_lines(docs, COMMON_LINE_DOCS, 1)
     found = found.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long"))
@@ -41,6 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality_rules", drop_poor),
+    ("failed_lines", drop_failed_lines),
     ("line_dedup", drop_common_lines),
     ("simhash_near_dedup", drop_near_copies),
     ("best_fit_packing", pack),

@@ -1,8 +1,8 @@
 """Quality rules, line first (operator 9). DataFrame functions only, no shuffle.
 
-Each line is held against rules on its end, on navigation and on boilerplate; lines that fail go, and a document is
-rejected that loses too much of its text. Before that, a document must have enough words and must not
-consist of repeated passages.
+Each line is held against rules on its end, on navigation and on boilerplate; lines that fail go (``remove_failures``),
+and a document is rejected that loses too much of its text (``keep_good``). Before that, a document must have enough
+words and must not consist of repeated passages.
 """
 
 from __future__ import annotations
@@ -108,6 +108,20 @@ def line_fails(line: Column) -> Column:
     return let(F.btrim(line, F.lit(SPACES)), rules)
 
 
+def has_word(line: Column) -> Column:
+    return F.length(F.btrim(line, F.lit(SPACES))) > 0
+
+
+def cleaned(text: Column) -> Column:
+    """The text without its failing lines, the others as they are and in order, blank ones too; null stays null."""
+
+    def of(text: Column) -> Column:
+        rows = F.split(text, "\n", -1)
+        return F.array_join(F.filter(rows, lambda x: ~has_word(x) | ~line_fails(x)), "\n")
+
+    return let(text.cast("string"), of)
+
+
 def measures(text: Column) -> Column:
     """A struct with the base counts and the verdicts for a text; null counts as a text without words.
 
@@ -116,7 +130,7 @@ def measures(text: Column) -> Column:
     """
 
     def of(text: Column) -> Column:
-        lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+        lines = F.filter(F.split(text, "\n", -1), has_word)
         failed = let(lines, lambda rows: F.filter(rows, line_fails))
         chars = F.length(without(text, SPACES))
 
@@ -157,6 +171,11 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.where(measures(docs[text_col])["kept"])
 
 
+def remove_failures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, plus ``_cleaned``, the text without failing lines; a column of that name is replaced."""
+    return docs.withColumn("_cleaned", cleaned(docs[text_col]))
+
+
 def oracle() -> str:
     """DuckDB SQL for ``quality`` over the table ``documents``."""
     space, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
