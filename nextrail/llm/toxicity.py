@@ -12,9 +12,8 @@ the toxic class's. Without that, what differs between the classes by chance, suc
 toxic words (held out, an area under the curve of 0.75 instead of 0.98). A text's figure is the difference of its
 log-likelihoods by its number of words.
 
-Counts are Spark aggregates; no text is shuffled. What the tasks need for scoring are two tables of fixed size:
-expressions and contexts by hash, where of those that share a slot the weightiest stays and a tag tells others
-apart. Two folds of the labelled rows give two models, and each scores the other's rows; the logistic curve through
+Counts are Spark aggregates; no text is shuffled. What the tasks need for scoring are two hash tables with whole keys:
+every expression and every context of the rows learnt from, in as many slots as they ask for. Two folds of the labelled rows give two models, and each scores the other's rows; the logistic curve through
 those scores turns the final model's figures into probabilities.
 """
 
@@ -35,7 +34,7 @@ from nextrail.sources.tables import stage
 #: Labelled rows of each class to learn from, at most (more are thinned out by a hash of the id): the labels that
 #: are sent to all tasks are at most twice as many rows of 16 bytes.
 LABELS_PER_CLASS = 30_000
-#: Slots of the tables of expressions and of contexts; 18 and 14 bytes each.
+#: Slots of the tables of expressions and of contexts at the least; twice the keys if that is more. A slot has 20 bytes.
 EXPRESSION_BITS, CONTEXT_BITS = 21, 19
 #: Bytes of text that are turned into arrays at once, and distinct expressions that a task holds before it passes them on.
 STEP_BYTES, HELD = 1 << 20, 1_500_000
@@ -72,12 +71,49 @@ def expressions(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys[of_word], np.flatnonzero(depth[of_word] == 1)
 
 
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 16-bit tag of each key."""
-    mixed = (keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+def _home(stored: np.ndarray, bits: int) -> np.ndarray:
+    """The slot from which on a stored key is looked for."""
+    mixed = (stored.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0x94D049BB133111EB)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed & np.uint64(0xFFFF)).astype(np.uint16)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _place(keys: np.ndarray, least_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table of distinct keys and each one's slot: the first free one from its home on.
+
+    A slot holds the key plus 1, or 0 if it is free. At most half of the 2^bits slots are taken; those after them
+    take what the last ones push on, and the last of all is free.
+    """
+    bits = max(least_bits, (2 * len(keys)).bit_length())
+    stored = keys.astype(np.int64) + 1
+    home = _home(stored, bits)
+    order = np.argsort(home, kind="stable")
+    count = np.arange(len(keys))
+    slots = np.empty(len(keys), np.int64)
+    slots[order] = count + np.maximum.accumulate(home[order] - count)
+    table = np.zeros(max(1 << bits, int(slots.max(initial=0)) + 2), np.int64)
+    table[slots] = stored
+    return table, slots
+
+
+def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The slot of each key, -1 for those that the table does not hold."""
+    stored = keys + 1
+    at = _home(stored, len(table).bit_length() - 1)
+    there = table[at]
+    hit = there == stored
+    found = np.where(hit, at, -1)
+    going = np.flatnonzero(~hit & (there != 0))
+    at, stored = at[going], stored[going]
+    while len(going):
+        at = at + 1
+        there = table[at]
+        hit = there == stored
+        found[going[hit]] = at[hit]
+        on = ~hit & (there != 0)
+        going, at, stored = going[on], at[on], stored[on]
+    return found
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -94,12 +130,12 @@ def _parts(text: bytes) -> Iterator[bytes]:
 
 @dataclass
 class Tables:
-    """Log ratios (toxic over ordinary) by slot, one column per model, with the tags; and the curve's coefficients."""
+    """Log ratios (toxic over ordinary) by slot, one row per model, with the keys; and the curve's coefficients."""
 
     seen: np.ndarray
-    seen_tags: np.ndarray
+    seen_keys: np.ndarray
     context: np.ndarray
-    context_tags: np.ndarray
+    context_keys: np.ndarray
     curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
     def ratio(self, text: bytes, model: int) -> float:
@@ -109,11 +145,11 @@ class Tables:
             keys, words = expressions(part)
             if not len(words):
                 continue
-            slot, tag = _slots(keys, EXPRESSION_BITS)
+            slot = _find(keys, self.seen_keys)
             values = self.seen[model, slot]
-            unknown = np.flatnonzero(self.seen_tags[slot] != tag)
-            slot, tag = _slots(keys[unknown] >> 8, CONTEXT_BITS)
-            values[unknown] = np.where(self.context_tags[slot] == tag, self.context[model, slot], 0)
+            unknown = np.flatnonzero(slot < 0)
+            slot = _find(keys[unknown] >> 8, self.context_keys)
+            values[unknown] = np.where(slot >= 0, self.context[model, slot], 0)
             own = np.add.reduceat(values.astype(np.float64), words)
             total += float(np.log1p(MIXED * np.expm1(np.minimum(own, 50.0))).sum())
             length += len(words)
@@ -207,7 +243,7 @@ def _shared(grams: DataFrame) -> DataFrame:
 
 
 def _tables(grams: DataFrame) -> Tables:
-    """Log ratios of the models of fold A, fold B and both, put into tables of fixed size."""
+    """Log ratios of the models of fold A, fold B and both, for every expression and context that was counted."""
     models = {"a": ("c1", "c2"), "b": ("c3", "c4"), "ab": ("c1 + c3", "c2 + c4")}
     seen = grams.where("c1 + c2 + c3 + c4 > 0")
     context = Window.partitionBy(F.shiftright("key", 8))
@@ -224,40 +260,20 @@ def _tables(grams: DataFrame) -> Tables:
             probability.append(own + mass[-1] * F.col("backoff"))
         ratios.append(F.log(probability[0] / probability[1]).alias(f"r_{m}"))
         masses.append(F.log(mass[0] / mass[1]).alias(f"m_{m}"))
-    uses = F.expr("c1 + c2 + c3 + c4")
-    rows = stage(rows.select("key", uses.alias("uses"), *ratios, *masses))
-    by_context = rows.groupBy(F.shiftright("key", 8).alias("key")).agg(
-        F.sum("uses").alias("uses"), *(F.first(f"m_{m}").alias(f"r_{m}") for m in models)
-    )
+    rows = stage(rows.select("key", *ratios, *masses))
+    by_context = rows.groupBy(F.shiftright("key", 8).alias("key")).agg(*(F.first(f"m_{m}").alias(f"r_{m}") for m in models))
     names = [f"r_{m}" for m in models]
-    return Tables(
-        *_slotted(rows.select("key", "uses", *names), EXPRESSION_BITS, names),
-        *_slotted(by_context.select("key", "uses", *names), CONTEXT_BITS, names),
-    )
-
+    return Tables(*_slotted(rows, EXPRESSION_BITS, names), *_slotted(by_context, CONTEXT_BITS, names))
 
-def _slotted(rows: DataFrame, bits: int, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Values and tags by slot; the driver gets at most one row per slot, the one with the largest weight."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot, tag = _slots(batch.column("key").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(tag.astype(np.int32)), *batch.columns], ["slot", "tag", *batch.schema.names]
-            )
-
-    placed = rows.mapInArrow(run, "slot long, tag int, key long, uses long, r_a double, r_b double, r_ab double")
-    weight = F.struct(F.abs(F.col(names[-1])) * F.col("uses"), "key")
-    best = placed.groupBy("slot").agg(
-        F.max_by(F.struct("tag", *(F.col(n).cast("float").alias(n) for n in names)), weight).alias("best")
-    )
-    table = best.select("slot", "best.*").toArrow()
-    slots = table.column("slot").to_numpy()
-    values, tags = np.zeros((len(names), 1 << bits), np.float32), np.zeros(1 << bits, np.uint16)
+def _slotted(rows: DataFrame, least_bits: int, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values by slot, and the table of keys. The driver gets every row, 20 bytes each."""
+    found = rows.select("key", *(F.col(n).cast("float").alias(n) for n in names)).toArrow()
+    table, slots = _place(found.column("key").to_numpy(), least_bits)
+    values = np.zeros((len(names), len(table)), np.float32)
     for i, name in enumerate(names):
-        values[i, slots] = table.column(name).to_numpy()
-    tags[slots] = table.column("tag").to_numpy()
-    return values, tags
+        values[i, slots] = found.column(name).to_numpy()
+    return values, table
 
 
 def _curve(ratios: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
@@ -323,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def classify(docs: DataFrame, tables: Tables, text_col: str, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and ``_score``, the probability that the whole text is toxic; null counts as empty."""
-    final = Tables(tables.seen[2:], tables.seen_tags, tables.context[2:], tables.context_tags, tables.curve)
+    final = Tables(tables.seen[2:], tables.seen_keys, tables.context[2:], tables.context_keys, tables.curve)
     spread = docs.sparkSession.sparkContext.broadcast(final)
     # Numbered while in Python, so that columns can have any name; the text is sent once.
     names = [f"c{i}" for i in range(len(columns))]

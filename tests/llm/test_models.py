@@ -3,6 +3,7 @@
 import math
 import struct
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -135,6 +136,35 @@ def test_long_texts_are_scored_in_parts(monkeypatch):
     assert tables.ratio(text, 0) == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("bits", [1, 12])
+def test_every_counted_expression_is_scored_as_such(spark, monkeypatch, bits):
+    """Tables that begin too small for the expressions grow; rare ones are not pushed out by frequent ones."""
+    monkeypatch.setattr(toxicity, "EXPRESSION_BITS", bits)
+    monkeypatch.setattr(toxicity, "CONTEXT_BITS", bits)
+    rows = [(i, f"{t} rare{i} word{i * i}", y) for i, t, y in labelled_rows()]
+    labels = brute.frame(spark, [(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    tables = toxicity.fit(brute.frame(spark, [(i, t) for i, t, _ in rows]), labels)
+    taught = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    keys = np.unique(np.concatenate([toxicity.expressions(t.encode())[0] for t, _ in taught]))
+    assert (toxicity._find(keys, tables.seen_keys) >= 0).all() and (toxicity._find(keys >> 8, tables.context_keys) >= 0).all()
+    assert (tables.seen_keys != 0).sum() == len(keys) and (tables.context_keys != 0).sum() == len(np.unique(keys >> 8))
+    ratio = plain_ratios([t for t, _ in taught], [y for _, y in taught], [t for _, t, _ in rows])
+    for text in ("rare3 word9 idiots", "the tree rare0", "scum rare5", rows[0][1], rows[1][1]):
+        assert tables.ratio(text.encode(), 2) == pytest.approx(ratio(text), rel=1e-3, abs=1e-6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 3000), st.integers(1, 12), st.integers(0, 10**6), st.sampled_from([4, 24, 56]))
+def test_hash_tables_hold_every_key_and_no_other(n, least_bits, seed, width):
+    random = np.random.default_rng(seed)
+    keys = np.unique(random.integers(0, 1 << width, n))
+    random.shuffle(keys)
+    table, slots = toxicity._place(keys, least_bits)
+    assert (toxicity._find(keys, table) == slots).all() and len(set(slots.tolist())) == len(keys)
+    others = np.setdiff1d(random.integers(0, 1 << width, 3000), keys)
+    assert (toxicity._find(others, table) == -1).all()
+
+
 def test_op3_query_finds_held_out_toxic_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     rows = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").collect()
