@@ -51,7 +51,7 @@ JOBS = {
 
 
 def recall_at_20(spark: SparkSession, d: str) -> float:
-    """Share of the exact neighbours that 8 probes find."""
+    """Share of the exact neighbours that the probing query finds."""
     keys = ["query_id", "item_id"]
     exact = q.QUERIES["knn_exact_cosine"](spark, d).select(*keys)
     near = q.QUERIES["knn_probe8"](spark, d).select(*keys).withColumn("hit", F.lit(1))
@@ -90,7 +90,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "recall_at_20_nprobe_8": round(recall_at_20(spark, folder), 4),
+                "recall_at_20_probing": round(recall_at_20(spark, folder), 4),
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

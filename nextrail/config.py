@@ -12,6 +12,9 @@ TARGET_POSITIONS = ("first", "diagonal", None)
 TOP_K = 20
 NPROBE = 8
 
+#: Share of the exact neighbours that a probing search should find where the number of probes is chosen for it.
+RECALL = 0.9
+
 
 def _need(ok: bool, message: str) -> None:
     if not ok:

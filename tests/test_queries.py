@@ -39,6 +39,15 @@ def test_probing_finds_most_neighbours(spark):
     assert len(exact & near) / len(exact) > 0.8
 
 
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_probing_query_finds_nine_of_ten_neighbours(spark, folder):
+    keys = ["query_id", "item_id"]
+    exact = {tuple(r) for r in q.knn_exact(spark, folder, "cosine").select(*keys).collect()}
+    near = {tuple(r) for r in contract.queries()["knn_probe8"](spark, folder).select(*keys).collect()}
+    print(folder, len(exact & near) / len(exact))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 2

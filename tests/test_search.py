@@ -105,6 +105,27 @@ def test_probing_follows_the_metric(spark, metric, least):
     assert np.mean([len(set(exact[q]) & set(near[q])) / 20 for q in exact]) >= least
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_probes_follow_from_the_recall(spark, metric):
+    """Vectors without clusters: eight of 32 probes lose many of the best, the chosen number does not."""
+    random = np.random.default_rng(11)
+    rows = [(f"i{k}", [float(x) for x in v]) for k, v in enumerate(random.normal(size=(1500, 24)))]
+    items = spark.createDataFrame(rows, "item_id string, embedding array<double>")
+    asked = items.withColumnRenamed("item_id", "query_id")
+    clustered, centroids = search.cluster_items(items, metric=metric)
+    exact = found(search.search(asked, items, metric=metric))
+
+    def recall(nprobe):
+        near = found(search.search_clusters(asked, clustered, centroids, metric=metric, nprobe=nprobe))
+        return np.mean([len(set(exact[q]) & set(near[q])) / 20 for q in exact])
+
+    nprobe = search.probes_for(asked, clustered, centroids, metric=metric)
+    assert 8 < nprobe < centroids.count() and recall(8) < 0.9 <= recall(nprobe)
+    assert search.probes_for(asked, clustered, centroids, metric=metric, recall=0.0) == 8
+    assert search.probes_for(asked, clustered, centroids, metric=metric, recall=1.0) >= nprobe
+    assert search.probes_for(asked.where("false"), clustered, centroids, metric=metric) == 8
+
+
 def test_rows_without_vectors_take_no_part(spark, items, queries):
     few = spark.createDataFrame(
         [(1, None), (2, [1.0] * DIM), (None, [1.0] * DIM)], "item_id long, embedding array<double>"
