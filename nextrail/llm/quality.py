@@ -1,6 +1,6 @@
 """Quality rules, line first (operator 9). DataFrame functions only, no shuffle.
 
-Each line is held against rules on its end, on navigation and on boilerplate; lines that fail go (``remove_failures``),
+Each line is held against rules on its end, on navigation and on boilerplate; lines that fail go (``remove_failures``, ``clean_good``),
 and a document is rejected that loses too much of its text (``keep_good``). Before that, a document must have enough
 words and must not consist of repeated passages.
 """
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nextrail.llm.common import SPACES
+from nextrail.llm.common import SPACES, quoted
 
 #: What ``n_symbols`` counts.
 SYMBOLS = "#*$%&|<>"
@@ -89,59 +89,69 @@ def _repeated(words: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line (with a word) fails the punctuation, navigation or boilerplate rules."""
+    return let(F.btrim(line, F.lit(SPACES)), _bare_fails)
+
+
+def _bare_fails(bare: Column) -> Column:
+    n_words = F.regexp_count(bare, F.lit(WHITE)) + 1
+    symbols = F.length(bare) - F.length(without(bare, SYMBOLS))
+    separators = F.length(bare) - F.length(without(bare, "|»›>"))
+    shouted = (F.length(bare) - F.length(F.replace(bare, F.lit("!!"), F.lit("")))) / 2
+    lower = F.lower(bare)
+    phrase = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(p)) for p in PHRASES))
+    return (
+        (symbols * 100 >= F.length(bare) * MAX_SYMBOLS) & (symbols >= 2)
+        | (separators >= 2) & (separators * 4 >= n_words)
+        | (shouted >= 2) & (shouted * 100 >= n_words * MAX_SHOUTED)
+        | (n_words <= PHRASE_LINE) & phrase
+        | (n_words <= SHORT_LINE) & ~F.rlike(bare, F.lit(PROSE_END))
+    )
 
-    def rules(bare: Column) -> Column:
-        n_words = F.regexp_count(bare, F.lit(WHITE)) + 1
-        symbols = F.length(bare) - F.length(without(bare, SYMBOLS))
-        separators = F.length(bare) - F.length(without(bare, "|»›>"))
-        shouted = (F.length(bare) - F.length(F.replace(bare, F.lit("!!"), F.lit("")))) / 2
-        lower = F.lower(bare)
-        phrase = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(p)) for p in PHRASES))
-        return (
-            (symbols * 100 >= F.length(bare) * MAX_SYMBOLS) & (symbols >= 2)
-            | (separators >= 2) & (separators * 4 >= n_words)
-            | (shouted >= 2) & (shouted * 100 >= n_words * MAX_SHOUTED)
-            | (n_words <= PHRASE_LINE) & phrase
-            | (n_words <= SHORT_LINE) & ~F.rlike(bare, F.lit(PROSE_END))
-        )
 
-    return let(F.btrim(line, F.lit(SPACES)), rules)
+def judged(text: Column) -> Column:
+    """The lines of a text, not null, in order: ``line``, ``has_word``, and ``fails``; each is trimmed and judged once."""
 
+    def one(line: Column) -> Column:
+        def of(bare: Column) -> Column:
+            has_word = F.length(bare) > 0
+            return F.struct(line.alias("line"), has_word.alias("has_word"), (has_word & _bare_fails(bare)).alias("fails"))
 
-def has_word(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(SPACES))) > 0
+        return let(F.btrim(line, F.lit(SPACES)), of)
 
+    return F.transform(F.split(text, "\n", -1), one)
 
-def cleaned(text: Column) -> Column:
-    """The text without its failing lines, the others as they are and in order, blank ones too; null stays null."""
 
-    def of(text: Column) -> Column:
-        rows = F.split(text, "\n", -1)
-        return F.array_join(F.filter(rows, lambda x: ~has_word(x) | ~line_fails(x)), "\n")
+def _kept_lines(rows: Column) -> Column:
+    return F.array_join(F.transform(F.filter(rows, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+
 
-    return let(text.cast("string"), of)
+def cleaned(text: Column) -> Column:
+    """The text without its failing lines, the others as they are and in order, blank ones too; null stays null."""
+    return let(text.cast("string"), lambda t: F.when(t.isNotNull(), _kept_lines(judged(t))))
 
 
-def measures(text: Column) -> Column:
+def measures(text: Column, with_cleaned: bool = False) -> Column:
     """A struct with the base counts and the verdicts for a text; null counts as a text without words.
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``n_failed_lines, lost_chars`` (long),
-    ``base_failed, kept`` (boolean).
+    ``base_failed, kept`` (boolean), and if asked for ``cleaned``, the kept text's own lines without the failing ones
+    (null where the text is not kept).
     """
 
     def of(text: Column) -> Column:
-        lines = F.filter(F.split(text, "\n", -1), has_word)
-        failed = let(lines, lambda rows: F.filter(rows, line_fails))
         chars = F.length(without(text, SPACES))
 
         def verdicts(base: Column) -> Column:
             base_failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEATED * base["n_words"])
             kept = ~base_failed & (base["lost_chars"] * 100 <= base["word_chars"] * MAX_LOST)
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars")
-            return F.struct(*(base[n].cast("long").alias(n) for n in names), base_failed.alias("base_failed"), kept.alias("kept"))
+            found = [*(base[n].cast("long").alias(n) for n in names), base_failed.alias("base_failed"), kept.alias("kept")]
+            if with_cleaned:
+                found.append(F.when(kept, _kept_lines(base["rows"])).alias("cleaned"))
+            return F.struct(*found)
 
         def base(parts: Column) -> Column:
-            return F.struct(
+            found = [
                 F.size(parts["words"]).alias("n_words"),
                 chars.alias("word_chars"),
                 (F.length(text) - F.length(without(text, SYMBOLS))).alias("n_symbols"),
@@ -149,10 +159,16 @@ def measures(text: Column) -> Column:
                 _repeated(parts["words"]).alias("n_repeat_words"),
                 F.size(parts["failed"]).alias("n_failed_lines"),
                 F.length(without(F.array_join(parts["failed"], ""), SPACES)).alias("lost_chars"),
-            )
+            ]
+            return F.struct(*found, *[parts["rows"].alias("rows")] * with_cleaned)
 
-        parts = F.struct(_words(text).alias("words"), lines.alias("lines"), failed.alias("failed"))
-        return let(let(parts, base), verdicts)
+        def split(rows: Column) -> Column:
+            lines = F.transform(F.filter(rows, lambda x: x["has_word"]), lambda x: x["line"])
+            failed = F.transform(F.filter(rows, lambda x: x["fails"]), lambda x: x["line"])
+            found = [_words(text).alias("words"), lines.alias("lines"), failed.alias("failed")]
+            return F.struct(*found, *[rows.alias("rows")] * with_cleaned)
+
+        return let(let(let(judged(text), split), base), verdicts)
 
     return let(F.coalesce(text.cast("string"), F.lit("")), of)
 
@@ -167,12 +183,25 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all columns as they are."""
+    """The rows of ``docs`` whose text is kept, with all columns as they are; null and empty texts are not kept."""
     return docs.where(measures(docs[text_col])["kept"])
 
 
+def clean_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``keep_good`` plus ``_cleaned``, their text without failing lines; each text is judged once.
+
+    A text counts as it came, so one that is kept may have lost up to ``MAX_LOST`` percent of its characters. A column
+    ``_cleaned`` is replaced. An array of one cleaned text, or of none, is exploded: a filter would judge anew.
+    """
+    one = let(measures(docs[text_col], with_cleaned=True), lambda m: F.when(m["kept"], F.array(m["cleaned"])))
+    return docs.select(*(docs[quoted(c)] for c in docs.columns if c != "_cleaned"), F.explode(one).alias("_cleaned"))
+
+
 def remove_failures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, plus ``_cleaned``, the text without failing lines; a column of that name is replaced."""
+    """All columns of ``docs``, plus ``_cleaned``, the text without failing lines; a column of that name is replaced.
+
+    Null texts stay null and empty ones empty.
+    """
     return docs.withColumn("_cleaned", cleaned(docs[text_col]))
 
 

@@ -7,6 +7,8 @@ from collections import Counter
 
 import xxhash
 
+from nextrail.llm import quality
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LONG = "deep " * 3000 + "x" * 30000 + "\n" + "ünï códe. " * 500
 
@@ -101,3 +103,21 @@ def greedy_pieces(word, entries):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def plain_fails(line):
+    """The line rules of quality.py, written out for one line."""
+    bare = line.strip(quality.SPACES)
+    if not bare:
+        return False
+    n_words = len(words(bare))
+    symbols, separators = (sum(c in some for c in bare) for some in ("#*$%&|<>", "|»›>"))
+    shouted = bare.count("!!")
+    prose = re.search("[.!?…:;,。！？]['\"”’»)\\]]*\\Z", bare)
+    return (
+        symbols >= 2 and symbols * 100 >= 5 * len(bare)
+        or separators >= 2 and separators * 4 >= n_words
+        or shouted >= 2 and shouted * 100 >= 30 * n_words
+        or n_words <= 25 and any(p in bare.lower() for p in quality.PHRASES)
+        or n_words <= 8 and not prose
+    )

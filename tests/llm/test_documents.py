@@ -174,31 +174,13 @@ def test_quality_lines(spark):
     assert kept == {1: (False, True), 2: (False, False)}
 
 
-def plain_fails(line):
-    """The line rules of quality.py, written out for one line."""
-    bare = line.strip(quality.SPACES)
-    if not bare:
-        return False
-    n_words = len(brute.words(bare))
-    symbols, separators = (sum(c in some for c in bare) for some in ("#*$%&|<>", "|»›>"))
-    shouted = bare.count("!!")
-    prose = re.search("[.!?…:;,。！？]['\"”’»)\\]]*\\Z", bare)
-    return (
-        symbols >= 2 and symbols * 100 >= 5 * len(bare)
-        or separators >= 2 and separators * 4 >= n_words
-        or shouted >= 2 and shouted * 100 >= 30 * n_words
-        or n_words <= 25 and any(p in bare.lower() for p in quality.PHRASES)
-        or n_words <= 8 and not prose
-    )
-
-
 def test_failed_lines_are_removed(spark, documents):
     mixed = "Home | About | Contact\n\n \nThis is a sentence of plain prose that ends well.\r\nRead more\n  Another one, kept with its spaces.  \n"
     rows = brute.HARD + documents + [(10_001, mixed), (10_002, "Read more"), (10_003, "\n\n")]
     got = quality.remove_failures(brute.frame(spark, rows)).collect()
     want = {}
     for i, text in rows:
-        want.setdefault(i, []).append(None if text is None else "\n".join(x for x in text.split("\n") if not plain_fails(x)))
+        want.setdefault(i, []).append(None if text is None else "\n".join(x for x in text.split("\n") if not brute.plain_fails(x)))
     found = {}
     for r in got:
         found.setdefault(r.doc_id, []).append(r._cleaned)
@@ -211,16 +193,30 @@ def test_failed_lines_are_removed(spark, documents):
     assert lost == counted((r.doc_id, r.lost_chars) for r in quality.quality(brute.frame(spark, rows)).collect())
 
 
+def test_kept_documents_are_cleaned_in_one_pass(spark, documents):
+    rows = brute.HARD + documents + [(10_001, "Read more\n" + "Plain prose with some words that ends well. " * 12)]
+    docs = brute.frame(spark, rows).withColumn("_cleaned", F.lit(1))
+    kept = quality.keep_good(brute.frame(spark, rows)).collect()
+    got = quality.clean_good(docs)
+    assert got.columns == docs.columns
+    want = [(r.doc_id, r.text, "\n".join(x for x in r.text.split("\n") if not brute.plain_fails(x))) for r in kept]
+    assert counted((r.doc_id, r.text, r._cleaned) for r in got.collect()) == counted(want)
+    assert any(text != clean for _, text, clean in want)
+    assert quality.clean_good(docs.where("false")).count() == 0
+    # The rules stand in the plan once.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lorem ipsum") == 1
+
+
 def test_pipeline_hands_on_no_failed_line(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
-    first = names.index("quality_rules")
-    for _, step in corpus_pipeline.STAGES[first : names.index("line_dedup")]:
-        docs = step(spark, docs, "/root/testdata/sf0.01")
+    assert names == ["toxicity", "quality_rules", "line_dedup", "simhash_near_dedup", "best_fit_packing"]
+    docs = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "/root/testdata/sf0.01")
     rows = docs.collect()
-    assert len(rows) > 500 and not any(plain_fails(x) for r in rows for x in r.text.split("\n"))
+    assert len(rows) > 500 and not any(brute.plain_fails(x) for r in rows for x in r.text.split("\n"))
     assert all(r.n_chars == len(r.text) for r in rows)
     assert docs.schema.names == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").schema.names
 
