@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nextrail.llm import bpe, langid, lines, packing, quality, simhash, topk, toxicity, warc, wordpiece
+from nextrail.llm import bpe, langid, lines, minhash, negatives, packing, quality, simhash, topk, toxicity, warc, whitening, wordpiece
 from nextrail.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,7 +62,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A record that can't be read ends the query with what is wrong with it."""
     read = warc.round_trip(table(spark, folder, "pages"))
     return read.select(
-        F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("page_id")).cast("long").alias("page_id"),
+        F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("page_id")).cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
@@ -84,11 +84,32 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", topk.quantised(F.col("embedding"), 64).alias("whole"))
+    return whitening.whiten(vectors.withColumn("x", F.transform("whole", lambda c: c + F.lit(1_000_000))), 32)
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.fingerprint(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id",
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", label.alias("label"), topk.quantised(F.col("embedding"), 256).alias("vector")
+    )
+    return negatives.mine(vectors, 100, positives=5, negatives=10, window=(30, 100, 90))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_top_k, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_token_counts, op6_language_id,
-        op7_simhash, op8_warc, op9_quality_rules, op10_bpe,
+        op7_simhash, op8_warc, op9_quality_rules, op10_bpe, op11_whitening, op12_fingerprints, op13_hard_negatives,
     )
 }
 
@@ -97,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_quality_rules": quality.oracle(),
+    "op13_hard_negatives": negatives.ORACLE,
 }
