@@ -48,6 +48,9 @@ LOG = {
          l_quantity AS event_value, o_orderdate AS datetime, 'purchase' AS event_name, TRUE AS label
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 }
+LOG["priorities"] = """log AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_orderpriority AS item_id, o_totalprice AS event_value,
+         o_orderdate AS datetime, 'order' AS event_name, TRUE AS label FROM orders)"""
 PARTS = """parts AS (
   SELECT CAST(p_partkey AS VARCHAR) AS item_id,
          CAST(to_json({'title': p_name, 'genres': string_split(p_type, ' ')}) AS VARCHAR) AS item_text
@@ -60,6 +63,7 @@ ITEMS = {
     "events": """items AS (
   SELECT s.item_id, p.item_text FROM (SELECT DISTINCT item_id FROM log) s LEFT JOIN parts p USING (item_id))""",
     "orders": "items AS (SELECT * FROM parts)",
+    "priorities": "items AS (SELECT DISTINCT item_id, item_id AS item_text FROM log)",
 }
 VECTORS = """vectors AS (
   SELECT i.item_id, i.item_text, CAST(e.embedding AS DOUBLE[]) AS embedding
@@ -75,7 +79,11 @@ def text_vector(text: str, dim: int) -> str:
 
 PART_VECTORS = f"""vectors AS (
   SELECT item_id, item_text, CAST({text_vector('item_text', DIM)} AS DOUBLE[]) AS embedding FROM parts)"""
-VECTORS_OF = {"events": VECTORS, "orders": PART_VECTORS}
+VECTORS_OF = {
+    "events": VECTORS,
+    "orders": PART_VECTORS,
+    "priorities": "vectors AS (SELECT item_id, item_text, [1.0] AS embedding FROM items)",
+}
 ALL_VECTORS = """all_vectors AS (
   SELECT CAST(vec_id AS VARCHAR) AS item_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"""
 
@@ -120,7 +128,7 @@ indexed AS (
   JOIN (SELECT user_id, max(pos) AS last FROM numbered WHERE label GROUP BY user_id) l USING (user_id)
   WHERE n.pos <= l.last)"""
 
-SAMPLING = {"events": (32, 0, 32, 3), "orders": (8, 3, 64, 5)}
+SAMPLING = {"events": (32, 0, 32, 3), "orders": (8, 3, 64, 5), "priorities": (4, 0, 16, 7)}
 
 
 def subset(count: str, size: str, *key: str) -> str:
@@ -354,6 +362,83 @@ outside AS (
     )
 
 
+def hashed(bands: int, bits: int) -> str:
+    """The best of the items that share the signs of a band with the query."""
+    plane = f"list_transform(range(0, {DIM}), lambda d: 1.0 - 2 * (CAST('0x' || substr(md5(concat(p, '|', d)), 1, 1) AS INT) % 2))"
+    return query(
+        CANDIDATES,
+        ALL_VECTORS,
+        f"planes AS (SELECT p, p // {bits} AS band, p % {bits} AS bit, {plane} AS plane FROM range(0, {bands * bits}) t(p))",
+        f"""buckets AS (
+  SELECT item_id, band, sum(CASE WHEN round({dot('embedding', 'plane')}, 9) >= 0 THEN 1 << bit ELSE 0 END) AS bucket
+  FROM all_vectors CROSS JOIN planes GROUP BY item_id, band)""",
+        """apart AS (
+  SELECT q.item_id AS query_id, i.item_id FROM all_vectors q CROSS JOIN all_vectors i WHERE NOT EXISTS (
+    SELECT 1 FROM buckets a JOIN buckets b USING (band, bucket) WHERE a.item_id = q.item_id AND b.item_id = i.item_id))""",
+        SELF,
+        found("cosine", 20, "self", "self", "apart"),
+    )
+
+
+def nearest_centre(points: str, centres: str, group: str | None, name: str) -> str:
+    """Table of the points with the place of the nearest centre (of their group)."""
+    on = f"USING ({group})" if group else "ON TRUE"
+    more = f", {group}" if group else ""
+    return f"""{name} AS (
+  SELECT item_id{more}, point, place FROM {points} JOIN {centres} {on}
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(pow(list_distance(point, centre), 2), 12), place) = 1)"""
+
+
+def moved(placed: str, centres: str, group: str | None, name: str) -> str:
+    """Table of the centres moved to the means of their points."""
+    key = f"{group}, place" if group else "place"
+    return f"""{name} AS (
+  SELECT {key}, coalesce(mean, centre) AS centre FROM {centres} LEFT JOIN (
+    SELECT {key}, list(x ORDER BY dim) AS mean FROM (
+      SELECT {key}, dim, avg(x) AS x FROM (SELECT {key}, generate_subscripts(point, 1) AS dim, unnest(point) AS x FROM {placed})
+      GROUP BY {key}, dim) GROUP BY {key}) USING ({key}))"""
+
+
+def two_levels(total: int, coarse: int, rounds: int) -> str:
+    tables = [
+        ALL_VECTORS,
+        "points AS (SELECT item_id, embedding AS point FROM all_vectors)",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY md5('0|' || item_id), item_id) - 1 AS place, point AS centre FROM points
+  QUALIFY place < {coarse})""",
+    ]
+    for i in range(rounds):
+        tables += [nearest_centre("points", f"c{i}", None, f"a{i}"), moved(f"a{i}", f"c{i}", None, f"c{i + 1}")]
+    tables += [
+        nearest_centre("points", f"c{rounds}", None, "coarse"),
+        "groups AS (SELECT item_id, place AS part, point FROM coarse)",
+        f"""exact AS (
+  SELECT part, ({total} - count(*) OVER ()) * count(*) / sum(count(*)) OVER () AS share FROM groups GROUP BY part),
+shares AS (
+  SELECT part, 1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY floor(share) - share, part)
+    <= {total} - sum(1 + floor(share)) OVER () THEN 1 ELSE 0 END AS k FROM exact),
+offsets AS (SELECT part, k, sum(k) OVER (ORDER BY part) - k AS before FROM shares)""",
+        """f0 AS (
+  SELECT part, place, point AS centre FROM (
+    SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('0|' || item_id), item_id) - 1 AS place FROM groups) JOIN shares USING (part)
+  WHERE place < k)""",
+    ]
+    for i in range(rounds):
+        tables += [nearest_centre("groups", f"f{i}", "part", f"b{i}"), moved(f"b{i}", f"f{i}", "part", f"f{i + 1}")]
+    tables.append(nearest_centre("groups", f"f{rounds}", "part", "fine"))
+    return query("SELECT item_id, CAST(before + place AS INTEGER) AS cluster_id FROM fine JOIN offsets USING (part)", *tables)
+
+
+def cooccurrence(log: str) -> tuple[str, ...]:
+    return (
+        *base(log),
+        """near AS (
+  SELECT a.item_id, b.item_id AS other_id FROM histories a JOIN histories b
+    ON b.query_id = a.query_id AND abs(b.pos - a.pos) BETWEEN 1 AND 5 AND a.item_id <> b.item_id),
+counts AS (SELECT item_id, other_id, count(*) AS n FROM near GROUP BY ALL)""",
+    )
+
+
 # --- metrics ---
 
 METRICS = (
@@ -511,6 +596,9 @@ FROM parts p LEFT JOIN (SELECT item_id, bool_or(is_train) AS is_train FROM flagg
     "user_history_events": history("events"),
     "user_history_orders": history("orders"),
     "user_lists": query(
+        "SELECT user_id, part, pos, item_id, item_text, event_value, label FROM placed", *base("orders")
+    ),
+    "user_lists_latest": query(
         """SELECT user_id, part, pos, item_id, item_text, event_value, label FROM placed
 QUALIFY row_number() OVER (PARTITION BY user_id, part ORDER BY pos DESC) <= 8""",
         *base("orders"),
@@ -542,6 +630,7 @@ FROM customers c LEFT JOIN (
     "sample_positives_orders": slot_query("orders", POSITIVES),
     "sample_negatives_events": slot_query("events", NEGATIVES),
     "sample_negatives_orders": slot_query("orders", NEGATIVES),
+    "sample_negatives_priorities": slot_query("priorities", NEGATIVES),
     "example_texts": slot_query(
         "events",
         """SELECT f.user_id, f.copy, f.slot, h.item_text AS history_item_text, p.item_text AS pos_item_text,
@@ -613,6 +702,56 @@ WHERE NOT is_train AND NOT known""",
         LOG["orders"],
         SPLIT,
     ),
+    "targets_without_history": query(
+        """SELECT user_id, item_id FROM (
+  SELECT user_id, item_id, is_train, bool_or(is_train) OVER (PARTITION BY user_id, item_id) AS known FROM flagged)
+WHERE NOT is_train AND NOT known""",
+        LOG["orders"],
+        SPLIT,
+    ),
+    "raw_files": query(
+        """SELECT f.user_id, f.item_id, CAST(event_value AS INTEGER) AS event_value, CAST(CAST(datetime AS TIMESTAMP) AS VARCHAR) AS datetime,
+  'rating' AS event_name, label, item_text, user_text, is_train, is_val, is_test
+FROM flagged f LEFT JOIN parts p ON p.item_id = f.item_id LEFT JOIN raw_users u ON u.user_id = f.user_id""",
+        LOG["orders"],
+        PARTS,
+        SPLIT,
+        """raw_users AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS user_id, CAST(to_json({'gender': substr(c_mktsegment, 1, 1), 'age': c_nationkey,
+    'occupation': length(c_name), 'zipcode': CAST(c_custkey AS VARCHAR)}) AS VARCHAR) AS user_text FROM customer)""",
+    ),
+    "stage_view": query(
+        f"""SELECT stage AS view, user_id AS id, part, pos AS place, CAST(event_value AS DOUBLE) AS value
+FROM placed JOIN members USING (user_id)
+UNION ALL SELECT 'items', item_id, NULL, dim - 1, {rnd('x', 'value')} FROM (
+  SELECT item_id, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM (SELECT item_id, {text_vector('item_text', 16)} AS v FROM parts))
+WHERE x <> 0""",
+        *base("orders"),
+        """members AS (
+  SELECT user_id, 'val' AS stage FROM flagged GROUP BY user_id HAVING bool_or(is_val)
+  UNION ALL SELECT user_id, 'test' FROM flagged GROUP BY user_id HAVING bool_or(is_test))""",
+    ),
+    "preview_sizes": """SELECT 'parts' AS name, least(7, count(*)) AS n_rows FROM part
+UNION ALL SELECT 'customers', least(7, count(*)) FROM customer UNION ALL SELECT 'regions', least(7, count(*)) FROM region""",
+    "pooled_by_model": query(
+        """SELECT query_id, dim - 1 AS dim, CAST(count(*) FILTER (WHERE x > 0) AS DOUBLE) AS value
+FROM (SELECT query_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x FROM tail) GROUP BY query_id, dim""",
+        *base("events"),
+        encoded(length=6),
+    ),
+    "own_metric": query(
+        f"SELECT query_id, stage, {rnd('coalesce(max(rank), 0)', 'last_hit')} FROM judged JOIN stages USING (query_id) GROUP BY ALL",
+        *metrics("events"),
+    ),
+    "own_loss": query(
+        f"SELECT batch_id, count(*) AS n_queries, {rnd('sum(gap)', 'MeanGap')} FROM gaps GROUP BY batch_id",
+        scored_lines(),
+        ranked_losses(True, 0, 1.0, 0.5),
+        """gaps AS (
+  SELECT batch_id, query_id, greatest(1 + coalesce(sum(dot) FILTER (WHERE n_dot), 0.0) / (count(*) FILTER (WHERE n_dot) + 1e-9) - max(t_dot), 0.0) AS gap
+  FROM rated GROUP BY batch_id, query_id)""",
+    ),
+    "knn_copied": knn("l2"),
     "pooled_mean": pooled("mean"),
     "pooled_mean_unit": pooled("mean", unit=True),
     "pooled_max": pooled("max"),
@@ -626,6 +765,15 @@ LEFT JOIN pooled p ON p.query_id = c.user_id AND p.dim = d.dim""",
         CUSTOMERS,
         encoded(length=4),
     ),
+    **{
+        f"prefix_{mode}": query(
+            f"""SELECT query_id, pos, dim - 1 AS dim, {rnd(f'{value} OVER (PARTITION BY query_id, dim ORDER BY pos ROWS UNBOUNDED PRECEDING)', 'value')}
+FROM (SELECT query_id, pos, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x FROM tail)""",
+            *base("events"),
+            encoded(),
+        )
+        for mode, value in (("max", "max(x)"), ("first", "first_value(x)"), ("last", "last_value(x)"))
+    },
     "prefix_mean": query(
         f"""SELECT query_id, pos, dim - 1 AS dim,
   {rnd('avg(x) OVER (PARTITION BY query_id, dim ORDER BY pos ROWS UNBOUNDED PRECEDING)', 'value')}
@@ -645,6 +793,26 @@ JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item
     "knn_exact_cosine": knn("cosine"),
     "knn_exact_l2": knn("l2"),
     "knn_full_probe": knn("cosine"),
+    "knn_pruned_dot": knn("dot"),
+    "knn_pruned_cosine": knn("cosine"),
+    "knn_pruned_l2": knn("l2"),
+    "knn_coded_dot": knn("dot"),
+    "knn_coded_cosine": knn("cosine"),
+    "knn_coded_l2": knn("l2"),
+    "knn_stored_probes": probe_labels("dot"),
+    "knn_stored_probes_cosine": probe_labels("cosine"),
+    "knn_hashed": hashed(10, 4),
+    "clusters_two_levels": two_levels(16, 4, 2),
+    "item_cooccurrence_events": query("SELECT * FROM counts", *cooccurrence("events")),
+    "item_cooccurrence_orders": query("SELECT * FROM counts", *cooccurrence("orders")),
+    "item_mutual_information": query(
+        f"""SELECT item_id, other_id, {rnd('weight', 'weight')} FROM (
+  SELECT *, ln(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY item_id) * sum(n) OVER (PARTITION BY other_id))) AS weight FROM counts)
+WHERE weight > 0""",
+        *cooccurrence("events"),
+    ),
+    "recommend_indexed_events": recommend_history("events"),
+    "recommend_indexed_orders": recommend_history("orders"),
     "knn_stored": knn("cosine"),
     "knn_excluding_seen": query(
         CANDIDATES,
@@ -742,6 +910,9 @@ barred AS (
         SELF,
         found("l2", 3, "self", "vectors"),
     ),
+    "user_metrics_indexed": query(
+        f"SELECT query_id, stage, {ROUNDED_METRICS} FROM scores", *metrics("events")
+    ),
     "user_metrics_events": query(
         f"SELECT query_id, stage, {ROUNDED_METRICS} FROM scores", *metrics("events")
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.schemas import ACTIVITY, FLAGS
-from nextrail.sources.tables import assert_unique
+from nextrail.sources.tables import unique_in_plan
 
 PARTS = ("history", "target")
 
@@ -32,21 +32,22 @@ def enrich_events(
 
     ``users`` may be left out if the split has brought their text already. ``heavy`` and ``heavy_items`` are the heavy users and items of the log, if they are known.
     """
-    if validate:
-        assert_unique(items, ["item_id"])
     items = items.select("item_id", "item_text")
+    if validate:
+        items = unique_in_plan(items, ["item_id"])
     with_items = join_lookup(events, items, "item_id", heavy=heavy_items)
     if users is None:
         return with_items
+    users = users.select("user_id", "user_text")
     if validate:
-        assert_unique(users, ["user_id"])
-    return join_lookup(with_items, users.select("user_id", "user_text"), "user_id", heavy=heavy)
+        users = unique_in_plan(users, ["user_id"])
+    return join_lookup(with_items, users, "user_id", heavy=heavy)
 
 
 def flag_items(items: DataFrame, events: DataFrame, *, validate: bool = True) -> DataFrame:
     """The items with ``is_train``: NULL if never seen; all items are open to the other stages (C4)."""
     if validate:
-        assert_unique(items, ["item_id"])
+        items = unique_in_plan(items, ["item_id"])
     seen = events.groupBy("item_id").agg(any_true("is_train").alias("is_train"))
     return items.join(seen, "item_id", "left").withColumns(
         {flag: F.lit(True) for flag in FLAGS[1:]}
@@ -97,7 +98,7 @@ def lay_out_users(
     without any event their flags are NULL too.
     """
     if validate:
-        assert_unique(users, ["user_id"])
+        users = unique_in_plan(users, ["user_id"])
     heavy = heavy_keys(events, "user_id") if heavy is None else heavy
     placed = place_activities(events, heavy=heavy).select("user_id", "part", "pos", *ACTIVITY)
     flags = events.groupBy("user_id").agg(
@@ -110,15 +111,27 @@ def lay_out_users(
     return active.select(*columns).unionByName(idle.select(*users.columns, *FLAGS), allowMissingColumns=True)
 
 
-def latest_lists(laid_out: DataFrame, count: int) -> DataFrame:
-    """Per user and part the last ``count`` activities as a struct of aligned lists, in order.
+#: Activities in a list at most, where whole parts are asked for.
+LIST_ROWS = 10_000
+
+
+def latest_lists(laid_out: DataFrame, count: int | None, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Per user and part the last ``count`` activities, or with None all of them, as a struct of aligned lists, in order.
 
-    ``first_pos`` is the place of the first one in the whole part. The group limit cuts each part before the shuffle.
+    ``first_pos`` is the place of the first one in the whole part. A group limit cuts each part before the shuffle. A whole
+    part with more than ``list_rows`` activities comes as several rows with so many each, since a user may hold a third of
+    all; they follow each other by ``first_pos``.
     """
-    latest = Window.partitionBy("user_id", "part").orderBy(F.desc("pos"))
-    rows = laid_out.where(F.col("part").isNotNull()).withColumn("_back", F.row_number().over(latest))
+    rows = laid_out.where(F.col("part").isNotNull())
     entries = F.sort_array(F.collect_list(F.struct("pos", *ACTIVITY)))
-    lists = rows.where(F.col("_back") <= count).groupBy("user_id", "part").agg(entries.alias("entries"))
+    keys = ["user_id", "part"]
+    if count is None:
+        rows = rows.withColumn("_chunk", F.floor(F.col("pos") / list_rows))
+        keys.append("_chunk")
+    else:
+        latest = Window.partitionBy("user_id", "part").orderBy(F.desc("pos"))
+        rows = rows.withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= count)
+    lists = rows.groupBy(*keys).agg(entries.alias("entries"))
     return lists.select(
         "user_id",
         "part",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -148,6 +150,32 @@ def encode_histories(
     return listed.select("query_id", embedding.alias("embedding"))
 
 
+def encode_runs(
+    histories: DataFrame,
+    vectors: DataFrame,
+    runs: dict[str, EncoderConfig],
+    *,
+    heavy_items: Sequence | None = None,
+) -> DataFrame:
+    """``run_id, query_id, embedding``: the histories under several settings, their vectors joined once per length.
+
+    Rows as of ``encode_histories``, for each run its own.
+    """
+    out = []
+    for length in sorted({config.max_seq_length for config in runs.values()}):
+        listed = _tail_vectors(histories, vectors, length, heavy_items).groupBy("query_id").agg(
+            F.sort_array(F.collect_list(F.struct("pos", "embedding")))["embedding"].alias("vectors")
+        )
+        pooled = []
+        for run, config in runs.items():
+            if config.max_seq_length == length:
+                vector = pool(F.col("vectors"), config.pooling)
+                pooled.append(F.struct(F.lit(run).alias("run_id"), (unit(vector) if config.normalize else vector).alias("embedding")))
+        rows = listed.select("query_id", F.explode(F.array(*pooled)).alias("run"))
+        out.append(rows.select("run.run_id", "query_id", "run.embedding"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _tail_vectors(
     histories: DataFrame, vectors: DataFrame, length: int, heavy_items: Sequence | None
 ) -> DataFrame:
@@ -179,22 +207,38 @@ def embed_or_zero(queries: DataFrame, encoded: DataFrame, dim: int) -> DataFrame
     return found.withColumn("embedding", F.coalesce("embedding", zeros))
 
 
-def prefix_means(
-    histories: DataFrame, vectors: DataFrame, dim: int, config: EncoderConfig = EncoderConfig()
-) -> DataFrame:
-    """Per place of a query's last items the mean of the vectors up to it.
+def prefix_states(histories: DataFrame, vectors: DataFrame, config: EncoderConfig = EncoderConfig()) -> DataFrame:
+    """``query_id, pos, embedding``: per place of a query's last items the pooled vector of those up to it.
 
-    One window with an average per dimension: rows are not multiplied, and a group has at most
-    ``max_seq_length`` rows.
+    All-zero vectors have no row and do not count; ``first`` is the first vector that counts. One fold over each query's list of
+    at most ``max_seq_length`` vectors: a state follows from the one before and the next vector, whatever their dimension.
     """
     rows = _tail_vectors(histories, vectors, config.max_seq_length, None)
-    rows = rows.withColumn("embedding", as_double(F.col("embedding")))
-    rows = rows.where(~is_zero(F.col("embedding")))
-    so_far = (
-        Window.partitionBy("query_id")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    means = F.array(*[F.avg(F.col("embedding")[i]).over(so_far) for i in range(dim)])
-    out = rows.select("query_id", "pos", means.alias("embedding"))
-    return out.withColumn("embedding", unit(F.col("embedding"))) if config.normalize else out
+    rows = rows.withColumn("embedding", as_double(F.col("embedding"))).where(~is_zero(F.col("embedding")))
+    listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "embedding"))).alias("seen"))
+    merge = {
+        "mean": lambda state, v: F.zip_with(state, v, lambda a, b: a + b),
+        "max": lambda state, v: F.zip_with(state, v, lambda a, b: F.greatest(a, b)),
+        "first": lambda state, v: state,
+        "last": lambda state, v: v,
+    }[config.pooling]
+
+    def step(states: Column, entry: Column) -> Column:
+        last = F.element_at(states, -1)
+        return F.concat(states, F.array(merge(last, entry["embedding"])))
+
+    first = F.array(F.col("seen")[0]["embedding"])
+    states = F.aggregate(F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(0))), first, step)
+    out = listed.select("query_id", "seen.pos", F.posexplode(states).alias("nth", "state"))
+    state = F.col("state")
+    if config.pooling == "mean":
+        state = F.transform(state, lambda x: x / (F.col("nth") + 1))
+    return out.select("query_id", F.col("pos")[F.col("nth")].alias("pos"), (unit(state) if config.normalize else state).alias("embedding"))
+
+
+def prefix_means(
+    histories: DataFrame, vectors: DataFrame, dim: int, config: EncoderConfig = EncoderConfig()
+) -> DataFrame:
+    """``prefix_states`` with the mean, for vectors of ``dim`` numbers."""
+    found = prefix_states(histories, vectors, replace(config, pooling="mean"))
+    return found.where(F.size("embedding") == dim)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextrail.config import NPROBE, TOP_K, EncoderConfig
+from nextrail.config import TOP_K, EncoderConfig
 from nextrail.functions.vectors import as_double, unit
 from nextrail.operators.encode import ModelFn, encode_histories, known_tail, pool
 from nextrail.operators.lookup import lookup_one
-from nextrail.operators.search import nearest, with_item_text
+from nextrail.operators.pruned import ClusterIndex, nearest
+from nextrail.operators.search import with_item_text
 from nextrail.operators.skew import join_lookup
 from nextrail.sources.tables import stage
 
@@ -27,14 +28,15 @@ def nearest_to_histories(
     exclude_scope: str = "all",
     model_fn: ModelFn | None = None,
     dim: int | None = None,
+    index: ClusterIndex | None = None,
     centroids: DataFrame | None = None,
-    nprobe: int = NPROBE,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` for rows ``query_id, pos, item_id``, without the history's items (O1).
 
     ``histories`` is read several times; pass a staged or written table. ``exclude_scope``: ``all`` leaves out the whole history, ``tail`` only the items the vector was made
-    from, so that older ones may come again. ``items``: item_id, embedding; with ``centroids`` also
-    cluster_id, and the ``nprobe`` nearest clusters are searched.
+    from, so that older ones may come again. ``items``: item_id, embedding. ``index`` over them prunes
+    the search, which stays exact; with ``centroids`` and ``nprobe`` (``items`` then has cluster_id) the nearest clusters are searched.
     """
     if exclude_scope not in ("all", "tail"):
         raise ValueError("exclude_scope must be 'all' or 'tail'")
@@ -54,6 +56,7 @@ def nearest_to_histories(
         exclude=seen,
         top_k=top_k,
         metric=metric,
+        index=index,
         centroids=centroids,
         nprobe=nprobe,
     )
@@ -99,7 +102,7 @@ def recommend_queries(
     encoder: EncoderConfig = EncoderConfig(),
     **index,
 ) -> DataFrame:
-    """Items for a table of requests (O2); ``index`` may give ``centroids`` and ``nprobe``.
+    """Items for a table of requests (O2); ``index`` may give ``index``, or ``centroids`` and ``nprobe``.
 
     ``queries``: query_id and optionally ``embedding`` and ``top_k``; ``item_rows``: query_id, pos, item_id;
     ``input_rows``: query_id, pos, embedding; ``exclude``: query_id, item_id. A given vector goes before

@@ -17,23 +17,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from nextrail.config import METRICS, NPROBE, RECALL, TOP_K
-from nextrail.functions.vectors import COSINE_EPS, as_double, unit
-from nextrail.functions.vectors import dot as vectors_dot
+from nextrail.functions.vectors import COSINE_EPS, as_double
 from nextrail.operators.skew import default_parts, join_lookup
 from nextrail.sources.tables import stage
 
-#: Clusters up to which the start of their training is chosen by distance.
-SPREAD_START = 1024
 #: Queries, at most, by which the number of probes is measured.
 RECALL_QUERIES = 1024
-#: Bytes of vectors up to which a catalogue is sent to all tasks.
-SHARED_BYTES = 64 << 20
+#: Bytes of vectors and ids up to which a catalogue is sent to all tasks, and what an id is reckoned at.
+SHARED_BYTES, ID_BYTES = 64 << 20, 64
 ITEM_BLOCK = 65_536
 QUERY_BLOCK = 8_192
 # Least number of queries in a block, and scores held at a time.
@@ -53,9 +50,37 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(flat, pa.ChunkedArray):
         flat = pa.concat_arrays(flat.chunks)
     values = flat.flatten().to_numpy(zero_copy_only=False)
+    if len(values) != len(column) * dim:
+        raise ValueError("vectors of different lengths")
     return values.astype(np.float64, copy=False).reshape(len(column), dim)
 
 
+def _runs(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ids of a sorted column, and where each begins, the end last."""
+    flat = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.string())
+    if not len(flat):
+        return flat, np.zeros(1, np.int64)
+    new = pc.not_equal(flat.slice(1), flat.slice(0, len(flat) - 1)).to_numpy(zero_copy_only=False)
+    starts = np.r_[0, np.flatnonzero(new) + 1]
+    return flat.take(pa.array(starts)), np.r_[starts, len(flat)]
+
+
+def _barred_places(
+    row: np.ndarray, asked: pa.Array | pa.ChunkedArray, ids: pa.Array, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row (ascending) and column of every place whose id is excluded; an id that is there twice is barred twice."""
+    found = pc.index_in(asked, value_set=ids)
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    run, row = found.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64), row[known]
+    times = starts[run + 1] - starts[run]
+    first = np.repeat(np.cumsum(times) - times, times)
+    column = np.repeat(starts[run], times) + np.arange(len(first)) - first
+    row = np.repeat(row, times)
+    order = np.argsort(row, kind="stable")
+    return row[order], column[order]
+
+
 def similarity(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
     """``1 - distance`` of every query with every item of a block."""
     product = queries @ items.T
@@ -104,51 +129,49 @@ def usable(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("string").alias(id_col), "embedding", *more).dropna(subset=[id_col, "embedding"])
 
 
-def _checked_sizes(queries: DataFrame, items: DataFrame) -> tuple[int, int, int]:
-    """Number of queries and items, and their dimension; raises if vectors differ in length or query ids repeat."""
+def _checked_sizes(items: DataFrame) -> tuple[int, int]:
+    """Number and dimension of the items; raises if their vectors differ in length (H5)."""
+    length = F.size("embedding")
+    found = items.agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("low"), F.max(length).alias("high")).first()
+    if found["low"] != found["high"]:
+        raise ValueError(f"vectors of different lengths: {found['low']}..{found['high']}")
+    return found["n"], found["high"] or 0
+
 
-    def sizes(rows: DataFrame, *more: Column):
-        length = F.size("embedding")
-        return rows.agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("low"), F.max(length).alias("high"), *more).first()
+RESULT = "query_id string, item_id string, score double"
+#: Scores a block: vectors of the queries, the block's items by id, and the excluded places, to columns without the query.
+Scorer = Callable[[np.ndarray, pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]]
+
+
+def _exact_scorer(metric: str, top_k: int) -> Scorer:
+    def scored(vectors: np.ndarray, right: pa.Table, row: np.ndarray, column: np.ndarray):
+        items = _matrix(right["embedding"], vectors.shape[1])
+        query, item, score = _striped(vectors, items, metric, top_k, row, column)
+        return query, {"item_id": right["item_id"].to_numpy()[item], "score": score}
 
-    asked, stored = sizes(queries, F.countDistinct("query_id").alias("ids")), sizes(items)
-    dims = {asked["low"], asked["high"], stored["low"], stored["high"]} - {None}
-    if len(dims) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(dims)}")
-    if asked["ids"] < asked["n"]:
-        raise ValueError("query_id is not unique")
-    return asked["n"], stored["n"], max(dims, default=0)
+    return scored
 
 
-def _score_block(metric: str, top_k: int):
-    result = pa.schema([("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
+def _scored_block(scorer: Scorer, schema: pa.Schema):
+    """What a block pair is turned into: the rows of ``scorer`` for its queries."""
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         is_query = np.asarray(left["item_id"].is_null())
-        queries = left.filter(pa.array(is_query))
+        queries = left.filter(pa.array(is_query)).sort_by("query_id")
         if queries.num_rows == 0 or right.num_rows == 0:
-            return result.empty_table()
+            return schema.empty_table()
         right = right.sort_by("item_id")
-        item_ids = right["item_id"].to_numpy()
-        query_ids = queries["query_id"].to_numpy()
-        dim = len(right["embedding"][0])
-        items = _matrix(right["embedding"], dim)
-        vectors = _matrix(queries["embedding"], dim)
-
-        # Excluded pairs as places in the score matrix, in order of their row.
+        query_ids, starts = _runs(queries["query_id"])
+        if len(query_ids) < queries.num_rows:
+            raise ValueError("query_id is not unique")
         barred = left.filter(pa.array(~is_query))
-        row = pc.index_in(barred["query_id"], value_set=queries["query_id"])
-        column = pc.index_in(barred["item_id"], value_set=right["item_id"])
-        here = pc.and_(row.is_valid(), column.is_valid())
-        row, column = row.filter(here).to_numpy(), column.filter(here).to_numpy()
-        order = np.argsort(row, kind="stable")
-        row, column = row[order], column[order]
-
-        query, item, score = _striped(vectors, items, metric, top_k, row, column)
-        return pa.table(
-            [pa.array(query_ids[query], pa.string()), pa.array(item_ids[item], pa.string()), pa.array(score)],
-            schema=result,
-        )
+        row = pc.index_in(barred["query_id"], value_set=query_ids)
+        barred, row = barred.filter(row.is_valid()), row.drop_null().to_numpy()
+        row, column = _barred_places(row, barred["item_id"], *_runs(right["item_id"]))
+        vectors = _matrix(queries["embedding"], len(queries["embedding"][0]))
+        query, columns = scorer(vectors, right, row, column)
+        columns = {"query_id": query_ids.take(pa.array(query)), **columns}
+        return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return scored
 
@@ -184,13 +207,16 @@ def _block_search(
     items: DataFrame,
     exclude: DataFrame | None,
     sized: Callable[[DataFrame], DataFrame],
-    top_k: int,
-    metric: str,
+    scorer: Scorer,
+    schema: str = RESULT,
+    payload: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``probes``: query_id, embedding, cluster_id; ``items``: item_id, embedding, cluster_id.
+    """``probes``: query_id, embedding, cluster_id; ``items``: item_id, cluster_id and what ``payload`` is made of.
 
-    ``sized`` adds the ``item_blocks`` and ``query_blocks`` of the cluster and drops clusters without either.
+    ``sized`` adds the ``item_blocks`` and ``query_blocks`` of the cluster and drops clusters without either. ``payload``
+    is what the items' side sends, the vectors unless told otherwise; ``scorer`` gives rows of ``schema``.
     """
+    payload = payload or {"embedding": as_double(F.col("embedding"))}
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -218,20 +244,18 @@ def _block_search(
         every("query_blocks").alias("query_block"),
         _block("item_id", "item_blocks").alias("item_block"),
         "item_id",
-        as_double(F.col("embedding")).alias("embedding"),
+        *[value.alias(name) for name, value in payload.items()],
     )
     # The work per byte is high: a stated number of partitions keeps the engine from merging small ones.
     key = ["cluster_id", "query_block", "item_block"]
     parts = default_parts(items)
-    scored = (
+    score = _scored_block(scorer, to_arrow_schema(StructType.fromDDL(schema)))
+    return (
         left.repartition(parts, *key)
         .groupBy(*key)
         .cogroup(right.repartition(parts, *key).groupBy(*key))
-        .applyInArrow(
-            _score_block(metric, top_k), "query_id string, item_id string, score double"
-        )
+        .applyInArrow(score, schema)
     )
-    return ranked_top_k(scored, top_k)
 
 
 def _distinct_exclusions(exclude: DataFrame) -> DataFrame:
@@ -251,7 +275,8 @@ def search(
 ) -> DataFrame:
     """Exact top-k: ``query_id, item_id, score, rank`` (K1; K2 is ``metric='dot'``).
 
-    Both sides are counted and checked first; pass staged or written tables if they are costly.
+    The items are counted and checked first; pass a staged or written table if they are costly. Repeated query ids are
+    an error, found while scoring.
 
     ``exclude`` holds pairs ``query_id, item_id`` that are taken out before ranking, so a query gets
     ``top_k`` rows whenever that many items are left. Filtering the nearest ``2 * (top_k + excluded)``
@@ -260,9 +285,10 @@ def search(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     queries, items = usable(queries, "query_id"), usable(items, "item_id")
-    n_queries, n_items, dim = _checked_sizes(queries, items)
-    if n_items * dim * 8 <= shared_bytes:
+    n_items, dim = _checked_sizes(items)
+    if n_items * (dim * 8 + ID_BYTES) <= shared_bytes:
         return _shared_search(queries, items, exclude, top_k, metric, dim)
+    n_queries = queries.count()
     item_blocks = max(1, math.ceil(n_items / item_block))
     spread = min(math.ceil(n_queries / _MIN_QUERIES), math.ceil(4 * default_parts(items) / item_blocks))
     blocks = {"item_blocks": item_blocks, "query_blocks": max(1, math.ceil(n_queries / query_block), spread)}
@@ -275,14 +301,14 @@ def search(
     barred = None
     if exclude is not None:
         barred = _distinct_exclusions(exclude).select("query_id", "item_id", one)
-    return _block_search(
+    found = _block_search(
         queries.select("query_id", "embedding", one),
         items.select("item_id", "embedding", one),
         barred,
         sized,
-        top_k,
-        metric,
+        _exact_scorer(metric, top_k),
     )
+    return ranked_top_k(found, top_k)
 
 
 def _shared_search(
@@ -293,8 +319,8 @@ def _shared_search(
     A query's exclusions are a list of known items, at most as long as the catalogue.
     """
     table = items.toArrow().sort_by("item_id")
-    ids = table["item_id"].to_numpy()
-    shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix(table["embedding"], dim)))
+    runs = _runs(table["item_id"])
+    shared = queries.sparkSession.sparkContext.broadcast((table["item_id"].to_numpy(), *runs, _matrix(table["embedding"], dim)))
     rows = queries.select("query_id", as_double(F.col("embedding")).alias("embedding"))
     # Queries hold little and cost much: every task gets its share of them, dealt as the exclusions are.
     rows = rows.repartition(default_parts(queries), "query_id")
@@ -306,14 +332,20 @@ def _shared_search(
         rows = rows.withColumn("barred", F.lit(None).cast("array<string>"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        places = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+        ids, names, starts, vectors = shared.value
+        before = None
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
+                continue
+            here = batch.column("query_id")
+            if here[0].as_py() == before or pc.any(pc.equal(here.slice(1), here.slice(0, len(here) - 1))).as_py():
+                raise ValueError("query_id is not unique")
+            before = here[-1].as_py()
+            if not len(ids):
                 continue
-            barred = [[places[i] for i in found or ()] for found in batch.column("barred").to_pylist()]
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in barred])
-            column = np.array([place for found in barred for place in found], np.int64)
+            barred = batch.column("barred")
+            times = pc.fill_null(pc.list_value_length(barred), 0).to_numpy()
+            row, column = _barred_places(np.repeat(np.arange(batch.num_rows), times), barred.flatten(), names, starts)
             asked = _matrix(pa.chunked_array([batch.column("embedding")]), dim)
             query, item, scores = _striped(asked, vectors, metric, top_k, row, column)
             first = np.searchsorted(query, query)
@@ -322,47 +354,8 @@ def _shared_search(
             found = [batch.column("query_id").take(pa.array(query)), pa.array(ids[item], pa.string())]
             yield pa.RecordBatch.from_arrays([*found, pa.array(scores), pa.array(rank.astype(np.int32))], names)
 
-    return rows.mapInArrow(score, "query_id string, item_id string, score double, rank int")
-
-
-def cluster_points(items: DataFrame, metric: str) -> DataFrame:
-    """``items`` with ``_point``, in a space where near by distance means similar by ``metric``.
-
-    Cosine: unit vectors. Inner product: one more dimension completes all vectors to the largest norm.
-    """
-    vector = as_double(F.col("embedding"))
-    if metric == "cosine":
-        vector = unit(vector)
-    elif metric == "dot":
-        squares = vectors_dot(vector, vector)
-        most = items.agg(F.max(squares).alias("most")).first()["most"] or 0.0
-        vector = F.concat(vector, F.array(F.sqrt(F.greatest(F.lit(most) - squares, F.lit(0.0)))))
-    return items.withColumn("_point", array_to_vector(vector))
-
-
-def cluster_items(
-    items: DataFrame, *, n_clusters: int | None = None, seed: int = 0, max_iter: int = 10, metric: str = "cosine"
-) -> tuple[DataFrame, DataFrame]:
-    """The items that have a vector with ``cluster_id``, and the centroids (K4). Trained on all of them for ``metric``.
-
-    The start is spread out for up to ``SPREAD_START`` clusters, and drawn at random beyond: spreading it clusters
-    some times as many points on the driver.
-    """
-    items = items.where(F.col("embedding").isNotNull())
-    n_clusters = n_clusters or n_lists(items.count())
-    spread = n_clusters <= SPREAD_START
-    # Copies would take up several of the drawn starts.
-    taught = items.select("embedding") if spread else stage(items.select("embedding").distinct())
-    model = KMeans(
-        k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cluster_id",
-        initMode="k-means||" if spread else "random",
-    ).fit(cluster_points(taught, metric))
-    # One row per cluster, about the square root of the number of items.
-    centroids = items.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster_id int, centroid array<double>",
-    )
-    return model.transform(cluster_points(items, metric)).drop("_point"), centroids
+    rows = rows.sortWithinPartitions("query_id")  # equal ids meet
+    return rows.mapInArrow(score, f"{RESULT}, rank int")
 
 
 def probe_clusters(
@@ -373,7 +366,7 @@ def probe_clusters(
     For cosine that is by the distance of the unit query, as the clusters are of unit vectors; else by ``metric``.
 
     The centroids, about sqrt(n) rows, go to every task as one array. Where they have one dimension more than the
-    queries (see ``cluster_points``), it is left out.
+    queries (see ``pruned.point``), it is left out.
     """
     ids, points = [], []
     for row in centroids.orderBy("cluster_id").collect():
@@ -468,15 +461,37 @@ def search_clusters(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     items = usable(items, "item_id", "cluster_id").where(F.col("cluster_id").isNotNull())
-    _checked_sizes(usable(queries, "query_id"), items)
     probes = stage(probe_clusters(queries, centroids, nprobe, metric))
+    found = search_probed(probes, items, exclude, _exact_scorer(metric, top_k), item_block=item_block, query_block=query_block)
+    return ranked_top_k(found, top_k)
+
+
+def search_probed(
+    probes: DataFrame,
+    items: DataFrame,
+    exclude: DataFrame | None,
+    scorer: Scorer,
+    *,
+    n_items: DataFrame | None = None,
+    schema: str = RESULT,
+    payload: dict[str, Column] | None = None,
+    item_block: int = ITEM_BLOCK,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """The rows of ``scorer`` for the staged ``probes`` (query_id, embedding, cluster_id), block by block.
+
+    ``n_items``: cluster_id, n_items, where it is known; else the items are counted. Items that are a table written by
+    ``cluster_id`` are read in the probed clusters alone: the sizes' filter prunes its folders.
+    """
     size = F.count(F.lit(1))
-    n_items = items.groupBy("cluster_id").agg(size.alias("n_items"))
+    if n_items is None:
+        n_items = items.groupBy("cluster_id").agg(size.alias("n_items"))
     n_queries = probes.groupBy("cluster_id").agg(size.alias("n_queries"))
     item_blocks = _item_blocks(F.col("n_items"), item_block)
     # One row per cluster, about the square root of the number of items.
     sizes = stage(
-        n_items.join(n_queries, "cluster_id")
+        n_items.select("cluster_id", "n_items")
+        .join(n_queries, "cluster_id")
         .withColumn("item_blocks", item_blocks)
         .select(
             "cluster_id",
@@ -485,32 +500,16 @@ def search_clusters(
                 F.col("n_queries"), F.col("item_blocks"), query_block, default_parts(items)
             ).alias("query_blocks"),
         )
-    )
+    ).where("item_blocks > 0")
 
     def sized(rows: DataFrame) -> DataFrame:
         return rows.join(sizes, "cluster_id")
 
     barred = None
     if exclude is not None:
-        where = items.select("item_id", "cluster_id")
+        where = items.select("item_id", "cluster_id").distinct()
         barred = join_lookup(_distinct_exclusions(exclude), where, "item_id", "inner")
-    return _block_search(
-        probes, items.select("item_id", "embedding", "cluster_id"), barred, sized, top_k, metric
-    )
-
-
-def nearest(
-    queries: DataFrame,
-    items: DataFrame,
-    *,
-    centroids: DataFrame | None = None,
-    nprobe: int = NPROBE,
-    **options,
-) -> DataFrame:
-    """Search by clusters if ``centroids`` are given (``items`` then has ``cluster_id``), else exactly."""
-    if centroids is None:
-        return search(queries, items, **options)
-    return search_clusters(queries, items, centroids, nprobe=nprobe, **options)
+    return _block_search(probes, items, barred, sized, scorer, schema, payload)
 
 
 def with_item_text(candidates: DataFrame, items: DataFrame) -> DataFrame:

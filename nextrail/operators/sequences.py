@@ -154,7 +154,8 @@ def sample_negatives(
         {"seen": F.lit(1)},
         heavy=heavy,
     )
-    n_seen = histories.groupBy("user_id").agg(F.countDistinct("item_idx").alias("n_seen"))
+    # By the user, as the totals are: no further shuffle.
+    n_seen = seen.groupBy("user_id").agg(F.max("seen_total").alias("n_seen"))
 
     key = (F.lit("negative"), F.lit(config.seed), F.lit(epoch), F.col("user_id"), F.col("copy"))
     wanted = F.size("places").cast("bigint")

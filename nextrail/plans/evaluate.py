@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nextrail.config import TOP_K
+from nextrail.config import TOP_K, EncoderConfig
 from nextrail.operators.activity import place_activities
+from nextrail.operators.encode import encode_runs
 from nextrail.operators.metrics import mean_metrics, retrieval_metrics
+from nextrail.operators.pruned import ClusterIndex, nearest
 from nextrail.operators.recommend import nearest_to_histories
 from nextrail.sources.tables import stage
 
@@ -39,6 +41,43 @@ def evaluate_users(mine: DataFrame, items: DataFrame, *, top_k: int = TOP_K, **o
     return scores.join(stages, "query_id")
 
 
+def evaluate_runs(
+    mine: DataFrame,
+    items: DataFrame,
+    runs: dict[str, EncoderConfig],
+    *,
+    top_k: int = TOP_K,
+    metric: str = "cosine",
+    index: ClusterIndex | None = None,
+) -> DataFrame:
+    """The rows of ``evaluate_users`` with ``run_id``, for all runs by one search: the items are met once.
+
+    A query's id in that search is its run's number and its own id.
+    """
+    number = {run: str(i) for i, run in enumerate(runs)}
+    named = F.create_map(*[F.lit(x) for run, i in number.items() for x in (i, run)])
+    histories = histories_of(mine)
+    encoded = encode_runs(histories, items, runs)
+    of_run = F.create_map(*[F.lit(x) for run, i in number.items() for x in (run, i)])
+    asked = encoded.select(F.concat_ws(":", of_run[F.col("run_id")], "query_id").alias("query_id"), "embedding")
+
+    def for_all(rows: DataFrame, id_col: str, *columns: str) -> DataFrame:
+        every = F.explode(F.array(*[F.lit(i) for i in number.values()]))
+        numbered = rows.select(every.alias("_run"), F.col(id_col).alias("_id"), *columns)
+        return numbered.select(F.concat_ws(":", "_run", "_id").alias("query_id"), *columns)
+
+    seen = for_all(histories, "query_id", "item_id")
+    found = nearest(stage(asked), items, exclude=seen, top_k=top_k, metric=metric, index=index)
+    held_out = mine.where("part = 'target'")
+    scores = retrieval_metrics(found, for_all(held_out.where("label"), "user_id", "item_id"), top_k)
+    stages = held_out.groupBy(F.col("user_id").alias("query_id")).agg(
+        F.when(F.bool_or("is_val"), "val").otherwise("test").alias("stage")
+    )
+    run, own = F.substring_index("query_id", ":", 1), F.expr("substring(query_id, instr(query_id, ':') + 1)")
+    scores = scores.withColumn("run_id", named[run]).withColumn("query_id", own)
+    return scores.join(stages, "query_id")
+
+
 def evaluate(
     events: DataFrame, items: DataFrame, *, heavy: Sequence | None = None, **options
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from nextrail.operators.encode import ModelFn, embed_text
 from nextrail.operators.skew import heavy_keys
 from nextrail.operators.split import train_test_split
 from nextrail.sources.raw import load_events, load_items, load_users
-from nextrail.sources.tables import assert_unique, content_id, materialize, read_split, stage
+from nextrail.sources.tables import content_id, materialize, read_split, stage, unique_in_plan
 
 
 @dataclass(frozen=True)
@@ -38,22 +38,23 @@ def prepare(
     ``users`` has a row per activity of a user, see ``lay_out_users``.
 
     Tables found there are read, not built again, unless they were built with other parameters or from other
-    rows. ``version`` names the inputs; without it their rows are counted and hashed, one pass each.
+    rows. ``version`` names the inputs; without it the log is staged, and all rows are counted and hashed, one pass each.
     """
     spark = events.sparkSession
-    inputs = version or ",".join(content_id(table) for table in (events, items, users))
 
     @cache
     def raw() -> DataFrame:
         # The log is read several times, and often comes from text files or a join.
         return stage(events)
 
+    inputs = version or ",".join(content_id(table) for table in (raw(), items, users))
+
     @cache
     def heavy_users() -> list:
         return heavy_keys(raw(), "user_id")
 
     def build_events() -> DataFrame:
-        profiles = assert_unique(users.select("user_id", "user_text"), ["user_id"])
+        profiles = unique_in_plan(users.select("user_id", "user_text"), ["user_id"])
         flagged = train_test_split(
             raw(), config=split, profiles=profiles, heavy=heavy_users()
         )

@@ -13,25 +13,25 @@ from pyspark.sql import functions as F
 
 from nextrail.config import EncoderConfig, IndexConfig, LossConfig, SequenceConfig
 from nextrail.functions import vectors as vec
-from nextrail.operators import activity, encode, lookup, losses, metrics, recommend, search
+from nextrail.operators import activity, coded, cooccur, encode, hashed, kmeans, lookup, losses, metrics, pruned, recommend, search
 from nextrail.operators import sequences as seq
 from nextrail.operators.skew import heavy_keys, join_lookup, running_totals
 from nextrail.operators.split import split_summary, train_test_split
-from nextrail.plans.evaluate import evaluate, evaluate_users, held_out_users, histories_of
-from nextrail.plans.prepare import prepare
+from nextrail.plans.evaluate import evaluate, evaluate_runs, held_out_users, histories_of
+from nextrail.plans.prepare import prepare, prepare_files, stage_views
 from nextrail.plans.training import training_examples
 from nextrail.sources import warehouse as wh
-from nextrail.sources.tables import own_folder, read_split, stage, table_counts
-from nextrail.sources.vector_store import open_store, write_store
+from nextrail.sources.tables import own_folder, preview, read_split, stage, table_counts
+from nextrail.sources.vector_store import copy_store, open_store, search_store, write_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIM = 64
-LOGS = {"events": wh.event_log, "orders": wh.order_log}
-ITEMS = {"events": wh.event_items, "orders": wh.part_items}
-USERS = {"events": wh.event_users, "orders": wh.customer_users}
-VECTORS = {"events": wh.event_item_vectors, "orders": wh.part_item_vectors}
+LOGS = {"events": wh.event_log, "orders": wh.order_log, "priorities": wh.priority_log}
+ITEMS = {"events": wh.event_items, "orders": wh.part_items, "priorities": wh.priority_items}
+USERS = {"events": wh.event_users, "orders": wh.customer_users, "priorities": wh.customer_users}
+VECTORS = {"events": wh.event_item_vectors, "orders": wh.part_item_vectors, "priorities": wh.priority_items}
 #: The items that sequences are made of: what the event log's items have a vector for, and every part.
-CATALOGUES = {"events": wh.event_item_vectors, "orders": wh.part_items}
+CATALOGUES = {"events": wh.event_item_vectors, "orders": wh.part_items, "priorities": wh.priority_items}
 
 
 def rounded(column: Column | str, name: str) -> Column:
@@ -54,21 +54,24 @@ class Log:
         return train_test_split(self.raw, profiles=profiles, heavy=self.heavy)
 
     def enriched(self) -> DataFrame:
-        return activity.enrich_events(
-            self.split(self.users), self.items, validate=False
-        )
+        return activity.enrich_events(self.split(self.users), self.items)
 
     def placed(self) -> DataFrame:
         return activity.place_activities(self.split(), heavy=self.heavy)
 
     def laid_out(self) -> DataFrame:
         events = stage(self.enriched())
-        return activity.lay_out_users(self.users, events, validate=False, heavy=self.heavy)
+        return activity.lay_out_users(self.users, events, heavy=self.heavy)
 
     def histories(self) -> DataFrame:
         return stage(histories_of(self.placed()))
 
 
+def positive_counts():
+    """A stand-in for a sequence model: per dimension the number of positive entries among the vectors."""
+    return lambda inputs: (inputs > 0).sum(axis=1).astype("float32")
+
+
 def by_dimension(df: DataFrame, *keys: str, column: str = "embedding") -> DataFrame:
     return df.select(*keys, F.posexplode(column).alias("dim", "value")).select(
         *keys, "dim", rounded("value", "value")
@@ -122,6 +125,12 @@ def user_history(spark: SparkSession, d: str, log: str) -> DataFrame:
 
 
 def user_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The whole parts as lists of at most 50 activities, laid out again."""
+    lists = activity.latest_lists(Log(spark, d, "orders").laid_out(), None, list_rows=50)
+    return activity.list_rows(lists, "item_id", "item_text", "event_value", "label")
+
+
+def user_lists_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last eight activities of each part, as lists and laid out again."""
     lists = activity.latest_lists(Log(spark, d, "orders").laid_out(), 8)
     return activity.list_rows(lists, "item_id", "item_text", "event_value", "label")
@@ -155,6 +164,58 @@ def prepared_stages(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, customers and the order log written as raw files, read again and prepared: the flagged events."""
+    folder = own_folder(spark, "raw")
+
+    def write(rows: DataFrame, name: str, *fields: Column) -> None:
+        rows.select(F.concat_ws("::", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])).write.text(f"{folder}/{name}.dat")
+
+    parts = wh.table(spark, d, "part")
+    write(parts, "movies", F.col("p_partkey"), F.col("p_name"), F.replace("p_type", F.lit(" "), F.lit("|")))
+    write(
+        wh.table(spark, d, "customer"), "users",
+        F.col("c_custkey"), F.substring("c_mktsegment", 1, 1), F.col("c_nationkey"), F.length("c_name"), F.col("c_custkey"),
+    )
+    log = wh.order_log(spark, d)
+    write(log, "ratings", F.col("user_id"), F.col("item_id"), F.col("event_value").cast("int"), 86_400 * F.unix_date(F.col("datetime").cast("date")))
+    made = prepare_files(spark, folder, own_folder(spark, "prepared"))
+    return made.events.select(
+        "user_id", "item_id", "event_value", F.col("datetime").cast("string").alias("datetime"), "event_name", "label",
+        "item_text", "user_text", "is_train", "is_val", "is_test",
+    )
+
+
+def stage_view(spark: SparkSession, d: str) -> DataFrame:
+    """The users' activities as the stage views give them, and the items' vectors' entries that aren't zero."""
+    folder = own_folder(spark, "prepared")
+    prepare(wh.order_log(spark, d), wh.part_items(spark, d), wh.customer_users(spark, d), folder, version="1")
+    views = stage_views(spark, folder, model_fn=encode.hashed_words(16))
+    users = [
+        views[name].select(F.lit(name).alias("view"), F.col("user_id").alias("id"), "part", F.col("pos").cast("long").alias("place"), F.col("event_value").cast("double").alias("value"))
+        for name in ("val", "test")
+    ]
+    items = views["items"].select("item_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    entries = items.select(
+        F.lit("items").alias("view"), F.col("item_id").alias("id"), F.lit(None).cast("string").alias("part"),
+        F.col("dim").cast("long").alias("place"), rounded("value", "value"),
+    )
+    return reduce(DataFrame.unionByName, [*users, entries])
+
+
+def preview_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a preview of each table has."""
+    tables = {"parts": wh.part_items(spark, d), "customers": wh.customer_users(spark, d), "regions": wh.table(spark, d, "region")}
+    counts = [table_counts(preview(rows, 7)).select(F.lit(name).alias("name"), "n_rows") for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def targets_without_history(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``new_targets`` by exclusion of the history's pairs."""
+    events = Log(spark, d, "orders").split().select("user_id", "item_id", "is_train")
+    return lookup.without_ids(events.where("NOT is_train"), events.where("is_train"), ["user_id", "item_id"]).drop("is_train")
+
+
 # --- sequences ---
 
 
@@ -188,6 +249,8 @@ def history_tail(spark: SparkSession, d: str) -> DataFrame:
 SAMPLING = {
     "events": SequenceConfig(seed=3),
     "orders": SequenceConfig(max_seq_length=8, pos_lookahead=3, batch_size=64, seed=5),
+    # Few items: many users have seen them all.
+    "priorities": SequenceConfig(max_seq_length=4, batch_size=16, seed=7),
 }
 
 
@@ -318,9 +381,18 @@ def pooled(spark: SparkSession, d: str, mode: str, normalize: bool = False) -> D
     )
 
 
+def pooled_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Histories through a plugged model."""
+    config = EncoderConfig(max_seq_length=6)
+    found = encode.encode_histories(
+        Log(spark, d, "events").histories(), wh.event_item_vectors(spark, d), config, model_fn=positive_counts, dim=DIM
+    )
+    return by_dimension(found, "query_id")
+
+
 def pooled_or_zero(spark: SparkSession, d: str) -> DataFrame:
     config = EncoderConfig(max_seq_length=4)
-    items = wh.part_item_vectors(spark, d)
+    items = stage(wh.part_item_vectors(spark, d))
     encoded = encode.encode_histories(Log(spark, d, "orders").histories(), items, config)
     queries = wh.customer_users(spark, d).select(F.col("user_id").alias("query_id"))
     return by_dimension(encode.embed_or_zero(queries, encoded, DIM), "query_id")
@@ -332,6 +404,12 @@ def prefix_mean(spark: SparkSession, d: str) -> DataFrame:
     return by_dimension(means, "query_id", "pos")
 
 
+def prefix_state(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    items = wh.event_item_vectors(spark, d)
+    states = encode.prefix_states(Log(spark, d, "events").histories(), items, EncoderConfig(pooling=mode))
+    return by_dimension(states, "query_id", "pos")
+
+
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each history item with the next one of its user."""
     items = wh.event_item_vectors(spark, d).select("item_id", "embedding")
@@ -371,7 +449,7 @@ def knn_excluding_seen(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_clusters(spark: SparkSession, d: str, nprobe: int | None) -> DataFrame:
     queries, items = all_vectors(spark, d)
-    clustered, centroids = search.cluster_items(items)
+    clustered, centroids = kmeans.cluster_items(items)
     if nprobe is None:
         nprobe = search.n_lists(items.count())
     found = search.search_clusters(queries, stage(clustered), centroids, nprobe=nprobe)
@@ -381,7 +459,7 @@ def knn_clusters(spark: SparkSession, d: str, nprobe: int | None) -> DataFrame:
 def knn_probing(spark: SparkSession, d: str) -> DataFrame:
     """All vectors through the clustered index: 8 probes, or as many as it takes to find 0.9 of the exact neighbours."""
     queries, items = all_vectors(spark, d)
-    clustered, centroids = search.cluster_items(items)
+    clustered, centroids = kmeans.cluster_items(items)
     clustered = stage(clustered)
     nprobe = search.probes_for(queries, clustered, centroids)
     return candidates(search.search_clusters(queries, clustered, centroids, nprobe=nprobe))
@@ -424,20 +502,106 @@ def knn_stored(spark: SparkSession, d: str) -> DataFrame:
     return candidates(found)
 
 
+def knn_copied(spark: SparkSession, d: str) -> DataFrame:
+    """The written index copied, the copy searched exactly by its bounds."""
+    queries, items = all_vectors(spark, d)
+    path, to = own_folder(spark, "store"), own_folder(spark, "store")
+    write_store(items, path, IndexConfig(metric="l2"))
+    return candidates(search_store(queries, copy_store(spark, path, to)))
+
+
 def recommend_probing(spark: SparkSession, d: str) -> DataFrame:
     """Items for customers through the clustered index, all of its clusters probed."""
     source = Log(spark, d, "orders")
-    clustered, centroids = search.cluster_items(stage(source.vectors))
+    clustered, centroids = kmeans.cluster_items(stage(source.vectors))
     found = recommend.nearest_to_histories(
         source.histories(), stage(clustered), centroids=centroids, nprobe=centroids.count(), top_k=10
     )
     return candidates(found)
 
 
+def clustered_index(items: DataFrame, metric: str) -> pruned.ClusterIndex:
+    return pruned.index_clusters(stage(kmeans.cluster_items(items, metric=metric)[0]), metric)
+
+
+def knn_pruned(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    """All vectors with all, exactly, through the clusters that the bounds leave."""
+    queries, items = all_vectors(spark, d)
+    return candidates(pruned.search_pruned(queries, clustered_index(items, metric)))
+
+
+def recommend_indexed(spark: SparkSession, d: str, log: str) -> DataFrame:
+    """The same recommendations as without an index."""
+    source = Log(spark, d, log)
+    items = stage(source.vectors)
+    found = recommend.recommend_histories(source.histories(), items, metric="dot", index=clustered_index(items, "dot"))
+    return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
+
+
+def user_metrics_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation through the index of the event log's items."""
+    source = Log(spark, d, "events")
+    items = stage(source.vectors)
+    scores = evaluate(source.split(), items, metric="dot", heavy=source.heavy, index=clustered_index(items, "dot"))
+    return scores.select("query_id", "stage", *[rounded(m, m) for m in metrics.METRICS])
+
+
+def labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return wh.table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("item_id"), "embedding", F.col("label").alias("cluster_id")
+    )
+
+
+def knn_stored_probes(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    """A written index whose clusters are the labels, opened again: codes of three probed clusters, then exact scores."""
+    path = own_folder(spark, "store")
+    write_store(labelled_vectors(spark, d), path, IndexConfig(metric=metric))
+    queries, _ = all_vectors(spark, d)
+    return candidates(search_store(queries, open_store(spark, path), nprobe=3, top_k=10))
+
+
+def knn_hashed(spark: SparkSession, d: str) -> DataFrame:
+    """The best of what shares a bucket of sign bits."""
+    queries, items = all_vectors(spark, d)
+    return candidates(hashed.search_hashed(queries, items))
+
+
+def clusters_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors in 16 clusters, from a stated start: the rows with the least md5, two rounds on either level."""
+    points = stage(wh.item_vectors(spark, d).select("item_id", vec.as_double(F.col("embedding")).alias("point")))
+    return kmeans.two_levels(points, 16, rounds=2, spread=False)[0]
+
+
+WINDOW = 5
+
+
+def item_cooccurrence(spark: SparkSession, d: str, log: str) -> DataFrame:
+    """How often two items stand near each other in a history."""
+    return cooccur.cooccurrence(Log(spark, d, log).histories(), WINDOW)
+
+
+def item_mutual_information(spark: SparkSession, d: str, log: str) -> DataFrame:
+    weights = cooccur.mutual_information(cooccur.cooccurrence(Log(spark, d, log).histories(), WINDOW))
+    return weights.select("item_id", "other_id", rounded("weight", "weight"))
+
+
+def item_vectors_learnt(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the event log's items from what stands near what in its histories."""
+    counts = cooccur.cooccurrence(Log(spark, d, "events").histories(), WINDOW)
+    found, _ = cooccur.item_vectors(stage(cooccur.mutual_information(counts)))
+    return by_dimension(found, "item_id")
+
+
+def knn_coded(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    """All vectors with all, exactly: bounds from 8-bit codes first, exact scores of what they leave."""
+    queries, items = all_vectors(spark, d)
+    return candidates(coded.search_coded(queries, stage(coded.code_items(items, metric)), items, metric=metric))
+
+
 def index_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Rows per cluster of the index of all vectors, and the planned number of clusters."""
     _, items = all_vectors(spark, d)
-    clustered, _ = search.cluster_items(items)
+    clustered, _ = kmeans.cluster_items(items)
     sizes = clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(
         F.sum("n").alias("n_items"),
@@ -499,7 +663,7 @@ def recommend_query(spark: SparkSession, d: str) -> DataFrame:
     return candidates(
         recommend.recommend_queries(
             queries,
-            wh.part_item_vectors(spark, d),
+            stage(wh.part_item_vectors(spark, d)),
             item_rows=lines,
             input_rows=stage(supplied),
             exclude=orders,
@@ -511,7 +675,7 @@ def recommend_query(spark: SparkSession, d: str) -> DataFrame:
 
 def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     queries, _ = all_vectors(spark, d)
-    items = wh.part_item_vectors(spark, d)
+    items = stage(wh.part_item_vectors(spark, d))
     found = recommend.search_vectors(queries, items, top_k=3, metric="l2")
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
@@ -532,6 +696,15 @@ def user_metrics(spark: SparkSession, d: str, log: str) -> DataFrame:
     )
 
 
+def own_metric(spark: SparkSession, d: str) -> DataFrame:
+    """A registered metric beside the others: the rank of the last hit, 0 without one."""
+    metrics.register_metric("last_hit", lambda hits: F.array_max(hits.ranks).cast("double"))
+    try:
+        return scored_users(spark, d, "events").select("query_id", "stage", rounded("last_hit", "last_hit"))
+    finally:
+        del metrics.METRICS["last_hit"]
+
+
 def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
     means = metrics.mean_metrics(scored_users(spark, d, "events"), "stage")
     return means.select("stage", "n_queries", *[rounded(m, m) for m in metrics.METRICS])
@@ -545,15 +718,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
-    """Validation NDCG by pooling mode."""
+    """Validation NDCG by pooling mode, all modes searched for at once."""
     source = Log(spark, d, "events")
     mine, items = held_out_users(source.split(), source.heavy), stage(source.vectors)
-    runs = None
-    for mode in ("mean", "max", "first", "last"):
-        scores = evaluate_users(mine, items, metric="dot", encoder=EncoderConfig(pooling=mode)).where("stage = 'val'")
-        run = metrics.mean_metrics(scores, "stage").withColumn("run_id", F.lit(mode))
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    runs = {mode: EncoderConfig(pooling=mode) for mode in ("mean", "max", "first", "last")}
+    scores = evaluate_runs(mine, items, runs, metric="dot").where("stage = 'val'")
+    return metrics.mean_metrics(scores, "run_id")
 
 
 def best_run(spark: SparkSession, d: str) -> DataFrame:
@@ -587,6 +757,16 @@ def scored_losses(spark: SparkSession, d: str, config: LossConfig = LossConfig()
     )
 
 
+def own_loss(spark: SparkSession, d: str) -> DataFrame:
+    """A registered loss: by how much the target misses the mean of its negatives plus one, if at all."""
+    losses.register_loss("MeanGap", "dot", lambda q: F.greatest(1 + q.over_negatives(q.logit) - F.max(q.target), F.lit(0.0)))
+    try:
+        sums = losses.batch_losses(stage(scored_lines(spark, d)), LossConfig())
+    finally:
+        del losses.LOSSES["MeanGap"]
+    return sums.select("batch_id", "n_queries", rounded("MeanGap", "MeanGap"))
+
+
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     scored = stage(scored_lines(spark, d))
     rows = losses.valid_negatives(scored, LossConfig(num_hard_negatives=2), "cosine")
@@ -613,6 +793,7 @@ QUERIES: dict[str, Query] = {
     "user_history_events": partial(user_history, log="events"),
     "user_history_orders": partial(user_history, log="orders"),
     "user_lists": user_lists,
+    "user_lists_latest": user_lists_latest,
     "users_flagged": users_flagged,
     "prepared_stages": prepared_stages,
     "table_sizes": table_sizes,
@@ -627,6 +808,7 @@ QUERIES: dict[str, Query] = {
     "sample_positives_orders": partial(sample_positives, log="orders"),
     "sample_negatives_events": partial(sample_negatives, log="events"),
     "sample_negatives_orders": partial(sample_negatives, log="orders"),
+    "sample_negatives_priorities": partial(sample_negatives, log="priorities"),
     "example_texts": example_texts,
     "padded_batches": padded_batches,
     "batch_stats": batch_stats,
@@ -635,6 +817,14 @@ QUERIES: dict[str, Query] = {
     "lookup_one": lookup_one,
     "lookup_user": lookup_user,
     "new_targets": new_targets,
+    "targets_without_history": targets_without_history,
+    "raw_files": raw_files,
+    "stage_view": stage_view,
+    "preview_sizes": preview_sizes,
+    "pooled_by_model": pooled_by_model,
+    "own_metric": own_metric,
+    "own_loss": own_loss,
+    "knn_copied": knn_copied,
     "pooled_mean": partial(pooled, mode="mean"),
     "pooled_mean_unit": partial(pooled, mode="mean", normalize=True),
     "pooled_max": partial(pooled, mode="max"),
@@ -642,6 +832,9 @@ QUERIES: dict[str, Query] = {
     "pooled_last": partial(pooled, mode="last"),
     "pooled_or_zero": pooled_or_zero,
     "prefix_mean": prefix_mean,
+    "prefix_max": partial(prefix_state, mode="max"),
+    "prefix_first": partial(prefix_state, mode="first"),
+    "prefix_last": partial(prefix_state, mode="last"),
     "pair_similarity": pair_similarity,
     "knn_exact_dot": partial(knn_exact, metric="dot"),
     "knn_exact_cosine": partial(knn_exact, metric="cosine"),
@@ -654,6 +847,23 @@ QUERIES: dict[str, Query] = {
     "knn_probe_labels_cosine": partial(knn_probe_labels, metric="cosine"),
     "knn_probe_labels_l2": partial(knn_probe_labels, metric="l2"),
     "knn_inner_product": knn_inner_product,
+    "knn_pruned_dot": partial(knn_pruned, metric="dot"),
+    "knn_pruned_cosine": partial(knn_pruned, metric="cosine"),
+    "knn_pruned_l2": partial(knn_pruned, metric="l2"),
+    "knn_coded_dot": partial(knn_coded, metric="dot"),
+    "knn_coded_cosine": partial(knn_coded, metric="cosine"),
+    "knn_coded_l2": partial(knn_coded, metric="l2"),
+    "knn_stored_probes": partial(knn_stored_probes, metric="dot"),
+    "knn_stored_probes_cosine": partial(knn_stored_probes, metric="cosine"),
+    "knn_hashed": knn_hashed,
+    "clusters_two_levels": clusters_two_levels,
+    "item_cooccurrence_events": partial(item_cooccurrence, log="events"),
+    "item_cooccurrence_orders": partial(item_cooccurrence, log="orders"),
+    "item_mutual_information": partial(item_mutual_information, log="events"),
+    "item_vectors_learnt": item_vectors_learnt,
+    "recommend_indexed_events": partial(recommend_indexed, log="events"),
+    "recommend_indexed_orders": partial(recommend_indexed, log="orders"),
+    "user_metrics_indexed": user_metrics_indexed,
     "recommend_probing": recommend_probing,
     "index_sizes": index_sizes,
     "embed_text_default": embed_text_default,

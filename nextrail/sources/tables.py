@@ -6,9 +6,10 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -102,7 +103,7 @@ def _write_stamp(spark: SparkSession, path: str, stamp: str | None) -> None:
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` itself; raises if a key occurs twice. NULL keys never match in a join and are skipped."""
+    """``df`` itself; a job of its own, which raises if a key occurs twice. NULL keys never match in a join and are skipped."""
     known = df.select(*keys).dropna()
     repeated = known.groupBy(*keys).count().where("count > 1").limit(1).count()
     if repeated:
@@ -110,6 +111,18 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def unique_in_plan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` itself; the job that reads it ends with an error if a key occurs twice (C8). NULL keys may.
+
+    No job of its own: the rows of a key are counted by a window over the partitioning that a join on the key needs anyhow.
+    """
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    told = F.concat(F.lit(f"join key {list(keys)} is not unique: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    counted = df.withColumn("_of_key", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    once = F.when(known & (F.col("_of_key") > 1), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    return counted.where(once).drop("_of_key")
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``df`` itself; raises if a column is missing."""
     missing = sorted(set(columns) - set(df.columns))

@@ -1,7 +1,7 @@
 """The star-schema tables seen as interaction logs.
 
 Log ``events``: the event stream, one item per event's ``k`` property, no ties within a user.
-Log ``orders``: order lines by customer; dates tie and items repeat.
+Log ``orders``: order lines by customer; dates tie and items repeat. Log ``priorities``: orders by customer, five items.
 """
 
 from __future__ import annotations
@@ -45,6 +45,23 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def priority_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders by customer, the priority as the item."""
+    return table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("user_id"),
+        F.col("o_orderpriority").alias("item_id"),
+        F.col("o_totalprice").alias("event_value"),
+        F.col("o_orderdate").alias("datetime"),
+        F.lit("order").alias("event_name"),
+        F.lit(True).alias("label"),
+    )
+
+
+def priority_items(spark: SparkSession, folder: str) -> DataFrame:
+    seen = priority_log(spark, folder).select("item_id").distinct()
+    return seen.withColumn("item_text", F.col("item_id"))
+
+
 def part_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").cast("string").alias("item_id"),

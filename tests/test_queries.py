@@ -61,9 +61,12 @@ def plan_of(df):
 
 def test_top_k_is_limited_before_the_shuffle(spark):
     queries, items = q.all_vectors(spark, FOLDER)
-    plan = plan_of(search.search(queries, items))
-    assert plan.count("WindowGroupLimit") == 2
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for shared_bytes, limits in ((0, 2), (search.SHARED_BYTES, 0)):
+        plan = plan_of(search.search(queries, items, shared_bytes=shared_bytes))
+        assert plan.count("WindowGroupLimit") == limits
+        # A catalogue that all tasks have gives ranked lists, one task per query.
+        assert ("Window [" in plan) == bool(limits)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_tail_is_limited_before_the_shuffle(spark):

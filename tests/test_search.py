@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nextrail.config import EncoderConfig, IndexConfig
 from nextrail.functions import vectors as vec
-from nextrail.operators import encode, lookup, recommend, search
+from nextrail.operators import coded, encode, kmeans, lookup, pruned, recommend, search
 from nextrail.sources.vector_store import copy_store, open_store, write_store
 
 RNG = np.random.default_rng(4)
@@ -69,7 +69,7 @@ def test_exclusions_come_before_ranking(spark, queries, items):
     want = {q: expected(v, "cosine", 5, hidden[q]) for q, v in QUERIES.items()}
     assert found(search.search(queries, items, exclude=exclude, top_k=5, item_block=50)) == want
     assert len(want["same"]) == 3
-    clustered, centroids = search.cluster_items(items)
+    clustered, centroids = kmeans.cluster_items(items)
     got = search.search_clusters(
         queries, clustered, centroids, exclude=exclude, top_k=5, nprobe=centroids.count(), item_block=9
     )
@@ -77,7 +77,7 @@ def test_exclusions_come_before_ranking(spark, queries, items):
 
 
 def test_probing(queries, items):
-    clustered, centroids = search.cluster_items(items)
+    clustered, centroids = kmeans.cluster_items(items)
     n = centroids.count()
     assert n == search.n_lists(N) == 8
     exact = found(search.search(queries, items, top_k=10))
@@ -99,7 +99,7 @@ def test_probing_follows_the_metric(spark, metric, least):
     rows = [(f"i{k}", [float(x) for x in v]) for k, v in enumerate(matrix)]
     items = spark.createDataFrame(rows, "item_id string, embedding array<double>")
     asked = items.limit(60).withColumnRenamed("item_id", "query_id")
-    clustered, centroids = search.cluster_items(items, metric=metric)
+    clustered, centroids = kmeans.cluster_items(items, metric=metric)
     exact = found(search.search(asked, items, metric=metric))
     near = found(search.search_clusters(asked, clustered, centroids, metric=metric, nprobe=8))
     assert np.mean([len(set(exact[q]) & set(near[q])) / 20 for q in exact]) >= least
@@ -112,7 +112,7 @@ def test_probes_follow_from_the_recall(spark, metric):
     rows = [(f"i{k}", [float(x) for x in v]) for k, v in enumerate(random.normal(size=(1500, 24)))]
     items = spark.createDataFrame(rows, "item_id string, embedding array<double>")
     asked = items.withColumnRenamed("item_id", "query_id")
-    clustered, centroids = search.cluster_items(items, metric=metric)
+    clustered, centroids = kmeans.cluster_items(items, metric=metric)
     exact = found(search.search(asked, items, metric=metric))
 
     def recall(nprobe):
@@ -140,8 +140,24 @@ def test_rows_without_vectors_take_no_part(spark, items, queries):
         assert found(search.search(queries, items, top_k=5, item_block=30, shared_bytes=shared)) == want
     with pytest.raises(ValueError, match="lengths"):
         search.search(asked, few.unionByName(few.select(F.lit(9).alias("item_id"), F.array(F.lit(1.0)).alias("embedding"))))
-    with pytest.raises(ValueError, match="unique"):
-        search.search(asked.unionByName(asked), few)
+    for shared in (search.SHARED_BYTES, 0):
+        with pytest.raises(Exception, match="unique"):
+            search.search(asked.unionByName(asked), few, shared_bytes=shared).collect()
+        with pytest.raises(Exception, match="lengths"):
+            search.search(asked.select("query_id", F.array(F.lit(1.0)).alias("embedding")), few, shared_bytes=shared).collect()
+
+
+@pytest.mark.parametrize("shared", [search.SHARED_BYTES, 0])
+def test_an_excluded_id_is_barred_in_all_its_rows(spark, shared):
+    rows = [("a", [1.0, 0.0]), ("a", [0.9, 0.1]), ("b", [0.5, 0.5]), ("a", [0.1, 0.9]), ("c", [0.4, 0.5]), ("c", [0.6, 0.1])]
+    few = spark.createDataFrame(rows, "item_id string, embedding array<double>")
+    asked = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [1.0, 0.0]), ("r", [0.0, 1.0])], "query_id string, embedding array<double>")
+    exclude = spark.createDataFrame([("p", "a"), ("q", "a"), ("q", "c"), ("q", "x"), ("s", "b")], "query_id string, item_id string")
+    got = search.search(asked, few, exclude=exclude, metric="dot", top_k=4, shared_bytes=shared).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.item_id, round(r.score, 9)) for r in got] == [
+        ("p", "c", 0.6), ("p", "b", 0.5), ("p", "c", 0.4), ("q", "b", 0.5),
+        ("r", "a", 0.9), ("r", "b", 0.5), ("r", "c", 0.5), ("r", "a", 0.1),
+    ]
 
 
 @pytest.mark.parametrize("n,lists", [(1, 1), (3, 1), (4, 2), (500, 16), (2000, 32), (10**8, 8192)])
