@@ -4,12 +4,14 @@ A sequence of tokens is what byte-pair merging makes of its text exactly if each
 across their border comes before the merges that build them. So the last token of every prefix of a word says all
 there is to know about that prefix: the encoding is found by stepping back token by token. The distinct words of a
 batch form a trie; its depth-first order is their sorted order, and the states along the current path are a stack.
-What two words share as a prefix is worked out once.
+What two words share as a prefix is worked out once. A step down costs one lookup: an automaton over the vocabulary knows
+the longest entry that a prefix ends with, and each entry the next shorter one.
 
 Rules of the tokenizer file that are followed: added tokens are cut out first, then Unicode NFC, lower case
 character by character, the file's splitting pattern, bytes as symbols, the last one marked with the word end.
 White space never belongs to a word, so texts are first cut at ASCII white space, and what such a piece gives is
-remembered; the memory is emptied when it holds ``MEMO_PIECES`` pieces, which changes no result.
+remembered in two generations: when the young one holds ``MEMO_PIECES`` pieces or ``MEMO_BYTES``, it becomes the old one,
+whose pieces are forgotten unless they come up again. That bounds a worker's memory and changes no result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from nextrail.llm.common import small_batches, text_of, utf8
 
-#: Pieces whose encoding a Python worker remembers; about 300 bytes each.
-MEMO_PIECES = 400_000
+#: Pieces, and bytes of them and their ids, in a generation of a worker's memory; a piece costs about 200 bytes.
+MEMO_PIECES, MEMO_BYTES = 250_000, 24 << 20
+#: Pairs of neighbours, and steps of the automaton beyond its trie, that a worker remembers.
+MEMO_STEPS = 400_000
 #: The supported layout of a tokenizer file.
 WORD_END = "</w>"
 #: Lengths to try where no longer token has the ending.
@@ -73,7 +77,8 @@ class WordBpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self._rank[vocab[left], vocab[right]] = rank
             self._parts.setdefault(vocab[left + right], (vocab[left], vocab[right]))
-        self._borders: dict[int, bool] = {}
+        self._borders: list[dict[int, bool]] = [{} for _ in self.names]
+        self._known = 0
         self._spines: dict[int, list[tuple[int, float]]] = {}
 
         to_byte = {c: b for b, c in enumerate(byte_symbols())}
@@ -87,9 +92,51 @@ class WordBpe:
             text = bytes(to_byte[c] for c in (name[: -len(WORD_END)] if ends else name))
             (self._last if ends else self._inner)[text] = token
             self._size[token] = len(text)
-        self._inner_sizes, self._last_sizes = _sizes(self._inner), _sizes(self._last)
+        self._size.append(0)  # what stands for no token, number -1
+        self._last_sizes = _sizes(self._last)
+        self._grow()
         self._id4 = [i.to_bytes(4, "little") for i in range(len(self.names))]
-        self._memo: dict[bytes, bytes] = {}
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._held = 0
+
+    def _grow(self) -> None:
+        """The automaton over the tokens within words: trie, failure links, longest token at a node, next shorter token."""
+        edges, nodes, token_at = {}, [(0, 0)], {}
+        for text, token in self._inner.items():
+            node = 0
+            for byte in text:
+                key = node << 8 | byte
+                if (child := edges.get(key)) is None:
+                    child = edges[key] = len(nodes)
+                    nodes.append((node, byte))
+                node = child
+            token_at[node] = token
+        self._edges, self._moves = edges, {}
+        self._fail, self._longest = [0] * len(nodes), [-1] * len(nodes)
+        self._shorter = [-1] * len(self.names)
+        depth = [0] * len(nodes)
+        for node in range(1, len(nodes)):
+            depth[node] = depth[nodes[node][0]] + 1
+        for node in sorted(range(1, len(nodes)), key=depth.__getitem__):
+            parent, byte = nodes[node]
+            fail = self._fail[node] = self._step(self._fail[parent], byte) if parent else 0
+            token = token_at.get(node)
+            self._longest[node] = self._longest[fail] if token is None else token
+            if token is not None:
+                self._shorter[token] = self._longest[fail]
+
+    def _step(self, node: int, byte: int) -> int:
+        """Where the automaton goes from ``node``, by its trie and failure links."""
+        while (found := self._edges.get(node << 8 | byte)) is None and node:
+            node = self._fail[node]
+        return found or 0
+
+    def _move(self, key: int) -> int:
+        if len(self._moves) > MEMO_STEPS:
+            self._moves.clear()
+        found = self._moves[key] = self._step(key >> 8, key & 255)
+        return found
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens on the left (0) or right (1) edge of ``token``, each with the rank of the merge that ends it."""
@@ -121,45 +168,61 @@ class WordBpe:
         )
 
     def _neighbours(self, left: int, right: int) -> bool:
-        if len(self._borders) > 2 * MEMO_PIECES:
-            self._borders.clear()
-        known = self._borders[left << 32 | right] = not self._crossed(left, right, float("inf"))
-        return known
+        if self._known > MEMO_STEPS:
+            for known in self._borders:
+                known.clear()
+            self._known = 0
+        self._known += 1
+        fits = self._borders[left][right] = not self._crossed(left, right, float("inf"))
+        return fits
 
     def _encode_sorted(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Distinct sorted words to ids: a depth-first walk through their trie, ``path`` being the way to the node.
 
         ``path[end]`` is the token in which the encoding of ``word[:end]`` ends: the one vocabulary entry that the
-        prefix ends with and that can follow what the shorter prefix before it ends in.
+        prefix ends with and that can follow what the shorter prefix before it ends in. ``nodes[end]`` is where the
+        automaton is after the same prefix.
         """
-        path, before, out = [-1], b"", {}
+        path, nodes, before, out = [-1], [0], b"", {}
         size_of, id4, borders, fits = self._size, self._id4, self._borders, self._neighbours
-        inner, inner_sizes, last, last_sizes = self._inner, self._inner_sizes, self._last, self._last_sizes
+        moves, move, longest, shorter = self._moves, self._move, self._longest, self._shorter
+        last, last_sizes = self._last, self._last_sizes
         for word in words:
             length = len(word)
             shared, most = 0, min(len(before), length - 1, len(path) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            tokens, sizes = inner, inner_sizes
-            for end in range(len(path), length + 1):
-                if end == length:  # the last symbol carries the word end
-                    tokens, sizes = last, last_sizes
-                for size in sizes.get(word[end - 3 if end > 3 else 0 : end], _SHORT):
-                    if size > end or (token := tokens.get(word[end - size : end])) is None:
-                        continue
-                    if size == end:
-                        break
+            del path[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[-1]
+            for end in range(shared + 1, length):
+                key = node << 8 | word[end - 1]
+                node = moves.get(key)
+                if node is None:
+                    node = move(key)
+                token = longest[node]
+                while (size := size_of[token]) != end:
+                    if not size:
+                        raise ValueError("the vocabulary lacks a byte")
                     left = path[end - size]
-                    known = borders.get(left << 32 | token)
+                    known = borders[left].get(token)
                     if known or known is None and fits(left, token):
                         break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
+                    token = shorter[token]
                 path.append(token)
-            # The word's last state is that of its end, not of a prefix; longer words don't go on from it.
+                nodes.append(node)
+            # The last symbol carries the word end; what it gives is no state of a prefix, so no longer word goes on from it.
+            for size in last_sizes.get(word[-3:], _SHORT):
+                if size > length or (token := last.get(word[length - size :])) is None:
+                    continue
+                if size == length:
+                    break
+                left = path[length - size]
+                known = borders[left].get(token)
+                if known or known is None and fits(left, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
             at, ids = length, []
-            token = path.pop()
             while True:
                 ids.append(id4[token])
                 at -= size_of[token]
@@ -178,6 +241,8 @@ class WordBpe:
         if piece[:-1].isalpha() and piece[-1:] in (b".", b","):
             return [piece[:-1].lower(), piece[-1:]]
         text, out = piece.decode(), []
+        if not piece.translate(None, _PLAIN) and (lower := text.lower()).isalpha():
+            return [lower.encode()]
         for i, part in enumerate(self._cut.split(text) if self._cut else [text]):
             if i % 2:
                 out.append(self._special[part])
@@ -201,21 +266,28 @@ class WordBpe:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        memo = self._memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
+        if len(self._young) > MEMO_PIECES or self._held > MEMO_BYTES:
+            self._old, self._young, self._held = self._young, {}, 0
+        young, old = self._young, self._old
         # Lower case first where that can't change anything else, so that fewer pieces differ.
         cut = [self._lower(t).split() for t in texts]
-        new = {p: self._words(p) for p in set().union(*cut) if p not in memo}
-        ids = self._encode_sorted(sorted({w for ws in new.values() for w in ws if not isinstance(w, int)}))
-        for piece, words in new.items():
-            memo[piece] = b"".join([self._id4[w] if isinstance(w, int) else ids[w] for w in words])
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
-
-    def forget(self) -> None:
-        """Empties the memory of pieces, for the tasks that a worker runs next."""
-        self._memo.clear()
-        self._borders.clear()
+        whole, parts = [], {}
+        for piece in set().union(*cut).difference(young):
+            if (known := old.get(piece)) is not None:
+                young[piece] = known
+            elif piece.isalpha() and piece.islower():
+                whole.append(piece)
+            else:
+                parts[piece] = self._words(piece)
+        words = {w for ws in parts.values() for w in ws if not isinstance(w, int)}
+        ids = self._encode_sorted(sorted(words.union(whole)))
+        for piece in whole:
+            young[piece] = ids[piece]
+        for piece, found in parts.items():
+            young[piece] = b"".join([self._id4[w] if isinstance(w, int) else ids[w] for w in found])
+            self._held += len(piece) + len(young[piece])
+        self._held += 5 * sum(map(len, whole))  # ids of four bytes, one a byte at most
+        return [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' names joined by spaces, which is how a file without a decoder is decoded."""
@@ -252,7 +324,7 @@ def encode(
 
     With ``decoded`` also the column ``decoded``: what those ids decode to, worked out in the same pass. A null text
     counts as empty and has no ids. Every row gives one row, repeated and null ids too; other columns are left out.
-    No shuffle; memory holds a batch and the bounded memory of pieces.
+    No shuffle; memory holds a batch and the bounded memory of pieces, which a worker keeps for its next tasks.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     names = ["doc_id", "ids", *["decoded"] * decoded]
@@ -265,7 +337,6 @@ def encode(
             if decoded:
                 columns.append(pa.array(map(coder.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
-        coder.forget()
 
     rows = text_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()

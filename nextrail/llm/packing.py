@@ -81,7 +81,6 @@ def token_pieces(
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        coder.forget()
 
     rows = text_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
