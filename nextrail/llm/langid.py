@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nextrail.llm.common import crc_third, small_batches, text_of, utf8
+from nextrail.sources.tables import stage
 
-#: Rows that the model is fitted on, at most, thinned out evenly per language, and languages at most.
-SAMPLE_ROWS, LANGUAGES = 4000, 400
+#: Rows that the model is fitted on, thinned out evenly per language, and rows that each language keeps at least.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 10
 #: Rows of the embedding table, its width, and passes over the sample.
 ROWS, WIDTH, EPOCHS, RATE = 1 << 14, 16, 8, 0.5
 #: Share of held-back predictions that may be wrong among those not rejected.
@@ -140,18 +141,17 @@ def _loss(z: np.ndarray, target: np.ndarray) -> float:
 def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows with a language and a text for which ``where`` holds.
 
-    At most ``SAMPLE_ROWS`` rows, by a hash of the id, as many of each language if they are there; of more than
-    ``LANGUAGES`` languages, the most frequent. The driver gets the sample's subword counts, not its texts.
+    About ``SAMPLE_ROWS`` rows, by a hash of the id, as many of each language if they are there; every language found keeps about
+    ``LEAST_ROWS``, so the sample and the model grow with the number of languages only. The driver gets the sample's subword
+    counts, not its texts.
     """
     rows = docs.where(where & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
     )
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "lang"), F.lit(1_000_000)) / 1_000_000
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    each = SAMPLE_ROWS // max(1, len(found))
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, each / r["count"])).otherwise(share)
+    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    each = max(LEAST_ROWS, SAMPLE_ROWS // max(1, counts.count()))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("rows")).alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", STEP_BYTES):
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
                 ["lang", "order", "slots", "counts"],
             )
 
-    sample = rows.where(drawn < share).select("text", "lang", F.xxhash64("doc_id", "text").alias("order"))
+    sample = rows.join(shares, "lang").where(drawn < F.col("share")).select("text", "lang", F.xxhash64("doc_id", "text").alias("order"))
     sample = sample.mapInArrow(run, "lang string, order long, slots binary, counts binary").toArrow()
     got = sorted(zip(*(sample.column(c).to_pylist() for c in ("order", "lang", "slots", "counts")), strict=True))
     texts = [(np.frombuffer(slots, np.int32), np.frombuffer(counts, np.int32)) for _, _, slots, counts in got]
