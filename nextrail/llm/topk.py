@@ -1,11 +1,12 @@
 """Exact top-k search by inner product without random access (operator 1).
 
-The candidates are dealt to blocks of bounded size. A block keeps one list per dimension, sorted by component; a query
-reads each from the end where its own component makes the largest products, a slice of all lists at a time. What is read gives each candidate a
-lower bound (unread components at their worst) and an upper bound (at the lists' frontiers). Candidates whose upper bound
-is below the k-th best lower bound are left out for good; once nothing unread can qualify either and few
-candidates remain, their final scores are resolved. Queries stream past the blocks, so neither side has
-to fit into memory, and blocks are shuffled once.
+The candidates are dealt to tasks, and within a task to blocks of bounded size. A block keeps one list per dimension, sorted
+by component; a query reads each from the end where its own component makes the largest products. The lists are read in
+slices, next always those of the group of lists whose frontier products fall most per row. What is read gives each candidate a
+lower bound and an upper bound: the part not read is at most the lists' frontiers, and at most the product of the norms that
+are left of the query and of the candidate. Candidates whose upper bound is below the k-th best lower bound, or the k-th
+score of the blocks before, are left out for good; once few remain, their final scores are resolved. Every query passes each
+task once.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from nextrail.sources.tables import stage
 
-#: Candidates in a block.
-BLOCK_ROWS = 4096
-#: Depth of the first slice as a share of the lists; each next slice ends twice as deep.
-FIRST_SLICE = 1 / 8
+#: Candidates in a block, and in a task at most.
+BLOCK_ROWS, TASK_ROWS = 4096, 65_536
+#: Share of a list that its first slice holds, the second having the rest, and the number of groups in which lists are read.
+FIRST_SLICE, GROUPS = 1 / 2, 8
+#: Share by which bounds are widened, for sums of rounded products.
+MARGIN = 1e-9
 
 
 class SortedLists:
@@ -31,43 +34,83 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # so that of equal scores the smaller id comes first
         self.ids, self.vectors = ids[order], vectors[order]
-        self._order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self._values = np.take_along_axis(self.vectors, self._order.T, axis=0).T.astype(np.float64)
+        self._columns = np.ascontiguousarray(self.vectors.T.astype(np.float64))
+        self._order = np.argsort(self._columns, axis=1, kind="stable")
+        self._values = np.take_along_axis(self._columns, self._order, axis=1)
+        self._squares = (self._columns**2).sum(axis=0)
 
-    def top(self, query: np.ndarray, k: int, skip: object = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id; ``skip`` is the id that takes no part."""
+    def top(self, query: np.ndarray, k: int, skip: object = None, known_kth: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best that reach ``known_kth``, ties to the smaller id, and the share of the lists read.
+
+        ``skip`` is the id that takes no part; ``known_kth`` a score that the k-th best of all has at least.
+        """
         n, dims = self.vectors.shape
         weight = query.astype(np.float64)
-        worst = np.minimum(weight * self._values[:, 0], weight * self._values[:, -1])
-        alive = np.arange(n) if skip is None else np.flatnonzero(self.ids != skip)
-        known = np.zeros(n)  # sum of the products read so far
-        above = np.zeros(n)  # what was read, measured from the worst product: lower bound = above + sum of the worst
-        seen = np.zeros((n, dims), np.float32)
-        depth, until = 0, max(k, int(n * FIRST_SLICE))
-        floor = worst.sum()
-        up = weight >= 0
-        while depth < n and len(alive) > 4 * k:
-            until = min(n, until)
-            for d in range(dims):
-                part = slice(n - until, n - depth) if up[d] else slice(depth, until)
-                rows = self._order[d, part]
-                product = weight[d] * self._values[d, part]
-                known[rows] += product  # a list holds each candidate once
-                above[rows] += product - worst[d]
-                seen[rows, d] = 1
-            depth, until = until, 2 * until
-            edge = np.where(up, self._values[:, n - depth], self._values[:, depth - 1]) * weight
-            lower = above[alive] + floor
-            if len(alive) <= k:
-                break
-            threshold = np.partition(lower, len(lower) - k)[len(lower) - k]
-            # Sums of float32 flags times frontiers are rounded; the margin keeps every candidate that could qualify.
-            upper = known[alive] + edge.sum() - seen[alive] @ edge.astype(np.float32)
-            margin = 1e-4 * (1 + np.abs(edge).sum())
-            alive = alive[upper >= threshold - margin]
-        scores = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+        up, heavy = weight >= 0, weight * weight
+        part = here = np.arange(n) if skip is None else np.flatnonzero(self.ids != skip)
+        read = 0
+        if len(part) > 4 * k:
+            half = min(n, max(k, int(n * FIRST_SLICE)))
+            # The products at the top of each list, where its first slice ends, and at its end.
+            top, mid, end = (np.where(up, self._values[:, n - i], self._values[:, i - 1]) * weight for i in (1, half, n))
+            groups = np.array_split(np.argsort(-heavy, kind="stable"), min(GROUPS, dims))
+            falls = [[(mid[g] - end[g]).sum() / max(1, n - half), (top[g] - mid[g]).sum() / half] for g in groups]
+            upper, lower, half_read = np.full(n, top.sum()), np.full(n, end.sum()), {}
+            exact, left, left_of_query = np.zeros(n), self._squares.copy(), heavy.sum()
+            margin = MARGIN * (1 + np.sqrt(left_of_query * self._squares.max()))
+            norms = np.sqrt(left_of_query * left)
+        while len(here) > 4 * k and any(falls):
+            at = max((i for i, f in enumerate(falls) if f), key=lambda i: falls[i][-1])
+            falls[at].pop()
+            group = groups[at]
+            if at not in half_read:  # the first slice of each list
+                high, low = np.repeat(mid[group][:, None], n, axis=1), np.repeat(end[group][:, None], n, axis=1)
+                for row, d in enumerate(group):
+                    taken = slice(n - half, n) if up[d] else slice(0, half)
+                    places, products = self._order[d, taken], weight[d] * self._values[d, taken]
+                    high[row, places] = products
+                    low[row, places] = products
+                half_read[at] = high.sum(axis=0), low.sum(axis=0)
+                upper += half_read[at][0] - top[group].sum()
+                lower += half_read[at][1] - end[group].sum()
+                read += half * len(group)
+            else:  # the lists to their ends: every product is known
+                products = weight[group] @ self._columns[group]
+                upper += products - half_read[at][0]
+                lower += products - half_read[at][1]
+                exact += products
+                left -= np.einsum("ij,ij->j", self._columns[group], self._columns[group])
+                left_of_query -= heavy[group].sum()
+                norms = np.sqrt(max(left_of_query, 0) * np.maximum(left, 0))
+                read += (n - half) * len(group)
+            least = np.maximum(lower, exact - norms)[part]
+            kth = np.partition(least, len(least) - k)[len(least) - k]
+            # Bounds are sums of rounded numbers; the margin keeps every candidate that could qualify.
+            here = here[np.minimum(upper, exact + norms)[here] >= max(kth, known_kth) - 2 * margin]
+        scores = self.vectors[here] @ query
+        best = np.lexsort((self.ids[here], -scores))[:k]
+        best = best[scores[best] >= known_kth]
+        return self.ids[here][best], scores[best], read / max(1, n * dims)
+
+
+class Blocks:
+    """All candidates of a task, in blocks that are gone through one after the other."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block_rows: int = BLOCK_ROWS) -> None:
+        parts = [slice(at, at + block_rows) for at in range(0, len(ids), block_rows)]
+        self._lists = [SortedLists(ids[part], vectors[part]) for part in parts]
+
+    def top(self, query: np.ndarray, k: int, skip: object = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """The k best of all blocks; the k-th score of those gone through bounds the next. Also the mean share read."""
+        ids, scores, shares = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for lists in self._lists:
+            kth = scores[-1] if len(scores) == k else -np.inf
+            found, more, share = lists.top(query, k, skip, kth)
+            shares.append(share)
+            ids, scores = np.concatenate([ids, found]), np.concatenate([scores, more])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        return ids, scores, float(np.mean(shares)) if shares else 0.0
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -98,21 +141,22 @@ def top_k(
         raise ValueError("a query id has several vectors")
     if len({sizes["least"], sizes["most"], wrong[1], wrong[2]} - {None}) > 1:
         raise ValueError("vectors differ in length")
-    blocks = max(1, -(-sizes["n"] // block_rows))
     dims = sizes["most"] or wrong[2] or 0
+    spread = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-sizes["n"] // block_rows))
+    tasks = max(1, -(-sizes["n"] // max(TASK_ROWS, block_rows)), spread)
     none = F.lit(None).cast("long")
     items = kept.select(
-        F.pmod(F.xxhash64("_uid"), F.lit(blocks)).alias("block"), none.alias("query_id"), "vec_id", "vector"
+        F.pmod(F.xxhash64("_uid"), F.lit(tasks)).cast("int").alias("task"), none.alias("query_id"), "vec_id", "vector"
     )
     asking = asked.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"),
         F.col("vec_id").alias("query_id"), none.alias("vec_id"), "vector",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, parts, lists = None, [], [], None
+        task, ids, parts, blocks = None, [], [], None
         for batch in batches:
-            of = batch.column("block").to_numpy()
+            of = batch.column("task").to_numpy()
             asks = batch.column("query_id").is_valid().to_numpy(zero_copy_only=False)
             matrix = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, dims)
             query_ids = batch.column("query_id").fill_null(0).to_numpy()
@@ -122,24 +166,25 @@ def top_k(
             for start, end in zip([0, *borders], [*borders, len(of)], strict=True):
                 if start == end:
                     continue
-                if of[start] != block:
-                    block, ids, parts, lists = of[start], [], [], None
+                if of[start] != task:
+                    task, ids, parts, blocks = of[start], [], [], None
                 if not asks[start]:
                     ids.append(vec_ids[start:end])
                     parts.append(matrix[start:end])
                     continue
-                if lists is None and ids:
-                    lists = SortedLists(np.concatenate(ids), np.concatenate(parts))
-                for row in range(start, end) if lists else ():
-                    found, scores = lists.top(matrix[row], k, query_ids[row])
+                if blocks is None and ids:
+                    blocks = Blocks(np.concatenate(ids), np.concatenate(parts), block_rows)
+                    ids, parts = [], []
+                for row in range(start, end) if blocks else ():
+                    found, scores, _ = blocks.top(matrix[row], k, query_ids[row])
                     out += zip([query_ids[row]] * len(found), found, scores, strict=True)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"]
                 )
 
-    met = items.unionByName(asking).repartition(blocks, "block")
-    met = met.sortWithinPartitions("block", F.col("query_id").isNotNull(), "vec_id")
+    met = items.unionByName(asking).repartitionById(tasks, "task")
+    met = met.sortWithinPartitions("task", F.col("query_id").isNotNull(), "vec_id")
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

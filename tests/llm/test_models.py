@@ -1,6 +1,7 @@
 """Trained operators, archives, top-k search and the pipeline."""
 
 import math
+import re
 import struct
 import sys
 import zlib
@@ -19,6 +20,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F
 
+from nextrail.llm.common import crc_third
 from nextrail.llm import langid, lines, quality, queries, simhash, topk, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
@@ -194,6 +196,78 @@ def test_language_rows(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def plain_subwords(text):
+    """Slots of the byte 3- and 4-grams of a text's words with a border on either side."""
+    out = []
+    clean = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]", b" ", text.lower())
+    clean = b" " + clean + b" "
+    for size in (3, 4):
+        for i in range(len(clean) - size + 1):
+            gram = clean[i : i + size]
+            if b" " in gram[1:-1]:
+                continue
+            mixed = 0
+            for byte in gram:
+                mixed = (mixed * 0x01000193 ^ byte) & 0xFFFFFFFF
+            out.append(((mixed ^ size) * 0x85EBCA6B & 0xFFFFFFFF) >> 18)
+    return out
+
+
+def plain_model(texts, labels):
+    """The model trained step by step over lists of subwords: returns the embeddings and the softmax."""
+    languages = sorted(set(labels))
+    weight = {x: len(labels) / (len(languages) * labels.count(x)) for x in languages}
+    random = np.random.default_rng(0)
+    embedding, output = random.normal(0, 0.1, (langid.ROWS, langid.WIDTH)), np.zeros((langid.WIDTH, len(languages)))
+    held = [i % 10 == 9 and len(texts) >= 100 for i in range(len(texts))]
+    fitted = np.array([i for i in range(len(texts)) if not held[i]])
+    for epoch in range(langid.EPOCHS):
+        rate = langid.RATE * (1 - epoch / langid.EPOCHS)
+        for i in random.permutation(fitted):
+            slots = texts[i]
+            mean = sum((embedding[s] for s in slots), np.zeros(langid.WIDTH)) / max(1, len(slots))
+            p = np.exp(mean @ output - (mean @ output).max())
+            error = p / p.sum() - np.array([x == labels[i] for x in languages])
+            error = error * min(4.0, weight[labels[i]])
+            back = output @ error
+            output -= rate * np.outer(mean, error)
+            for s in slots:
+                embedding[s] -= rate * 0.1 * langid.ROWS**0.5 * back / len(slots)
+    return languages, embedding, output
+
+
+def test_language_model_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang")
+    model = langid.fit(docs, crc_third(F.col("doc_id")) != 1)
+    # The same rows in the same order: all of a table this small, by their hash.
+    rows = docs.where((crc_third(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("order").collect()
+    texts = [plain_subwords(r.text.encode()) for r in rows]
+    languages, embedding, output = plain_model(texts, [r.lang for r in rows])
+    assert languages == model.languages and len(languages) > 2
+    assert np.allclose(embedding @ output, model.scores, atol=1e-9)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.collect():
+        slots = plain_subwords((r.text or "").encode())
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        z = np.mean([embedding[s] for s in slots] or [np.zeros(langid.WIDTH)], axis=0) @ output / model.temperature
+        p = np.exp(z - z.max())
+        assert got[r.doc_id].score == pytest.approx(p.max() / p.sum(), abs=1e-9)
+        assert got[r.doc_id].lang_pred == languages[int(z.argmax())]
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """However many there are, each keeps some rows."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 40)
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3}{'klmnop'[i // 10 % 6] * 3} word", f"l{i % 60:02d}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 60
+
+
 def test_op6_query_is_right_on_held_out_documents(spark):
     truth = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
     rows = queries.op6_language_id(spark, SMALL).join(truth, "doc_id").where("held_out and lang is not null").collect()
@@ -279,11 +353,41 @@ def test_sorted_lists_give_the_exact_best(n, dims, k, seed, spread):
     ids = random.permutation(n * 2)[:n].astype(np.int64)
     query = random.integers(-spread, spread + 1, dims)
     skip = int(ids[0])
-    found, scores = topk.SortedLists(ids, vectors).top(query, k, skip)
+    found, scores, read = topk.SortedLists(ids, vectors).top(query, k, skip)
+    assert 0 <= read <= 1
     want = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors, strict=True) if i != skip)[:k]
     assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 300), st.integers(1, 5), st.integers(1, 6), st.integers(1, 90), st.integers(0, 10**6), st.sampled_from([2, 1000]))
+def test_blocks_give_the_exact_best(n, dims, k, block_rows, seed, spread):
+    random = np.random.default_rng(seed)
+    vectors = random.integers(-spread, spread + 1, (n, dims))
+    ids = random.permutation(n * 2)[:n].astype(np.int64)
+    query = random.integers(-spread, spread + 1, dims)
+    found, scores, _ = topk.Blocks(ids, vectors, block_rows).top(query, k, int(ids[-1]))
+    want = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors, strict=True) if i != ids[-1])[:k]
+    assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
+
+
+def test_bounds_leave_candidates_out():
+    """On clustered vectors the lists aren't read to the end."""
+    random = np.random.default_rng(0)
+    centres = random.normal(size=(30, 64))
+    vectors = np.floor(200 * (centres[random.integers(30, size=12_000)] + 0.3 * random.normal(size=(12_000, 64)))).astype(np.int64)
+    blocks = topk.Blocks(np.arange(12_000), vectors)
+    read = []
+    for i in range(0, 12_000, 600):
+        found, scores, share = blocks.top(vectors[i], 10, i)
+        read.append(share)
+        exact = vectors @ vectors[i]
+        exact[i] = np.iinfo(np.int64).min
+        assert scores.tolist() == np.sort(exact)[::-1][:10].tolist()
+    print("mean depth", np.mean(read))
+    assert np.mean(read) < 0.8
+
+
 def test_top_k_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, None), (6, [inf, 0.0]), (None, [9.0, 9.0]), (7, [-0.0004, -1.0]), (100, [0.25, 0.25])]
