@@ -216,7 +216,7 @@ def links(codes: DataFrame, max_bits: int) -> DataFrame:
 
     sent = ordered.select("home", "code").mapInArrow(send, "home int, guest byte, code long")
     here = ordered.select("home", F.lit(0).cast("byte").alias("guest"), "code")
-    met = here.unionByName(sent).repartition(groups, "home").sortWithinPartitions("home", "guest", "code")
+    met = here.unionByName(sent).repartitionById(groups, "home").sortWithinPartitions("home", "guest", "code")
     return met.mapInArrow(meet, "a long, b long")
 
 
