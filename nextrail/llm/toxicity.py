@@ -325,6 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most twice LABELS_PER_CLASS rows of two numbers, unless the documents repeat ids.
     scored = rows.where("slot > 0").select("text", "slot").mapInArrow(run, "ratio double, toxic int")
     scored = scored.groupBy("ratio", "toxic").count().toArrow()
+    spread.unpersist()  # the folds are scored; ``classify`` sends what it needs
     ratios, toxic = (scored.column(c).to_numpy() for c in ("ratio", "toxic"))
     times = scored.column("count").to_numpy()
     share = np.where(toxic == 1, shares.get(1, 1.0), shares.get(0, 1.0))
