@@ -15,9 +15,9 @@ from nextrail.operators.activity import (
     place_activities,
 )
 from nextrail.operators.split import split_summary, train_test_split
-from nextrail.plans.prepare import prepare_files, stage_views
+from nextrail.plans.prepare import prepare, prepare_files, stage_views
 from nextrail.sources.raw import load_events, load_items, load_users
-from nextrail.sources.tables import assert_unique, materialize, preview, read_split
+from nextrail.sources.tables import assert_unique, materialize, preview, read_split, stage
 
 DAY = dt.datetime(2024, 1, 1)
 EVENTS = (
@@ -133,10 +133,61 @@ def test_users_are_laid_out_by_row(spark, heavy_rows):
     assert [(r["pos"], r["item_id"]) for r in again] == [(i, str(i)) for i in range(11, 16)]
 
 
+@pytest.mark.parametrize("list_rows_", [4, 100])
+def test_lists_of_whole_parts(spark, list_rows_):
+    events = enrich_events(train_test_split(log(spark, {"a": distinct_times(20), "b": distinct_times(3)})), items_of(spark, *map(str, range(20))))
+    rows = lay_out_users(users_of(spark, "a", "b"), events)
+    lists = latest_lists(rows, None, list_rows=list_rows_).collect()
+    assert all(len(r["lists"]["item_id"]) <= list_rows_ for r in lists)
+    assert len(lists) == (6 if list_rows_ == 4 else 3)
+    again = list_rows(latest_lists(rows, None, list_rows=list_rows_), "item_id", "label").orderBy("user_id", "part", "pos").collect()
+    want = rows.where("part IS NOT NULL").select("user_id", "part", "pos", "item_id", "label").orderBy("user_id", "part", "pos").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in want]
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs ``work`` starts."""
+    spark.sparkContext.setJobGroup(group := f"jobs-{id(work)}", "counted")
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_keys_are_checked_in_the_joins_own_jobs(spark):
+    split = stage(train_test_split(log(spark, {"a": distinct_times(4), "b": distinct_times(6)})))
+    nulls = spark.createDataFrame([(None, "x"), (None, "y")], "id string, text string")
+    items, users = items_of(spark, "1", "2", "3"), users_of(spark, "a", "b")
+    more_items, more_users = (t.unionByName(nulls.toDF(*t.columns)) for t in (items, users))
+    twice_items, twice_users = items.unionByName(items_of(spark, "2")), users.unionByName(users_of(spark, "b"))
+
+    def whole(df):
+        return df.write.format("noop").mode("overwrite").save()
+
+    enriched = stage(enrich_events(split, more_items, more_users))
+    for make, right, wrong in (
+        (lambda t, **k: enrich_events(split, t, **k), more_items, twice_items),
+        (lambda t, **k: enrich_events(split, items, t, **k), more_users, twice_users),
+        (lambda t, **k: flag_items(t, split, **k), more_items, twice_items),
+        (lambda t, **k: lay_out_users(t, enriched, heavy=[], **k), more_users, twice_users),
+    ):
+        checked, plain = make(right), make(right, validate=False)
+        assert sorted(map(str, checked.collect())) == sorted(map(str, plain.collect()))
+        # Adaptive execution starts a job per shuffle; without it, a job is an action or a broadcast.
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            assert jobs_of(spark, lambda: whole(make(right))) == jobs_of(spark, lambda: whole(make(right, validate=False)))
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        with pytest.raises(Exception, match="not unique"):
+            make(wrong).collect()
+        assert make(wrong, validate=False).count() > 0
+
+
 def test_duplicate_keys_raise(spark):
-    events = train_test_split(log(spark, {"a": distinct_times(4)}))
     with pytest.raises(ValueError, match="not unique"):
-        enrich_events(events, items_of(spark, "1", "1"), users_of(spark, "a"))
+        assert_unique(items_of(spark, "1", "1"), ["item_id"])
     assert_unique(spark.createDataFrame([(None,), (None,), ("a",)], "k string"), ["k"])
 
 
@@ -189,6 +240,20 @@ def test_prepare_files(spark, raw_folder, tmp_path):
     assert other.events.where("is_train").count() == 8
 
 
+def test_prepare_reads_the_log_once(spark, tmp_path):
+    """The log's own work is done once, however often its rows are needed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    events = log(spark, {"a": distinct_times(8), "b": distinct_times(6)})
+    prepare(events.mapInArrow(counted, EVENTS), items_of(spark, "1", "2"), users_of(spark, "a", "b"), str(tmp_path / "t"))
+    assert seen.value == 14
+
+
 def test_materialize_builds_once(spark, tmp_path):
     calls = []
 

@@ -84,6 +84,12 @@ def test_split_reads_only_its_columns_and_sorts_no_wide_rows(spark):
     assert plan.count("SinglePartition") <= 1
 
 
+def test_model_vectors_are_read_from_a_stage(spark):
+    """The text model of ``search_vectors`` and ``recommend_query`` isn't part of the searching plans."""
+    for name in ("search_vectors", "recommend_query"):
+        assert "predict" not in plan_of(contract.queries()[name](spark, FOLDER)).lower()
+
+
 def test_no_join_without_keys(spark):
     for name in ("recommend_history_events", "user_metrics_events", "scored_losses"):
         plan = plan_of(contract.queries()[name](spark, FOLDER))

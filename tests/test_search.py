@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from nextrail.config import EncoderConfig, IndexConfig
 from nextrail.functions import vectors as vec
 from nextrail.operators import coded, encode, kmeans, lookup, pruned, recommend, search
+from nextrail.plans.evaluate import evaluate_runs, evaluate_users
+from nextrail.sources.tables import stage
 from nextrail.sources.vector_store import copy_store, open_store, write_store
 
 RNG = np.random.default_rng(4)
@@ -256,6 +258,60 @@ def test_prefix_means(histories, items, heavy_rows):
             assert np.allclose(vector, matrix[:n].mean(axis=0))
 
 
+@pytest.mark.parametrize("mode", ["mean", "max", "first", "last"])
+def test_prefix_states(spark, histories, items, mode):
+    zeros = spark.createDataFrame([(IDS[9], "zero", [0.0] * DIM)], items.schema)
+    known = items.where(F.col("item_id") != IDS[9]).unionByName(zeros)
+    for normalize in (False, True):
+        got = encode.prefix_states(histories, known, EncoderConfig(max_seq_length=4, pooling=mode, normalize=normalize)).collect()
+        for query in ("a", "b", "d"):
+            rows = sorted((r["pos"], r["embedding"]) for r in got if r["query_id"] == query)
+            matrix = np.array([MATRIX[k] for k in tail(query, 4) if k != 9])
+            assert len(rows) == len(matrix)
+            for n, (_, vector) in enumerate(rows, 1):
+                part = matrix[:n]
+                want = {"mean": part.mean(axis=0), "max": part.max(axis=0), "first": part[0], "last": part[-1]}[mode]
+                assert np.allclose(vector, want / np.linalg.norm(want) if normalize else want)
+
+
+def test_runs_share_one_search(spark, items):
+    events = [
+        (u, part, pos, IDS[(7 * k + 3 * pos + (0 if part == "history" else 40)) % N], True, k % 2 == 0)
+        for k, u in enumerate(("u:1", "v", "w"))
+        for part, count in (("history", 9), ("target", 5))
+        for pos in range(count)
+    ]
+    mine = spark.createDataFrame(events, "user_id string, part string, pos long, item_id string, label boolean, is_val boolean")
+    runs = {m: EncoderConfig(pooling=m, max_seq_length=n) for m, n in (("mean", 4), ("last", 4), ("max", 3))} | {"unit": EncoderConfig(normalize=True)}
+    got = evaluate_runs(mine, items, runs, metric="dot", top_k=30)
+    for run, config in runs.items():
+        want = evaluate_users(mine, items, metric="dot", top_k=30, encoder=config)
+        mine_of = got.where(F.col("run_id") == run).select(*want.columns)
+        assert sorted(map(str, mine_of.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 12
+
+
+def test_a_model_runs_once_per_item(spark, tmp_path):
+    """Vectors that come from a model are staged before they are searched."""
+    told = str(tmp_path / "told")
+
+    def counting():
+        def predict(texts):
+            with open(told, "a") as file:
+                file.write(f"{len(texts)}\n")
+            return np.array([[float(len(t)), 1.0] for t in texts], np.float32)
+
+        return predict
+
+    texts = spark.createDataFrame([(f"i{k}", "x" * (k + 1)) for k in range(40)], "item_id string, item_text string")
+    vectors = stage(encode.embed_text(texts, model_fn=counting))
+    asked = vectors.limit(9).withColumnRenamed("item_id", "query_id")
+    assert recommend.search_vectors(asked, vectors, top_k=3).count() == 27
+    requests = texts.limit(4).select(F.col("item_id").alias("query_id"), F.lit(0).alias("pos"), "item_id")
+    assert recommend.recommend_queries(requests.select("query_id"), vectors, item_rows=requests, top_k=2).count() == 8
+    assert sum(map(int, open(told).read().split())) == 40
+
+
 def test_default_text_vectors(spark):
     texts = [("a", "red ring"), ("b", "red ring"), ("c", "blue bolt and more"), ("d", None)]
     df = spark.createDataFrame(texts, "item_id string, item_text string")
