@@ -784,7 +784,8 @@ FROM (SELECT query_id, pos, generate_subscripts(embedding, 1) AS dim, unnest(emb
     "pair_similarity": query(
         f"""SELECT a.query_id, a.pos, {rnd(dot('va.embedding', 'vb.embedding'), 'dot')},
   {rnd(cosine('va.embedding', 'vb.embedding'), 'cosine')},
-  {rnd("pow(list_distance(va.embedding, vb.embedding), 2) / 2", 'half_l2')}, CAST(1.0 AS DOUBLE) AS unit_norm
+  {rnd("pow(list_distance(va.embedding, vb.embedding), 2) / 2", 'half_l2')}, CAST(1.0 AS DOUBLE) AS unit_norm,
+  {rnd(f"va.embedding[1] / sqrt({dot('va.embedding', 'va.embedding')})", 'unit_first')}
 FROM histories a JOIN histories b ON b.query_id = a.query_id AND b.pos = a.pos + 1
 JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item_id""",
         *base("events"),
@@ -945,3 +946,10 @@ FROM sums JOIN (SELECT batch_id, {stats('dot')} FROM rated GROUP BY batch_id) s
         ranked_losses(True, 2, 1.0, 0.5),
     ),
 }
+# Through an index the same rows.
+CHECK_SQL |= {
+    "recommend_user_indexed": CHECK_SQL["recommend_user_orders"],
+    "recommend_item_indexed": CHECK_SQL["recommend_item"],
+    "recommend_query_indexed": CHECK_SQL["recommend_query"],
+    "search_vectors_indexed": CHECK_SQL["search_vectors"],
+}

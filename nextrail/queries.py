@@ -425,6 +425,7 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
         rounded(vec.cosine(one, other), "cosine"),
         rounded(vec.half_squared_distance(one, other), "half_l2"),
         rounded(vec.norm(vec.unit(one)), "unit_norm"),
+        rounded(vec.unit(one)[0], "unit_first"),
     )
 
 
@@ -626,20 +627,25 @@ def recommend_history(spark: SparkSession, d: str, log: str) -> DataFrame:
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
-def recommend_user(spark: SparkSession, d: str, log: str) -> DataFrame:
+def index_of(items: DataFrame, indexed: bool, metric: str = "cosine") -> dict:
+    """What makes a job search through an index of its items, if it shall."""
+    return {"index": clustered_index(items, metric)} if indexed else {}
+
+
+def recommend_user(spark: SparkSession, d: str, log: str, indexed: bool = False) -> DataFrame:
     source = Log(spark, d, log)
-    found = recommend.recommend_users(source.placed(), stage(source.vectors), top_k=5)
-    return candidates(found)
+    items = stage(source.vectors)
+    return candidates(recommend.recommend_users(source.placed(), items, top_k=5, **index_of(items, indexed)))
 
 
-def recommend_item(spark: SparkSession, d: str) -> DataFrame:
+def recommend_item(spark: SparkSession, d: str, indexed: bool = False) -> DataFrame:
     """Similar items for every part."""
     requests = wh.part_items(spark, d).select(F.col("item_id").alias("query_id"), "item_id")
     items = stage(wh.part_item_vectors(spark, d))
-    return candidates(recommend.recommend_items(requests, items, top_k=5))
+    return candidates(recommend.recommend_items(requests, items, top_k=5, **index_of(items, indexed)))
 
 
-def recommend_query(spark: SparkSession, d: str) -> DataFrame:
+def recommend_query(spark: SparkSession, d: str, indexed: bool = False) -> DataFrame:
     """One request per order: the parts of its lines; pending orders bring the vectors of their suppliers'
     numbers, urgent ones a vector of their own; the customer's number is excluded."""
     vectors = wh.item_vectors(spark, d)
@@ -660,23 +666,25 @@ def recommend_query(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", F.col("embedding")).alias("embedding"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit(2)).alias("top_k"),
     )
+    items = stage(wh.part_item_vectors(spark, d))
     return candidates(
         recommend.recommend_queries(
             queries,
-            stage(wh.part_item_vectors(spark, d)),
+            items,
             item_rows=lines,
             input_rows=stage(supplied),
             exclude=orders,
             top_k=4,
             encoder=EncoderConfig(max_seq_length=3),
+            **index_of(items, indexed),
         )
     )
 
 
-def search_vectors(spark: SparkSession, d: str) -> DataFrame:
+def search_vectors(spark: SparkSession, d: str, indexed: bool = False) -> DataFrame:
     queries, _ = all_vectors(spark, d)
     items = stage(wh.part_item_vectors(spark, d))
-    found = recommend.search_vectors(queries, items, top_k=3, metric="l2")
+    found = recommend.search_vectors(queries, items, top_k=3, metric="l2", **index_of(items, indexed, "l2"))
     return found.select("query_id", "item_id", "item_text", rounded("score", "score"), "rank")
 
 
@@ -863,6 +871,10 @@ QUERIES: dict[str, Query] = {
     "item_vectors_learnt": item_vectors_learnt,
     "recommend_indexed_events": partial(recommend_indexed, log="events"),
     "recommend_indexed_orders": partial(recommend_indexed, log="orders"),
+    "recommend_user_indexed": partial(recommend_user, log="orders", indexed=True),
+    "recommend_item_indexed": partial(recommend_item, indexed=True),
+    "recommend_query_indexed": partial(recommend_query, indexed=True),
+    "search_vectors_indexed": partial(search_vectors, indexed=True),
     "user_metrics_indexed": user_metrics_indexed,
     "recommend_probing": recommend_probing,
     "index_sizes": index_sizes,
