@@ -802,7 +802,7 @@ JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item
     "knn_coded_l2": knn("l2"),
     "knn_stored_probes": probe_labels("dot"),
     "knn_stored_probes_cosine": probe_labels("cosine"),
-    "knn_hashed": hashed(10, 4),
+    "knn_hashed": hashed(24, 4),
     "clusters_two_levels": two_levels(16, 4, 2),
     "item_cooccurrence_events": query("SELECT * FROM counts", *cooccurrence("events")),
     "item_cooccurrence_orders": query("SELECT * FROM counts", *cooccurrence("orders")),

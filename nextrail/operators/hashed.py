@@ -20,7 +20,7 @@ from nextrail.operators import search as flat
 from nextrail.operators.vector_sums import matrix
 from nextrail.sources.tables import stage
 
-BANDS, BITS = 10, 4
+BANDS, BITS = 24, 4
 
 
 def planes(count: int, dim: int) -> np.ndarray:
