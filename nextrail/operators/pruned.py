@@ -4,16 +4,19 @@ For each metric there is a space in which similar means near: unit vectors for c
 with one more dimension that brings all of them to the largest norm, the vectors themselves for l2. There a cluster's centre
 and its farthest and nearest member bound how near any member can be to a query. A query visits the clusters from the
 best bound on, in rounds; it is done once its k-th score beats every bound that is left. What is left out so can't be among
-the best: the result is that of the search without an index.
+the best: the result is that of the search without an index. A catalogue of checked size goes to every task, which goes
+through the rounds itself; with a larger one a round is a search of the probed clusters' blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from nextrail.operators.vector_sums import vector_means
 from nextrail.sources.tables import stage
 
 #: Clusters that a query visits in the first round, and how many times as many in each further one.
-FIRST, GROWTH = 2, 8
+FIRST, GROWTH = 2, 16
 #: Share of the scores' size by which bounds are widened, for rounding and for ties.
 SLACK = 1e-8
 
@@ -92,6 +95,49 @@ def _best_possible(vectors: np.ndarray, centres: np.ndarray, inner: np.ndarray,
     return np.maximum(1 - least**2 / 2, 0)  # vectors shorter than the norms' floor score near 0
 
 
+def _slack(vectors: np.ndarray, kth: np.ndarray, metric: str, most: float) -> np.ndarray:
+    """By how much a bound may fall below the k-th score (a column) and still count."""
+    scale = 1 + np.abs(np.where(np.isfinite(kth), kth, 0))
+    if metric != "cosine":
+        scale = scale + np.einsum("ij,ij->i", vectors, vectors)[:, None] + most
+    return SLACK * scale
+
+
+def _pruned_whole(
+    clusters: tuple[np.ndarray, ...], metric: str, most: float, top_k: int, first: int, scored: Accumulator | None,
+    vectors: np.ndarray, items: np.ndarray, row: np.ndarray, column: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, item and score of the best pairs, cluster by cluster; ``clusters``: order of the items by cluster, starts, bounds."""
+    order, starts, inner, outer, centres = clusters
+    found = []
+    stripe = max(1, flat._MATRIX_CELLS // max(1, len(items)))
+    for start in range(0, len(vectors), stripe):
+        asked = vectors[start : start + stripe]
+        bound = _best_possible(asked, centres, inner, outer, metric, most)
+        nearest = np.argsort(-bound, axis=1, kind="stable")
+        scores, kth = np.full((len(asked), len(items)), -np.inf), np.full((len(asked), 1), -np.inf)
+        low, high = np.searchsorted(row, [start, start + stripe])
+        done, width = 0, first
+        while done < len(centres):
+            wanted = np.zeros(bound.shape, bool)
+            np.put_along_axis(wanted, nearest[:, done : done + width], True, axis=1)
+            wanted &= bound >= kth - _slack(asked, kth, metric, most)
+            if not wanted.any():
+                break
+            for c in np.flatnonzero(wanted.any(axis=0)):
+                rows, columns = np.flatnonzero(wanted[:, c]), order[starts[c] : starts[c + 1]]
+                scores[np.ix_(rows, columns)] = flat.similarity(asked[rows], items[columns], metric)
+                if scored is not None:
+                    scored.add(len(rows) * len(columns))
+            scores[row[low:high] - start, column[low:high]] = -np.inf
+            if len(items) > top_k:
+                kth = np.partition(scores, len(items) - top_k, axis=1)[:, len(items) - top_k, None]
+            done, width = done + width, width * GROWTH
+        rows, columns = flat.best_of_block(scores, top_k)
+        found.append((rows + start, columns, scores[rows, columns]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def search_pruned(
     queries: DataFrame,
     index: ClusterIndex,
@@ -101,13 +147,15 @@ def search_pruned(
     first: int = FIRST,
     item_block: int = flat.ITEM_BLOCK,
     query_block: int = flat.QUERY_BLOCK,
+    shared_bytes: int = flat.SHARED_BYTES,
     report: dict | None = None,
 ) -> DataFrame:
     """``query_id, item_id, score, rank``: the rows of ``search`` over the index's items, by its metric.
 
-    Each round's probes and the best so far are written once. ``report`` gets the numbers of ``rounds``, of ``scored`` pairs
-    and of all ``pairs``. The clusters go to every task up to ``search.SHARED_BYTES``; beyond that, the items are searched
-    in blocks without the index.
+    Items of up to ``shared_bytes`` go to every task. Beyond that, each round's probes and the best so far are written once;
+    the clusters alone go to every task then, up to ``search.SHARED_BYTES``, and with more the items are searched in blocks
+    without the index. ``report`` gets the number of all ``pairs`` and of the ``scored`` ones, the latter an accumulator, to be read
+    (``.value``) once the result has been.
     """
     metric, most = index.metric, index.most
     items = flat.usable(index.items, "item_id", "cluster_id").where(F.col("cluster_id").isNotNull())
@@ -117,8 +165,22 @@ def search_pruned(
         return flat.search(asked, items, exclude=exclude, top_k=top_k, metric=metric, item_block=item_block, query_block=query_block)
     table = index.clusters.orderBy("cluster_id").toArrow()
     centres = flat._matrix(table["centre"], sizes["dim"] or 0)
-    columns = (table[c].to_numpy() for c in ("cluster_id", "inner", "outer"))
-    shared = queries.sparkSession.sparkContext.broadcast((*columns, centres))
+    ids, inner, outer = (table[c].to_numpy() for c in ("cluster_id", "inner", "outer"))
+    context = queries.sparkSession.sparkContext
+    scored = context.accumulator(0)
+    if report is not None:
+        report.update(scored=scored, pairs=(sizes["items"] or 0) * asked.count())
+    dim = max(0, (sizes["dim"] or 0) - (metric == "dot"))
+    if (sizes["items"] or 0) * (dim * 8 + flat.ID_BYTES) <= shared_bytes:
+
+        def whole(catalogue: pa.Table):
+            of = np.searchsorted(ids, catalogue["cluster_id"].to_numpy())
+            starts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(ids)))]
+            clusters = context.broadcast((np.argsort(of, kind="stable"), starts, inner, outer, centres))
+            return lambda: partial(_pruned_whole, clusters.value, metric, most, top_k, first, scored if report is not None else None)
+
+        return flat._shared_search(asked, items, exclude, dim, whole)
+    shared = context.broadcast((ids, inner, outer, centres))
     schema = "query_id string, embedding array<double>, cluster_id " + index.clusters.schema["cluster_id"].dataType.simpleString()
 
     def visits(done: int, width: int):
@@ -133,22 +195,19 @@ def search_pruned(
                     nearest = np.argsort(-bound, axis=1, kind="stable")[:, done : done + width]
                     best = np.take_along_axis(bound, nearest, axis=1)
                     kth = part.column("kth").fill_null(-np.inf).to_numpy()[:, None]
-                    scale = 1 + np.abs(np.where(np.isfinite(kth), kth, 0))
-                    if metric != "cosine":
-                        scale = scale + np.einsum("ij,ij->i", vectors, vectors)[:, None] + most
-                    rows, places = np.nonzero(best >= kth - SLACK * scale)
+                    rows, places = np.nonzero(best >= kth - _slack(vectors, kth, metric, most))
                     chosen = part.select(["query_id", "embedding"]).take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(ids[nearest[rows, places]])], ["query_id", "embedding", "cluster_id"])
 
         return probe
 
     n_items = index.clusters.select("cluster_id", "n_items")
-    best, done, width, rounds, scored = None, 0, first, 0, 0
+    best, done, width = None, 0, first
     waiting = asked.withColumn("kth", F.lit(None).cast("double"))
     while done < sizes["n"]:
         probes = stage(waiting.mapInArrow(visits(done, width), schema))
-        pairs = probes.join(n_items, "cluster_id").agg(F.sum("n_items")).first()[0] if report is not None else None
-        rounds, scored = rounds + 1, scored + (pairs or 0)
+        if report is not None:
+            scored.add(probes.join(n_items, "cluster_id").agg(F.sum("n_items")).first()[0] or 0)
         if best is not None and probes.isEmpty():
             break
         found = flat.search_probed(
@@ -160,8 +219,6 @@ def search_pruned(
         kth = best.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("kth"))
         waiting = asked.join(kth, "query_id", "left")
         done, width = done + width, width * GROWTH
-    if report is not None:
-        report.update(rounds=rounds, scored=scored, pairs=(sizes["items"] or 0) * asked.count())
     if best is None:
         return queries.sparkSession.createDataFrame([], f"{flat.RESULT}, rank int")
     return best

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,10 @@ def _striped(
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _scored_whole(metric: str, top_k: int, asked: np.ndarray, items: np.ndarray, row: np.ndarray, column: np.ndarray):
+    return _striped(asked, items, metric, top_k, row, column)
+
+
 def usable(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
     """The rows that can be searched: id as text, vector as floats or doubles; no NULL among them."""
     return rows.select(F.col(id_col).cast("string").alias(id_col), "embedding", *more).dropna(subset=[id_col, "embedding"])
@@ -287,7 +292,7 @@ def search(
     queries, items = usable(queries, "query_id"), usable(items, "item_id")
     n_items, dim = _checked_sizes(items)
     if n_items * (dim * 8 + ID_BYTES) <= shared_bytes:
-        return _shared_search(queries, items, exclude, top_k, metric, dim)
+        return _shared_search(queries, items, exclude, dim, lambda _: lambda: partial(_scored_whole, metric, top_k))
     n_queries = queries.count()
     item_blocks = max(1, math.ceil(n_items / item_block))
     spread = min(math.ceil(n_queries / _MIN_QUERIES), math.ceil(4 * default_parts(items) / item_blocks))
@@ -311,14 +316,24 @@ def search(
     return ranked_top_k(found, top_k)
 
 
+#: Scores vectors with all items of a catalogue (in order of their ids), but for excluded places: query, item, score.
+Whole = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 def _shared_search(
-    queries: DataFrame, items: DataFrame, exclude: DataFrame | None, top_k: int, metric: str, dim: int
+    queries: DataFrame,
+    items: DataFrame,
+    exclude: DataFrame | None,
+    dim: int,
+    whole: Callable[[pa.Table], Callable[[], Whole]],
 ) -> DataFrame:
     """Every task gets the whole catalogue once; queries aren't shuffled but for their exclusions.
 
-    A query's exclusions are a list of known items, at most as long as the catalogue.
+    ``whole``, given the sorted catalogue on the driver, gives what a task makes its scorer with. A query's exclusions are a
+    list of known items, at most as long as the catalogue.
     """
     table = items.toArrow().sort_by("item_id")
+    scorer = whole(table)
     runs = _runs(table["item_id"])
     shared = queries.sparkSession.sparkContext.broadcast((table["item_id"].to_numpy(), *runs, _matrix(table["embedding"], dim)))
     rows = queries.select("query_id", as_double(F.col("embedding")).alias("embedding"))
@@ -333,7 +348,7 @@ def _shared_search(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, starts, vectors = shared.value
-        before = None
+        score_all, before = scorer(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -347,7 +362,7 @@ def _shared_search(
             times = pc.fill_null(pc.list_value_length(barred), 0).to_numpy()
             row, column = _barred_places(np.repeat(np.arange(batch.num_rows), times), barred.flatten(), names, starts)
             asked = _matrix(pa.chunked_array([batch.column("embedding")]), dim)
-            query, item, scores = _striped(asked, vectors, metric, top_k, row, column)
+            query, item, scores = score_all(asked, vectors, row, column)
             first = np.searchsorted(query, query)
             rank = np.arange(len(query)) - first + 1
             names = ["query_id", "item_id", "score", "rank"]

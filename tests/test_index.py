@@ -102,21 +102,24 @@ def test_vector_sums(spark):
 # ---- pruned search
 
 
+@pytest.mark.parametrize("shared", [0, search.SHARED_BYTES])
 @pytest.mark.parametrize("metric", METRICS)
-def test_pruned_search_is_exact(spark, items, queries, indices, metric):
+def test_pruned_search_is_exact(spark, items, queries, indices, metric, shared):
     for exclude in (None, barred(spark)):
         want = ranked(search.search(queries, items, metric=metric, top_k=9, exclude=exclude))
         report = {}
-        got = pruned.search_pruned(queries, indices[metric], top_k=9, exclude=exclude, item_block=40, report=report)
+        got = pruned.search_pruned(queries, indices[metric], top_k=9, exclude=exclude, item_block=40, shared_bytes=shared, report=report)
         assert ranked(got) == want
-        assert report["pairs"] == 600 * 8 and 0 < report["scored"] <= report["pairs"]
-    assert ranked(pruned.search_pruned(queries, indices[metric], top_k=700)) == ranked(search.search(queries, items, metric=metric, top_k=700))
+        assert report["pairs"] == 600 * 8 and 0 < report["scored"].value <= report["pairs"]
+    everything = pruned.search_pruned(queries, indices[metric], top_k=700, shared_bytes=shared)
+    assert ranked(everything) == ranked(search.search(queries, items, metric=metric, top_k=700))
 
 
-def test_bounds_leave_most_pairs_out(queries, indices):
+@pytest.mark.parametrize("shared", [0, search.SHARED_BYTES])
+def test_bounds_leave_most_pairs_out(queries, indices, shared):
     report = {}
-    pruned.search_pruned(queries, indices["l2"], top_k=5, report=report)
-    assert report["scored"] < 0.6 * report["pairs"] and report["rounds"] <= 3
+    pruned.search_pruned(queries, indices["l2"], top_k=5, first=1, shared_bytes=shared, report=report).collect()
+    assert report["scored"].value < 0.6 * report["pairs"]
 
 
 @pytest.mark.parametrize("metric", METRICS)
