@@ -1,6 +1,8 @@
 """Every registered query against its SQL, and the plans that large tables need."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from compare import database, difference
@@ -56,6 +58,22 @@ def test_entry(spark):
     assert round(mean, 6) == 0.077196
 
 
+@pytest.mark.parametrize("absent", ["zstandard", "nextrail.llm"])
+def test_the_rest_goes_on_without_the_document_operators(absent):
+    """The entry, in a process of its own, where a module can't be imported."""
+    code = (
+        "import sys; sys.modules[%r] = None\n"
+        "import __spark_entry__ as entry\n"
+        "print(len(entry.queries()), any(n.startswith('op') for n in entry.queries()), 'knn_exact_dot' in entry.oracle_sql())"
+    ) % absent
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split()[1:] == ["False", "True"] and int(done.stdout.split()[0]) > 80
+    present = os.path.isdir(os.path.join(root, "nextrail", "llm"))
+    assert ("left out" in done.stderr) == (absent == "zstandard" and present)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
