@@ -383,11 +383,9 @@ def probe_clusters(
     The centroids, about sqrt(n) rows, go to every task as one array. Where they have one dimension more than the
     queries (see ``pruned.point``), it is left out.
     """
-    ids, points = [], []
-    for row in centroids.orderBy("cluster_id").collect():
-        ids.append(row["cluster_id"])
-        points.append(row["centroid"])
-    shared = queries.sparkSession.sparkContext.broadcast((np.array(ids), np.array(points)))
+    table = centroids.orderBy("cluster_id").toArrow()
+    points = _matrix(table["centroid"], len(table["centroid"][0])) if table.num_rows else np.empty((0, 0))
+    shared = queries.sparkSession.sparkContext.broadcast((table["cluster_id"].to_numpy(), points))
     schema = "query_id string, embedding array<double>, cluster_id int"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
