@@ -31,6 +31,8 @@ FAN, GROUP, MOST_GROUPS = 16, 1 << 16, 1 << 16
 #: Fingerprints searched for at once.
 CHUNK = 512
 SEED = 42
+#: Bytes of row numbers up to which the rows to be dropped are broadcast.
+SHARED_BYTES = 32 << 20
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -276,5 +278,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
     kept = stage(docs.withColumn("__simhash_uid", F.monotonically_increasing_id()))
     named = near_duplicates(kept, shingle, max_bits, "__simhash_uid", text_col).select(F.col("doc_id").alias("__simhash_uid"), F.col("component_id").alias("_of"))
     ids = kept.select("__simhash_uid", kept[id_col].alias("_id")).join(named, "__simhash_uid")
-    first = ids.groupBy("_of").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "__simhash_uid")).alias("_first"))
-    return kept.join(stage(first.select("_first.__simhash_uid")), "__simhash_uid", "left_semi").drop("__simhash_uid")
+    several = ids.groupBy("_of").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "__simhash_uid")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    rest = ids.join(stage(several.where("_n > 1")), "_of").where(F.col("__simhash_uid") != F.col("_first.__simhash_uid"))
+    rest = stage(rest.select("__simhash_uid"))
+    # What goes is the smaller part as a rule: few enough rows are sent to the texts, not the texts to them.
+    rest = F.broadcast(rest) if rest.count() * 8 <= SHARED_BYTES else rest
+    return kept.join(rest, "__simhash_uid", "left_anti").drop("__simhash_uid")
