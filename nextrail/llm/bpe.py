@@ -51,9 +51,10 @@ def byte_symbols() -> list[str]:
 
 
 class WordBpe:
-    """Encoder and decoder for one tokenizer file (its JSON text)."""
+    """Encoder and decoder for one tokenizer file (its JSON text); ``memo_pieces``: see ``MEMO_PIECES``."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, memo_pieces: int | None = None) -> None:
+        self._most = memo_pieces
         file = json.loads(spec)
         model, added = file["model"], file.get("added_tokens", [])
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END or file.get("decoder"):
@@ -266,7 +267,7 @@ class WordBpe:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        if len(self._young) > MEMO_PIECES or self._held > MEMO_BYTES:
+        if len(self._young) > (self._most or MEMO_PIECES) or self._held > MEMO_BYTES:
             self._old, self._young, self._held = self._young, {}, 0
         young, old = self._young, self._old
         # Lower case first where that can't change anything else, so that fewer pieces differ.
@@ -306,9 +307,9 @@ def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(spec: str) -> WordBpe:
+def word_bpe(spec: str, memo_pieces: int | None = None) -> WordBpe:
     """One encoder per file and Python worker."""
-    return WordBpe(spec)
+    return WordBpe(spec, memo_pieces)
 
 
 def read_spec(path: str) -> str:
