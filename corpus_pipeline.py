@@ -14,6 +14,9 @@ from nextrail.llm.common import quoted, table
 from nextrail.llm.queries import COMMON_LINE_DOCS, SEQUENCE, TOXIC, WORD_BPE
 from nextrail.sources.tables import stage
 
+#: Pieces that a worker remembers while packing; few, as it may hold the models of the first stage too.
+MEMO_PIECES = 60_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that score below ``TOXIC``; the models learn from the documents given and the table ``labels``.
@@ -45,7 +48,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The places of the documents' token pieces in sequences; a null or empty text is its closing token alone."""
-    return packing.pack(packing.token_pieces(docs, WORD_BPE, SEQUENCE), SEQUENCE)
+    pieces = packing.token_pieces(docs, WORD_BPE, SEQUENCE, memo_pieces=MEMO_PIECES)
+    return packing.pack(pieces, SEQUENCE)
 
 
 STAGES = [
