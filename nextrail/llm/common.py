@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,10 +31,19 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; it goes on to other tasks and other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices with at most ``max_bytes`` in ``column``, or one row."""
+    """The same rows in slices with at most ``max_bytes`` in ``column``, or one row; gives freed memory back at the end."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
         start = used = 0
@@ -43,6 +54,8 @@ def small_batches(
             used += (length or 0) + 1
         if start < batch.num_rows:
             yield batch.slice(start)
+    batch = None
+    give_back()
 
 
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
