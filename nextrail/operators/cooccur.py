@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nextrail.operators.skew import join_lookup
@@ -19,20 +19,29 @@ from nextrail.sources.tables import stage
 
 #: Directions whose share of the block's largest squared length is below this are dropped from the block.
 NOTHING = 1e-12
+#: Places of a query that one span holds.
+SPAN = 4096
 
 
 def cooccurrence(histories: DataFrame, window: int = 5) -> DataFrame:
     """``item_id, other_id, n``: how often two different items stand at most ``window`` places apart in a query, both ways.
 
-    ``histories``: query_id, pos (0, 1, ... without gaps), item_id. Places meet by query and place, so a query of any length
-    is spread over all tasks; pairs are counted before the shuffle too.
+    ``histories``: query_id, pos (0, 1, ... without gaps), item_id. A query is cut into spans of places, each with the first places
+    of the next, so one of any length is spread over all tasks. A pair is counted once, before the shuffle too, and then
+    given back both ways.
     """
     rows = histories.select("query_id", "pos", "item_id").dropna()
-    steps = F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.col("pos") + i)
-    ahead = rows.select("query_id", F.explode(steps).alias("pos"), F.col("item_id").alias("other_id"))
-    met = rows.join(ahead, ["query_id", "pos"]).where("item_id <> other_id")
-    both = met.select(F.explode(F.array(F.struct("item_id", "other_id"), F.struct(F.col("other_id").alias("item_id"), F.col("item_id").alias("other_id")))).alias("p"))
-    return both.groupBy("p.item_id", "p.other_id").agg(F.count(F.lit(1)).alias("n"))
+    span = max(SPAN, window)
+    own = F.floor(F.col("pos") / span)
+    spans = F.when(F.pmod("pos", F.lit(span)) < window, F.array(own, own - 1)).otherwise(F.array(own))
+    cut = rows.select("*", own.alias("_own"), F.explode(spans).alias("_span"))
+    ahead = Window.partitionBy("query_id", "_span").orderBy("pos").rangeBetween(1, window)
+    met = cut.withColumn("_others", F.collect_list("item_id").over(ahead)).where("_own = _span")
+    pairs = met.select("item_id", F.explode("_others").alias("other_id")).where("item_id <> other_id")
+    pairs = pairs.select(F.least("item_id", "other_id").alias("one"), F.greatest("item_id", "other_id").alias("other"))
+    counts = pairs.groupBy("one", "other").agg(F.count(F.lit(1)).alias("n"))
+    both = F.explode(F.array(F.struct("one", "other"), F.struct(F.col("other").alias("one"), F.col("one").alias("other"))))
+    return counts.select(both.alias("p"), "n").select(F.col("p.one").alias("item_id"), F.col("p.other").alias("other_id"), "n")
 
 
 def mutual_information(counts: DataFrame) -> DataFrame:

@@ -294,6 +294,23 @@ def test_counts_and_weights(spark):
     assert weights == pytest.approx({k: w for k, w in want.items() if w > 0})
 
 
+def test_counts_over_spans_and_without_sending_the_log_to_all_tasks(spark, monkeypatch):
+    """Spans of three places, longer windows, gaps and places that are there twice; a small file may hold many rows."""
+    monkeypatch.setattr(cooccur, "SPAN", 3)
+    random = np.random.default_rng(4)
+    rows = [(q, int(pos), f"i{random.integers(5)}") for q in "ab" for pos in random.choice(30, size=25)]
+    histories = stage(spark.createDataFrame(rows, "query_id string, pos long, item_id string"))
+    for window in (2, 5):
+        counts = {}
+        for q, pos, one in rows:
+            for q2, pos2, other in rows:
+                if q == q2 and 0 < abs(pos - pos2) <= window and one != other:
+                    counts[one, other] = counts.get((one, other), 0) + 1
+        got = cooccur.cooccurrence(histories, window)
+        assert {(r.item_id, r.other_id): r.n for r in got.collect()} == counts
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_give_the_weights_back(spark):
     random = np.random.default_rng(1)
     hidden = np.abs(random.normal(size=(30, 3))) @ np.diag([3.0, 2.0, 1.0])
