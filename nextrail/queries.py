@@ -412,12 +412,13 @@ def prefix_state(spark: SparkSession, d: str, mode: str) -> DataFrame:
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each history item with the next one of its user."""
-    items = wh.event_item_vectors(spark, d).select("item_id", "embedding")
-    known = join_lookup(Log(spark, d, "events").histories(), items, "item_id", "inner")
-    following = known.select(
-        F.col("query_id"), (F.col("pos") - 1).alias("pos"), F.col("embedding").alias("other")
-    )
-    pairs = known.select("query_id", "pos", "embedding").join(following, ["query_id", "pos"])
+    items = stage(wh.event_item_vectors(spark, d).select("item_id", "embedding"))
+    past = Log(spark, d, "events").histories()
+    following = past.select("query_id", (F.col("pos") - 1).alias("pos"), F.col("item_id").alias("other_id"))
+    # Ids meet first. A log of few items is a small file of many rows: by its size it would be sent to all tasks.
+    pairs = past.select("query_id", "pos", "item_id").join(following.hint("merge"), ["query_id", "pos"])
+    pairs = join_lookup(pairs, items, "item_id", "inner")
+    pairs = join_lookup(pairs, items.select(F.col("item_id").alias("other_id"), F.col("embedding").alias("other")), "other_id", "inner")
     one, other = F.col("embedding"), F.col("other")
     return pairs.select(
         "query_id", "pos",

@@ -109,6 +109,13 @@ def test_model_vectors_are_read_from_a_stage(spark):
         assert "predict" not in plan_of(contract.queries()[name](spark, FOLDER)).lower()
 
 
+def test_places_of_a_log_are_not_sent_to_all_tasks(spark):
+    """A log of few items is a small file of many rows; its places meet the next ones by a shuffle."""
+    plan = plan_of(q.pair_similarity(spark, FOLDER))
+    assert "SortMergeJoin [query_id" in plan
+    assert "BroadcastHashJoin [query_id" not in plan
+
+
 def test_no_join_without_keys(spark):
     for name in ("recommend_history_events", "user_metrics_events", "scored_losses"):
         plan = plan_of(contract.queries()[name](spark, FOLDER))
