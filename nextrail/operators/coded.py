@@ -25,6 +25,8 @@ TOP_CODE, SHORT = 127, 1e-4
 #: Share of the scores' size by which bounds are widened, for rounding and for ties.
 SLACK = 1e-8
 CODE = ("code", "scale", "error")
+#: Rows of a block: what the bounds leave of a pair of blocks is held at once.
+ITEM_BLOCK, QUERY_BLOCK = 65_536, 8_192
 
 
 def code_items(items: DataFrame, metric: str = "cosine") -> DataFrame:
@@ -117,8 +119,8 @@ def search_coded(
     probes: DataFrame | None = None,
     n_items: DataFrame | None = None,
     refine_factor: int | None = None,
-    item_block: int = flat.ITEM_BLOCK,
-    query_block: int = flat.QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK,
+    query_block: int = QUERY_BLOCK,
     report: dict | None = None,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` over ``codes`` (of ``code_items`` for the same metric) of ``items``.

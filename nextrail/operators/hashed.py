@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextrail.config import TOP_K
-from nextrail.functions.vectors import as_double
 from nextrail.operators import search as flat
 from nextrail.operators.vector_sums import matrix
 from nextrail.sources.tables import stage
@@ -37,7 +36,7 @@ def buckets(rows: DataFrame, id_col: str, bands: int = BANDS, bits: int = BITS)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = matrix(batch.column("embedding"))
+            vectors = matrix(batch.column("embedding")).astype(np.float64, copy=False)
             known = planes(bands * bits, vectors.shape[1]) if known is None else known
             signs = np.round(vectors @ known.T, 9).reshape(-1, bands, bits) >= 0
             named = signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
@@ -47,8 +46,9 @@ def buckets(rows: DataFrame, id_col: str, bands: int = BANDS, bits: int = BITS)
                 [id_col, "embedding", "cluster_id"],
             )
 
-    kept = flat.usable(rows, id_col).select(id_col, as_double(F.col("embedding")).alias("embedding"))
-    return kept.mapInArrow(sign, f"{id_col} string, embedding array<double>, cluster_id int")
+    kept = flat.usable(rows, id_col)
+    kept = kept.select(id_col, flat._sent(kept).alias("embedding"))
+    return kept.mapInArrow(sign, f"{id_col} string, embedding {kept.schema['embedding'].dataType.simpleString()}, cluster_id int")
 
 
 def search_hashed(

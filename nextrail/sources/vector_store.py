@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from nextrail.config import TOP_K, IndexConfig
 from nextrail.functions.vectors import assert_dimension
-from nextrail.operators.coded import code_items, search_coded
+from nextrail.operators.coded import ITEM_BLOCK, code_items, search_coded
 from nextrail.operators.kmeans import cluster_items
 from nextrail.operators.pruned import ClusterIndex, index_clusters, search_pruned
-from nextrail.operators.search import ITEM_BLOCK, probe_clusters
+from nextrail.operators.search import probe_clusters
 from nextrail.operators.vector_sums import vector_means
 from nextrail.sources.tables import require_columns, stage
 
