@@ -29,6 +29,8 @@ from nextrail.sources.tables import stage
 
 #: Clusters that a query visits in the first round, and how many times as many in each further one.
 FIRST, GROWTH = 2, 16
+#: Clusters that a round may send a query to, on the average, for each block of all items; beyond that blocks move less.
+PROBES_PER_BLOCK = 8
 #: Share of the scores' size by which bounds are widened, for rounding and for ties.
 SLACK = 1e-8
 
@@ -154,12 +156,14 @@ def search_pruned(
 
     Items of up to ``shared_bytes`` go to every task. Beyond that, each round's probes and the best so far are written once;
     the clusters alone go to every task then, up to ``search.SHARED_BYTES``, and with more the items are searched in blocks
-    without the index. ``report`` gets the number of all ``pairs`` and of the ``scored`` ones, the latter an accumulator, to be read
+    without the index. So are, for the queries that are left, all items, where the bounds leave a round more than
+    ``PROBES_PER_BLOCK`` clusters a query for each block of items. ``report`` gets the number of all ``pairs`` and of the ``scored`` ones, the latter an accumulator, to be read
     (``.value``) once the result has been.
     """
     metric, most = index.metric, index.most
     items = flat.usable(index.items, "item_id", "cluster_id").where(F.col("cluster_id").isNotNull())
-    asked = flat.usable(queries, "query_id").select("query_id", as_double(F.col("embedding")).alias("embedding"))
+    asked = flat.usable(queries, "query_id")
+    asked = asked.select("query_id", flat._sent(asked).alias("embedding"))
     sizes = index.clusters.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centre")).alias("dim"), F.sum("n_items").alias("items")).first()
     if sizes["n"] * (sizes["dim"] or 0) * 8 > flat.SHARED_BYTES:
         return flat.search(asked, items, exclude=exclude, top_k=top_k, metric=metric, item_block=item_block, query_block=query_block)
@@ -181,7 +185,7 @@ def search_pruned(
 
         return flat._shared_search(asked, items, exclude, dim, whole)
     shared = context.broadcast((ids, inner, outer, centres))
-    schema = "query_id string, embedding array<double>, cluster_id " + index.clusters.schema["cluster_id"].dataType.simpleString()
+    schema = f"query_id string, embedding {asked.schema['embedding'].dataType.simpleString()}, cluster_id " + index.clusters.schema["cluster_id"].dataType.simpleString()
 
     def visits(done: int, width: int):
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +208,26 @@ def search_pruned(
     n_items = index.clusters.select("cluster_id", "n_items")
     best, done, width = None, 0, first
     waiting = asked.withColumn("kth", F.lit(None).cast("double"))
+    blocks = -(-(sizes["items"] or 0) // item_block)
     while done < sizes["n"]:
-        probes = stage(waiting.mapInArrow(visits(done, width), schema))
+        visited = waiting.mapInArrow(visits(done, width), schema)
+        if width > PROBES_PER_BLOCK * blocks:
+            asks = visited.select("query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+            asks = stage(asks)
+            left = asks.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("probes")).first()
+            if (left["probes"] or 0) > PROBES_PER_BLOCK * blocks * left["queries"]:
+                if report is not None:
+                    scored.add(left["queries"] * sizes["items"])
+                open_ = asked.join(asks.hint("merge"), "query_id", "left_semi")
+                rest = flat.search(
+                    open_, items, exclude=exclude, top_k=top_k, metric=metric, item_block=item_block, query_block=query_block,
+                    shared_bytes=shared_bytes,
+                )
+                if best is None:
+                    return rest
+                settled = best.join(asks.hint("merge"), "query_id", "left_anti").select("query_id", "item_id", "score", "rank")
+                return settled.unionByName(rest.select("query_id", "item_id", "score", "rank"))
+        probes = stage(visited)
         if report is not None:
             scored.add(probes.join(n_items, "cluster_id").agg(F.sum("n_items")).first()[0] or 0)
         if best is not None and probes.isEmpty():
@@ -217,7 +239,7 @@ def search_pruned(
             found = found.unionByName(best.drop("rank"))
         best = stage(flat.ranked_top_k(found, top_k))
         kth = best.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("kth"))
-        waiting = asked.join(kth, "query_id", "left")
+        waiting = asked.join(kth.hint("merge"), "query_id", "left")
         done, width = done + width, width * GROWTH
     if best is None:
         return queries.sparkSession.createDataFrame([], f"{flat.RESULT}, rank int")

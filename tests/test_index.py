@@ -272,6 +272,75 @@ def test_copies_share_all_buckets(spark, items):
     assert by[IDS[0]] == {32 * band + sum(1 << j for j in range(5) if signs[0, 5 * band + j]) for band in range(3)}
 
 
+# ---- what large tables need
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_pruned_search_goes_on_in_blocks_where_bounds_leave_too_much(spark, items, queries, indices, metric, monkeypatch):
+    want = ranked(search.search(queries, items, metric=metric, top_k=9, exclude=barred(spark)))
+    monkeypatch.setattr(pruned.flat, "search_probed", lambda *a, **o: pytest.fail("a round was probed"))
+    monkeypatch.setattr(pruned, "PROBES_PER_BLOCK", 0)
+    got = pruned.search_pruned(queries, indices[metric], top_k=9, exclude=barred(spark), item_block=40, shared_bytes=0)
+    assert ranked(got) == want
+
+
+def test_settled_and_open_queries_of_a_round_come_together(spark, items, queries, indices, monkeypatch):
+    for most in (0.01, 0.1, 0.3):
+        monkeypatch.setattr(pruned, "PROBES_PER_BLOCK", most)
+        for metric in METRICS:
+            got = pruned.search_pruned(queries, indices[metric], top_k=5, first=1, shared_bytes=0, item_block=40)
+            assert ranked(got) == ranked(search.search(queries, items, metric=metric, top_k=5))
+
+
+def test_a_full_probe_sends_no_query_to_each_cluster(items, queries, monkeypatch):
+    clustered, centroids = kmeans.cluster_items(items, n_clusters=8)
+    some = centroids.where("cluster_id < 3")
+    known = clustered.where("cluster_id < 3")
+    monkeypatch.setattr(search, "probe_clusters", lambda *a: pytest.fail("probed"))
+    for table, heads in ((items, centroids), (known, some)):
+        got = search.search_clusters(queries, stage(clustered), heads, nprobe=8, metric="dot", top_k=9)
+        assert ranked(got) == ranked(search.search(queries, table, metric="dot", top_k=9))
+
+
+def test_clustered_items_are_not_sent_to_all_tasks(items):
+    """Vectors of few words are a small file of many rows."""
+    plan = kmeans.cluster_items(items, n_clusters=8)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_uid" not in plan and "SortMergeJoin [_uid" in plan
+
+
+def test_blocks_per_task_are_of_all_clusters_together(spark):
+    rows = spark.range(100).select(F.lit(5_000).alias("n"), F.lit(1).alias("b"), F.lit(0.01).alias("share"))
+    blocks = rows.select(search._query_blocks(F.col("n"), F.col("b"), 65_536, 8, F.col("share")).alias("x")).agg(F.sum("x")).first()[0]
+    assert blocks == 100
+
+
+def test_floats_are_shuffled_as_floats(spark, items, queries):
+    def small(rows):
+        return rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+    got = search.search(stage(small(queries)), stage(small(items)), shared_bytes=0, top_k=5)
+    assert "array<double>" not in got._jdf.queryExecution().analyzed().toString()
+    assert ranked(got) == ranked(search.search(small(queries), small(items), top_k=5))
+
+
+@pytest.mark.parametrize("top_k", [1, 5, 20])
+def test_the_best_of_wide_blocks(top_k):
+    random = np.random.default_rng(top_k)
+    used = 0
+    for turn in range(12):
+        scores = random.normal(size=(3, 4000)) * 10.0 ** random.integers(-3, 6)
+        if turn % 3 == 0:
+            scores = np.round(scores, 1)
+        if turn % 4 == 0:
+            scores = scores + random.choice([0, 4e-10, -4e-10], size=scores.shape)
+        scores[random.random(scores.shape) < random.choice([0, 0.01, 0.99])] = -np.inf
+        rounded = np.round(scores, search.TIE_DIGITS)
+        want = [(i, j) for i in range(3) for j in sorted(range(4000), key=lambda j: (-rounded[i, j], j))[:top_k] if rounded[i, j] > -np.inf]
+        assert [tuple(map(int, x)) for x in zip(*search.best_of_block(scores, top_k))] == want
+        used += search._contenders(scores, top_k) is not None
+    assert used
+
+
 # ---- item vectors
 
 
