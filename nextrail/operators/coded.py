@@ -27,6 +27,8 @@ SLACK = 1e-8
 CODE = ("code", "scale", "error")
 #: Rows of a block: what the bounds leave of a pair of blocks is held at once.
 ITEM_BLOCK, QUERY_BLOCK = 65_536, 8_192
+# Bounds held at a time, and what a query with the items that its bounds leave weighs, in codes.
+_CELLS, _QUERY_WEIGHT = 1_000_000, 32
 
 
 def code_items(items: DataFrame, metric: str = "cosine") -> DataFrame:
@@ -82,6 +84,14 @@ def bounds(vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.
     return low - slack, high + slack
 
 
+def _reached(low: np.ndarray, top_k: int) -> np.ndarray:
+    """What ``top_k`` of each row reach: their k-th largest, or that of the maxima of groups of columns, which is no more."""
+    groups = low.shape[1] // flat._GROUP
+    if groups >= 2 * top_k:
+        low = low[:, : groups * flat._GROUP].reshape(len(low), flat._GROUP, groups).max(axis=1)
+    return np.partition(low, low.shape[1] - top_k, axis=1)[:, low.shape[1] - top_k, None]
+
+
 def _bound_scorer(metric: str, top_k: int) -> flat.Scorer:
     """The items of a block whose upper bound reaches the block's k-th lower bound."""
 
@@ -89,8 +99,8 @@ def _bound_scorer(metric: str, top_k: int) -> flat.Scorer:
         dim = vectors.shape[1]
         codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.int8).reshape(-1, dim).astype(np.float64)
         scale, error = right["scale"].to_numpy(), right["error"].to_numpy()
-        ids, found = right["item_id"].to_numpy(), []
-        stripe = max(1, flat._MATRIX_CELLS // max(1, len(codes)))
+        found = []
+        stripe = max(1, _CELLS // max(1, len(codes)))
         for start in range(0, len(vectors), stripe):
             low, high = bounds(vectors[start : start + stripe], codes, scale, error, metric)
             first, last = np.searchsorted(row, [start, start + stripe])
@@ -98,12 +108,11 @@ def _bound_scorer(metric: str, top_k: int) -> flat.Scorer:
             open_ = np.ones(low.shape, bool)
             open_[row[first:last] - start, column[first:last]] = False
             if low.shape[1] > top_k:
-                kth = np.partition(low, low.shape[1] - top_k, axis=1)[:, low.shape[1] - top_k, None]
-                open_ &= high >= kth
-            rows, columns = np.nonzero(open_)
-            found.append((rows + start, columns, low[rows, columns], high[rows, columns]))
+                open_ &= high >= _reached(low, top_k)
+            rows, columns = (x.astype(np.int32) for x in np.nonzero(open_))
+            found.append((rows + np.int32(start), columns, low[rows, columns], high[rows, columns]))
         query, item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-        return query, {"item_id": ids[item], "low": low, "high": high}
+        return query, {"item_id": right["item_id"].take(pa.array(item)).combine_chunks(), "low": low, "high": high}
 
     return scored
 
@@ -130,7 +139,8 @@ def search_coded(
     query to clusters, ``codes`` having ``cluster_id``; ``n_items`` per cluster saves a count. ``report`` gets the numbers of
     ``rescored`` and of all ``pairs``. Vectors are fetched for what is scored exactly only.
     """
-    asked = flat.usable(queries, "query_id").select("query_id", vec.as_double(F.col("embedding")).alias("embedding"))
+    asked = flat.usable(queries, "query_id")
+    asked = asked.select("query_id", flat._sent(asked).alias("embedding"))
     if probes is None:
         codes = codes.withColumn("cluster_id", F.lit(0))
         probes = stage(asked.withColumn("cluster_id", F.lit(0)))
@@ -138,7 +148,7 @@ def search_coded(
     found = flat.search_probed(
         probes, codes, exclude, _bound_scorer(metric, top_k), n_items=n_items,
         schema="query_id string, item_id string, low double, high double",
-        payload={c: F.col(c) for c in CODE}, item_block=item_block, query_block=query_block,
+        payload={c: F.col(c) for c in CODE}, item_block=item_block, query_block=query_block, weight=_QUERY_WEIGHT,
     )
     whole = Window.partitionBy("query_id")
     if refine_factor is None:
@@ -151,7 +161,8 @@ def search_coded(
     if report is not None:
         pairs = stage(pairs)
         report.update(rescored=pairs.count(), pairs=asked.count() * codes.count())
-    vectors = flat.usable(items, "item_id").select("item_id", vec.as_double(F.col("embedding")).alias("_item"))
+    vectors = flat.usable(items, "item_id")
+    vectors = vectors.select("item_id", flat._sent(vectors).alias("_item"))
     met = join_lookup(join_lookup(pairs, vectors, "item_id", "inner"), asked, "query_id", "inner")
     one, other = F.col("embedding"), F.col("_item")
     score = {"dot": vec.dot, "cosine": vec.cosine, "l2": lambda a, b: 1 - vec.squared_distance(a, b)}[metric](one, other)

@@ -1,6 +1,7 @@
 """Clusterings, pruned and coded search, stored tables, hashed buckets and learnt item vectors against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,3 +392,30 @@ def test_vectors_give_the_weights_back(spark):
     stacked = np.array([vectors[f"i{a}"] for a in range(30)])
     assert np.allclose(stacked @ stacked.T, matrix, atol=1e-6)
     assert np.allclose(values[:3], np.linalg.eigvalsh(matrix)[::-1][:3]) and np.allclose(values[3:], 0, atol=1e-6)
+
+
+def test_items_are_cut_where_many_query_blocks_would_get_them(spark):
+    """What is shuffled by the blocks of 200 partitions, in items."""
+    n, parts, share = F.lit(120_000), 200, F.lit(1.0)
+    item_blocks = search._item_blocks(n, n, search.ITEM_BLOCK, parts, share, search._QUERY_WEIGHT)
+    query_blocks = search._query_blocks(n, F.col("i"), search.QUERY_BLOCK, parts, share)
+    (r,) = spark.range(1).select(item_blocks.alias("i")).select("i", query_blocks.alias("q")).collect()
+    assert r.i * r.q >= 2 * parts
+    assert 120_000 * (r.q + search._QUERY_WEIGHT * r.i) < 120_000 * 2 * parts / 4
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_bounds_of_wide_blocks_leave_the_best(metric):
+    random = np.random.default_rng(2)
+    low = np.round(random.normal(size=(7, 3000)), 1)
+    low[0, 5:] = -np.inf
+    kth = np.sort(low, axis=1)[:, -10, None]
+    assert (coded._reached(low, 10) <= kth).all() and (coded._reached(low[:, :40], 10) == np.sort(low[:, :40], axis=1)[:, -10, None]).all()
+    vectors, ids = random.normal(size=(4, 3000)), pa.array([f"i{i}" for i in range(3000)])
+    codes = np.clip(np.rint(random.normal(size=(3000, 4)) * 30), -127, 127).astype(np.int8)
+    right = pa.table({"item_id": ids, "code": [c.tobytes() for c in codes], "scale": np.full(3000, 0.02), "error": np.full(3000, 0.01)})
+    none = np.empty(0, np.int64)
+    query, found = coded._bound_scorer(metric, 10)(vectors[:, :4], right, none, none)
+    exact = search.similarity(vectors[:, :4], codes * 0.02, metric)
+    kept = {(int(q), i) for q, i in zip(query, found["item_id"].to_pylist(), strict=True)}
+    assert {(q, f"i{i}") for q in range(4) for i in np.argsort(-exact[q])[:10]} <= kept
