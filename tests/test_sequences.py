@@ -151,3 +151,22 @@ def test_examples(spark, heavy_rows, partitions, lookahead):
     assert sum(r["attention_non_zero"] for r in stats.values()) == sum(
         len(r["history_item_idx"]) for r in results[0]
     )
+
+
+def test_few_copies_are_spread_over_tasks(spark):
+    """What is drawn for a copy costs far more than its row: a handful of bytes must not become one task."""
+    copies = seq.copies_of(lengths(spark, *range(1, 40)), 8)
+    assert copies.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("lookahead", [0, 2])
+def test_positives_are_joined_by_shuffles_alone(spark, lookahead):
+    """The samples and the histories are both as long as the log; neither may go to all tasks, however small their files."""
+    config = SequenceConfig(max_seq_length=4, pos_lookahead=lookahead)
+    log = train_log(spark, {f"u{u}": [(f"i{k}", k % 2 == 0) for k in range(9)] for u in range(6)})
+    past = stage(seq.index_histories(log, vocab_of(spark, 10)))
+    samples = seq.sample_positions(seq.copies_of(past, 4), config)
+    found = seq.sample_positives(samples, past, config)
+    rows = found.collect()
+    assert len(rows) == 6 * 3 * 4 and all(r["pos_item_idx"] > 0 for r in rows if r["pos"] < 7)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
