@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from nextrail.config import EncoderConfig
 from nextrail.functions.vectors import as_double, is_zero, let, unit
 from nextrail.operators.skew import join_lookup
+from nextrail.sources.tables import stage
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -81,9 +82,10 @@ def known_tail(
     """The last ``max_seq_length`` items of each query that have a vector.
 
     Ids are matched first and vectors joined to what is left, so a long history moves as ids only. The
-    group limit cuts each query to ``max_seq_length`` rows before the shuffle.
+    group limit cuts each query to ``max_seq_length`` rows before the shuffle. The ids are staged: against a table whose size
+    isn't known, a log in a small file would be sent to all tasks, and the few ids, one task's, would bring out all its rows.
     """
-    ids = vectors.select("item_id")
+    ids = stage(vectors.select("item_id"))
     known = join_lookup(histories, ids, "item_id", "inner", heavy=heavy_items)
     latest = Window.partitionBy("query_id").orderBy(F.desc("pos"))
     tail = known.withColumn("_back", F.row_number().over(latest))

@@ -415,3 +415,13 @@ def test_vector_store(spark, items, queries, tmp_path):
     assert found(full) == found(exact)
     with pytest.raises(ValueError, match="missing columns"):
         write_store(items.drop("embedding"), str(tmp_path / "u"))
+
+
+def test_the_log_is_not_sent_to_all_tasks_for_its_items(spark):
+    """Where the size of the items isn't known, a small file of histories must not be the side that is sent."""
+    past = stage(spark.range(400).selectExpr("cast(id % 20 as string) query_id", "cast(id div 20 as int) pos", "cast(id % 7 as string) item_id"))
+    items = spark.range(700).selectExpr("cast(id % 7 as string) item_id").distinct()
+    vectors = items.join(spark.range(700).selectExpr("cast(id as string) item_id", "array(1.0D, id) embedding"), "item_id")
+    found = encode.known_tail(past, vectors, 5)
+    assert found.count() == 20 * 5
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
