@@ -170,3 +170,17 @@ def test_positives_are_joined_by_shuffles_alone(spark, lookahead):
     rows = found.collect()
     assert len(rows) == 6 * 3 * 4 and all(r["pos_item_idx"] > 0 for r in rows if r["pos"] < 7)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_negatives_are_drawn_in_all_tasks(spark):
+    """The draws cost far more than the rows they start from, so their tasks aren't merged by size."""
+    log = train_log(spark, {f"u{u}": [(f"i{k}", True) for k in range(u % 7 + 2)] for u in range(30)})
+    past = stage(seq.index_histories(log, vocab_of(spark, 12)))
+    config = SequenceConfig(max_seq_length=4)
+    samples = stage(seq.sample_positions(seq.copies_of(past, 4), config))
+    found = seq.sample_negatives(samples, past, 12, config)
+    seen = {(r["user_id"], r["item_idx"]) for r in past.collect()}
+    rows = found.collect()
+    assert len(rows) == samples.agg(F.sum(F.size("places"))).first()[0]
+    assert not any((r["user_id"], r["neg_item_idx"]) in seen for r in rows)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
