@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from nextrail.llm.common import small_batches, text_of, utf8
+from nextrail.llm.common import KEEPERS, small_batches, text_of, utf8
 
 #: Pieces, and bytes of them and their ids, in a generation of a worker's memory; a piece costs about 200 bytes.
 MEMO_PIECES, MEMO_BYTES = 250_000, 24 << 20
@@ -308,10 +308,13 @@ def _sizes(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
 
 @lru_cache(maxsize=2)
 def word_bpe(spec: str, memo_pieces: int | None = None) -> WordBpe:
-    """One encoder per file and Python worker."""
+    """One encoder per file and Python worker, until the worker's next operator asks to ``forget``."""
     return WordBpe(spec, memo_pieces)
 
 
+KEEPERS.append(word_bpe.cache_clear)
+
+
 def read_spec(path: str) -> str:
     """The tokenizer file, read on the driver and sent to the tasks (some MB, whatever the input)."""
     with open(path, encoding="utf-8") as file:

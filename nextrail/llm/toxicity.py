@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextrail.llm.common import crc_third, quoted, small_batches, utf8
+from nextrail.llm.common import crc_third, forget, give_back, quoted, small_batches, utf8
 from nextrail.sources.tables import stage
 
 #: Labelled rows of each class to learn from, at most (more are thinned out by a hash of the id): the labels that
@@ -36,8 +36,8 @@ from nextrail.sources.tables import stage
 LABELS_PER_CLASS = 30_000
 #: Slots of the tables of expressions and of contexts at the least; twice the keys if that is more. A slot has 20 bytes.
 EXPRESSION_BITS, CONTEXT_BITS = 21, 19
-#: Bytes of text that are turned into arrays at once, and distinct expressions that a task holds before it passes them on.
-STEP_BYTES, HELD = 1 << 20, 1_500_000
+#: Bytes of text that are turned into arrays at once, and expressions of all slots that a task holds before it passes them on.
+STEP_BYTES, HELD = 1 << 20, 2_500_000
 #: Kneser-Ney discounts of the continuation counts and of a class's counts: what a class has once or twice tells nothing.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
 #: Share of the toxic class's own model in a toxic text.
@@ -178,29 +178,42 @@ def _labelled(labels: DataFrame, keep: Column, id_col: str, label_col: str) -> t
 def _counts(rows: DataFrame) -> DataFrame:
     """``key, c1..c4``: expressions with their counts per slot (1-4: toxic/ordinary of folds A and B) over all texts."""
 
-    def merged(held: list[np.ndarray]) -> list[np.ndarray]:
-        every = np.concatenate(held)
-        if not len(every):
-            return [every]
-        order = np.argsort(every["key"], kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.r_[True, every["key"][1:] != every["key"][:-1]])
-        out = every[first]
-        out["n"] = np.add.reduceat(every["n"], first, axis=0)
-        return [out]
+    def merged(slot: int, parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Distinct keys, sorted, with the sums of their counts, which slot 0 needs none of; empties ``parts``."""
+        if len(parts) == 1:
+            return parts.pop()
+        keys = np.concatenate([k for k, _ in parts])
+        n = np.concatenate([n for _, n in parts]) if slot else None
+        parts.clear()
+        if slot:
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+        else:
+            keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(n, first) if slot else None
+
+    def passed_on(held: dict[int, list[tuple[np.ndarray, np.ndarray | None]]]) -> Iterator[pa.RecordBatch]:
+        """A row for each key of a span of keys, of which slots have as many as there are rows at most; empties ``held``."""
+        found = {slot: merged(slot, parts) for slot, parts in held.items()}
+        held.clear()
+        largest = max((keys for keys, _ in found.values()), key=len)
+        ends = [*largest[200_000::200_000].tolist(), None]
+        for start, end in zip([None, *ends], ends, strict=False):
+            spans = {}
+            for slot, (keys, n) in found.items():
+                span = slice(0 if start is None else np.searchsorted(keys, start), len(keys) if end is None else np.searchsorted(keys, end))
+                spans[slot] = keys[span], n[span] if slot else None
+            every = np.unique(np.concatenate([keys for keys, _ in spans.values()]))
+            counts = np.zeros((4, len(every)), np.int64)
+            for slot, (keys, n) in spans.items():
+                if slot:
+                    counts[slot - 1, np.searchsorted(every, keys)] = n
+            yield pa.RecordBatch.from_arrays([pa.array(every), *map(pa.array, counts)], ["key", "c1", "c2", "c3", "c4"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("key", "i8"), ("n", "i4", 4)])
-        held: list[np.ndarray] = []
-
-        def passed_on(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(rows), 200_000):
-                part = rows[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part["key"].copy()), *(pa.array(part["n"][:, i].astype(np.int64)) for i in range(4))],
-                    ["key", "c1", "c2", "c3", "c4"],
-                )
-
+        forget()
+        held: dict[int, list[tuple[np.ndarray, np.ndarray | None]]] = {}
         for batch in small_batches(batches, "text", STEP_BYTES):
             by_slot: dict[int, list[bytes]] = {}
             for text, slot in zip(utf8(batch, "text"), batch.column("slot").to_pylist(), strict=True):
@@ -208,17 +221,15 @@ def _counts(rows: DataFrame) -> DataFrame:
             for slot, texts in by_slot.items():
                 for part in _parts(b" ".join(texts)):
                     keys, n = np.unique(expressions(part)[0], return_counts=True)
-                    new = np.zeros(len(keys), kind)
-                    new["key"] = keys
-                    if slot:
-                        new["n"][:, slot - 1] = n
-                    held.append(new)
-            if sum(map(len, held)) > HELD:
-                held = merged(held)
-                if len(held[0]) > HELD // 2:
-                    yield from passed_on(held.pop())
+                    if len(keys):
+                        held.setdefault(slot, []).append((keys, n if slot else None))
+            if sum(len(keys) for parts in held.values() for keys, _ in parts) > HELD:
+                held = {slot: [merged(slot, parts)] for slot, parts in held.items()}
+                if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
+                    yield from passed_on(held)
         if held:
-            yield from passed_on(merged(held)[0])
+            yield from passed_on(held)
+        give_back()
 
     found = rows.select("text", "slot").mapInArrow(run, "key long, c1 long, c2 long, c3 long, c4 long")
     return found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c1", "c2", "c3", "c4")))

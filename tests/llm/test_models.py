@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -21,7 +22,7 @@ import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F
 
 from nextrail.llm.common import crc_third
-from nextrail.llm import langid, lines, quality, queries, simhash, topk, toxicity, warc
+from nextrail.llm import bpe, langid, lines, quality, queries, simhash, topk, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -460,3 +461,29 @@ def test_pipeline_runs_on_hard_rows(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
 
+
+
+@pytest.mark.parametrize("held", [40, 2_500_000])
+def test_toxicity_counts_by_slot(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    rows = [(text, slot) for i, (_, text) in enumerate(brute.HARD) for slot in ({0, i % 5}) if slot or i % 2]
+    want = {}
+    for text, slot in rows:
+        for key in toxicity.expressions((text or "").encode())[0].tolist():
+            want.setdefault(key, [0] * 4)
+            if slot:
+                want[key][slot - 1] += 1
+    counted = toxicity._counts(spark.createDataFrame(rows, "text string, slot int").repartition(2))
+    assert {r.key: [r.c1, r.c2, r.c3, r.c4] for r in counted.collect()} == want and counted.count() == len(want)
+
+
+def test_counting_lets_other_operators_memory_go(spark, monkeypatch):
+    tasks = []
+    rows = spark.createDataFrame([("one two three", 0)], "text string, slot int")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: tasks.append(run) or spark.createDataFrame([], schema))
+    toxicity._counts(rows)
+    bpe.word_bpe(bpe.read_spec(queries.WORD_BPE))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three"]), pa.array([0], pa.int32())], ["text", "slot"])
+    (found,) = tasks[0](iter([batch]))
+    assert found.num_rows == len(set(toxicity.expressions(b"one two three")[0].tolist()))
+    assert bpe.word_bpe.cache_info().currsize == 0
