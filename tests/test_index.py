@@ -419,3 +419,58 @@ def test_bounds_of_wide_blocks_leave_the_best(metric):
     exact = search.similarity(vectors[:, :4], codes * 0.02, metric)
     kept = {(int(q), i) for q, i in zip(query, found["item_id"].to_pylist(), strict=True)}
     assert {(q, f"i{i}") for q in range(4) for i in np.argsort(-exact[q])[:10]} <= kept
+
+
+# ---- wide blocks in tiles
+
+
+def wide(metric):
+    """Items of several kinds, queries between them: copies, zeros, tiny ones, and numbers that single precision can't tell apart."""
+    random = np.random.default_rng(12)
+    items = random.normal(size=(900, 8))
+    items[200:320] = items[200]
+    items[400:410] = 0
+    items[500:600] = items[500] * (1 + 1e-9 * np.arange(100)[:, None])
+    queries = np.concatenate([random.normal(size=(40, 8)), items[[200, 400, 500]], [[1e-9] * 8, [1e200] + [0] * 7, [np.nan] * 8, [0.0] * 8]])
+    if metric == "cosine":
+        items[700] = 1e-9
+    pairs = np.unique(random.integers(0, [len(queries), len(items)], size=(4000, 2)), axis=0)
+    pairs = np.concatenate([pairs[pairs[:, 0] != 2], [(2, c) for c in range(895)]])
+    row, column = pairs[np.argsort(pairs[:, 0], kind="stable")].T
+    return queries, items, row, column
+
+
+@pytest.mark.parametrize("metric", METRICS)
+@pytest.mark.parametrize("top_k", [1, 6])
+def test_tiles_leave_the_best(metric, top_k, monkeypatch):
+    monkeypatch.setattr(search, "_TILE_ITEMS", 128)
+    monkeypatch.setattr(search, "_TILE_QUERIES", 16)
+    queries, items, row, column = wide(metric)
+    with np.errstate(all="ignore"):
+        got = search._striped(queries, items, metric, top_k, row, column)
+        want = search._striped_double(queries, items, metric, top_k, row, column)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert np.allclose(got[2], want[2], rtol=1e-12, atol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_few_pairs_of_a_wide_block_are_scored_in_double_precision(metric, monkeypatch):
+    random = np.random.default_rng(13)
+    queries, items = random.normal(size=(600, 16)), random.normal(size=(10_000, 16))
+    scored, none = [], np.empty(0, np.int64)
+    whole = search.similarity
+    monkeypatch.setattr(search, "similarity", lambda q, i, *more: scored.append(len(q) * len(i)) or whole(q, i, *more))
+    rows, columns, _ = search._striped(queries, items, metric, 5, none, none)
+    assert sum(scored) == 0
+    assert len(rows) == 3000
+    best = np.round(whole(queries[:50], items, metric), 9).argsort(axis=1, kind="stable")[:, -1]
+    assert (columns[::5][:50] == best).all()
+
+
+def test_pairs_of_blocks_are_dealt_evenly(spark):
+    for count, parts in ((100, 32), (7, 32), (64, 1)):
+        keys = search._dealt(count, parts)
+        assert len(set(keys)) == count
+        rows = spark.createDataFrame([(k,) for k in keys], "pair int").repartition(parts, "pair")
+        sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) - min(sizes) <= 1 and len(sizes) == min(count, parts)
