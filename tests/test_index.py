@@ -474,3 +474,16 @@ def test_pairs_of_blocks_are_dealt_evenly(spark):
         rows = spark.createDataFrame([(k,) for k in keys], "pair int").repartition(parts, "pair")
         sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
         assert max(sizes) - min(sizes) <= 1 and len(sizes) == min(count, parts)
+
+
+def test_a_round_sends_no_query_to_more_clusters_than_blocks_would(spark, monkeypatch):
+    random = np.random.default_rng(14)
+    rows = [(f"i{k:03d}", f"text {k}", [float(x) for x in v]) for k, v in enumerate(random.normal(size=(600, 16)))]
+    items = spark.createDataFrame(rows, "item_id string, item_text string, embedding array<double>")
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    index = pruned.index_clusters(stage(kmeans.cluster_items(items, n_clusters=64)[0]))
+    sent, probed = [], search.search_probed
+    monkeypatch.setattr(pruned.flat, "search_probed", lambda probes, *a, **o: sent.append(probes.count()) or probed(probes, *a, **o))
+    got = ranked(pruned.search_pruned(queries, index, top_k=5, shared_bytes=0, item_block=120))
+    assert got == ranked(search.search(queries, items, top_k=5))
+    assert max(sent) <= 600 * 5 * 2
