@@ -99,24 +99,134 @@ def _bound_scorer(metric: str, top_k: int) -> flat.Scorer:
         dim = vectors.shape[1]
         codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.int8).reshape(-1, dim).astype(np.float64)
         scale, error = right["scale"].to_numpy(), right["error"].to_numpy()
-        found = []
-        stripe = max(1, _CELLS // max(1, len(codes)))
-        for start in range(0, len(vectors), stripe):
-            low, high = bounds(vectors[start : start + stripe], codes, scale, error, metric)
-            first, last = np.searchsorted(row, [start, start + stripe])
-            low[row[first:last] - start, column[first:last]] = -np.inf
-            open_ = np.ones(low.shape, bool)
-            open_[row[first:last] - start, column[first:last]] = False
-            if low.shape[1] > top_k:
-                open_ &= high >= _reached(low, top_k)
-            rows, columns = (x.astype(np.int32) for x in np.nonzero(open_))
-            found.append((rows + np.int32(start), columns, low[rows, columns], high[rows, columns]))
-        query, item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        wide = len(codes) >= 2 * flat._TILE_ITEMS and 2 * flat._DENSE * top_k <= flat._TILE_ITEMS and np.isfinite(error).all()
+        query, item, low, high = (_tiled if wide else _striped)(vectors, codes, scale, error, metric, top_k, row, column)
         return query, {"item_id": right["item_id"].take(pa.array(item)).combine_chunks(), "low": low, "high": high}
 
     return scored
 
 
+def _striped(
+    vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, metric: str, top_k: int, row: np.ndarray, column: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, item and bounds of what the bounds leave, but for the excluded places ``row`` (ascending) and ``column``."""
+    found = []
+    stripe = max(1, _CELLS // max(1, len(codes)))
+    for start in range(0, len(vectors), stripe):
+        low, high = bounds(vectors[start : start + stripe], codes, scale, error, metric)
+        first, last = np.searchsorted(row, [start, start + stripe])
+        low[row[first:last] - start, column[first:last]] = -np.inf
+        open_ = np.ones(low.shape, bool)
+        open_[row[first:last] - start, column[first:last]] = False
+        if low.shape[1] > top_k:
+            open_ &= high >= _reached(low, top_k)
+        rows, columns = (x.astype(np.int32) for x in np.nonzero(open_))
+        found.append((rows + np.int32(start), columns, low[rows, columns], high[rows, columns]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _pair_bounds(product: np.ndarray, norms: np.ndarray, squares: np.ndarray, error: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """``bounds`` of pairs, from their products, the queries' norms and the codes' squared norms and errors."""
+    if metric == "l2":
+        size = norms**2 + squares
+        away = np.sqrt(np.maximum(size - 2 * product, 0))
+        low, high = 1 - (away + error) ** 2, 1 - np.maximum(away - error, 0) ** 2
+    else:
+        spread = error if metric == "cosine" else norms * error
+        low, high, size = product - spread, product + spread, np.abs(product)
+    slack = SLACK * (1 + size)
+    return low - slack, high + slack
+
+
+def _tiled(
+    vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, metric: str, top_k: int, row: np.ndarray, column: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the rows of ``_striped`` hold of each query's best, for many codes with finite errors.
+
+    Tiles are scored in single precision; bounds are worked out for what can reach the query's k-th lower bound so far, given the
+    largest error. Queries with too many such codes, or too short ones, are left to ``_striped``.
+    """
+    norms, squares = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), np.einsum("ij,ij->i", codes, codes) * scale**2
+    asked = vectors / np.maximum(norms, vec.COSINE_EPS)[:, None] if metric == "cosine" else vectors
+    kind = "l2" if metric == "l2" else "dot"  # unit vectors' codes are compared by their products
+    single, other, off, odd = flat._single(asked, codes * scale[:, None], kind)
+    if metric == "cosine":
+        odd |= norms < SHORT
+    worst, most = error.max(), squares.max()
+    slack = 2 * SLACK * (1 + (norms**2 + most if metric == "l2" else norms * np.sqrt(most)))
+    spread = worst * (1 if metric == "cosine" else norms)
+    width, cells = len(codes), flat._TILE_QUERIES * flat._TILE_ITEMS
+    buffer, marks = np.empty(cells, np.float32), np.empty(cells, bool)
+    found = []
+    for start in range(0, len(vectors), flat._TILE_QUERIES):
+        part = slice(start, min(start + flat._TILE_QUERIES, len(vectors)))
+        rows = part.stop - start
+        first, last = np.searchsorted(row, [start, part.stop])
+        by_item = np.argsort(column[first:last], kind="stable")
+        barred, of = column[first:last][by_item], row[first:last][by_item] - start
+        norm, loose, wide, margin = norms[part], slack[part], spread[part] if metric != "cosine" else np.full(rows, spread), off[part]
+        dense, kth = odd[part].copy(), np.full(rows, -np.inf)
+
+        def limit_of(kth: np.ndarray, norm=norm, loose=loose, wide=wide, margin=margin) -> np.ndarray:
+            """The least product by which a code's upper bound can reach ``kth``."""
+            if metric != "l2":
+                return kth - loose - wide - margin
+            return (norm**2 - (np.sqrt(np.maximum(1 - kth + loose, 0)) + worst) ** 2) / 2 - margin - loose
+
+        kept, waiting, count = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64)), [], 0
+        for begin in range(0, width, flat._TILE_ITEMS):
+            tile = other[begin : begin + flat._TILE_ITEMS]
+            size = rows * len(tile)
+            product, mark = (x[:size].reshape(rows, len(tile)) for x in (buffer, marks))
+            np.matmul(single[part], tile.T, out=product)
+            one, two = np.searchsorted(barred, [begin, begin + len(tile)])
+            product[of[one:two], barred[one:two] - begin] = -np.inf
+            if begin == 0:
+                reached = flat._kth_of_tile(product, top_k)
+                dense |= reached == -np.inf
+                if metric == "l2":
+                    kth = 1 - (np.sqrt(np.maximum(norm**2 - 2 * (reached - margin), 0)) + worst) ** 2 - loose
+                else:
+                    kth = reached - margin - wide - loose
+                limit = np.where(dense, np.inf, limit_of(kth)).astype(np.float32)
+            np.greater_equal(product, limit[:, None], out=mark)
+            places = flat._true_places(mark)
+            if len(places) * 2 * flat._DENSE > size:
+                many = mark.sum(axis=1) * flat._DENSE > len(tile)
+                dense |= many
+                limit[many] = np.inf
+                places = places[~many[places // len(tile)]]
+            for at in range(0, len(places), 1 << 15):
+                query, item = np.divmod(places[at : at + (1 << 15)], len(tile))
+                item += begin
+                exact = np.einsum("ij,ij->i", asked[part][query], codes[item]) * scale[item]
+                low, high = _pair_bounds(exact, norm[query], squares[item], error[item], metric)
+                can = high >= kth[query]
+                waiting.append((query[can], item[can], low[can], high[can]))
+                count += len(waiting[-1][0])
+            if not count or begin and count < max(rows * top_k, len(kept[0])) and begin + flat._TILE_ITEMS < width:
+                continue
+            kept = tuple(np.concatenate(x) for x in zip(kept, *waiting, strict=True))
+            waiting, count = [], 0
+            order = np.lexsort((-kept[2], kept[0]))
+            query, low = kept[0][order], kept[2][order]
+            at_k = np.arange(len(query)) - np.searchsorted(query, query) == top_k - 1
+            kth[query[at_k]] = np.maximum(kth[query[at_k]], low[at_k])
+            limit = np.where(dense, np.inf, limit_of(kth)).astype(np.float32)
+            can = kept[3] >= kth[kept[0]]
+            kept = tuple(x[can] for x in kept)
+        whole = ~dense[kept[0]]
+        kept = tuple(x[whole] for x in kept)
+        if dense.any():
+            left = np.flatnonzero(dense)
+            also = dense[row[first:last] - start]
+            again = np.searchsorted(left, row[first:last][also] - start)
+            more = _striped(vectors[part][left], codes, scale, error, metric, top_k, again, column[first:last][also])
+            kept = tuple(np.concatenate(x) for x in zip(kept, (left[more[0]], *more[1:]), strict=True))
+        found.append((kept[0] + start, *kept[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def search_coded(
     queries: DataFrame,
     codes: DataFrame,

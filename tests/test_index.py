@@ -487,3 +487,41 @@ def test_a_round_sends_no_query_to_more_clusters_than_blocks_would(spark, monkey
     got = ranked(pruned.search_pruned(queries, index, top_k=5, shared_bytes=0, item_block=120))
     assert got == ranked(search.search(queries, items, top_k=5))
     assert max(sent) <= 600 * 5 * 2
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_tiles_leave_what_bounds_leave(metric, monkeypatch):
+    monkeypatch.setattr(search, "_TILE_ITEMS", 128)
+    monkeypatch.setattr(search, "_TILE_QUERIES", 16)
+    queries, items, row, column = wide("dot")
+    queries = np.delete(queries, [44, 45], axis=0)
+    kept = (row < 44) & (row != 2)
+    row, column = row[kept], column[kept]
+    scale = np.abs(items).max(axis=1) / coded.TOP_CODE
+    scale[scale == 0] = 1
+    codes = np.rint(items / scale[:, None])
+    error = np.sqrt(((items - scale[:, None] * codes) ** 2).sum(axis=1))
+    got, want = (
+        {(q, i): (low, high) for q, i, low, high in zip(*x(queries, codes, scale, error, metric, 6, row, column))} for x in (coded._tiled, coded._striped)
+    )
+    for query in range(len(queries)):
+        mine = {i: b for (q, i), b in want.items() if q == query}
+        kth = sorted((low for low, _ in mine.values()), reverse=True)[5]
+        assert {i for i, (_, high) in mine.items() if high >= kth} <= {i for q, i in got if q == query}
+    assert all(np.allclose(bounds, want[pair], rtol=1e-9, atol=1e-9, equal_nan=True) for pair, bounds in got.items() if pair in want)
+
+
+def test_bounds_of_a_wide_block_are_not_worked_out_for_all_pairs(monkeypatch):
+    random = np.random.default_rng(15)
+    vectors = random.normal(size=(6000, 16))
+    scale = np.abs(vectors).max(axis=1) / coded.TOP_CODE
+    codes = np.rint(vectors / scale[:, None]).astype(np.int8)
+    error = np.sqrt(((vectors - scale[:, None] * codes) ** 2).sum(axis=1))
+    right = pa.table({"item_id": [f"{k:05d}" for k in range(6000)], "code": [c.tobytes() for c in codes], "scale": scale, "error": error})
+    worked, whole, none = [], coded.bounds, np.empty(0, np.int64)
+    monkeypatch.setattr(coded, "bounds", lambda q, c, *more: worked.append(len(q) * len(c)) or whole(q, c, *more))
+    query, columns = coded._bound_scorer("dot", 5)(vectors[:300], right, none, none)
+    assert sum(worked) == 0
+    top = np.argsort(-(vectors[:300] @ vectors.T), axis=1)[:, :5]
+    found = {(q, i) for q, i in zip(query.tolist(), columns["item_id"].to_pylist())}
+    assert {(q, f"{i:05d}") for q in range(300) for i in top[q]} <= found
