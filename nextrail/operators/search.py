@@ -45,6 +45,8 @@ _MATRIX_CELLS = 4_000_000
 _GROUP = 64
 # Queries and items of a tile that is scored in single precision, and the share of a row's cells beyond which its candidates are too many.
 _TILE_QUERIES, _TILE_ITEMS, _DENSE = 512, 2048, 8
+# Queries that go through the clusters of a bundle together.
+_PROBING_QUERIES = 2048
 # Pairs of blocks, at most, that are dealt one by one.
 _DEALT_PAIRS = 4096
 # Scores that agree to this many digits are ties, ordered by item id.
@@ -323,6 +325,8 @@ def _checked_sizes(items: DataFrame) -> tuple[int, int]:
 
 
 RESULT = "query_id string, item_id string, score double"
+#: Further columns of probes that scorers get: the probed clusters where several are searched as one.
+_MORE = ("probed",)
 #: Scores a block: vectors of the queries, the block's items by id, and the excluded places, to columns without the query.
 Scorer = Callable[[np.ndarray, pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]]
 
@@ -337,7 +341,7 @@ def _exact_scorer(metric: str, top_k: int) -> Scorer:
 
 
 def _scored_block(scorer: Scorer, schema: pa.Schema):
-    """What a block pair is turned into: the rows of ``scorer`` for its queries."""
+    """What a block pair is turned into: the rows of ``scorer`` for its queries, which gets their further columns too."""
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         is_query = np.asarray(left["item_id"].is_null())
@@ -353,7 +357,8 @@ def _scored_block(scorer: Scorer, schema: pa.Schema):
         barred, row = barred.filter(row.is_valid()), row.drop_null().to_numpy()
         row, column = _barred_places(row, barred["item_id"], *_runs(right["item_id"]))
         vectors = _matrix(queries["embedding"], len(queries["embedding"][0]))
-        query, columns = scorer(vectors, right, row, column)
+        more = [queries[c] for c in queries.column_names if c in _MORE]
+        query, columns = scorer(vectors, right, row, column, *more)
         columns = {"query_id": query_ids.take(pa.array(query)), **columns}
         return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -425,6 +430,7 @@ def _block_search(
         "query_id",
         F.lit(None).cast("string").alias("item_id"),
         _sent(probes).alias("embedding"),
+        *[c for c in _MORE if c in probes.columns],
     )
     if exclude is not None:
         barred = sized(exclude).select(
@@ -434,6 +440,7 @@ def _block_search(
             "query_id",
             "item_id",
             F.lit(None).cast(kind).alias("embedding"),
+            *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in _MORE if c in probes.columns],
         )
         left = left.unionByName(barred)
     right = sized(items).select(
@@ -600,7 +607,12 @@ def _shared_search(
 def probe_clusters(
     queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE, metric: str = "cosine"
 ) -> DataFrame:
-    """The ``nprobe`` clusters nearest to each query, one row each; ties by lower id.
+    """The ``nprobe`` clusters nearest to each query, one row each; see ``probe_lists``."""
+    return probe_lists(queries, centroids, nprobe, metric).select("query_id", "embedding", F.explode("probed").alias("cluster_id"))
+
+
+def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE, metric: str = "cosine") -> DataFrame:
+    """The ``nprobe`` clusters nearest to each query, as a list (``probed``); ties by lower id.
 
     For cosine that is by the distance of the unit query, as the clusters are of unit vectors; else by ``metric``.
 
@@ -612,19 +624,18 @@ def probe_clusters(
     shared = queries.sparkSession.sparkContext.broadcast((table["cluster_id"].to_numpy(), points))
     plain = usable(queries, "query_id")
     plain = plain.select("query_id", _sent(plain).alias("embedding"))
-    schema = f"query_id string, embedding {plain.schema['embedding'].dataType.simpleString()}, cluster_id int"
+    schema = f"query_id string, embedding {plain.schema['embedding'].dataType.simpleString()}, probed array<int>"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, points = shared.value
         for batch in batches:
             if batch.num_rows == 0 or len(ids) == 0:
                 continue
-            table = pa.Table.from_batches([batch])
-            vectors = _matrix(table["embedding"], len(batch.column("embedding")[0]))
+            vectors = _matrix(pa.chunked_array([batch.column("embedding")]), len(batch.column("embedding")[0]))
             rows, near = _nearness(vectors, points, metric, nprobe)
-            chosen = table.take(pa.array(rows))
-            chosen = chosen.append_column("cluster_id", pa.array(ids[near], pa.int32()))
-            yield from chosen.combine_chunks().to_batches()
+            ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[near], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.select(["query_id", "embedding"]).columns, lists], ["query_id", "embedding", "probed"])
 
     return plain.mapInArrow(probe, schema)
 
@@ -703,11 +714,114 @@ def search_clusters(
     if centroids.count() <= nprobe:
         probed = items.join(F.broadcast(centroids.select("cluster_id")), "cluster_id", "left_semi")
         return search(queries, probed, exclude=exclude, top_k=top_k, metric=metric, item_block=item_block, query_block=query_block)
-    probes = stage(probe_clusters(queries, centroids, nprobe, metric))
-    found = search_probed(probes, items, exclude, _exact_scorer(metric, top_k), item_block=item_block, query_block=query_block)
+    # One row per cluster, about the square root of the number of items.
+    sizes = {r["cluster_id"]: r["n"] for r in items.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bundle = _bundles(sizes, usable(queries, "query_id").count(), default_parts(items), item_block)
+    if not bundle:
+        return ranked_top_k(queries.sparkSession.createDataFrame([], RESULT), top_k)
+    probes = stage(_probed_bundles(probe_lists(queries, centroids, nprobe, metric), bundle))
+    number = items.sparkSession.createDataFrame(list(bundle.items()), f"_of {items.schema['cluster_id'].dataType.simpleString()}, _bundle int")
+    together = items.join(F.broadcast(number), F.col("cluster_id") == F.col("_of"))
+    together = together.select("item_id", "embedding", F.col("_bundle").alias("cluster_id"), F.col("_of").cast("int").alias("_of"))
+    found = search_probed(
+        probes, together, exclude, _probing_scorer(metric, top_k), item_block=item_block, query_block=query_block,
+        payload={"embedding": _sent(together), "_of": F.col("_of")},
+    )
     return ranked_top_k(found, top_k)
 
 
+def _bundles(sizes: dict[int, int], n_queries: int, parts: int, item_block: int) -> dict[int, int]:
+    """The bundle of each cluster: clusters are searched together up to a block of items, so a query goes to each bundle once."""
+    total = sum(sizes.values())
+    balanced = math.sqrt(_balanced(total, max(1, n_queries), 2 * parts, _QUERY_WEIGHT))
+    count = max(1, math.ceil(total / item_block), min(math.ceil(total / _MIN_ITEMS), math.ceil(balanced)))
+    out, held, now = {}, 0, 0
+    for cluster, n in sorted(sizes.items()):
+        if held and held + n > max(1, total / count):
+            now, held = now + 1, 0
+        out[cluster], held = now, held + n
+    return out
+
+
+def _probed_bundles(probes: DataFrame, bundle: dict[int, int]) -> DataFrame:
+    """``probes`` (query_id, embedding, probed) as a row per bundle (cluster_id) with the clusters probed there."""
+    clusters = np.array(sorted(bundle))
+    of = np.array([bundle[c] for c in sorted(bundle)])
+    shared = probes.sparkSession.sparkContext.broadcast((clusters, of))
+    schema = f"query_id string, embedding {probes.schema['embedding'].dataType.simpleString()}, cluster_id int, probed array<int>"
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clusters, of = shared.value
+        for batch in batches:
+            lists = batch.column("probed")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            probed = lists.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(clusters, probed), len(clusters) - 1)
+            known = clusters[place] == probed
+            row, probed, where = row[known], probed[known], of[place[known]]
+            order = np.lexsort((probed, where, row))
+            row, probed, where = row[order], probed[order], where[order]
+            new = np.flatnonzero(np.r_[len(row) > 0, (row[1:] != row[:-1]) | (where[1:] != where[:-1])][: len(row)])
+            found = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)].astype(np.int32)), pa.array(probed.astype(np.int32)))
+            asked = batch.select(["query_id", "embedding"]).take(pa.array(row[new]))
+            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(where[new].astype(np.int32)), found], ["query_id", "embedding", "cluster_id", "probed"])
+
+    return probes.mapInArrow(bundled, schema)
+
+
+def _probing_scorer(metric: str, top_k: int) -> Scorer:
+    """The best of each query among the items (``_of`` a cluster) of the clusters that it probes (``probed``)."""
+
+    def scored(vectors: np.ndarray, right: pa.Table, row: np.ndarray, column: np.ndarray, probed: pa.ChunkedArray):
+        items = _matrix(right["embedding"], vectors.shape[1])
+        clusters, of = np.unique(right["_of"].to_numpy(), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(clusters)))]
+        within = np.empty(len(of), np.int64)
+        within[order] = np.arange(len(of)) - starts[of[order]]
+        lists = probed.combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        asks = np.repeat(np.arange(len(vectors)), pc.list_value_length(lists).to_numpy())
+        wanted = lists.flatten().to_numpy()
+        place = np.minimum(np.searchsorted(clusters, wanted), len(clusters) - 1)
+        here = clusters[place] == wanted
+        asks, place = asks[here], place[here]
+        out = []
+        for start in range(0, len(vectors), _PROBING_QUERIES):
+            low, high = np.searchsorted(asks, [start, start + _PROBING_QUERIES])
+            first, last = np.searchsorted(row, [start, start + _PROBING_QUERIES])
+            barred = np.argsort(of[column[first:last]], kind="stable") + first
+            borders = np.searchsorted(of[column[barred]], np.arange(len(clusters) + 1))
+            best, waiting, count = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64)), [], 0
+            by_cluster = np.argsort(place[low:high], kind="stable") + low
+            ends = np.searchsorted(place[by_cluster], np.arange(len(clusters) + 1))
+            visited = np.flatnonzero(np.diff(ends))
+            for c in visited:
+                rows, members = asks[by_cluster[ends[c] : ends[c + 1]]], order[starts[c] : starts[c + 1]]
+                out_of = barred[borders[c] : borders[c + 1]]
+                at = np.minimum(np.searchsorted(rows, row[out_of]), len(rows) - 1)
+                mine = rows[at] == row[out_of]
+                query, item, score = _striped(vectors[rows], items[members], metric, top_k, at[mine], within[column[out_of[mine]]])
+                waiting.append((rows[query], members[item], score))
+                count += len(query)
+                if count > 8 * top_k * _PROBING_QUERIES or c == visited[-1]:
+                    best = _best_pairs(*(np.concatenate(x) for x in zip(best, *waiting, strict=True)), top_k)
+                    waiting, count = [], 0
+            out.append(best)
+        query, item, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return query, {"item_id": right["item_id"].to_numpy()[item], "score": score}
+
+    return scored
+
+
+def _best_pairs(query: np.ndarray, item: np.ndarray, score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``top_k`` pairs of each query, in order; ties by lower item."""
+    order = np.lexsort((item, -np.round(score, TIE_DIGITS), query))
+    query, item, score = query[order], item[order], score[order]
+    few = np.arange(len(query)) - np.searchsorted(query, query) < top_k
+    return query[few], item[few], score[few]
+
+
 def search_probed(
     probes: DataFrame,
     items: DataFrame,

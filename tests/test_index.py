@@ -525,3 +525,18 @@ def test_bounds_of_a_wide_block_are_not_worked_out_for_all_pairs(monkeypatch):
     top = np.argsort(-(vectors[:300] @ vectors.T), axis=1)[:, :5]
     found = {(q, i) for q, i in zip(query.tolist(), columns["item_id"].to_pylist())}
     assert {(q, f"{i:05d}") for q in range(300) for i in top[q]} <= found
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_a_query_goes_once_to_the_clusters_that_are_searched_together(spark, items, queries, metric, monkeypatch):
+    clustered, centroids = kmeans.cluster_items(items, metric=metric)
+    clustered = stage(clustered)
+    options = {"exclude": barred(spark), "top_k": 6, "metric": metric}
+    probes = stage(search.probe_clusters(queries, centroids, 5, metric))
+    each = search.search_probed(probes, search.usable(clustered, "item_id", "cluster_id"), options["exclude"], search._exact_scorer(metric, 6))
+    want = ranked(search.ranked_top_k(each, 6))
+    sent, probed = [], search.search_probed
+    monkeypatch.setattr(search, "search_probed", lambda probes, *a, **o: sent.append(probes.count()) or probed(probes, *a, **o))
+    assert ranked(search.search_clusters(queries, clustered, centroids, nprobe=5, **options)) == want
+    assert ranked(search.search_clusters(queries, clustered, centroids, nprobe=5, item_block=150, query_block=2, **options)) == want
+    assert sent[0] <= len(ASKED) + 1
