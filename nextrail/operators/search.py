@@ -716,7 +716,7 @@ def search_clusters(
         return search(queries, probed, exclude=exclude, top_k=top_k, metric=metric, item_block=item_block, query_block=query_block)
     # One row per cluster, about the square root of the number of items.
     sizes = {r["cluster_id"]: r["n"] for r in items.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bundle = _bundles(sizes, usable(queries, "query_id").count(), default_parts(items), item_block)
+    bundle = _bundles(sizes, usable(queries, "query_id").count(), nprobe, default_parts(items), item_block)
     if not bundle:
         return ranked_top_k(queries.sparkSession.createDataFrame([], RESULT), top_k)
     probes = stage(_probed_bundles(probe_lists(queries, centroids, nprobe, metric), bundle))
@@ -730,11 +730,17 @@ def search_clusters(
     return ranked_top_k(found, top_k)
 
 
-def _bundles(sizes: dict[int, int], n_queries: int, parts: int, item_block: int) -> dict[int, int]:
-    """The bundle of each cluster: clusters are searched together up to a block of items, so a query goes to each bundle once."""
+def _bundles(sizes: dict[int, int], n_queries: int, nprobe: int, parts: int, item_block: int) -> dict[int, int]:
+    """The bundle of each cluster: clusters are searched together up to a block of items, so a query goes to each bundle once.
+
+    A bundle's items go to all of its query blocks: where probes are so few that clusters by themselves shuffle less, each is a bundle.
+    """
     total = sum(sizes.values())
     balanced = math.sqrt(_balanced(total, max(1, n_queries), 2 * parts, _QUERY_WEIGHT))
     count = max(1, math.ceil(total / item_block), min(math.ceil(total / _MIN_ITEMS), math.ceil(balanced)))
+    copies = max(1, min(math.ceil(n_queries / _MIN_QUERIES), math.ceil(2 * parts / count)))
+    if _QUERY_WEIGHT * n_queries * nprobe + total <= _QUERY_WEIGHT * n_queries * min(nprobe, count) + total * copies:
+        return {cluster: place for place, cluster in enumerate(sorted(sizes))}
     out, held, now = {}, 0, 0
     for cluster, n in sorted(sizes.items()):
         if held and held + n > max(1, total / count):

@@ -540,3 +540,10 @@ def test_a_query_goes_once_to_the_clusters_that_are_searched_together(spark, ite
     assert ranked(search.search_clusters(queries, clustered, centroids, nprobe=5, **options)) == want
     assert ranked(search.search_clusters(queries, clustered, centroids, nprobe=5, item_block=150, query_block=2, **options)) == want
     assert sent[0] <= len(ASKED) + 1
+
+
+def test_clusters_are_searched_together_where_that_shuffles_less():
+    sizes = {c: 312 for c in range(256)}
+    assert len(set(search._bundles(sizes, 80_000, 8, 32, search.ITEM_BLOCK).values())) == 256
+    many = search._bundles(sizes, 80_000, 140, 32, search.ITEM_BLOCK)
+    assert len(set(many.values())) <= 6 and sorted(many) == sorted(sizes)
